@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from quill.llm.packing import op2_packing
+from quill.llm.quality_rules import op8_quality_rules
+from quill.llm.secret_scan import op5_secret_scan
+from quill.llm.separator_scan import op9_separator_scan
 from quill.llm.token_arrow import op1_token_arrow
 
 QUERIES = {
     "op1_token_arrow": op1_token_arrow,
     "op2_packing": op2_packing,
+    "op5_secret_scan": op5_secret_scan,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_separator_scan": op9_separator_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
