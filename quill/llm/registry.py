@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quill.llm.minhash_dedup import op6_minhash_dedup
 from quill.llm.packing import op2_packing
 from quill.llm.quality_rules import op8_quality_rules
 from quill.llm.secret_scan import op5_secret_scan
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_token_arrow": op1_token_arrow,
     "op2_packing": op2_packing,
     "op5_secret_scan": op5_secret_scan,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_separator_scan": op9_separator_scan,
 }
