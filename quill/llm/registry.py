@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quill.llm.containment import OP10_SQL, op10_containment
 from quill.llm.minhash_dedup import op6_minhash_dedup
 from quill.llm.packing import op2_packing
 from quill.llm.quality_rules import op8_quality_rules
@@ -16,6 +17,9 @@ QUERIES = {
     "op6_minhash_dedup": op6_minhash_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_separator_scan": op9_separator_scan,
+    "op10_containment": op10_containment,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_containment": OP10_SQL,
+}
