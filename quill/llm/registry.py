@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quill.llm.containment import OP10_SQL, op10_containment
+from quill.llm.language_id import op3_language_id
 from quill.llm.minhash_dedup import op6_minhash_dedup
 from quill.llm.packing import op2_packing
 from quill.llm.quality_rules import op8_quality_rules
@@ -13,6 +14,7 @@ from quill.llm.token_arrow import op1_token_arrow
 QUERIES = {
     "op1_token_arrow": op1_token_arrow,
     "op2_packing": op2_packing,
+    "op3_language_id": op3_language_id,
     "op5_secret_scan": op5_secret_scan,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op8_quality_rules": op8_quality_rules,

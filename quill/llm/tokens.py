@@ -10,6 +10,7 @@ new chunk is put together from its pre-tokens, most of which are known too.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -17,12 +18,22 @@ import numpy as np
 
 from quill.llm.common import WordCoder
 
-#: Python's split() also cuts at the first four, which the tokenizers' \s does not match; "<|" may begin a special token.
+#: Python's split() also cuts at these, which the tokenizers' \s does not match.
 _PLAIN_SPLIT_FAILS = re.compile("[\x1c-\x1f]")
-_NOT_LATIN = re.compile("[^\x00-\xff]|<[|]")
+#: "<|" may begin a special token.
+_NOT_PLAIN = re.compile("[\x1c-\x1f]|[^\x00-\xff]|<[|]")
 #: The pre-tokens of word_bpe_49k for lower-cased Latin-1 text without white space.
 _LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
-_PRINTABLE = re.compile("[!-~]+")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Byte-level BPE writes printable bytes as themselves and the others as the characters from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTES = _byte_alphabet()
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -58,24 +69,33 @@ class TextEncoder:
         return [b"".join([next(coded) for _ in pieces]) for pieces in split]
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Printable ASCII stands for itself in the byte alphabet and goes straight to the merges."""
-        other = iter(self._encode_raw([p for p in pieces if not _PRINTABLE.fullmatch(p)]))
+        """Pre-tokens go straight to the merges, in the byte alphabet."""
         tokenize = self.model.tokenize
-        return [np.array([k.id for k in tokenize(p)], dtype="<u2").tobytes() if _PRINTABLE.fullmatch(p) else next(other) for p in pieces]
+        spelled = [p if p.isalpha() and p.isascii() else p.encode().decode("latin-1").translate(_BYTES) for p in pieces]
+        return [np.array([k.id for k in tokenize(p)], dtype="<u2").tobytes() for p in spelled]
 
     def encode_many(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids of each whole text (null: empty) and then `end`, as little-endian unsigned 16-bit integers."""
+        collects = gc.isenabled()
+        gc.disable()  # no cycles arise here, and collections would visit the large tables again and again
+        try:
+            return self._encode_many(texts, end)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_many(self, texts: list[str | None], end: int) -> list[bytes]:
         last = np.array([end], dtype="<u2").tobytes()
         out, plain = [last] * len(texts), []
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _PLAIN_SPLIT_FAILS.search(text):
+            if not _NOT_PLAIN.search(text):
+                plain.append((i, text.lower().split()))
+            elif _PLAIN_SPLIT_FAILS.search(text):
                 out[i] = self._encode_raw([text])[0] + last
-            elif _NOT_LATIN.search(text):
-                out[i] = b"".join(self.raw.code(text.split())) + last
             else:
-                plain.append((i, text.lower().split()))
+                out[i] = b"".join(self.raw.code(text.split())) + last
         coded, at = self.latin.code([w for _, words in plain for w in words]), 0
         for i, words in plain:
             out[i] = b"".join(coded[at : (at := at + len(words))]) + last
