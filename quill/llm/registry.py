@@ -10,6 +10,7 @@ from quill.llm.quality_rules import op8_quality_rules
 from quill.llm.secret_scan import op5_secret_scan
 from quill.llm.separator_scan import op9_separator_scan
 from quill.llm.token_arrow import op1_token_arrow
+from quill.llm.warc_bundle import op7_warc_bundle
 
 QUERIES = {
     "op1_token_arrow": op1_token_arrow,
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_secret_scan": op5_secret_scan,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_warc_bundle": op7_warc_bundle,
     "op8_quality_rules": op8_quality_rules,
     "op9_separator_scan": op9_separator_scan,
     "op10_containment": op10_containment,
