@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
@@ -46,6 +47,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A number for a row's id and text, to tell rows apart whose doc_id is null or repeated."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose (doc_id, row_key) is not among the rejected."""
+    out = rejected.select(F.col("doc_id").alias("_rejected_id"), F.col("row_key").alias("_rejected_key"))
+    same = (row_key() == F.col("_rejected_key")) & F.col("doc_id").eqNullSafe(F.col("_rejected_id"))
+    return docs.join(out, same, "left_anti")
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a shared path, usable in a task: local (mounted) folders, S3, GCS or HDFS, as pyarrow resolves them."""
     return pafs.FileSystem.from_uri(uri)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quill.llm.containment import OP10_SQL, op10_containment
+from quill.llm.importance import op4_importance
 from quill.llm.language_id import op3_language_id
 from quill.llm.minhash_dedup import op6_minhash_dedup
 from quill.llm.packing import op2_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_token_arrow": op1_token_arrow,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op4_importance": op4_importance,
     "op5_secret_scan": op5_secret_scan,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_warc_bundle": op7_warc_bundle,
