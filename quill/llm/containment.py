@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quill.llm.common import materialize, table
+from quill.llm.common import materialize, row_key, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,7 +50,7 @@ def _item_shingles(items: DataFrame) -> DataFrame:
 
 
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """(doc_id, item_id) for each item of (item_id, text) of whose distinct shingles a document of (doc_id, text) has at least `percent`: with n_item, n_shared and containment."""
+    """(doc_id, item_id) for each item of (item_id, text) of whose distinct shingles a document of (doc_id, text) has at least `percent`: with n_item, n_shared, containment and the document's row_key."""
     whole = materialize(_item_shingles(items), "items")
     # Within a size class every item has the signature length of the class's largest size, so that the length depends on the class alone.
     smallest = F.pow(F.lit(2.0), F.length(F.bin("q")) - 1)
@@ -63,17 +63,17 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, broadc
 
     # One pass over the documents: every hit of an item's shingles is kept, and hits of signatures make a pair a candidate.
     marked = members.join(probes, "hash", "left")
-    split = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("doc_key"), words(F.col("text")).alias("words"))
-    shingles = split.select("doc_id", "doc_key", F.size("words").alias("n_words"), F.explode(shingle_hashes(F.col("words"))).alias("hash"))
+    split = docs.select(F.col("doc_id"), row_key().alias("row_key"), words(F.col("text")).alias("words"))
+    shingles = split.select("doc_id", "row_key", F.size("words").alias("n_words"), F.explode(shingle_hashes(F.col("words"))).alias("hash"))
     hits = shingles.join(F.broadcast(marked) if small else marked, "hash")
     candidate = F.max(F.col("n_words") >= F.col("least_doc")).alias("candidate")
-    pairs = hits.groupBy("doc_id", "doc_key", "item_id", "item_key", "q").agg(F.count_distinct("hash").alias("n_shared"), candidate)
+    pairs = hits.groupBy("doc_id", "row_key", "item_id", "item_key", "q").agg(F.count_distinct("hash").alias("n_shared"), candidate)
     found = pairs.filter(F.col("candidate") & (100 * F.col("n_shared") >= percent * F.col("q")))
-    return found.select("doc_id", "item_id", F.col("q").cast("long").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("q")).alias("containment"))
+    return found.select("doc_id", "item_id", F.col("q").cast("long").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("q")).alias("containment"), "row_key")
 
 
 def op10_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
 OP10_SQL = r"""

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quill.llm.common import materialize, slices, table
+from quill.llm.common import materialize, row_key, slices, table
 
 K, MATCHES = 32, 17
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -75,19 +75,20 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null for an empty one), signature."""
+    """doc_id, row_key, n_shingles, digest (of the set; null for an empty one), signature."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             n, digest, sig = [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
                 s = shingle_set(text)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "digest", "signature"])
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "n_shingles", "digest", "signature"])
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, digest binary, signature binary")
+    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(work, "doc_id long, row_key long, n_shingles long, digest binary, signature binary")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -147,7 +148,7 @@ def _similar_size(a: Column, b: Column, percent: int) -> Column:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, matches: int = MATCHES, rounds: int = 3, short_list: int = 64) -> DataFrame:
-    """Per row of (doc_id, text): doc_id, n_shingles, component_id, kept, and digest, the class."""
+    """Per row of (doc_id, text): doc_id, n_shingles, component_id, kept, digest (the class) and row_key."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = materialize(_sets(docs), "shingle-sets")
     named = base.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
@@ -204,10 +205,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, matches: int = MATCHES,
         ids = first.join(grouped, "digest", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
     else:
         ids = first.withColumnRenamed("doc_id", "component_id")
-    found = base.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
+    found = base.select("doc_id", "row_key", "n_shingles", "digest").join(ids, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "digest")
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "digest", "row_key")
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("digest", "row_key")
