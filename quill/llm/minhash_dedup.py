@@ -13,9 +13,10 @@ then on the full sets.
 Lists can be long (a large group of near copies), so not all pairs of a list are made:
 in each round the most central class that a list has left (whose pairs are the most
 frequent, as those of the original of a group are) meets the others, links are confirmed
-and components merged, and a list is finished when its classes are one component. After
-`rounds` rounds, or once all lists are short, what is left is compared pair by pair
-across components, so the components are those of all links.
+and components merged, and a list is finished when its classes are one component. For the
+lists left after `rounds` rounds, the exact prefix filter on whole shingle sets gives the
+pairs across components that can still be links, and all of them are compared, so the
+components are those of all links.
 
 A link of similarity 0.85 is missed if fewer than 17 of 32 coordinates agree: about 1 in
 100,000. Null or empty text: an empty set, linked with nothing. Null doc_id: linked with
@@ -147,7 +148,30 @@ def _similar_size(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, matches: int = MATCHES, rounds: int = 3, short_list: int = 64) -> DataFrame:
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _numbers(shingles: pd.Series) -> pd.Series:
+    return shingles.map(lambda b: np.frombuffer(b, "<i8"))
+
+
+def _rest(nodes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) across components that can still be links among nodes (node, n, label), by the exact prefix filter on whole sets.
+
+    Shingles that only one component has are in no overlap across components. Of the others, by ascending frequency, two linked sets share one among the first n - ceil(percent n / 100) + 1 of either, and what stands behind the first one they share bounds their overlap."""
+    rows = nodes.join(full.select("node", "shingles"), "node").select("node", "n", F.xxhash64("label").alias("label"), F.explode(_numbers("shingles")).alias("shingle"))
+    across = rows.groupBy("shingle").agg(F.count("*").alias("often"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("shingle", "often")
+    ordered = rows.join(across, "shingle").groupBy("node", "n", "label").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("ordered"))
+    alone = F.col("n") - F.size("ordered")
+    take = (F.floor(F.col("n") * (100 - percent) / 100) + 1 - alone).cast("int")
+    posts = ordered.filter(take > 0).select("node", "n", "label", alone.alias("alone"), F.posexplode(F.slice("ordered", F.lit(1), take)).alias("i", "s"))
+    posts = materialize(posts.select("node", "n", "label", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), F.col("s.shingle").alias("shingle")), "prefixes")
+    x, y = (posts.select(*[F.col(c).alias(f"{c}_{side}") for c in posts.columns]) for side in "xy")
+    apart = (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y"))
+    enough = (100 + percent) * F.least("left_x", "left_y") >= percent * (F.col("n_x") + F.col("n_y"))
+    met = x.join(y, (F.col("shingle_x") == F.col("shingle_y")) & apart & _similar_size(F.col("n_x"), F.col("n_y"), percent) & enough)
+    return met.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count("*").alias("met"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, matches: int = MATCHES, rounds: int = 3) -> DataFrame:
     """Per row of (doc_id, text): doc_id, n_shingles, component_id, kept, digest (the class) and row_key."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = materialize(_sets(docs), "shingle-sets")
@@ -175,20 +199,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, matches: int = MATCHES,
     for k in range(rounds + 1):
         # A list is open while it has several components and a class that has not met all others.
         hub = F.max(F.struct("fresh", "central", "node", "n", "label")).alias("hub")
-        state = lists.groupBy("pair").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"), hub)
+        state = lists.groupBy("pair").agg(F.min("label").alias("low"), F.max("label").alias("high"), hub)
         state = materialize(state.filter("low != high and hub.fresh").drop("low", "high"), "lists")
-        longest = state.agg(F.max("members")).first()[0]
-        if longest is None:
+        if state.isEmpty():
             break
-        last = k == rounds or longest <= short_list
+        last = k == rounds
         if last:
-            x, y = (lists.join(state.select("pair"), "pair").select(F.col("pair").alias(f"pair_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "label")]) for s in "xy")
-            apart = (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y"))
-            met = x.join(y, (F.col("pair_x") == F.col("pair_y")) & apart & _similar_size(F.col("n_x"), F.col("n_y"), percent))
+            pairs = _rest(lists.join(state.select("pair"), "pair").select("node", "n", "label").distinct(), full, percent)
         else:
             met = lists.join(state, "pair").filter((F.col("label") != F.col("hub.label")) & _similar_size(F.col("n"), F.col("hub.n"), percent))
-            met = met.select(F.least("node", "hub.node").alias("node_x"), F.greatest("node", "hub.node").alias("node_y"))
-        pairs = met.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count("*").alias("met"))
+            pairs = met.groupBy(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).agg(F.count("*").alias("met"))
         new = materialize(confirmed(pairs), "links")
         edges = new if edges is None else edges.union(new)
         labels = components(edges)
