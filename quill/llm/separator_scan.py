@@ -92,4 +92,4 @@ def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "flat-tokens")
     order = write_flat_files(table(spark, sf_dir, "documents"), path)
     counts = scan_token_files(spark, f"{path}/flat")
-    return order.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
+    return order.join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
