@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +73,13 @@ def apply_edits(reviewed: DataFrame, edits: DataFrame, key: str = "img_id", most
     ok = rows.groupBy(key).agg(F.coalesce(F.bool_and(fine | ((F.size("why") == 0) & F.col("new_text").isNull())), F.lit(False)).alias("accepted"))
     text = F.when(F.col("accepted") & F.col("new_text").isNotNull(), F.trim(F.regexp_replace("new_text", r"(?U)\s+", " "))).otherwise(F.col("text"))
     return rows.join(ok, key).select(key, "body_row", "col", text.alias("text"), "accepted")
+
+
+def snap_headers(headers: DataFrame, known: list[str], cutoff: float = 0.6) -> DataFrame:
+    """headers (text) with `snapped`: the known header most like the compared form, from a likeness of `cutoff` on, else the text. Each distinct text is compared once."""
+    @F.pandas_udf("string")
+    def best(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: next(iter(difflib.get_close_matches(t, known, n=1, cutoff=cutoff)), None) if t is not None else None)
+
+    distinct = headers.select("text").distinct().withColumn("near", best(compared(F.col("text"))))
+    return headers.join(distinct, "text", "left").withColumn("snapped", F.coalesce("near", "text")).drop("near")

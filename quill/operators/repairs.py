@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quill.functions.text import plain_words
@@ -20,11 +20,10 @@ def suggest_fixes(docs: DataFrame, findings: DataFrame, tags: DataFrame, id_colu
     """A row for each option of a repairable finding: id, code, start, label, new_text. Options: delete a stray close (with its line if it stands alone there); close an unclosed paragraph or title before the next block tag or at the end; close a section before the next section or at the end. Those that lose words of the text are dropped."""
     rows = findings.filter("fix is not null").join(docs.select(id_column, "text"), id_column)
     inline = ["emphasis", "guilabel", "guibutton", "xref", "indexterm"]
-    after = tags.select(id_column, F.col("start").alias("t_start"), F.col("name").alias("t_name"))
-    later = rows.select(id_column, "start", "end", "tag", "fix").join(after, id_column).filter("t_start >= end")
-    block = F.min(F.when(~F.col("t_name").isin(inline), F.col("t_start"))).alias("block")
-    section = F.min(F.when(F.col("t_name") == "section", F.col("t_start"))).alias("section")
-    rows = rows.join(later.groupBy(id_column, "start").agg(block, section), [id_column, "start"], "left")
+    ahead = Window.partitionBy(id_column).orderBy("start").rowsBetween(1, Window.unboundedFollowing)
+    following = lambda hit: F.first(F.when(hit, F.col("start")), True).over(ahead)
+    next_tags = tags.select(id_column, "start", following(~F.col("name").isin(inline)).alias("block"), following(F.col("name") == "section").alias("section"))
+    rows = rows.join(next_tags, [id_column, "start"])
     length = F.length("text")
     close = F.concat(F.lit("</"), "tag", F.lit(">"))
     head, tail = _head(F.col("start")), _tail(F.col("end"))

@@ -80,10 +80,12 @@ def check_sections(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
 def with_child_sections(rows: DataFrame, id_column: str) -> DataFrame:
     """frame, first_section: where the first child section of each section opens."""
     opens = rows.filter("name = 'section' and not is_close and not is_self")
-    parents = opens.select(id_column, (F.col("depth") + 1).alias("depth"), F.col("start").alias("parent"))
-    met = opens.select(id_column, "depth", "start").join(parents, [id_column, "depth"]).filter("parent < start")
-    nearest = met.groupBy(id_column, "start").agg(F.max("parent").alias("frame"))
-    return nearest.groupBy(id_column, "frame").agg(F.min("start").alias("first_section"))
+    children = opens.select(id_column, "depth", "start", F.lit(None).cast("long").alias("parent"))
+    above = opens.select(id_column, (F.col("depth") + 1).alias("depth"), "start", F.col("start").alias("parent"))
+    # As-of within (document, depth): the latest opener one level up is the parent.
+    latest = F.last("parent", True).over(Window.partitionBy(id_column, "depth").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
+    met = children.unionAll(above).withColumn("frame", latest).filter("parent is null and frame is not null")
+    return met.groupBy(id_column, "frame").agg(F.min("start").alias("first_section"))
 
 
 #: element -> what may open directly inside it; other elements allow anything.

@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 from quill.functions import text as T
 from quill.operators import findings as FI
 from quill.operators import layout as L
+from quill.operators import raster as RA
 from quill.operators import readings as R
+from quill.operators import repairs as RP
+from quill.operators import requests as RQ
+from quill.operators import sections as SE
 from quill.operators import segments as S
 from quill.operators import state as ST
+from quill.operators import streams as SM
 from quill.operators import tables as TB
 from quill.operators import tags as TG
 
@@ -402,3 +407,114 @@ def continuation_merge(spark, sf_dir):
     texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
     more = turns.filter("turn > 0").groupBy("token").agg(F.when(F.col("token") % 3 == 0, "other").otherwise("user").alias("kind"), texts.alias("items"))
     return ST.merge_continuations(base, more).select("token", F.size("items").cast("long").alias("n_items"), "merged")
+
+
+# ---------------------------------------------------------------- derived topics
+
+_BODY_SQL = """body AS (SELECT l_orderkey AS doc_id, l_orderkey % 8 AS k, string_agg('<para>' || l_linenumber || ' of ' || l_partkey || '</para>', '' ORDER BY l_linenumber, l_partkey) AS b FROM lineitem GROUP BY l_orderkey),
+topics AS (SELECT doc_id, k, '<section>' || CASE WHEN k = 1 THEN '' ELSE '<title>Order ' || doc_id || '</title>' END || CASE k WHEN 2 THEN '<title>again</title>' WHEN 3 THEN '<para><para>in</para></para>' WHEN 4 THEN '<imageobject></imageobject>' WHEN 5 THEN '<mediaobject></mediaobject>' WHEN 7 THEN '<itemizedlist><para>loose</para></itemizedlist>' ELSE '' END || b || CASE WHEN k = 6 THEN '' ELSE '</section>' END AS text FROM body)"""
+
+
+def _topics(spark, sf_dir) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
+    body = F.array_join(F.transform("l", lambda x: F.concat(F.lit("<para>"), x["l_linenumber"], F.lit(" of "), x["l_partkey"], F.lit("</para>"))), "")
+    k = F.col("doc_id") % 8
+    title = F.when(k == 1, "").otherwise(F.concat(F.lit("<title>Order "), "doc_id", F.lit("</title>")))
+    faults = {2: "<title>again</title>", 3: "<para><para>in</para></para>", 4: "<imageobject></imageobject>", 5: "<mediaobject></mediaobject>", 7: "<itemizedlist><para>loose</para></itemizedlist>"}
+    fault = F.coalesce(*[F.when(k == n, x) for n, x in faults.items()], F.lit(""))
+    return lines.select("doc_id", F.concat(F.lit("<section>"), title, fault, body, F.when(k == 6, "").otherwise("</section>")).alias("text"))
+
+
+@query("topic_findings", f"""WITH {_BODY_SQL}, c AS (SELECT doc_id, CASE k WHEN 1 THEN 'section.no_title' WHEN 2 THEN 'section.titles' WHEN 3 THEN 'para.misplaced_child' WHEN 4 THEN 'media.outside' WHEN 5 THEN 'media.no_imageobject' WHEN 6 THEN 'tag.unclosed' WHEN 7 THEN 'list.misplaced_child' END AS code,
+    CASE WHEN k IN (1, 2, 6) THEN 0 ELSE instr(text, CASE k WHEN 3 THEN '<para>in' WHEN 4 THEN '<imageobject' WHEN 5 THEN '<mediaobject' WHEN 7 THEN '<para>loose' END) - 1 END AS start FROM topics) SELECT * FROM c WHERE code IS NOT NULL""")
+def topic_findings(spark, sf_dir):
+    tags = TG.tag_stream(_topics(spark, sf_dir))
+    columns = ["doc_id", "code", "start"]
+    found = TG.unbalanced_tags(tags).select(*columns)
+    for check in (SE.check_media, SE.check_sections, SE.check_placement, SE.check_loose_text):
+        found = found.unionByName(check(tags).select(*columns))
+    return found
+
+
+@query("fix_candidates", f"WITH {_BODY_SQL} SELECT doc_id, 'Close it at the end' AS label, text || '</section>' AS new_text FROM topics WHERE k = 6")
+def fix_candidates(spark, sf_dir):
+    docs = _topics(spark, sf_dir)
+    tags = TG.tag_stream(docs)
+    return RP.suggest_fixes(docs, TG.unbalanced_tags(tags), tags).select("doc_id", "label", "new_text")
+
+
+@query("strip_xinfo", f"WITH {_BODY_SQL} SELECT doc_id, replace(replace(text, '<section>', '<section xinfo:id=\"1\">'), '<title>', '<title>') AS text FROM topics")
+def strip_xinfo(spark, sf_dir):
+    marked = F.replace(F.replace("text", F.lit("<section>"), F.lit('<section xinfo:id="1">')), F.lit("<title>"), F.lit("<title xinfo:n='2'>"))
+    return RP.strip_xinfo(_topics(spark, sf_dir).withColumn("text", marked))
+
+
+@query("page_list_items", r"""WITH u AS (SELECT page_id AS doc_id, instr(html, '<ul') - 1 AS start, regexp_extract(html, '(?s)<ul[^>]*>(.*?)</ul>', 1) AS t FROM pages WHERE contains(html, '<ul'))
+SELECT doc_id, start, '<itemizedlist>' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '</?a(?:\s[^<>]*)?>', '', 'g'), '>\s+<', '><', 'g'), '<li>\s*', '<listitem><para>', 'g'), '\s*</li>\s*', '</para></listitem>', 'g') || '</itemizedlist>' AS xml FROM u""")
+def page_list_items(spark, sf_dir):
+    docs = _pages(spark, sf_dir)
+    return RP.convert_flat_lists(docs, TG.outer_spans(TG.tag_stream(docs), ["ul"]))
+
+
+@query("region_requests", """WITH r AS (SELECT c_custkey AS id, c_custkey % 90 AS x0, c_custkey % 70 AS x1, CASE c_custkey % 5 WHEN 0 THEN 'shape' WHEN 1 THEN 'list' ELSE 'table' END AS kind, CASE WHEN c_custkey % 3 = 0 THEN 'table' END AS cont FROM customer)
+SELECT id, x0 / 1.5 AS px0, CASE WHEN x1 <= x0 THEN 'empty region' WHEN kind = 'shape' THEN 'unknown kind' WHEN cont IS NOT NULL AND kind <> cont THEN 'other kind' END AS problem,
+    CASE WHEN id % 4 = 0 THEN NULL WHEN x1 > x0 THEN 2 ELSE 1 END AS n_boxes, CASE WHEN x1 + 1 <= 40 THEN x1 + 1 END AS page FROM r""")
+def region_requests(spark, sf_dir):
+    c = F.col("c_custkey")
+    rows = _table(spark, sf_dir, "customer").select(c.alias("id"), (c % 90).cast("string").alias("x0"), (c % 70).cast("string").alias("x1"), F.when(c % 5 == 0, "shape").when(c % 5 == 1, "list").otherwise("table").alias("kind"), F.when(c % 3 == 0, "table").alias("cont"))
+    x0, x1 = RQ.points(F.col("x0")), RQ.points(F.col("x1"))
+    raw = F.concat(F.lit("[[0, 0, 3, 3], ["), "x0", F.lit(", 0, "), "x1", F.when(F.col("id") % 4 == 0, "]]").otherwise(", 9]]"))
+    return rows.select("id", x0.alias("px0"), RQ.region_problem(x0, F.lit(0.0), x1, F.lit(1.0), F.col("kind"), F.col("cont")).alias("problem"), F.when(RQ.erase_rects(raw).isNotNull(), F.size(RQ.erase_rects(raw))).alias("n_boxes"), RQ.page_number(F.lit(""), (F.col("x1").cast("int") + 1).cast("string"), F.lit(40)).alias("page"))
+
+
+
+@query("continuation_state", """WITH e AS (SELECT event_id, user_id, CASE event_id % 5 WHEN 0 THEN 'arm' WHEN 4 THEN 'done' ELSE 'append' END AS action FROM events),
+s AS (SELECT *, coalesce(last_value(CASE WHEN action <> 'append' THEN action END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'arm', false) AS continuing FROM e)
+SELECT event_id, continuing, action = 'append' AND NOT continuing AS rejected FROM s""")
+def continuation_state(spark, sf_dir):
+    k = F.col("event_id") % 5
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", F.when(k == 0, "arm").when(k == 4, "done").otherwise("append").alias("action"))
+    return RQ.continuation_state(events, "user_id", "event_id").select("event_id", "continuing", "rejected")
+
+
+@query("last_region", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
+def last_region(spark, sf_dir):
+    return RQ.latest(_table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")
+
+
+@query("ocr_review_apply", f"""WITH {_PROFILE_SQL}, b AS (SELECT img_id, body_row, col, text FROM body WHERE col = 1) SELECT img_id, body_row, col, CASE WHEN img_id % 2 = 0 THEN 'edited ' || body_row ELSE text END AS text, img_id % 2 = 0 AS accepted FROM b""")
+def ocr_review_apply(spark, sf_dir):
+    reviewed = R.review(_readings(spark, sf_dir)).filter("col = 1").withColumn("why", F.array(F.lit("check")))
+    edits = reviewed.select("img_id", "body_row", "col", F.when(F.col("img_id") % 2 == 0, F.concat(F.lit(" edited  "), "body_row")).otherwise(F.repeat(F.lit("x"), 2001)).alias("new_text"))
+    return R.apply_edits(reviewed, edits)
+
+
+@query("readings_merge", f"WITH {_READ_SQL} SELECT img_id, row, col, text || CASE WHEN row % 3 = 0 THEN '!' ELSE ' ' END AS alt, row % 3 <> 0 AS agree, least(conf, 0.93) AS conf FROM cells")
+def readings_merge(spark, sf_dir):
+    a = _readings(spark, sf_dir)
+    b = a.select("img_id", "row", "col", F.concat("text", F.when(F.col("row") % 3 == 0, "!").otherwise(" ")).alias("text"), F.lit(0.93).alias("conf"))
+    return R.merge_readings(a, b).select("img_id", "row", "col", "alt", "agree", "conf")
+
+
+@query("header_snap")
+def header_snap(spark, sf_dir):
+    texts = _table(spark, sf_dir, "part").select("p_partkey", F.concat(F.substring("p_type", 1, 8), F.lit(" NQ.")).alias("text"))
+    return R.snap_headers(texts, ["ITEM NO.", "PART NO.", "QTY", "STANDARD NO."])
+
+
+@query("raster_ink", """WITH p AS (SELECT n_nationkey AS img_id, y, CASE WHEN (y // 4 + n_nationkey) % 3 = 0 AND x % 2 = 0 THEN 20 + x ELSE 230 - y END AS v FROM nation, range(0, 24) AS a(y), range(0, 32) AS b(x))
+SELECT img_id, y, count(*) FILTER (v < 100) AS ink FROM p GROUP BY ALL""")
+def raster_ink(spark, sf_dir):
+    y = F.col("y")
+    rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("img_id"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("y"))
+    dark = (F.floor(y / 4) + F.col("img_id")) % 3 == 0
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda x: F.when(dark & (x % 2 == 0), 20 + x).otherwise(230 - y))
+    return RA.row_ink(rows.withColumn("pixels", pixels)).select("img_id", F.col("y").cast("long").alias("y"), F.col("ink").cast("long").alias("ink"))
+
+
+@query("watermark_ops", "SELECT n_nationkey AS doc_id, n_nationkey % 3 <> 0 AS possible, CASE n_nationkey % 3 WHEN 0 THEN 'BT (COPY) Tj (COPY) Tj ET' WHEN 1 THEN 'BT  (' || n_name || ') Tj ET' ELSE 'BT  ET BT (COPYCAT) Tj ET' END AS data FROM nation")
+def watermark_ops(spark, sf_dir):
+    k = F.col("n_nationkey") % 3
+    data = F.when(k == 0, "BT (COPY) Tj (COPY) Tj ET").when(k == 1, F.concat(F.lit("BT (COPY) Tj ("), "n_name", F.lit(") Tj ET"))).otherwise("BT [(CO) -20 <50 59>] TJ ET BT (COPYCAT) Tj ET")
+    streams = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("xref"), data.cast("binary").alias("data"))
+    return SM.remove_line(streams, "COPY").select("doc_id", "possible", F.col("data").cast("string").alias("data"))
