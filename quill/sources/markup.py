@@ -25,7 +25,7 @@ def read_vocabulary(spark: SparkSession, path: str, fallback: list[str]) -> Data
     """name: the tags of all groups of a JSON rule file {"tags": {group: [tag]}}, in lower case; the fallback where the file gives none."""
     own = spark.createDataFrame([(n.lower(),) for n in fallback], "name string")
     schema = "tags map<string,array<string>>"
-    found = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("r")).select(F.explode("r.tags").alias("group", "names")).select(F.lower(F.explode("names")).alias("name")).distinct()
+    found = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("r")).select(F.explode("r.tags").alias("group", "names")).select(F.explode("names").alias("tag")).select(F.lower("tag").alias("name")).distinct()
     return own.distinct() if found.isEmpty() else found
 
 
