@@ -25,7 +25,7 @@ from quill.llm.common import materialize, table
 MEASURES = {
     "symbol_share": (0.01, True, False),
     "dup_line_share": (0.05, True, False),
-    "repeat_share": (0.05, True, False),
+    "repeat_share": (0.1, True, False),
     "mean_word_chars": (0.6, True, True),
 }
 
