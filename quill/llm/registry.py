@@ -5,13 +5,13 @@ from __future__ import annotations
 from quill.llm.containment import OP10_SQL, op10_containment
 from quill.llm.importance import op4_importance
 from quill.llm.language_id import op3_language_id
-from quill.llm.minhash_dedup import op6_minhash_dedup
+from quill.llm.minhash_dedup import OP6_SQL, op6_minhash_dedup
 from quill.llm.packing import op2_packing
 from quill.llm.quality_rules import op8_quality_rules
 from quill.llm.secret_scan import op5_secret_scan
 from quill.llm.separator_scan import op9_separator_scan
 from quill.llm.token_arrow import op1_token_arrow
-from quill.llm.warc_bundle import op7_warc_bundle
+from quill.llm.warc_bundle import OP7_SQL, op7_warc_bundle
 
 QUERIES = {
     "op1_token_arrow": op1_token_arrow,
@@ -27,5 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_minhash_dedup": OP6_SQL,
+    "op7_warc_bundle": OP7_SQL,
     "op10_containment": OP10_SQL,
 }

@@ -199,3 +199,16 @@ def op7_warc_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_warc_bundles(table(spark, sf_dir, "pages"), path)
     return read_warc_bundles(spark, f"{path}/bundles").drop("target_uri")
+
+
+OP7_SQL = """
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS h FROM pages
+), grouped AS (
+    SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS hex, max(page_id) OVER (PARTITION BY h) AS response FROM payloads
+), digits AS (
+    SELECT *, list_transform(range(0, 32), lambda i: (CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS BIGINT)) & 31) AS d FROM grouped
+)
+SELECT page_id, payload_bytes, array_to_string(list_transform(d, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v + 1 AS BIGINT), 1)), '') AS payload_digest,
+    CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to FROM digits
+"""
