@@ -225,6 +225,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, matches: int = MATCHES,
         ids = first.join(grouped, "digest", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
     else:
         ids = first.withColumnRenamed("doc_id", "component_id")
+    # Written first, so that both sides of the join are dealt for it alone and a large group of copies can be split.
+    ids = materialize(ids, "components")
     found = base.select("doc_id", "row_key", "n_shingles", "digest").join(ids, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "digest", "row_key")
@@ -232,3 +234,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, matches: int = MATCHES,
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("digest", "row_key")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+), shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), reach(doc_id, root) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.doc_id
+)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
