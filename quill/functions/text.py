@@ -108,3 +108,17 @@ def join_lines(lines: Column) -> Column:
         return F.when(so_far == "", line).when(wraps, F.concat(F.substring(so_far, F.lit(1), F.length(so_far) - 1), line)).otherwise(F.concat(so_far, F.lit(" "), line))
 
     return F.aggregate(lines, F.lit(""), step)
+
+
+def download_name(name: Column, default: str = "cropped") -> Column:
+    """A file name without its extension and without characters that file systems refuse; the default where nothing is left."""
+    base = F.regexp_replace(F.regexp_replace(name, r"\.[^.]*\z", ""), r'[\\/:*?"<>|\x00-\x1f]', "")
+    return F.coalesce(F.nullif(F.trim(base), F.lit("")), F.lit(default))
+
+
+def pdf_string_bytes(operand: Column) -> Column:
+    """The bytes of a string operand: <hex> without white space, or (literal) with escaped brackets and backslashes; null for hex of odd length."""
+    inner = F.substring(operand, F.lit(2), F.length(operand) - 2)
+    digits = F.regexp_replace(inner, r"\s", "")
+    literal = F.encode(F.regexp_replace(inner, r"\\([\\()])", "$1"), "ISO-8859-1")
+    return F.when(operand.startswith("<"), F.when(F.length(digits) % 2 == 0, F.unhex(digits))).otherwise(literal)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quill.functions.text import MARKER, ORDINAL, SENTENCE_END, join_lines, strip
+from quill.functions.text import MARKER, ORDINAL, SENTENCE_END, escape_html, join_lines, strip
 
 
 def in_region(lines: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
@@ -81,3 +81,18 @@ def clamp_zoom(width: Column, height: Column, zoom: Column, max_megapixels: floa
         return zoom
     pixels, most = width * height * zoom * zoom, F.lit(max_megapixels * 1e6)
     return F.when(pixels > most, zoom * F.sqrt(most / pixels)).otherwise(zoom)
+
+
+def styled_paragraphs(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys, xml: spans (text, bold, italic) of one paragraph as mixed content. Neighbours of one style are one run, white space at a styled run's ends stays outside it, bold wins over italic, the ends are trimmed; blank runs are plain."""
+    own = Window.partitionBy(*keys).orderBy(order)
+    new = F.coalesce((F.col("bold") != F.lag("bold").over(own)) | (F.col("italic") != F.lag("italic").over(own)), F.lit(True))
+    rows = spans.filter("text <> ''").withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    in_order = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(by).alias("o"), c.alias("t")))), lambda x: x["t"]), "")
+    runs = rows.groupBy(*keys, "run").agg(in_order(F.col("text"), order).alias("text"), F.first("bold").alias("bold"), F.first("italic").alias("italic"))
+    text, core = F.col("text"), strip(F.col("text"))
+    opener = F.when(F.col("bold"), '<emphasis role="strong">').otherwise("<emphasis>")
+    lead, trail = F.regexp_extract(text, r"(?U)\A\s*", 0), F.regexp_extract(text, r"(?U)\s*\z", 0)
+    styled = F.concat(lead, opener, escape_html(core), F.lit("</emphasis>"), trail)
+    xml = F.when((F.col("bold") | F.col("italic")) & (core != ""), styled).otherwise(escape_html(text))
+    return runs.withColumn("part", xml).groupBy(*keys).agg(F.concat(F.lit("<para>"), strip(in_order(F.col("part"), "run")), F.lit("</para>")).alias("xml"))

@@ -518,3 +518,21 @@ def watermark_ops(spark, sf_dir):
     data = F.when(k == 0, "BT (COPY) Tj (COPY) Tj ET").when(k == 1, F.concat(F.lit("BT (COPY) Tj ("), "n_name", F.lit(") Tj ET"))).otherwise("BT [(CO) -20 <50 59>] TJ ET BT (COPYCAT) Tj ET")
     streams = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("xref"), data.cast("binary").alias("data"))
     return SM.remove_line(streams, "COPY").select("doc_id", "possible", F.col("data").cast("string").alias("data"))
+
+
+@query("styled_paragraphs", r"""WITH w AS (SELECT doc_id, unnest(range(1, least(12, len(l)) + 1)) AS i, l FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)),
+s AS (SELECT doc_id, i - 1 AS i, replace(replace(replace(replace(replace(l[i] || ' ', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), '''', '&#39;') AS t, (i - 1) % 5 IN (1, 2) AS b, (i - 1) % 7 = 3 AS it FROM w),
+n AS (SELECT *, CASE WHEN b = lag(b) OVER q AND it = lag(it) OVER q THEN 0 ELSE 1 END AS new FROM s WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, run, string_agg(t, '' ORDER BY i) AS t, any_value(b) AS b, any_value(it) AS it FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n) GROUP BY doc_id, run),
+p AS (SELECT doc_id, run, CASE WHEN (b OR it) AND regexp_matches(t, '\S') THEN regexp_extract(t, '^\s*') || CASE WHEN b THEN '<emphasis role="strong">' ELSE '<emphasis>' END || regexp_replace(t, '^\s+|\s+$', '', 'g') || '</emphasis>' || regexp_extract(t, '\s*$') ELSE t END AS x FROM r)
+SELECT doc_id, '<para>' || regexp_replace(string_agg(x, '' ORDER BY run), '^\s+|\s+$', '', 'g') || '</para>' AS xml FROM p GROUP BY doc_id""")
+def styled_paragraphs(spark, sf_dir):
+    words = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 12)).alias("i", "w"))
+    spans = words.select("doc_id", "i", F.concat("w", F.lit(" ")).alias("text"), (F.col("i") % 5).isin(1, 2).alias("bold"), (F.col("i") % 7 == 3).alias("italic"))
+    return L.styled_paragraphs(spans, ["doc_id"], "i")
+
+
+@query("download_names", r"""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'cropped' ELSE regexp_replace(p_name, '[\\/:*?"<>|]', '', 'g') END AS name FROM part""")
+def download_names(spark, sf_dir):
+    raw = F.when(F.col("p_partkey") % 7 == 0, "/?.png").otherwise(F.concat(F.lit("a/"), "p_name", F.lit(".png")))
+    return _table(spark, sf_dir, "part").select("p_partkey", T.download_name(F.regexp_replace(raw, r"\Aa/", "")).alias("name"))
