@@ -18,8 +18,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays. Links are those of similarity 0.85 or more; rows of one doc_id are one document."""
-    return without(docs, near_duplicates(docs).filter("not kept"))
+    """Of each group of near-duplicates the document with the smallest doc_id stays. Links are those of similarity 0.8 or more, for which 15 of 32 coordinates must agree; rows of one doc_id are one document."""
+    return without(docs, near_duplicates(docs, percent=80, matches=15).filter("not kept"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
