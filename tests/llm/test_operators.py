@@ -180,7 +180,7 @@ def test_op5_redacts(spark):
     assert [(r.text, r.n_chars) for r in redact_secrets(frame).orderBy("doc_id").collect()] == [("a [secret] b", 12), ("clean", 5), (None, None)]
 
 
-def components_by_force(texts):
+def components_by_force(texts, percent=85):
     sets = {}
     for d, t in texts.items():
         w = WORDS.findall((t or "").translate(LOWER))
@@ -196,7 +196,7 @@ def components_by_force(texts):
     for i, a in enumerate(order):
         for b in order[:i]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return {d: (len(sets[d]), find(d)) for d in sets}

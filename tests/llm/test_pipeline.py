@@ -17,7 +17,7 @@ def test_pipeline(spark):
     read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
     drawn = importance_resample(read("documents"), read("labels")).filter("kept").toPandas()["doc_id"]
     kept = docs.loc[sorted(drawn)]
-    groups = components_by_force(dict(kept))
+    groups = components_by_force(dict(kept), percent=80)
     kept = kept[[d for d in kept.index if groups[d][1] == d]]
     items = [shingles(t) for t in pd.read_parquet(f"{SF}/benchmark.parquet")["text"]]
     leaks = [d for d, t in kept.items() if any(100 * len(i & shingles(t)) >= 80 * len(i) for i in items)]
