@@ -6,7 +6,7 @@ sides derive from the supplied tables by the same arithmetic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quill.functions import text as T
@@ -169,9 +169,20 @@ def line_functions(spark, sf_dir):
 @query("page_ref_flag", r"""SELECT doc_id, regexp_replace(t, '(?i)(\(\s*(?:see\s+)?(?:pages?|pgs?\.?|pp?\.?)\s*\d+(?:\s*[-–—]\s*\d+)?[^)]*\))', '<span class="page-ref-flag">\1</span>', 'g') AS text FROM (
     SELECT doc_id, left(text, 80) || CASE doc_id % 3 WHEN 0 THEN ' (see page ' || doc_id || ')' WHEN 1 THEN ' (PP. 3 - 4, below)' ELSE ' (pages are numbered)' END AS t FROM documents)""")
 def page_ref_flag(spark, sf_dir):
+    """Of the first 80 characters of each text, as in its SQL; page_ref_flag_whole reads whole texts."""
+    return _page_refs(_table(spark, sf_dir, "documents"), F.substring("text", 1, 80))
+
+
+def _page_refs(docs: DataFrame, text: Column) -> DataFrame:
     k = F.col("doc_id") % 3
     said = F.when(k == 0, F.concat(F.lit(" (see page "), "doc_id", F.lit(")"))).when(k == 1, " (PP. 3 - 4, below)").otherwise(" (pages are numbered)")
-    return _table(spark, sf_dir, "documents").select("doc_id", T.flag_page_refs(F.concat(F.substring("text", 1, 80), said)).alias("text"))
+    return docs.select("doc_id", T.flag_page_refs(F.concat(text, said)).alias("text"))
+
+
+@query("page_ref_flag_whole", r"""SELECT doc_id, regexp_replace(t, '(?i)(\(\s*(?:see\s+)?(?:pages?|pgs?\.?|pp?\.?)\s*\d+(?:\s*[-–—]\s*\d+)?[^)]*\))', '<span class="page-ref-flag">\1</span>', 'g') AS text FROM (
+    SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' (see page ' || doc_id || ')' WHEN 1 THEN ' (PP. 3 - 4, below)' ELSE ' (pages are numbered)' END AS t FROM documents)""")
+def page_ref_flag_whole(spark, sf_dir):
+    return _page_refs(_table(spark, sf_dir, "documents"), F.col("text"))
 
 
 @query("markdown_label", r"""SELECT conv_id, turn, CASE WHEN t LIKE '# %' THEN trim(substr(string_split(t, chr(10))[1], 3)) ELSE 'Untitled' END AS label FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '# ' || text ELSE text END AS t FROM conversations)""")
@@ -527,7 +538,17 @@ r AS (SELECT doc_id, run, string_agg(t, '' ORDER BY i) AS t, any_value(b) AS b,
 p AS (SELECT doc_id, run, CASE WHEN (b OR it) AND regexp_matches(t, '\S') THEN regexp_extract(t, '^\s*') || CASE WHEN b THEN '<emphasis role="strong">' ELSE '<emphasis>' END || regexp_replace(t, '^\s+|\s+$', '', 'g') || '</emphasis>' || regexp_extract(t, '\s*$') ELSE t END AS x FROM r)
 SELECT doc_id, '<para>' || regexp_replace(string_agg(x, '' ORDER BY run), '^\s+|\s+$', '', 'g') || '</para>' AS xml FROM p GROUP BY doc_id""")
 def styled_paragraphs(spark, sf_dir):
-    words = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 12)).alias("i", "w"))
+    """Of the first 12 words of each text, as in its SQL; styled_paragraphs_whole reads whole texts."""
+    return _styled(_table(spark, sf_dir, "documents"), F.slice(F.split("text", " "), 1, 12))
+
+
+@query("styled_paragraphs_whole")
+def styled_paragraphs_whole(spark, sf_dir):
+    return _styled(_table(spark, sf_dir, "documents"), F.split("text", " "))
+
+
+def _styled(docs: DataFrame, words: Column) -> DataFrame:
+    words = docs.select("doc_id", F.posexplode(words).alias("i", "w"))
     spans = words.select("doc_id", "i", F.concat("w", F.lit(" ")).alias("text"), (F.col("i") % 5).isin(1, 2).alias("bold"), (F.col("i") % 7 == 3).alias("italic"))
     return L.styled_paragraphs(spans, ["doc_id"], "i")
 

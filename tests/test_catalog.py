@@ -1,5 +1,6 @@
 """Every catalogue query against its SQL, and the entry points without the corpus package."""
 
+import html
 import subprocess
 import sys
 from pathlib import Path
@@ -40,6 +41,31 @@ def test_header_snap(spark):
     assert got["snapped"].notna().all() and got["snapped"].isin(["STANDARD NO."]).any()
 
 
+def test_page_refs_and_styles_beyond_the_prefix(spark, tmp_path):
+    texts = ["word " * 40 + "(see page 7) end", " ".join(f"w{i}<" for i in range(60)), "a  b\n c", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    flagged = {r.doc_id: r.text for r in catalog.QUERIES["page_ref_flag_whole"](spark, str(tmp_path)).collect()}
+    assert '<span class="page-ref-flag">(see page 7)</span> end' in flagged[0] and flagged[4] is None
+
+    def styled(text):
+        runs = []
+        for i, w in enumerate(text.split(" ")):
+            style = "strong" if i % 5 in (1, 2) else "it" if i % 7 == 3 else ""
+            key = (i % 5 in (1, 2), i % 7 == 3)
+            if not runs or runs[-1][0] != key:
+                runs.append([key, style, ""])
+            runs[-1][2] += html.escape(w + " ").replace("&#x27;", "&#39;")
+        out = ""
+        for _, style, t in runs:
+            core = t.strip()
+            tag = '<emphasis role="strong">' if style == "strong" else "<emphasis>"
+            out += t if not style or not core else t[: len(t) - len(t.lstrip())] + tag + core + "</emphasis>" + t[len(t.rstrip()) :]
+        return f"<para>{out.strip()}</para>"
+
+    got = {r.doc_id: r.xml for r in catalog.QUERIES["styled_paragraphs_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: styled(t) for i, t in enumerate(texts) if t is not None} and "w59&lt;" in got[1]
+
+
 def test_entry_without_the_corpus_package(tmp_path):
     root = Path(__file__).resolve().parents[1]
     (tmp_path / "quill").mkdir()
