@@ -1,7 +1,7 @@
 """Operator 8: quality rules with adaptive thresholds, in DataFrame functions only.
 
-Each document gets base counts (words, symbols, repeated lines, repeated 8-word
-windows). For every (lang, source) pair a KLL sketch of each measure is built by
+Each document gets base counts (words, symbols, lines with a word and repeated ones,
+repeated 8-word windows). For every (lang, source) pair a KLL sketch of each measure is built by
 partial aggregation; the sketches of a language's sources are merged for pairs with
 too few documents, and all sketches for languages with too few. A document fails a
 measure beyond a fence of its pair, q75 + factor * max(q75 - q25, spread), or q25 -
@@ -24,8 +24,8 @@ from quill.llm.common import materialize, table
 #: measure -> (least width of the quartile range, fails above the fence, fails below it)
 MEASURES = {
     "symbol_share": (0.01, True, False),
-    "dup_line_share": (0.05, True, False),
-    "repeat_share": (0.1, True, False),
+    "dup_line_share": (0.1, True, False),
+    "repeat_share": (0.05, True, False),
     "mean_word_chars": (0.6, True, True),
 }
 
@@ -47,6 +47,7 @@ def base_counts(docs: DataFrame, window: int = 8) -> DataFrame:
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         hashes.alias("hashes"),
     )
@@ -58,13 +59,13 @@ def base_counts(docs: DataFrame, window: int = 8) -> DataFrame:
     step = step.withColumn("starts", F.array_sort(F.transform(twice, lambda p: p["i"])))
     zero = F.struct(F.lit(-window).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate("starts", zero, lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(window), i - s["last"])).alias("n")))["n"]
-    return step.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return step.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def _measured(counts: DataFrame) -> DataFrame:
-    words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
+    words, chars, lines = (F.greatest(n, F.lit(1)) for n in ("n_words", "word_chars", "n_lines"))
     return counts.withColumns({
-        "symbol_share": F.col("n_symbols") / chars, "dup_line_share": F.col("n_dup_lines") / words,
+        "symbol_share": F.col("n_symbols") / chars, "dup_line_share": F.col("n_dup_lines") / lines,
         "repeat_share": F.col("n_repeat_words") / words, "mean_word_chars": F.col("word_chars") / words,
     })
 

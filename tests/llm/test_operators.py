@@ -11,6 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quill.llm import quality_rules
 from quill.llm.common import open_fs, scratch
 from quill.llm.importance import best_cut, importance_resample, kth_largest
 from quill.llm.language_id import Lattice, op3_language_id
@@ -266,6 +267,28 @@ def test_op8(spark, docs):
     assert got.loc[good, "kept"].mean() > 0.8
 
 
+def test_op8_each_measure_alone_rejects(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    fresh = lambda n, chars=5: ["".join(rng.choice(list("abcdefgh"), chars)) for _ in range(n)]
+    lines = lambda n: [" ".join(fresh(8)) for _ in range(n)]
+    run = fresh(10)
+    bad = {
+        "symbol_share": "\n".join(lines(6)) + " ## ## ## ##",
+        "dup_line_share": "\n".join(x for line in lines(5) for x in (line, "of same")),
+        "repeat_share": " ".join(fresh(40) + run + fresh(20) + run + fresh(20)),
+        "mean_word_chars": " ".join(fresh(48, 12)),
+    }
+    rows = [(i, "\n".join(lines(6)), "en", "web") for i in range(80)] + [(100 + k, t, "en", "web") for k, t in enumerate(bad.values())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality_rules.quality_rules(frame).toPandas().set_index("doc_id").sort_index()
+    assert not got["base_failed"].any() and got.loc[:99, "kept"].all() and not got.loc[100:, "kept"].any()
+    for k, measure in enumerate(bad):
+        with monkeypatch.context() as patch:
+            patch.delitem(quality_rules.MEASURES, measure)
+            rest = quality_rules.quality_rules(frame).toPandas().set_index("doc_id").sort_index()["kept"]
+        assert rest.loc[100:].tolist() == [i == k for i in range(4)]
+
+
 def test_op9(spark, docs, ids):
     got = op9_separator_scan(spark, SF).toPandas().set_index("doc_id")
     assert {d: got.n_tokens[d] for d in ids} == {d: len(v) for d, v in ids.items()}
