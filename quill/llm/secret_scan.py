@@ -2,11 +2,13 @@
 
 Strong spans come from three fixed patterns (assign, access, hex) and always count.
 Weak parts are things that are no secret by themselves: identifiers (client or user
-ids), opaque strings (40 characters of base64, or 16 to 23 hex digits) and endpoints
-(URLs, host:port). Parts are joined by intervals: a weak part spans its own text
-widened by `reach` code points on both sides, and is reported only when it meets a
-part of a complementary role inside the same scope. Scopes are a text's paragraphs
-(blank lines end them). The roles: an identifier or an endpoint needs a secret (assign,
+ids), opaque strings (16 or more characters of base64 or base64url with digits and both
+cases, or of hex; 20 or more of one case with three digits) and endpoints (URLs,
+host:port). Parts are joined by intervals: a weak part is reported only when its scope
+holds a part of a complementary role. Scopes are a text's paragraphs (blank lines end
+them), whatever their length; with `reach`, parts must also lie within that many code
+points. An identifier's own value is no opaque string, and in a URL a string between
+slashes must be opaque by itself. The roles: an identifier or an endpoint needs a secret (assign,
 hex or opaque), an opaque string needs an identifier or an endpoint; access spans are
 identifiers. The join runs over sorted starts with running ends, so a text with many
 parts makes no pairs.
@@ -33,7 +35,8 @@ _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _IDENT = re.compile(r"""\b(?:client_?id|user(?:name)?|login|account|tenant_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", re.I | re.A)
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/=_-])(?:(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{40}|[0-9a-f]{16,23})(?![A-Za-z0-9+/=_-])", re.A)
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/=_-])", re.A)
+_MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z]).{16}|[0-9a-f]{16,}=*\Z|[0-9A-F]{16,}=*\Z|(?=(?:[A-Za-z]*[0-9]){3})(?:[a-z0-9]{20,}|[A-Z0-9]{20,})=*\Z", re.A)
 _ENDPOINT = re.compile(r"\b(?:https?|ftp|jdbc:\w+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s\"'<>]+|\b(?:[a-z0-9-]+\.)+[a-z]{2,}:[0-9]{2,5}\b", re.A)
 _SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
 _SECRETS, _PLACES = {"assign", "hex", "opaque"}, {"access", "ident", "endpoint"}
@@ -64,10 +67,20 @@ class _Intervals:
         return k > 0 and self.ends[k - 1] > start
 
 
-def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int = 200) -> list[tuple[str, int, int]]:
+def _opaque_spans(text: str, idents: _Intervals, endpoints: _Intervals) -> Iterator[tuple[str, int, int]]:
+    for m in _OPAQUE.finditer(text):
+        start, end = m.span()
+        if idents.meets(start, end):
+            continue
+        runs = re.finditer("[^/]+", m[0]) if endpoints.meets(start, end) else [re.match(".*", m[0])]
+        yield from (("opaque", start + r.start(), start + r.end()) for r in runs if _MIXED.match(r[0]))
+
+
+def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int | None = 200) -> list[tuple[str, int, int]]:
     """The weak parts that a complementary part makes credible. A weak part that touches a base span is part of it and is not reported."""
     taken = _Intervals([(s, e) for _, s, e in base])
-    weak = [(kind, m.start(), m.end()) for kind, pattern in (("ident", _IDENT), ("opaque", _OPAQUE), ("endpoint", _ENDPOINT)) for m in pattern.finditer(text)]
+    weak = [(kind, m.start(), m.end()) for kind, pattern in (("ident", _IDENT), ("endpoint", _ENDPOINT)) for m in pattern.finditer(text)]
+    weak += _opaque_spans(text, *(_Intervals([w[1:] for w in weak if w[0] == kind]) for kind in ("ident", "endpoint")))
     weak = [w for w in weak if not taken.meets(w[1], w[2])]
     if not weak:
         return []
@@ -81,7 +94,7 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int = 200)
     out = []
     for kind, start, end in weak:
         other = found[kind in _SECRETS].get(scope(start))
-        if other and other.meets(start - reach, end + reach):
+        if other and (reach is None or other.meets(start - reach, end + reach)):
             out.append((kind, start, end))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -89,7 +102,7 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int = 200)
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def find_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
+def find_secrets(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """A row for each row of (doc_id, text): doc_id, base and linked, both array<struct<kind, start, end>> by start and then kind."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +116,7 @@ def find_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, f"doc_id long, base {spans}, linked {spans}")
 
 
-def redact_secrets(docs: DataFrame, reach: int = 200, mask: str = "[secret]") -> DataFrame:
+def redact_secrets(docs: DataFrame, reach: int | None = None, mask: str = "[secret]") -> DataFrame:
     """The rows of docs with every found span replaced by `mask` and n_chars set anew; spans that overlap are masked as one. Rows without secrets, and null texts, stay as they are."""
 
     def clean(text: str) -> str:

@@ -176,6 +176,20 @@ def test_op5_links_complementary_parts():
     assert linked_spans("see https://db.example.com and https://x.example.com", []) == []
 
 
+def test_op5_links_whole_scopes_and_other_keys(spark):
+    keys = ["aB3xY7zQ" * 4, "aB3xY7zQ" * 5 + "aB==", "aB3-Y7_Q" * 5 + "aB3=", "aB3xY/z+" * 8, "k3j4h5n6m7p8q9r2s3t4", "0123456789ABCDEF"]
+    for key in keys:
+        for sep in (" ", " key="):
+            text = "client_id=web-7 " + "word " * 99 + "at" + sep + key
+            assert linked_spans(text, base_spans(text), None) == [("ident", 0, 15), ("opaque", len(text) - len(key), len(text))], key
+            assert linked_spans(text.replace(" word", "\n\nword", 1), [], None) == []
+    for plain in ("internationalization-of-2024", "ontionretioninlyereander", "https://example.com/Docs-2024/Intro", "client_id=aB3xY7zQaB3xY7zQ"):
+        assert linked_spans("client_id=web-7 " + plain, [], None) == []
+    text = "client_id=web-7 " + "word " * 99 + keys[1]
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert redact_secrets(frame).first().text == "[secret] " + "word " * 99 + "[secret]"
+
+
 def test_op5_redacts(spark):
     frame = spark.createDataFrame([(1, "a token = abcdef0123 b", 5), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
     assert [(r.text, r.n_chars) for r in redact_secrets(frame).orderBy("doc_id").collect()] == [("a [secret] b", 12), ("clean", 5), (None, None)]
