@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def limit_requests(requests: DataFrame, keys: list[str], most: int, window_seconds: float) -> DataFrame:
-    """keys, at, allowed. A request is rejected, and not remembered, where `most` accepted ones lie less than window_seconds back; equal times keep one order. The history of accepted requests is a fold over a key's sorted times that carries `most` times at most."""
-    times = requests.groupBy(*keys).agg(F.array_sort(F.collect_list("at")).alias("times"))
-
-    def step(s, t):
-        live = F.filter(s["live"], lambda x: x > t - window_seconds)
-        ok = F.size(live) < most
-        return F.struct(F.when(ok, F.concat(live, F.array(t))).otherwise(live).alias("live"), F.concat(s["out"], F.array(ok)).alias("out"))
-
-    start = F.struct(F.array().cast("array<double>").alias("live"), F.array().cast("array<boolean>").alias("out"))
-    rows = times.withColumn("ok", F.aggregate("times", start, step)["out"])
-    return rows.select(*keys, F.explode(F.arrays_zip(F.col("times").alias("at"), F.col("ok").alias("allowed"))).alias("r")).select(*keys, "r.at", "r.allowed")
+    """keys, at, allowed. A request is rejected, and not remembered, where `most` accepted ones lie less than window_seconds back; equal times keep one order. A key's times are sorted within a partition and judged as they stream by; a task holds `most` accepted times."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, live = None, deque()
+        for batch in batches:
+            allowed = []
+            for *key, at in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != current:
+                    current, live = key, deque()
+                while live and live[0] <= at - window_seconds:
+                    live.popleft()
+                ok = len(live) < most
+                if ok:
+                    live.append(at)
+                allowed.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], [*batch.schema.names, "allowed"])
+
+    rows = requests.filter(F.col("at").isNotNull()).select(*keys, F.col("at").cast("double").alias("at")).repartition(*keys).sortWithinPartitions(*keys, "at")
+    return rows.mapInArrow(judge, StructType([*rows.schema.fields, StructField("allowed", BooleanType())]))
 
 
 def idle_sessions(events: DataFrame, key: str, at: str, idle_seconds: float) -> DataFrame:

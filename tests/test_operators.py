@@ -87,6 +87,14 @@ def test_limiter(spark, tmp_path):
         assert live[live["key"] == k]["allowed"].tolist() == want
 
 
+def test_limiter_holds_no_key_as_one_row(spark):
+    frame = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, F.concat(F.lit("k"), F.col("id") % 1000)).alias("key"), F.col("id").cast("double").alias("at"))
+    got = state.limit_requests(frame, ["key"], 2, 60)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    hot = accepted([float(i) for i in range(300_000) if i % 3], 2, 60)
+    assert got.filter("key is null").count() == len(hot) and got.filter("key is null and allowed").count() == sum(hot)
+
+
 def test_sessions_at_the_boundary(spark):
     frame = spark.createDataFrame([("a", 0), ("a", 20), ("a", 41)], "k string, t long")
     assert [(r.start, r.end, r.n) for r in state.idle_sessions(frame, "k", "t", 20).orderBy("session").collect()] == [(0, 20, 2), (41, 41, 1)]
