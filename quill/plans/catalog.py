@@ -225,10 +225,22 @@ def _layout(spark, sf_dir) -> DataFrame:
 @query("region_filter", f"""WITH {_LAYOUT_SQL} SELECT doc_id, line, text, flags // 16 % 2 = 1 OR contains(lower(font), 'bold') AS bold, flags // 2 % 2 = 1 OR contains(lower(font), 'oblique') OR contains(lower(font), 'italic') AS italic
 FROM lay WHERE (x0 + x1) / 2 >= 130 AND (x0 + x1) / 2 < 160 AND (y0 + y1) / 2 >= 20 AND (y0 + y1) / 2 < 400 AND abs(dir_x * dir_y) <= 0.01 AND trim(text) <> ''""")
 def region_filter(spark, sf_dir):
-    rows = L.in_region(_layout(spark, sf_dir), 130, 20, 160, 400)
+    """Of the top of each page, as in its SQL; region_filter_whole takes a region as tall as the page."""
+    return _styles(L.in_region(_layout(spark, sf_dir), 130, 20, 160, 400))
+
+
+def _styles(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line", "text", L.is_bold(F.col("font"), F.col("flags")).alias("bold"), L.is_italic(F.col("font"), F.col("flags")).alias("italic"))
 
 
+@query("region_filter_whole", f"""WITH {_LAYOUT_SQL} SELECT doc_id, line, text, flags // 16 % 2 = 1 OR contains(lower(font), 'bold') AS bold, flags // 2 % 2 = 1 OR contains(lower(font), 'oblique') OR contains(lower(font), 'italic') AS italic
+FROM lay WHERE 120.0 + line % 50 >= 130 AND 120.0 + line % 50 < 160 AND abs(dir_x * dir_y) <= 0.01 AND trim(text) <> ''""")
+def region_filter_whole(spark, sf_dir):
+    indent = F.col("line") % 50
+    lines = _layout(spark, sf_dir).withColumns({"x0": 20.0 + indent, "x1": 220.0 + indent})
+    return _styles(L.in_region(lines, 130, 0, 160, float("inf")))
+
+
 @query("paragraph_islands", f"""WITH {_LAYOUT_SQL}, med AS (SELECT doc_id, list_sort(list(y1 - y0))[count(*) // 2 + 1] AS m FROM lay GROUP BY 1
 ), p AS (SELECT lay.*, m, lag(y1) OVER w AS py, lag(block) OVER w AS pb, lag(text) OVER w AS pt FROM lay JOIN med USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY y0, y1, block, line)
 ), q AS (SELECT *, CASE WHEN py IS NOT NULL AND (y0 - py > m * 0.5 OR (block <> pb AND NOT (NOT regexp_matches(trim(pt), '[.!?:;)"'']\\s*$') AND regexp_matches(trim(text), '^\\p{{Ll}}')))) THEN 1 ELSE 0 END AS split FROM p
@@ -260,10 +272,23 @@ def list_items(spark, sf_dir):
 @query("line_in_cell_join", f"""WITH {_LAYOUT_SQL}, cells AS (SELECT doc_id, r * 2 + c AS cell, 100.0 * c AS cx0, 100.0 * c + 100 AS cx1, 60.0 * r AS cy0, 60.0 * r + 60 AS cy1 FROM documents, range(0, 5) AS a(r), range(0, 2) AS b(c))
 SELECT lay.doc_id, cell, count(*) AS n FROM lay JOIN cells ON lay.doc_id = cells.doc_id AND (x0 + x1) / 2 >= cx0 AND (x0 + x1) / 2 < cx1 AND (y0 + y1) / 2 >= cy0 AND (y0 + y1) / 2 < cy1 GROUP BY ALL""")
 def line_in_cell_join(spark, sf_dir):
-    cells = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("cell"))
+    """With five rows of cells, as in its SQL; line_in_cell_join_whole has rows for all lines."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.lit(5).alias("n_rows"))
+    return _lines_of_cells(_layout(spark, sf_dir), docs)
+
+
+@query("line_in_cell_join_whole", f"""WITH {_LAYOUT_SQL}, tall AS (SELECT doc_id, CAST(ceil(max(y1) / 60) AS BIGINT) AS n FROM lay GROUP BY 1), cells AS (SELECT doc_id, r * 2 + c AS cell, 100.0 * c AS cx0, 100.0 * c + 100 AS cx1, 60.0 * r AS cy0, 60.0 * r + 60 AS cy1 FROM (SELECT doc_id, unnest(range(0, n)) AS r FROM tall), range(0, 2) AS b(c))
+SELECT lay.doc_id, cell, count(*) AS n FROM lay JOIN cells ON lay.doc_id = cells.doc_id AND (x0 + x1) / 2 >= cx0 AND (x0 + x1) / 2 < cx1 AND (y0 + y1) / 2 >= cy0 AND (y0 + y1) / 2 < cy1 GROUP BY ALL""")
+def line_in_cell_join_whole(spark, sf_dir):
+    lines = _layout(spark, sf_dir)
+    return _lines_of_cells(lines, lines.groupBy("doc_id").agg(F.ceil(F.max("y1") / 60).alias("n_rows")))
+
+
+def _lines_of_cells(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    cells = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), (2 * F.col("n_rows") - 1).cast("long"))).alias("cell"))
     r, c = F.floor(F.col("cell") / 2), F.col("cell") % 2
     cells = cells.select("doc_id", "cell", (100.0 * c).alias("cx0"), (100.0 * c + 100).alias("cx1"), (60.0 * r).alias("cy0"), (60.0 * r + 60).alias("cy1"))
-    return L.lines_in_cells(_layout(spark, sf_dir), cells, "doc_id", 60).groupBy("doc_id", "cell").agg(F.count("*").alias("n"))
+    return L.lines_in_cells(lines, cells, "doc_id", 60).groupBy("doc_id", "cell").agg(F.count("*").alias("n"))
 
 
 @query("best_overlap", """WITH clips AS (SELECT c_custkey AS clip_id, c_nationkey AS k, CAST(c_custkey * 7 % 100 AS DOUBLE) AS x0, CAST(c_custkey * 11 % 100 AS DOUBLE) AS y0, c_custkey * 7 % 100 + 40.0 AS x1, c_custkey * 11 % 100 + 30.0 AS y1 FROM customer

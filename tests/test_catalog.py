@@ -66,6 +66,15 @@ def test_page_refs_and_styles_beyond_the_prefix(spark, tmp_path):
     assert got == {i: styled(t) for i, t in enumerate(texts) if t is not None} and "w59&lt;" in got[1]
 
 
+def test_layout_of_whole_pages(spark, tmp_path):
+    texts = ["\n".join(f"line {i}" for i in range(n)) for n in (1, 100, 3)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    cells = catalog.QUERIES["line_in_cell_join_whole"](spark, str(tmp_path)).groupBy("doc_id").sum("n").collect()
+    assert dict(cells) == {0: 1, 1: 100, 2: 3}
+    found = {(r.doc_id, r.line) for r in catalog.QUERIES["region_filter_whole"](spark, str(tmp_path)).collect()}
+    assert found == {(1, i) for i in range(100) if i % 50 in range(10, 40) and i % 11 != 10}
+
+
 def test_entry_without_the_corpus_package(tmp_path):
     root = Path(__file__).resolve().parents[1]
     (tmp_path / "quill").mkdir()
