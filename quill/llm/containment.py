@@ -1,4 +1,4 @@
-"""Operator 10: benchmark decontamination by size-partitioned MinHash containment search.
+"""Operator 10: benchmark decontamination by exact containment, as a plain inverted join.
 
 Items and documents are sets of distinct 5-word shingles under one hash. Items are put
 into size classes (powers of two). An item of q shingles that a document contains to at
@@ -6,11 +6,11 @@ least the threshold t misses at most floor((1 - t) q) of them, so of the item's
 floor((1 - t) q) + 1 hashes, its bottom-m MinHash signature, at least one is in the
 document: m is set by the size class, and the search over signatures misses nothing,
 however long the document is (a signature of the document, as plain MinHash takes it,
-would lose short items in long documents). Documents are partitioned by size as well: a
-class of items is searched only in documents with enough shingles to reach t, and only
-documents with a hit have their shingles counted against the whole items.
+would lose short items in long documents). The signatures only flag pairs, though, and
+every pair that passes the exact count has the flag: all document shingles are joined
+with all shingles of all items, and the pairs that result are counted.
 
-The smallest hashes of all items are broadcast while their measured size is within
+The hashes of all items are broadcast while their measured size is within
 `broadcast_bytes`, and joined by a shuffle beyond it. DataFrame functions only.
 
 Words are runs without ASCII white space, A-Z in lower case; a text of fewer than five
@@ -61,7 +61,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, broadc
     members = whole.select("item_id", "item_key", "q", F.explode("hashes").alias("hash"))
     small = 48 * members.count() <= broadcast_bytes
 
-    # One pass over the documents: every hit of an item's shingles is kept, and hits of signatures make a pair a candidate.
+    # One pass over the documents: every hit of an item's shingles is kept and counted; hits of signatures flag a pair, which prunes none.
     marked = members.join(probes, "hash", "left")
     split = docs.select(F.col("doc_id"), row_key().alias("row_key"), words(F.col("text")).alias("words"))
     shingles = split.select("doc_id", "row_key", F.size("words").alias("n_words"), F.explode(shingle_hashes(F.col("words"))).alias("hash"))
