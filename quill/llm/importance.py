@@ -14,10 +14,18 @@ there (keeping good ones counts `keep_good` times). The driver holds the table o
 buckets and that third of the sample. The k-th largest key is found by histograms over
 all keys, a few thousand counts at a time; ties with it are all kept.
 
-Null or empty text: no n-grams, log weight 0. Null doc_id: sampled like others, never
-labelled. Several labels of one document: the worst holds. Without labels of both kinds
-all documents are kept. Repeated rows are decided alike. Empty tables give no rows; other
-columns are ignored.
+A few toxic words barely move a sum over all n-grams, so a second ratio looks for them
+alone: hashed n-grams that far more of the sample's toxic texts than of its other texts
+hold (log ratio of the two shares, less `deviations` standard errors, above `least_ratio`).
+A document's toxicity is the sum of these log ratios over the n-grams it holds; above the
+cut that at most `toxic_loss` of the left-out texts that are not toxic pass, a document
+is in no draw.
+
+Null or empty text: no n-grams, log weight 0, toxicity 0. Null doc_id: sampled like
+others, never labelled. Several labels of one document: the worst holds. Without labels
+of both kinds all documents are kept that are not toxic; without toxic and other labels
+none is toxic. Repeated rows are decided alike. Empty tables give no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -36,25 +44,29 @@ from quill.llm.common import materialize, row_key, slices, table
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 
 
-def ngram_buckets(text: str | None, buckets: int) -> np.ndarray:
-    """The buckets of a whole text's tokens and neighbouring pairs."""
+def ngram_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a whole text's tokens and neighbouring pairs."""
     tokens = _TOKENS.findall(text or "")
     if not tokens:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     one = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, tokens)), "<u8")
     two = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]
     two ^= two >> np.uint64(32)
-    return (np.concatenate([one, two]) % np.uint64(buckets)).astype(np.int64)
+    return np.concatenate([one, two])
+
+
+def ngram_buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashes % np.uint64(buckets)).astype(np.int64)
 
 
 def labelled_sample(labels: DataFrame, sample_rows: int) -> DataFrame:
-    """doc_id, good, held for about sample_rows labelled documents; good is null for what is neither (quality 1, but toxic)."""
+    """doc_id, good, toxic, held for about sample_rows labelled documents; good is null for what is neither (quality 1, but toxic)."""
     worst = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")).filter("quality is not null")
     worst = materialize(worst, "labels")
     share = sample_rows / max(1, worst.count())
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) < share * (1 << 20)
     good = F.when(F.col("quality") == 0, False).when(F.col("toxic") == 0, True)
-    return worst.filter(drawn).select("doc_id", good.alias("good"), (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)) == 0).alias("held"))
+    return worst.filter(drawn).select("doc_id", good.alias("good"), (F.col("toxic") > 0).alias("toxic"), (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)) == 0).alias("held"))
 
 
 def fit_ratio(docs: DataFrame, sample: DataFrame, buckets: int, smooth: float = 1.0) -> np.ndarray:
@@ -65,7 +77,7 @@ def fit_ratio(docs: DataFrame, sample: DataFrame, buckets: int, smooth: float =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, buckets), np.int64)
         for batch in slices(batches, 256):
-            found = [ngram_buckets(t, buckets) for t in batch.column(0).to_pylist()]
+            found = [ngram_buckets(ngram_hashes(t), buckets) for t in batch.column(0).to_pylist()]
             totals[0] += np.bincount(np.concatenate(found), minlength=buckets)
             chosen = [f for f, t in zip(found, batch.column(1).to_pylist()) if t]
             if chosen:
@@ -81,17 +93,70 @@ def fit_ratio(docs: DataFrame, sample: DataFrame, buckets: int, smooth: float =
     return np.log((counts[1] + smooth * buckets * raw) / (counts[1].sum() + smooth * buckets)) - np.log(raw)
 
 
-def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """doc_id, row_key, log_weight of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+def toxic_ngrams(texts: DataFrame, deviations: float = 2.0, least_ratio: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and log ratios of the n-grams that tell toxic texts from others, of (text, toxic). Only n-grams that would pass if no other text held them are looked for in the others."""
+    sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    n_toxic, n_other = sizes.get(True, 0), sizes.get(False, 0)
+    none = np.zeros(0, np.uint64), np.zeros(0)
+    if not n_toxic or not n_other:
+        return none
+
+    def counted(rows: DataFrame, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        shared = None if only is None else texts.sparkSession.sparkContext.broadcast(only)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 1024):
+                found = np.concatenate([np.unique(ngram_hashes(t)) for t in batch.column(0).to_pylist()])
+                found, n = np.unique(found, return_counts=True)
+                if shared is not None:
+                    mine = np.isin(found, shared.value, assume_unique=True)
+                    found, n = found[mine], n[mine]
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["hash", "n"])
+
+        sums = rows.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+        if only is None:
+            sums = sums.filter(_excess(F.col("n"), n_toxic, F.lit(0), n_other, deviations) > least_ratio)
+        got = sums.toPandas()  # n-grams of the bounded sample's toxic texts
+        return got["hash"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+
+    hashes, toxic = counted(texts.filter("toxic"), None)
+    order = np.argsort(hashes)
+    hashes, toxic, other = hashes[order], toxic[order], np.zeros(len(hashes), np.int64)
+    if not len(hashes):
+        return none
+    met, n = counted(texts.filter("not toxic"), hashes)
+    other[np.searchsorted(hashes, met)] = n
+    ratio = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((other + 0.5) / (n_other + 1))
+    sure = ratio - deviations * np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5)) > least_ratio
+    return hashes[sure], ratio[sure]
+
+
+def _excess(toxic: Column, n_toxic: int, other: Column, n_other: int, deviations: float) -> Column:
+    ratio = F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((other + 0.5) / (n_other + 1))
+    return ratio - deviations * F.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))
+
+
+def toxicity(hashes: np.ndarray, known: np.ndarray, ratio: np.ndarray) -> float:
+    """The sum of the ratios of the known n-grams that are among a text's."""
+    if not len(known):
+        return 0.0
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return float(ratio[np.unique(at[known[at] == hashes])].sum())
+
+
+def log_weights(docs: DataFrame, ratio: np.ndarray, toxic: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, row_key, log_weight, toxicity of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast((ratio, *toxic))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, known, excess = shared.value
         for batch in slices(batches, 256):
-            sums = [float(table[ngram_buckets(t, len(table))].sum()) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.float64())], ["doc_id", "row_key", "log_weight"])
+            found = [ngram_hashes(t) for t in batch.column(2).to_pylist()]
+            sums = [float(table[ngram_buckets(h, len(table))].sum()) for h in found]
+            evidence = [toxicity(h, known, excess) for h in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.float64()), pa.array(evidence, pa.float64())], ["doc_id", "row_key", "log_weight", "toxicity"])
 
-    return docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text").mapInArrow(score, "doc_id long, row_key long, log_weight double")
+    return docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text").mapInArrow(score, "doc_id long, row_key long, log_weight double, toxicity double")
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray, keep_good: float) -> float:
@@ -139,22 +204,27 @@ def _gumbel(seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, sample_rows: int = 30_000, buckets: int = 1 << 17, keep_good: float = 3.0, seed: int = 0) -> DataFrame:
-    """doc_id, row_key, log_weight, sample_key and kept for each row of (doc_id, text). k: how many to draw; by default as many as reach the cut."""
+def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, sample_rows: int = 30_000, buckets: int = 1 << 17, keep_good: float = 3.0, toxic_loss: float = 0.001, seed: int = 0) -> DataFrame:
+    """doc_id, row_key, log_weight, toxicity, sample_key and kept for each row of (doc_id, text). k: how many to draw; by default as many as reach the cut."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = materialize(labelled_sample(labels, sample_rows), "labelled")
-    scored = log_weights(docs, fit_ratio(docs, sample, buckets))
+    texts = materialize(docs.join(F.broadcast(sample.filter("not held").select("doc_id", "toxic")), "doc_id").select("text", "toxic"), "labelled-texts")  # bounded by the sample
+    scored = log_weights(docs, fit_ratio(docs, sample, buckets), toxic_ngrams(texts))
     scored = materialize(scored.withColumn("sample_key", F.col("log_weight") + _gumbel(seed)), "weights")
+    held = scored.join(F.broadcast(sample.filter("held")), "doc_id").select("good", "toxic", "log_weight", "toxicity").toPandas()  # bounded by the sample
+    clean = held["toxicity"][~held["toxic"].astype(bool)].to_numpy()
+    most = float(np.quantile(clean, 1 - toxic_loss, method="higher")) if len(clean) else 0.0
+    pool = F.col("toxicity") <= most
     if k is None:
-        held = scored.join(F.broadcast(sample.filter("held and good is not null")), "doc_id").select("good", "log_weight").toPandas()
-        good = held["good"].astype(bool)
-        cut = best_cut(held["log_weight"][good].to_numpy(), held["log_weight"][~good].to_numpy(), keep_good)
-        k = scored.filter(F.col("log_weight") >= cut).count()
-    least = kth_largest(scored, "sample_key", k) if k else None
-    kept = F.lit(False) if least is None else F.col("sample_key") >= least
-    return scored.select("doc_id", "row_key", "log_weight", "sample_key", kept.alias("kept"))
+        judged = held[held["good"].notna()]
+        good = judged["good"].astype(bool)
+        cut = best_cut(judged["log_weight"][good].to_numpy(), judged["log_weight"][~good].to_numpy(), keep_good)
+        k = scored.filter(pool & (F.col("log_weight") >= cut)).count()
+    least = kth_largest(scored.filter(pool), "sample_key", k) if k else None
+    kept = F.lit(False) if least is None else pool & (F.col("sample_key") >= least)
+    return scored.select("doc_id", "row_key", "log_weight", "toxicity", "sample_key", kept.alias("kept"))
 
 
 def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "log_weight", "sample_key", "kept")
+    return found.select("doc_id", "log_weight", "toxicity", "sample_key", "kept")
