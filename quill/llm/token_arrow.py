@@ -3,7 +3,7 @@
 The documents, in ascending (doc_id, hash of text) order, are dealt by range to
 shards. A shard is one Arrow IPC file (the stream format between magic numbers, with
 a footer that locates each batch): column `ids` is fixed_size_list<uint16>[seq_len],
-column `mask` fixed_size_list<bool>[seq_len]; all batches but the last hold the same
+column `mask` fixed_size_list<uint8>[seq_len] (1 an id, 0 padding; a byte each, so that both are views); all batches but the last hold the same
 number of sequences, so sequence k is row k % rows of batch k // rows, read in place
 from the mapped file. Documents follow each other without gaps; the last sequence of
 a shard is padded with zeros, which the mask marks. A second file lists the shard's
@@ -42,7 +42,7 @@ class _Sequences:
 
     def __init__(self, sink, seq_len: int, rows: int):
         self.seq_len, self.rows, self.left, self.n = seq_len, rows, bytearray(), 0
-        self.schema = pa.schema([("ids", pa.list_(pa.uint16(), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
+        self.schema = pa.schema([("ids", pa.list_(pa.uint16(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
         self.out = pa.ipc.new_file(sink, self.schema)
 
     def _write(self, ids: np.ndarray, mask: np.ndarray) -> None:
@@ -54,7 +54,7 @@ class _Sequences:
         self.left += ids
         size = 2 * self.seq_len * self.rows
         while len(self.left) >= size:
-            self._write(np.frombuffer(bytes(self.left[:size]), "<u2"), np.ones(size // 2, bool))
+            self._write(np.frombuffer(bytes(self.left[:size]), "<u2"), np.ones(size // 2, np.uint8))
             del self.left[:size]
 
     def close(self) -> None:
@@ -62,7 +62,7 @@ class _Sequences:
         if n:
             pad = -n % self.seq_len
             ids = np.concatenate([np.frombuffer(bytes(self.left), "<u2"), np.zeros(pad, "<u2")])
-            self._write(ids, np.arange(n + pad) < n)
+            self._write(ids, (np.arange(n + pad) < n).astype(np.uint8))
         self.out.close()
 
 
@@ -117,10 +117,10 @@ class TokenFile:
         return lists.values
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence k. The ids are a view of the file."""
+        """Ids and mask of sequence k, both views of the file."""
         at = (k % self.rows) * self.seq_len
         ids, mask = (self._values(k // self.rows, c).slice(at, self.seq_len) for c in (0, 1))
-        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+        return ids.to_numpy(), mask.to_numpy()
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids from `start` of the shard's run of ids."""
