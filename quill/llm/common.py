@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -16,10 +17,12 @@ _SCRATCH: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, as in tests, one temporary folder of this process."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, as in tests on a local master, one temporary folder of this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="quill-"))
     return _OWN[0]
@@ -37,6 +40,17 @@ def clear_scratch(spark: SparkSession) -> None:
         remove(spark, _SCRATCH.pop())
 
 
+@contextmanager
+def intermediates(spark: SparkSession, *kept: str) -> Iterator[None]:
+    """Deletes the scratch paths that are asked for inside, once it ends without an error, but for those of a kept name: for work whose result reads the kept tables alone."""
+    before = len(_SCRATCH)
+    yield
+    for path in _SCRATCH[before:]:
+        if path.rsplit("/", 1)[-1].rsplit("-", 1)[0] not in kept:
+            _SCRATCH.remove(path)
+            remove(spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
@@ -44,11 +58,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a scratch path through Hadoop's file systems."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = _hadoop(spark, path)
+    fs.delete(target, True)
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    """A folder for files of tasks, so that it is there even if no task has rows."""
+    fs, target = _hadoop(spark, path)
+    fs.mkdirs(target)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quill.llm.common import open_fs, scratch, slices, table
+from quill.llm.common import make_dir, open_fs, scratch, slices, table
 from quill.llm.tokens import TextEncoder, vocabulary_path
 
 #: The id of <|endoftext|> in word_bpe_49k; that string in a text is encoded as ordinary text, so the id ends documents only.
@@ -49,6 +49,7 @@ def write_flat_files(docs: DataFrame, path: str, vocabulary: str | None = None,
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "file int, ordinal long, doc_id long"
+    make_dir(docs.sparkSession, f"{path}/flat")
     rows.mapInArrow(write, schema).write.parquet(f"{path}/order")
     return docs.sparkSession.read.schema(schema).parquet(f"{path}/order")
 

@@ -10,6 +10,9 @@ Of records with equal payloads of at least `revisit_bytes`, the one with the lar
 page_id is a response, the others are revisits that refer to it; smaller payloads are
 all responses. The payload digest is the bare upper-case base32 SHA-1.
 
+A record's identifier is page:<page_id>; rows that share a page_id, and rows without one,
+have their bundle and place in it added or instead, so that every identifier is unique.
+
 Null html: an empty payload. Null url: no target header. Line breaks in a url are
 percent-encoded. Null page_id: written, and the response only if no equal payload has an
 id. Repeated rows: each is written; those that share the largest page_id are all
@@ -29,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quill.llm.common import open_fs, scratch, slices, table
+from quill.llm.common import make_dir, open_fs, scratch, slices, table
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -127,20 +130,22 @@ class BundleReader:
 
 
 def with_revisits(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload and refers_to. Only ids and digests are grouped; the payloads are dealt once, by page_id."""
+    """page_id, url, payload, refers_to and shared (other rows have this page_id). Only ids and digests are grouped; the payloads are dealt once, by page_id."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     keys = rows.select("page_id", "digest", F.octet_length("payload").alias("n"))
-    groups = keys.filter(F.col("n") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("rows")).filter("rows > 1 and response is not null")
-    revisits = keys.join(groups, "digest").filter(~F.col("page_id").eqNullSafe(F.col("response")))
-    revisits = revisits.select("page_id", "digest", "response").distinct()
+    groups = keys.filter(F.col("n") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("rows")).filter("rows > 1 and response is not null").drop("rows")
+    repeated = keys.groupBy("page_id").agg(F.count("*").alias("rows")).filter("rows > 1 and page_id is not null").select("page_id", F.lit(True).alias("shared"))
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
+    notes = keys.join(groups, "digest", "left").join(repeated, "page_id", "left").select("page_id", "digest", refers.alias("refers_to"), F.coalesce("shared", F.lit(False)).alias("shared"))
+    notes = notes.filter("refers_to is not null or shared").distinct()
     # Rows meet by one number, the page_id or, where it is null, the digest's hash.
     deal = F.coalesce("page_id", F.xxhash64("digest"))
-    revisits = revisits.select(deal.alias("r_deal"), F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), F.col("response").alias("refers_to"))
+    notes = notes.select(deal.alias("r_deal"), F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to", "shared")
     same = (F.col("deal") == F.col("r_deal")) & F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest"))
-    joined = rows.withColumn("deal", deal).join(revisits, same, "left")
-    return joined.select("page_id", "url", "payload", "refers_to")
+    joined = rows.withColumn("deal", deal).join(notes, same, "left")
+    return joined.select("page_id", "url", "payload", "refers_to", F.coalesce("shared", F.lit(False)).alias("shared"))
 
 
 def write_warc_bundles(pages: DataFrame, path: str, revisit_bytes: int = 0, frame_bytes: int = 1 << 20, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -156,8 +161,8 @@ def write_warc_bundles(pages: DataFrame, path: str, revisit_bytes: int = 0, fram
             out = BundleWriter(sink, frame_bytes, level)
             for batch in slices(batches, 256):
                 rows = []
-                for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
-                    record_id = f"page:{page_id}" if page_id is not None else f"row:{part}:{n}"
+                for page_id, url, payload, refers_to, shared in zip(*(c.to_pylist() for c in batch.columns)):
+                    record_id = f"row:{part}:{n}" if page_id is None else f"page:{page_id}:row:{part}:{n}" if shared else f"page:{page_id}"
                     record = make_record(record_id, page_id, url, payload, refers_to, date)
                     rows.append((page_id, record_id, part, *out.add(record), len(record)))
                     n += 1
@@ -166,6 +171,7 @@ def write_warc_bundles(pages: DataFrame, path: str, revisit_bytes: int = 0, fram
             out.close()
         fs.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
 
+    make_dir(pages.sparkSession, f"{path}/bundles")
     with_revisits(pages, revisit_bytes).mapInArrow(write, INDEX).write.parquet(f"{path}/index")
     return pages.sparkSession.read.schema(INDEX).parquet(f"{path}/index")
 

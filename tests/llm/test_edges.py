@@ -125,8 +125,10 @@ def test_warc(spark, empty):
     rows = [(1, "http://a", "same"), (2, None, "same"), (2, "http://b\r\nX: y", "same"), (3, "u", None), (None, "u", ""), (None, "v", "alone"), (4, "w", "é" * 100_000)]
     pages = spark.createDataFrame([] if empty else rows, "page_id long, url string, html string").withColumn("digest", F.lit(0)).withColumn("deal", F.lit(0))
     path = scratch(spark, "t")
-    write_warc_bundles(pages, path)
+    index = write_warc_bundles(pages, path).collect()
+    assert len({r.record_id for r in index}) == len(index) == (0 if empty else len(rows))
     if empty:
+        assert read_warc_bundles(spark, f"{path}/bundles").isEmpty()
         return
     got = sorted(((r.page_id or 0), r.payload_bytes, r.record_type, r.refers_to or 0) for r in read_warc_bundles(spark, f"{path}/bundles").collect())
     assert got == [(0, 0, "revisit", 3), (0, 5, "response", 0), (1, 4, "revisit", 2), (2, 4, "response", 0), (2, 4, "response", 0), (3, 0, "response", 0), (4, 200_000, "response", 0)]
