@@ -1,17 +1,19 @@
-"""Operator 10: benchmark decontamination by exact containment, as a plain inverted join.
+"""Operator 10: benchmark decontamination by size-partitioned MinHash containment search.
 
 Items and documents are sets of distinct 5-word shingles under one hash. Items are put
 into size classes (powers of two). An item of q shingles that a document contains to at
 least the threshold t misses at most floor((1 - t) q) of them, so of the item's smallest
 floor((1 - t) q) + 1 hashes, its bottom-m MinHash signature, at least one is in the
-document: m is set by the size class, and the search over signatures misses nothing,
-however long the document is (a signature of the document, as plain MinHash takes it,
-would lose short items in long documents). The signatures only flag pairs, though, and
-every pair that passes the exact count has the flag: all document shingles are joined
-with all shingles of all items, and the pairs that result are counted.
+document: m is set by the size class, and the search misses nothing, however long the
+document is (a signature of the document, as plain MinHash takes it, would lose short
+items in long documents). The search joins the shingles of all documents with the
+signatures alone; a pair of document and item with a hit, in a document with the words
+that the item's class needs, is a candidate. Only documents with a candidate are read
+again, and only candidate pairs are counted against the whole items, exactly.
 
-The hashes of all items are broadcast while their measured size is within
-`broadcast_bytes`, and joined by a shuffle beyond it. DataFrame functions only.
+Signatures and item shingles are rows of fixed width; a table is broadcast while its
+counted rows, at `row_bytes` each in memory, are within `broadcast_bytes`, and joined by
+a shuffle beyond that. DataFrame functions only.
 
 Words are runs without ASCII white space, A-Z in lower case; a text of fewer than five
 words is one shingle. Null or empty text: an empty set, which contains and is contained
@@ -49,26 +51,49 @@ def _item_shingles(items: DataFrame) -> DataFrame:
     return rows.select("item_id", F.xxhash64("hashes").alias("item_key"), F.size("hashes").alias("q"), "hashes").dropDuplicates(["item_id", "item_key"])
 
 
-def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """(doc_id, item_id) for each item of (item_id, text) of whose distinct shingles a document of (doc_id, text) has at least `percent`: with n_item, n_shared, containment and the document's row_key."""
-    whole = materialize(_item_shingles(items), "items")
-    # Within a size class every item has the signature length of the class's largest size, so that the length depends on the class alone.
+def item_signatures(whole: DataFrame, percent: int) -> DataFrame:
+    """item_id, item_key, least_words, hash: the bottom-m signature of each item of _item_shingles. Every item of a size class has the signature length that the class's largest size needs."""
     smallest = F.pow(F.lit(2.0), F.length(F.bin("q")) - 1)
     m = F.least(F.col("q"), F.floor((100 - percent) * (2 * smallest - 1) / 100).cast("int") + 1)
-    least_doc = F.ceil(percent * smallest / 100)
-    signed = whole.select("item_id", "item_key", "q", least_doc.alias("least_doc"), F.explode(F.slice(F.array_sort("hashes"), F.lit(1), m)).alias("hash"))
-    probes = signed.groupBy("hash").agg(F.min("least_doc").alias("least_doc"))
-    members = whole.select("item_id", "item_key", "q", F.explode("hashes").alias("hash"))
-    small = 48 * members.count() <= broadcast_bytes
-
-    # One pass over the documents: every hit of an item's shingles is kept and counted; hits of signatures flag a pair, which prunes none.
-    marked = members.join(probes, "hash", "left")
-    split = docs.select(F.col("doc_id"), row_key().alias("row_key"), words(F.col("text")).alias("words"))
+    least_words = F.ceil(percent * smallest / 100).cast("long")
+    return whole.select("item_id", "item_key", least_words.alias("least_words"), F.explode(F.slice(F.array_sort("hashes"), F.lit(1), m)).alias("hash"))
+
+
+def _bounded(rows: DataFrame, broadcast_bytes: int, row_bytes: int = 96) -> DataFrame:
+    """A written table, marked for broadcasting if its rows are few enough."""
+    return F.broadcast(rows) if row_bytes * rows.count() <= broadcast_bytes else rows
+
+
+def candidate_pairs(docs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """doc_id, row_key, item_id, item_key for each document of (doc_id, text) and item whose signature it hits."""
+    split = docs.select("doc_id", row_key().alias("row_key"), words(F.col("text")).alias("words"))
     shingles = split.select("doc_id", "row_key", F.size("words").alias("n_words"), F.explode(shingle_hashes(F.col("words"))).alias("hash"))
-    hits = shingles.join(F.broadcast(marked) if small else marked, "hash")
-    candidate = F.max(F.col("n_words") >= F.col("least_doc")).alias("candidate")
-    pairs = hits.groupBy("doc_id", "row_key", "item_id", "item_key", "q").agg(F.count_distinct("hash").alias("n_shared"), candidate)
-    found = pairs.filter(F.col("candidate") & (100 * F.col("n_shared") >= percent * F.col("q")))
+    hits = shingles.join(signatures, "hash").filter(F.col("n_words") >= F.col("least_words"))
+    return hits.select("doc_id", "row_key", "item_id", "item_key").distinct()
+
+
+def shared_shingles(docs: DataFrame, candidates: DataFrame, members: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """doc_id, row_key, item_id, item_key, q, n_shared for the candidate pairs, by exact counts of members (item_id, item_key, q, hash)."""
+    names = {"item_id": "c_item", "item_key": "c_key", "doc_id": "c_doc", "row_key": "c_row"}
+    wanted = candidates.select(*[F.col(c).alias(n) for c, n in names.items()])
+    met = materialize(wanted.select("c_doc", "c_row").distinct(), "candidate-documents")
+    same = F.col("doc_id").eqNullSafe(F.col("c_doc")) & (row_key() == F.col("c_row"))
+    found = docs.join(_bounded(met, broadcast_bytes), same, "left_semi").select("doc_id", row_key().alias("row_key"), words(F.col("text")).alias("words"))
+    shingles = found.select("doc_id", "row_key", F.explode(shingle_hashes(F.col("words"))).alias("hash"))
+    pair = (F.col("row_key") == F.col("c_row")) & (F.col("item_key") == F.col("c_key")) & F.col("doc_id").eqNullSafe(F.col("c_doc")) & F.col("item_id").eqNullSafe(F.col("c_item"))
+    hits = shingles.join(members, "hash").join(_bounded(wanted, broadcast_bytes), pair, "left_semi").distinct()  # repeated rows hit once
+    return hits.groupBy("doc_id", "row_key", "item_id", "item_key", "q").agg(F.count("*").alias("n_shared"))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """(doc_id, item_id) for each item of (item_id, text) of whose distinct shingles a document of (doc_id, text) has at least `percent`: with n_item, n_shared, containment and the document's row_key."""
+    docs = docs.select("doc_id", "text")
+    whole = materialize(_item_shingles(items), "items")
+    signatures = materialize(item_signatures(whole, percent), "item-signatures")
+    members = materialize(whole.select("item_id", "item_key", "q", F.explode("hashes").alias("hash")), "item-shingles")
+    candidates = materialize(candidate_pairs(docs, _bounded(signatures, broadcast_bytes)), "candidates")
+    pairs = shared_shingles(docs, candidates, _bounded(members, broadcast_bytes), broadcast_bytes)
+    found = pairs.filter(100 * F.col("n_shared") >= percent * F.col("q"))
     return found.select("doc_id", "item_id", F.col("q").cast("long").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("q")).alias("containment"), "row_key")
 
 
