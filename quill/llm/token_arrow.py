@@ -3,7 +3,8 @@
 The documents, in ascending (doc_id, hash of text) order, are dealt by range to
 shards. A shard is one Arrow IPC file (the stream format between magic numbers, with
 a footer that locates each batch): column `ids` is fixed_size_list<uint16>[seq_len],
-column `mask` fixed_size_list<uint8>[seq_len] (1 an id, 0 padding; a byte each, so that both are views); all batches but the last hold the same
+column `mask` a dictionary of at most two fixed_size_list<uint8>[seq_len], of a full and of the padded
+sequence (1 an id, 0 padding), so that a mask costs its number; all batches but the last hold the same
 number of sequences, so sequence k is row k % rows of batch k // rows, read in place
 from the mapped file. Documents follow each other without gaps; the last sequence of
 a shard is padded with zeros, which the mask marks. A second file lists the shard's
@@ -42,27 +43,32 @@ class _Sequences:
 
     def __init__(self, sink, seq_len: int, rows: int):
         self.seq_len, self.rows, self.left, self.n = seq_len, rows, bytearray(), 0
-        self.schema = pa.schema([("ids", pa.list_(pa.uint16(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
-        self.out = pa.ipc.new_file(sink, self.schema)
-
-    def _write(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids, mask)]
-        self.out.write_batch(pa.record_batch(lists, schema=self.schema))
-        self.n += len(ids) // self.seq_len
+        self.schema = pa.schema([("ids", pa.list_(pa.uint16(), seq_len)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), seq_len)))])
+        self.out = pa.ipc.new_file(sink, self.schema, options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True))
+
+    def _write(self, ids: np.ndarray, padded: int = 0) -> None:
+        """A batch of sequences, of whose last the last `padded` ids are padding. The padded mask is added to the dictionary when it is known, with the last batch."""
+        n, place = len(ids) // self.seq_len, np.arange(self.seq_len)
+        masks = [place < self.seq_len] + ([place < self.seq_len - padded] if padded else [])
+        kinds = np.zeros(n, np.int8)
+        kinds[-1] = padded > 0
+        values = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(masks).astype(np.uint8)), self.seq_len)
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(ids), self.seq_len), pa.DictionaryArray.from_arrays(pa.array(kinds), values)]
+        self.out.write_batch(pa.record_batch(columns, schema=self.schema))
+        self.n += n
 
     def add(self, ids: bytes) -> None:
         self.left += ids
         size = 2 * self.seq_len * self.rows
         while len(self.left) >= size:
-            self._write(np.frombuffer(bytes(self.left[:size]), "<u2"), np.ones(size // 2, np.uint8))
+            self._write(np.frombuffer(bytes(self.left[:size]), "<u2"))
             del self.left[:size]
 
     def close(self) -> None:
         n = len(self.left) // 2
         if n:
             pad = -n % self.seq_len
-            ids = np.concatenate([np.frombuffer(bytes(self.left), "<u2"), np.zeros(pad, "<u2")])
-            self._write(ids, (np.arange(n + pad) < n).astype(np.uint8))
+            self._write(np.concatenate([np.frombuffer(bytes(self.left), "<u2"), np.zeros(pad, "<u2")]), pad)
         self.out.close()
 
 
@@ -112,14 +118,15 @@ class TokenFile:
         self.seq_len = self.file.schema.field("ids").type.list_size
         self.rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 0
 
-    def _values(self, k: int, column: int = 0) -> pa.Array:
-        lists = self.file.get_batch(k).column(column)
-        return lists.values
+    def _values(self, k: int) -> pa.Array:
+        return self.file.get_batch(k).column(0).values
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence k, both views of the file."""
-        at = (k % self.rows) * self.seq_len
-        ids, mask = (self._values(k // self.rows, c).slice(at, self.seq_len) for c in (0, 1))
+        """Ids and mask of sequence k, as views: of the file, and of its dictionary of masks, which is read once."""
+        row = k % self.rows
+        ids = self._values(k // self.rows).slice(row * self.seq_len, self.seq_len)
+        masks = self.file.get_batch(k // self.rows).column(1)
+        mask = masks.dictionary.values.slice(masks.indices[row].as_py() * self.seq_len, self.seq_len)
         return ids.to_numpy(), mask.to_numpy()
 
     def ids(self, start: int, n: int) -> np.ndarray:
