@@ -38,16 +38,28 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def shingle_hashes(words: Column, size: int = 5) -> Column:
-    """A hash for each run of `size` words; fewer words are one run, none give none."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice(words, i, F.lit(size))))
-    return F.when(n >= size, runs).when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def word_runs(hashes: Column, size: int = 5) -> Column:
+    """A struct of each `size` hashes in a row; fewer are one run with nulls, none give none. `hashes` must be a plain column, as it is used several times."""
+    n = F.size(hashes)
+    fields = ", ".join(f"w{i}: bigint" for i in range(size))
+    whole = F.arrays_zip(*[F.slice(hashes, F.lit(i + 1), n - size + 1) for i in range(size)]).cast(f"array<struct<{fields}>>")
+    short = F.array(F.struct(*[F.get(hashes, F.lit(i)).alias(f"w{i}") for i in range(size)]))
+    return F.when(n >= size, whole).when(n > 0, short).otherwise(F.array().cast(f"array<struct<{fields}>>"))
+
+
+def exploded_shingles(docs: DataFrame, *columns: str) -> DataFrame:
+    """columns and hash of (columns, hashes): a row for each shingle; its hash is taken of the exploded run, in generated code."""
+    runs = docs.select(*columns, F.explode(word_runs(F.col("hashes"))).alias("run"))
+    return runs.withColumn("hash", F.xxhash64(*[F.col(f"run.w{i}") for i in range(5)])).drop("run")
 
 
 def _item_shingles(items: DataFrame) -> DataFrame:
-    rows = items.select(F.col("item_id"), words(F.col("text")).alias("words"))
-    rows = rows.select("item_id", F.array_distinct(shingle_hashes(F.col("words"))).alias("hashes")).filter(F.size("hashes") > 0)
+    rows = items.select(F.col("item_id"), word_hashes(words(F.col("text"))).alias("hashes")).select("item_id", word_runs(F.col("hashes")).alias("runs"))
+    rows = rows.select("item_id", F.array_distinct(F.transform("runs", lambda r: F.xxhash64(*[r[f"w{i}"] for i in range(5)]))).alias("hashes")).filter(F.size("hashes") > 0)
     return rows.select("item_id", F.xxhash64("hashes").alias("item_key"), F.size("hashes").alias("q"), "hashes").dropDuplicates(["item_id", "item_key"])
 
 
@@ -66,8 +78,8 @@ def _bounded(rows: DataFrame, broadcast_bytes: int, row_bytes: int = 96) -> Data
 
 def candidate_pairs(docs: DataFrame, signatures: DataFrame) -> DataFrame:
     """doc_id, row_key, item_id, item_key for each document of (doc_id, text) and item whose signature it hits."""
-    split = docs.select("doc_id", row_key().alias("row_key"), words(F.col("text")).alias("words"))
-    shingles = split.select("doc_id", "row_key", F.size("words").alias("n_words"), F.explode(shingle_hashes(F.col("words"))).alias("hash"))
+    split = docs.select("doc_id", row_key().alias("row_key"), word_hashes(words(F.col("text"))).alias("hashes"))
+    shingles = exploded_shingles(split.withColumn("n_words", F.size("hashes")), "doc_id", "row_key", "n_words")
     hits = shingles.join(signatures, "hash").filter(F.col("n_words") >= F.col("least_words"))
     return hits.select("doc_id", "row_key", "item_id", "item_key").distinct()
 
@@ -78,8 +90,8 @@ def shared_shingles(docs: DataFrame, candidates: DataFrame, members: DataFrame,
     wanted = candidates.select(*[F.col(c).alias(n) for c, n in names.items()])
     met = materialize(wanted.select("c_doc", "c_row").distinct(), "candidate-documents")
     same = F.col("doc_id").eqNullSafe(F.col("c_doc")) & (row_key() == F.col("c_row"))
-    found = docs.join(_bounded(met, broadcast_bytes), same, "left_semi").select("doc_id", row_key().alias("row_key"), words(F.col("text")).alias("words"))
-    shingles = found.select("doc_id", "row_key", F.explode(shingle_hashes(F.col("words"))).alias("hash"))
+    found = docs.join(_bounded(met, broadcast_bytes), same, "left_semi").select("doc_id", row_key().alias("row_key"), word_hashes(words(F.col("text"))).alias("hashes"))
+    shingles = exploded_shingles(found, "doc_id", "row_key")
     pair = (F.col("row_key") == F.col("c_row")) & (F.col("item_key") == F.col("c_key")) & F.col("doc_id").eqNullSafe(F.col("c_doc")) & F.col("item_id").eqNullSafe(F.col("c_item"))
     hits = shingles.join(members, "hash").join(_bounded(wanted, broadcast_bytes), pair, "left_semi").distinct()  # repeated rows hit once
     return hits.groupBy("doc_id", "row_key", "item_id", "item_key", "q").agg(F.count("*").alias("n_shared"))
