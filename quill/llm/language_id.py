@@ -25,6 +25,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,19 +68,6 @@ class Lattice:
         self.index = {p: i + 1 for i, p in enumerate(lower)}
         self.size, self.longest = len(self.index) + 1, max(map(len, self.index), default=1)
 
-    def arcs(self, word: str) -> list[tuple[int, int, int]]:
-        """(start, end, piece) of every piece in the marked word, by end."""
-        word, get = _MARK + word, self.index.get
-        n, out = len(word), []
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                k = get(word[i:j])
-                if k is not None:
-                    out.append((i, j, k))
-                elif j - i == 1:
-                    out.append((i, j, 0))
-        return out
-
     def log_probability(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """The log of each word's sum over all segmentations, for each column of `table` (pieces x languages). Words of one length go together; sums are scaled as they grow small."""
         out = np.empty((len(words), table.shape[1]))
@@ -112,21 +100,40 @@ class Lattice:
             out[members] = np.log(alpha[-1]) + scale
         return out
 
-    def expected_counts(self, words: list[str], weights: np.ndarray, probability: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece over all segmentations of the words, each counted `weight` times."""
-        out = np.zeros(self.size)
-        for word, weight in zip(words, weights):
-            n, arcs = len(word) + 1, self.arcs(word)
-            p = [probability[k] for _, _, k in arcs]
-            forward, backward = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-            for (i, j, _), q in zip(arcs, p):
-                forward[j] += forward[i] * q
-            for (i, j, _), q in zip(reversed(arcs), reversed(p)):
-                backward[i] += backward[j] * q
-            if forward[n] > 0:
-                for (i, j, k), q in zip(arcs, p):
-                    out[k] += weight * forward[i] * q * backward[j] / forward[n]
-        return out
+    def expected_counts(self, words: list[str], weights: list[int], probability: np.ndarray, held: int = 2_000_000) -> np.ndarray:
+        """Expected uses of each piece over all segmentations of the words, each counted `weight` times. Sums are in logs, so a word may have any length; words of one length go together, about `held` arcs at a time."""
+        out = np.zeros(self.size + 1)
+        log_p = np.append(np.log(probability), -np.inf)  # the last: no piece
+        groups: dict[int, list[int]] = {}
+        for w, word in enumerate(words):
+            groups.setdefault(len(word) + 1, []).append(w)
+        get, most = self.index.get, self.longest
+        for n, members in groups.items():
+            step = max(1, held // (n * min(n, most)))
+            for part in (members[at : at + step] for at in range(0, len(members), step)):
+                marked = [_MARK + words[w] for w in part]
+                weight = np.array([weights[w] for w in part], float)
+                arcs, forward = [None], np.zeros((n + 1, len(part)))
+                for j in range(1, n + 1):
+                    low = max(0, j - most)
+                    arcs.append(np.array([[get(word[i:j], 0 if j - i == 1 else self.size) for word in marked] for i in range(low, j)]))
+                    forward[j] = np.logaddexp.reduce(forward[low:j] + log_p[arcs[j]], axis=0)
+                backward, uses = np.full((n + 1, len(part)), -np.inf), []
+                backward[n] = 0
+                for j in range(n, 0, -1):
+                    low = max(0, j - most)
+                    onward = log_p[arcs[j]] + backward[j]
+                    uses.append(np.exp(forward[low:j] + onward - forward[n]) * weight)
+                    backward[low:j] = np.logaddexp(backward[low:j], onward)
+                pieces = np.concatenate([k.ravel() for k in reversed(arcs[1:])])
+                out += np.bincount(pieces, np.concatenate([u.ravel() for u in uses]), self.size + 1)
+        return out[: self.size]
+
+
+@lru_cache(maxsize=2)
+def lattice_of(vocabulary: str | None) -> Lattice:
+    """Loaded once in a Python worker, whose tasks share it."""
+    return Lattice(vocabulary_pieces(vocabulary))
 
 
 def _bucket(docs: DataFrame) -> DataFrame:
@@ -134,7 +141,7 @@ def _bucket(docs: DataFrame) -> DataFrame:
 
 
 def training_words(docs: DataFrame, sample_docs: int) -> DataFrame:
-    """lang, word, n over the sample of training texts; words of over 64 letters are left to scoring."""
+    """lang, word, n over the sample of training texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = _bucket(rows).filter("not held_out and doc_id is not null and lang is not null")
     share = rows.groupBy("lang").agg((F.lit(sample_docs) / F.count("*")).alias("share"))
@@ -145,7 +152,7 @@ def training_words(docs: DataFrame, sample_docs: int) -> DataFrame:
         counts: dict[str, Counter] = {}
         for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts.setdefault(lang, Counter()).update(w for w in words_of(text) if len(w) <= 64)
+                counts.setdefault(lang, Counter()).update(words_of(text))
         for lang, words in counts.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(words), "word": list(words), "n": pa.array(list(words.values()), pa.int64())})
 
@@ -154,7 +161,7 @@ def training_words(docs: DataFrame, sample_docs: int) -> DataFrame:
 
 def fit(docs: DataFrame, sample_docs: int = 400, rounds: int = 3, vocabulary: str | None = None, floor: float = 1e-7) -> tuple[list[str], np.ndarray]:
     """The languages by name, and log prior (first row) over piece probabilities (rows) of each."""
-    spark, lattice = docs.sparkSession, Lattice(vocabulary_pieces(vocabulary))
+    spark, lattice = docs.sparkSession, lattice_of(vocabulary)
     words = materialize(training_words(docs, sample_docs), "language-words")
     langs = [r[0] for r in words.select("lang").distinct().sort("lang").collect()]
     model = np.full((lattice.size, len(langs)), 1.0 / lattice.size)
@@ -162,18 +169,19 @@ def fit(docs: DataFrame, sample_docs: int = 400, rounds: int = 3, vocabulary: st
         shared = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lattice = Lattice(vocabulary_pieces(vocabulary))
+            lattice = lattice_of(vocabulary)
             total = np.zeros((lattice.size, len(langs)))
             for batch in batches:
                 lang, word, n = (np.array(c.to_pylist(), object) for c in batch.columns)
                 for k, name in enumerate(langs):
                     mine = lang == name
                     if mine.any():
-                        total[:, k] += lattice.expected_counts(list(word[mine]), n[mine], shared.value[:, k])
+                        total[:, k] += lattice.expected_counts(list(word[mine]), list(n[mine]), shared.value[:, k])
             piece, k = np.nonzero(total)
             yield pa.RecordBatch.from_pydict({"piece": piece.astype(np.int32), "k": k.astype(np.int32), "n": total[piece, k]})
 
-        sums = words.repartition("word").mapInArrow(expect, "piece int, k int, n double").groupBy("piece", "k").agg(F.sum("n").alias("n"))
+        dealt = words.repartition(spark.sparkContext.defaultParallelism, "word")  # few bytes, but much work
+        sums = dealt.mapInArrow(expect, "piece int, k int, n double").groupBy("piece", "k").agg(F.sum("n").alias("n"))
         counts = np.zeros_like(model)
         for piece, k, n in sums.collect():  # vocabulary x languages at most
             counts[piece, k] = n
@@ -190,7 +198,7 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray, vocabulary: s
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary_pieces(vocabulary))
+        lattice = lattice_of(vocabulary)
         prior, table = shared.value[0], shared.value[1:]
         coder = WordCoder(lambda words: [r.tobytes() for r in lattice.log_probability(words, table).astype("<f4")], remembered)
         for batch in slices(batches, 256):
