@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quill.llm.common import materialize, row_key, slices, table
+from quill.llm.common import intermediates, materialize, row_key, slices, table
 
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 
@@ -207,6 +207,11 @@ def _gumbel(seed: int) -> Column:
 def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, sample_rows: int = 30_000, buckets: int = 1 << 17, keep_good: float = 3.0, toxic_loss: float = 0.001, seed: int = 0) -> DataFrame:
     """doc_id, row_key, log_weight, toxicity, sample_key and kept for each row of (doc_id, text). k: how many to draw; by default as many as reach the cut."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with intermediates(docs.sparkSession, "weights"):
+        return _drawn(docs, labels, k, sample_rows, buckets, keep_good, toxic_loss, seed)
+
+
+def _drawn(docs: DataFrame, labels: DataFrame, k: int | None, sample_rows: int, buckets: int, keep_good: float, toxic_loss: float, seed: int) -> DataFrame:
     sample = materialize(labelled_sample(labels, sample_rows), "labelled")
     texts = materialize(docs.join(F.broadcast(sample.filter("not held").select("doc_id", "toxic")), "doc_id").select("text", "toxic"), "labelled-texts")  # bounded by the sample
     scored = log_weights(docs, fit_ratio(docs, sample, buckets), toxic_ngrams(texts))

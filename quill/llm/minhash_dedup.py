@@ -7,13 +7,15 @@ posted under its coordinate-value pairs. Two classes that agree in at least `mat
 coordinates share one of the K - matches + 1 rarest pairs of either, so a class is
 posted only under that prefix of its pairs by ascending frequency; pairs that one class
 alone has are skipped, and a class with more of these than the prefix is long posts
-nothing. Pairs that meet in a list are confirmed by the number of equal coordinates and
-then on the full sets.
+nothing. For pairs that meet in a list the collisions are counted over both whole
+signatures (128 bytes a class); only pairs with `matches` or more are retained, and only
+these are joined to the full sets and confirmed on them.
 
 Lists can be long (a large group of near copies), so not all pairs of a list are made:
 in each round the most central class that a list has left (whose pairs are the most
 frequent, as those of the original of a group are) meets the others, links are confirmed
-and components merged, and a list is finished when its classes are one component. For the
+and components merged (each round merges what the rounds before it made), and a list is
+finished when its classes are one component. For the
 lists left after `rounds` rounds, the exact prefix filter on whole shingle sets gives the
 pairs across components that can still be links, and all of them are compared, so the
 components are those of all links.
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quill.llm.common import materialize, row_key, slices, table
+from quill.llm.common import intermediates, materialize, row_key, slices, table
 
 K, MATCHES = 32, 17
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -100,7 +102,7 @@ def _coordinates(signatures: pd.Series) -> pd.Series:
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, signature, shingles for the classes in nodes (node, doc_id), from their first documents' texts."""
+    """node, shingles for the classes in nodes (node, doc_id), from their first documents' texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -108,20 +110,24 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             node = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             # Another text under the same doc_id is another class and not asked for.
             keep = [i for i, (a, b) in enumerate(zip(node, batch.column(0).to_pylist())) if a == b]
-            yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in keep], pa.binary()), pa.array([signature(sets[i]).tobytes() for i in keep], pa.binary()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["node", "signature", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in keep], pa.binary()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["node", "shingles"])
 
     rows = docs.join(nodes, "doc_id").select("node", "text")
-    return rows.mapInArrow(work, "node binary, signature binary, shingles binary")
+    return rows.mapInArrow(work, "node binary, shingles binary")
 
 
-def _confirm(matches: int, percent: int):
+@F.pandas_udf(T.IntegerType())
+def _collisions(sig_a: pd.Series, sig_b: pd.Series) -> pd.Series:
+    """How many coordinates of two signatures are equal."""
+    a, b = (np.frombuffer(b"".join(s), "<u4").reshape(len(s), K) for s in (sig_a, sig_b))
+    return pd.Series((a == b).sum(axis=1).astype(np.int32))
+
+
+def _linked(percent: int):
     @F.pandas_udf("boolean")
-    def linked(sig_a: pd.Series, sig_b: pd.Series, set_a: pd.Series, set_b: pd.Series) -> pd.Series:
+    def linked(set_a: pd.Series, set_b: pd.Series) -> pd.Series:
         out = []
-        for sa, sb, a, b in zip(sig_a, sig_b, set_a, set_b):
-            if int((np.frombuffer(sa, "<u4") == np.frombuffer(sb, "<u4")).sum()) < matches:
-                out.append(False)
-                continue
+        for a, b in zip(set_a, set_b):
             a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
             both = len(np.intersect1d(a, b, assume_unique=True))
             out.append(100 * both >= percent * (len(a) + len(b) - both))
@@ -130,6 +136,18 @@ def _confirm(matches: int, percent: int):
     return linked
 
 
+def retained(pairs: DataFrame, signatures: DataFrame, matches: int) -> DataFrame:
+    """The pairs (a, b) whose signatures (node, signature) agree in at least `matches` coordinates."""
+    side = lambda x: signatures.select(F.col("node").alias(x), F.col("signature").alias(f"sig_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_collisions("sig_a", "sig_b") >= matches).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets of full (node, shingles) are at least `percent` similar."""
+    side = lambda x: full.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_linked(percent)("set_a", "set_b")).select("a", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label for the nodes of edges (a, b): the smallest node of its component. Labels spread over edges and jump along labels until none changes."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -144,6 +162,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node, label) after new links (a, b): only components that a link joins are merged, nodes met for the first time are added."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    known = ends if labels is None else ends.join(labels, "node", "left_anti")
+    known = known.select("node", F.col("node").alias("label"))
+    labels = materialize(known if labels is None else labels.union(known), "labels")
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    between = links.join(side("a"), "a").join(side("b"), "b").filter("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    moved = components(between).select(F.col("node").alias("label"), F.col("label").alias("further"))
+    return materialize(labels.join(moved, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+
+
 def _similar_size(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -168,13 +198,23 @@ def _rest(nodes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     apart = (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y"))
     enough = (100 + percent) * F.least("left_x", "left_y") >= percent * (F.col("n_x") + F.col("n_y"))
     met = x.join(y, (F.col("shingle_x") == F.col("shingle_y")) & apart & _similar_size(F.col("n_x"), F.col("n_y"), percent) & enough)
-    return met.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count("*").alias("met"))
+    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, matches: int = MATCHES, rounds: int = 3) -> DataFrame:
     """Per row of (doc_id, text): doc_id, n_shingles, component_id, kept, digest (the class) and row_key."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = materialize(_sets(docs), "shingle-sets")
+    with intermediates(docs.sparkSession, "shingle-sets", "components"):
+        base = materialize(_sets(docs), "shingle-sets")
+        # Written first, so that both sides of the join are dealt for it alone and a large group of copies can be split.
+        ids = materialize(_class_components(docs, base, percent, matches, rounds), "components")
+    found = base.select("doc_id", "row_key", "n_shingles", "digest").join(ids, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "digest", "row_key")
+
+
+def _class_components(docs: DataFrame, base: DataFrame, percent: int, matches: int, rounds: int) -> DataFrame:
+    """digest, component_id of every class: the smallest doc_id that its links reach."""
     named = base.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     first = materialize(named.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "classes")
     classes = named.join(first, ["digest", "doc_id"]).select(F.col("digest").alias("node"), F.col("n_shingles").alias("n"), "doc_id", "signature").dropDuplicates(["node"])
@@ -187,14 +227,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, matches: int = MATCHES,
     prefix = shared.filter(take > 0).select("node", "central", F.explode(F.slice("pairs", F.lit(1), take)).alias("p"))
     sizes = classes.select("node", "n", "doc_id")
     posts = materialize(prefix.select("node", "central", F.col("p.pair").alias("pair")).join(sizes, "node"), "posts")
-    full = materialize(_full_sets(docs, posts.select("doc_id", "node").distinct()), "full-sets")
-    linked = _confirm(matches, percent)
+    # Only posted classes are compared; their number is known before their texts are asked for.
+    nodes = materialize(posts.select("doc_id", "node").distinct(), "posted-classes")
+    full = materialize(_full_sets(docs, nodes), "full-sets")
+    signatures = materialize(classes.join(nodes.select("node"), "node", "left_semi").select("node", "signature"), "posted-signatures")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        side = lambda x: full.select(F.col("node").alias(x), F.col("signature").alias(f"sig_{x}"), F.col("shingles").alias(f"set_{x}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").filter(linked("sig_a", "sig_b", "set_a", "set_b")).select("a", "b")
-
-    edges, labels = None, None
+    labels = None
     lists = posts.select("pair", "node", "central", "n", F.col("node").alias("label"), F.lit(True).alias("fresh"))
     for k in range(rounds + 1):
         # A list is open while it has several components and a class that has not met all others.
@@ -208,28 +246,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, matches: int = MATCHES,
             pairs = _rest(lists.join(state.select("pair"), "pair").select("node", "n", "label").distinct(), full, percent)
         else:
             met = lists.join(state, "pair").filter((F.col("label") != F.col("hub.label")) & _similar_size(F.col("n"), F.col("hub.n"), percent))
-            pairs = met.groupBy(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).agg(F.count("*").alias("met"))
-        new = materialize(confirmed(pairs), "links")
-        edges = new if edges is None else edges.union(new)
-        labels = components(edges)
+            pairs = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+        near = materialize(retained(pairs, signatures, matches), "retained")
+        labels = merged(labels, materialize(confirmed(near, full, percent), "links"))
         if last:
             break
         used = state.select("pair", F.col("hub.node").alias("node"), F.lit(True).alias("used"))
         lists = lists.drop("label").join(labels, "node", "left").join(used, ["pair", "node"], "left")
         lists = materialize(lists.select("pair", "node", "central", "n", F.coalesce("label", "node").alias("label"), (F.col("fresh") & F.col("used").isNull()).alias("fresh")), "posts")
-    ids = first.select(F.col("digest").alias("node"), "doc_id")
-    if labels is not None:
-        in_groups = labels.join(ids, "node")
-        smallest = in_groups.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        grouped = labels.join(smallest, "label").select(F.col("node").alias("digest"), "component_id")
-        ids = first.join(grouped, "digest", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
-    else:
-        ids = first.withColumnRenamed("doc_id", "component_id")
-    # Written first, so that both sides of the join are dealt for it alone and a large group of copies can be split.
-    ids = materialize(ids, "components")
-    found = base.select("doc_id", "row_key", "n_shingles", "digest").join(ids, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "digest", "row_key")
+    if labels is None:
+        return first.select("digest", F.col("doc_id").alias("component_id"))
+    smallest = labels.join(first.select(F.col("digest").alias("node"), "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    grouped = labels.join(smallest, "label").select(F.col("node").alias("digest"), "component_id")
+    return first.join(grouped, "digest", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
