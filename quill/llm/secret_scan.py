@@ -76,12 +76,17 @@ def _opaque_spans(text: str, idents: _Intervals, endpoints: _Intervals) -> Itera
         yield from (("opaque", start + r.start(), start + r.end()) for r in runs if _MIXED.match(r[0]))
 
 
-def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int | None = 200) -> list[tuple[str, int, int]]:
-    """The weak parts that a complementary part makes credible. A weak part that touches a base span is part of it and is not reported."""
+def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Identifiers, endpoints and opaque strings. A weak part that touches a base span is part of it and is left out."""
     taken = _Intervals([(s, e) for _, s, e in base])
     weak = [(kind, m.start(), m.end()) for kind, pattern in (("ident", _IDENT), ("endpoint", _ENDPOINT)) for m in pattern.finditer(text)]
     weak += _opaque_spans(text, *(_Intervals([w[1:] for w in weak if w[0] == kind]) for kind in ("ident", "endpoint")))
-    weak = [w for w in weak if not taken.meets(w[1], w[2])]
+    return [w for w in weak if not taken.meets(w[1], w[2])]
+
+
+def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int | None = 200) -> list[tuple[str, int, int]]:
+    """The weak parts that a complementary part makes credible."""
+    weak = weak_parts(text, base)
     if not weak:
         return []
     cuts = [m.start() for m in _SCOPE_END.finditer(text)]

@@ -1,26 +1,30 @@
 """Operators against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quill.llm import containment, quality_rules
 from quill.llm.common import open_fs, scratch
-from quill.llm.importance import best_cut, importance_resample, kth_largest
-from quill.llm.language_id import Lattice, op3_language_id
+from quill.llm.importance import best_cut, importance_resample, kth_largest, labelled_sample, op4_importance
+from quill.llm.language_id import Lattice, identify, lattice_of, op3_language_id
 from quill.llm.minhash_dedup import near_duplicates, op6_minhash_dedup
 from quill.llm.packing import DotProductPacker, op2_packing
 from quill.llm.quality_rules import op8_quality_rules
 from quill.llm.registry import ORACLE_SQL, QUERIES
-from quill.llm.secret_scan import base_spans, linked_spans, op5_secret_scan, redact_secrets
-from quill.llm.separator_scan import op9_separator_scan, scan_token_files
+from quill.llm.secret_scan import base_spans, linked_spans, op5_secret_scan, redact_secrets, weak_parts
+from quill.llm.separator_scan import op9_separator_scan, scan_token_files, write_flat_files
 from quill.llm.token_arrow import TokenFile, op1_token_arrow, write_token_files
 from quill.llm.tokens import TextEncoder, vocabulary_path
 from quill.llm.warc_bundle import BundleReader, op7_warc_bundle, parse_records, write_warc_bundles
@@ -76,7 +80,8 @@ def test_op1_sequences_are_views(spark):
             assert len(values) == len(mask) == 8 and not values.flags.owndata and not mask.flags.owndata
             file.source.seek(0)
             mapped = file.source.read_buffer()  # the map itself
-            assert all(mapped.address <= x.ctypes.data < mapped.address + mapped.size for x in (values, mask))
+            assert mapped.address <= values.ctypes.data < mapped.address + mapped.size
+            assert mask.ctypes.data == file.sequence(k)[1].ctypes.data  # the dictionary's memory, whoever asks
             run += values[mask == 1].tolist()
         assert run == file.ids(0, row.n_ids).tolist()
 
@@ -130,8 +135,88 @@ def test_forward_sums_all_segmentations(word):
         return np.ones(2) if not text else sum(table[lattice.index[text[:n]]] * total(text[n:]) for n in range(1, len(text) + 1) if text[:n] in lattice.index)
 
     assert np.allclose(np.exp(lattice.log_probability([word], table)[0]), total("▁" + word))
-    used = lattice.expected_counts([word], [2], table[:, 0])
-    assert used.sum() >= 2 * 1
+
+    def segmentations(text):
+        if not text:
+            yield []
+        for n in range(1, len(text) + 1):
+            if text[:n] in lattice.index:
+                yield from ([lattice.index[text[:n]], *rest] for rest in segmentations(text[n:]))
+
+    expected = np.zeros(lattice.size)
+    every = [(np.prod(table[s, 0]), s) for s in segmentations("▁" + word)]
+    for p, pieces in every:
+        np.add.at(expected, pieces, 2 * p / sum(q for q, _ in every))
+    assert np.allclose(lattice.expected_counts([word], [2], table[:, 0]), expected)
+    assert np.allclose(lattice.expected_counts([word, "ab", word], [1, 3, 1], table[:, 0], held=1), expected + lattice.expected_counts(["ab"], [3], table[:, 0]))
+
+
+def test_op3_trains_on_words_of_any_length():
+    lattice = Lattice(["▁", "a", "b", "ab", "▁a", "ba", "aab"])
+    table = np.full(lattice.size, 1e-4)
+    used = lattice.expected_counts(["ab" * 5_000], [1], table)
+    sizes = np.array([0, *map(len, lattice.index)])
+    assert np.isclose(used @ sizes, 10_001) and np.isfinite(lattice.log_probability(["ab" * 5_000], table[:, None])).all()
+
+
+def test_op3_ties_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(1, "ab ab"), (2, "12")], "doc_id long, text string")
+    pieces = 1 + len(lattice_of(None).index)
+    got = {r.doc_id: r for r in identify(docs, ["aa", "bb"], np.vstack([np.log([[0.5, 0.5]]), np.full((pieces, 2), 1e-4)])).collect()}
+    assert (got[1].lang_pred, got[1].score, got[2].lang_pred) == ("aa", 0.5, "und")
+
+
+def test_op4_weights_by_force(spark, docs):
+    """Every weight, toxicity and draw of the query, from plain counts."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    sample = labelled_sample(labels, 30_000).toPandas().set_index("doc_id")
+    texts = dict(zip(docs["doc_id"], docs["text"]))
+    buckets = 1 << 17
+
+    def ngrams(text):
+        one = [int.from_bytes(xxhash.xxh3_64_digest(t), "little") for t in re.findall(r"\w+|[^\w\s]+", text or "")]
+        two = [(a * 0x9E3779B97F4A7C15 + b) % 2**64 for a, b in zip(one, one[1:])]
+        return one + [x ^ (x >> 32) for x in two]
+
+    found = {d: ngrams(t) for d, t in texts.items()}
+    raw = Counter(x % buckets for f in found.values() for x in f)
+    fitted = sample[~sample["held"]]
+    target = Counter(x % buckets for d in fitted.index[fitted["good"].eq(True)] for x in found[d])
+    n_raw, n_target = raw.total(), target.total()
+    p = lambda b: (raw[b] + 1) / (n_raw + buckets)
+    ratio = lambda b: math.log((target[b] + buckets * p(b)) / (n_target + buckets)) - math.log(p(b))
+    holds = {flag: Counter(x for d in fitted.index[fitted["toxic"] == flag] for x in set(found[d])) for flag in (True, False)}
+    n = {flag: int((fitted["toxic"] == flag).sum()) for flag in (True, False)}
+    excess = {}
+    for x, t in holds[True].items():
+        c = holds[False][x]
+        r = math.log((t + 0.5) / (n[True] + 1)) - math.log((c + 0.5) / (n[False] + 1))
+        if r - 2 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) > 1.5:
+            excess[x] = r
+    got = op4_importance(spark, SF).toPandas().set_index("doc_id")
+    toxicity = {d: sum(excess[x] for x in set(f) & set(excess)) for d, f in found.items()}
+    for d, f in found.items():
+        assert math.isclose(got.log_weight[d], sum(ratio(x % buckets) for x in f), rel_tol=1e-9, abs_tol=1e-6)
+        assert math.isclose(got.toxicity[d], toxicity[d], rel_tol=1e-9, abs_tol=1e-9)
+    held = sample[sample["held"]]
+    most = max(toxicity[d] for d in held.index[~held["toxic"].astype(bool)])
+    pool = got[got["toxicity"] <= most + 1e-9]
+    drawn = got[got["kept"]]
+    assert set(drawn.index) == set(pool["sample_key"].nlargest(len(drawn)).index)
+    noise = got["sample_key"] - got["log_weight"]
+    assert abs(noise.mean() - 0.5772) < 0.4 and abs(noise.std() - math.pi / math.sqrt(6)) < 0.4
+
+
+def test_op4_leaves_toxic_documents_out(spark):
+    rng = np.random.default_rng(1)
+    words, slurs = [f"word{i}" for i in range(500)], [f"slur{i}" for i in range(8)]
+    toxic = lambda i: i % 6 == 0
+    rows = [(i, " ".join([*rng.choice(words, 300), *(rng.choice(slurs, 3) if toxic(i) else [])])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(toxic(i))) for i in range(0, 600)], "doc_id long, quality int, toxic int")
+    got = importance_resample(docs, labels).toPandas().set_index("doc_id")["kept"]
+    assert got[[not toxic(i) for i in got.index]].mean() > 0.97 and got[[toxic(i) for i in got.index]].mean() < 0.05
+    assert importance_resample(docs, labels.filter("toxic = 0")).filter("toxicity > 0").isEmpty()
 
 
 def test_op4_kth_and_cut(spark):
@@ -193,6 +278,30 @@ def test_op5_links_whole_scopes_and_other_keys(spark):
     assert redact_secrets(frame).first().text == "[secret] " + "word " * 99 + "[secret]"
 
 
+PARTS = [
+    "client_id=web-7", "user: bob.x", "https://db.example.com/path", "cache.internal.net:6379", "aB3xY7zQaB3xY7zQaB3x", "0123456789abcdef", "AKIA" + "Z9" * 9,
+    "password=hunter22", "d" * 30, "plain words", "\n", "\n\n", "\n \t\n", "x" * 90, "word " * 30,
+]
+
+
+@given(st.lists(st.sampled_from(PARTS), max_size=14), st.sampled_from([None, 20, 200]))
+@settings(max_examples=300, deadline=None)
+def test_op5_links_as_all_pairs_do(parts, reach):
+    text = " ".join(parts)
+    base = base_spans(text)
+    weak = weak_parts(text, base)
+    is_secret = lambda s: s[0] in ("assign", "hex", "opaque")
+
+    def links(a, b):
+        first, second = sorted((a, b), key=lambda s: s[1])
+        if is_secret(a) == is_secret(b) or re.search(r"\n[ \t\r]*\n", text[first[1] : second[1]]):
+            return False
+        return reach is None or max(a[1], b[1]) - min(a[2], b[2]) < reach
+
+    expected = sorted({w for w in weak if any(links(w, other) for other in base + weak if other != w)}, key=lambda s: (s[1], s[0]))
+    assert sorted(linked_spans(text, base, reach), key=lambda s: (s[1], s[0])) == expected
+
+
 def test_op5_redacts(spark):
     frame = spark.createDataFrame([(1, "a token = abcdef0123 b", 5), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
     assert [(r.text, r.n_chars) for r in redact_secrets(frame).orderBy("doc_id").collect()] == [("a [secret] b", 12), ("clean", 5), (None, None)]
@@ -284,6 +393,39 @@ def test_op8(spark, docs):
     assert got.loc[good, "kept"].mean() > 0.8
 
 
+def test_op8_verdict_by_force(spark, docs):
+    """Fences from exact quartiles: a sketch of fewer values than it holds is exact, so every verdict must agree."""
+    got = op8_quality_rules(spark, SF).toPandas().merge(docs[["doc_id", "lang", "source", "text"]], on="doc_id")
+    lines = [max(1, sum(1 for x in t.split("\n") if WORDS.search(x))) for t in got["text"]]
+    got["dup_line_share"], got["repeat_share"] = got["n_dup_lines"] / lines, got["n_repeat_words"] / got["n_words"].clip(lower=1)
+    got["symbol_share"], got["mean_word_chars"] = got["n_symbols"] / got["word_chars"].clip(lower=1), got["word_chars"] / got["n_words"].clip(lower=1)
+    judged = got[got["n_words"] >= 20]
+
+    def fences(r, measure, spread):
+        pair = judged[(judged["lang"] == r.lang) & (judged["source"] == r.source)][measure]
+        lang = judged[judged["lang"] == r.lang][measure]
+        values = pair if len(pair) >= 50 else lang if len(lang) >= 50 else judged[measure]
+        low, high = np.quantile(values, [0.25, 0.75], method="inverted_cdf")
+        width = 3 * max(high - low, spread)
+        return low - width, high + width
+
+    for r in got.itertuples():
+        inside = all(getattr(r, m) <= fences(r, m, s)[1] for m, s in (("symbol_share", 0.01), ("dup_line_share", 0.1), ("repeat_share", 0.05), ("mean_word_chars", 0.6)))
+        inside = inside and r.mean_word_chars >= fences(r, "mean_word_chars", 0.6)[0]
+        assert r.kept == (not r.base_failed and (inside or r.n_words < 20)), r
+
+
+def test_op8_a_value_on_a_fence_is_kept(spark):
+    rows = [(i, " ".join(["word"] * 30 + [f"w{i}x{k}" for k in range(30)])) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("web")})
+    assert all(r.kept != r.base_failed for r in quality_rules.quality_rules(frame).collect())
+    counts = quality_rules._measured(quality_rules.base_counts(frame)).filter("doc_id = 0")
+    limits = quality_rules.adaptive_thresholds(quality_rules._measured(quality_rules.base_counts(frame)))
+    value, high = counts.first().symbol_share, limits.first().high_symbol_share
+    edge = counts.withColumn("symbol_share", F.lit(high)).join(limits, ["lang", "source"]).filter(F.col("symbol_share").between(F.col("low_symbol_share"), F.col("high_symbol_share")))
+    assert value < high and edge.count() == 1
+
+
 def test_op8_each_measure_alone_rejects(spark, monkeypatch):
     rng = np.random.default_rng(3)
     fresh = lambda n, chars=5: ["".join(rng.choice(list("abcdefgh"), chars)) for _ in range(n)]
@@ -332,6 +474,15 @@ def test_op10_counts_only_pairs_that_the_search_finds(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in containment.contained_items(docs, items, broadcast_bytes=0).collect()} == found
 
 
+def test_op9_counts_texts_that_spell_the_separator(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "", None, "plain"]
+    path = scratch(spark, "t")
+    order = write_flat_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    got = {r.doc_id: r.n_tokens for r in order.join(scan_token_files(spark, f"{path}/flat", block_ids=3), ["file", "ordinal"]).collect()}
+    encoder = TextEncoder(vocabulary_path(), special_as_text=True)
+    assert got == {i: len(encoder.encode_many([t], 1)[0]) // 2 for i, t in enumerate(texts)} and got[0] > 4 and got[2] == got[3] == 1
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 100])
 def test_op9_stitches_blocks(spark, block):
     run = np.array([5, 9, 9, 7, 9, 1, 2, 3, 4, 5, 6, 9, 8, 8], "<u2")
