@@ -101,8 +101,8 @@ def _coordinates(signatures: pd.Series) -> pd.Series:
     return signatures.map(lambda b: np.frombuffer(b, "<u4").astype(np.int64) | place)
 
 
-def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles for the classes in nodes (node, doc_id), from their first documents' texts."""
+def _full_sets(docs: DataFrame, nodes: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """node, shingles for the classes in nodes (node, doc_id; a written table), from their first documents' texts. Nodes go to the texts while their counted rows, at 64 bytes each, are within broadcast_bytes; beyond that both are shuffled."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -112,7 +112,8 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             keep = [i for i, (a, b) in enumerate(zip(node, batch.column(0).to_pylist())) if a == b]
             yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in keep], pa.binary()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["node", "shingles"])
 
-    rows = docs.join(nodes, "doc_id").select("node", "text")
+    small = 64 * nodes.count() <= broadcast_bytes
+    rows = docs.join(F.broadcast(nodes) if small else nodes, "doc_id").select("node", "text")
     return rows.mapInArrow(work, "node binary, shingles binary")
 
 
