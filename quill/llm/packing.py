@@ -99,10 +99,10 @@ class DotProductPacker:
         self.bin += 1
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 256, max_loss: int = 2048, window: int = 512) -> DataFrame:
-    """Packs every whole text of (doc_id, text) with end_id appended; a row a piece. A sequence_id holds the partition's number in its high bits, so ids need no agreement between tasks."""
+def _packed(rows: DataFrame, examples: Callable, end_id: int, vocabulary: str | None, limits: tuple[int, int, int], window: int) -> DataFrame:
+    """Packs what examples(encoder, batch) gives of each Arrow batch: (doc_id, ids, loss mask or None). A sequence_id holds the partition's number in its high bits, so ids need no agreement between tasks."""
     vocabulary = vocabulary or vocabulary_path()
-    if min(max_tokens, max_segments, max_loss) < 1:
+    if min(limits) < 1:
         raise ValueError("the limits must be positive")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,17 +118,41 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int =
             rows.clear()
             return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PIECES.split(", ")])
 
-        packer = DotProductPacker(place, max_tokens, max_segments, max_loss, window)
+        packer = DotProductPacker(place, *limits, window)
         for batch in slices(batches, 256):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(batch.column(1).to_pylist(), end_id)):
-                packer.add((doc_id, ids), len(ids) // 2)
+            for doc_id, ids, loss in examples(encoder, batch):
+                packer.add((doc_id, ids), len(ids) // 2, loss)
             if rows:
                 yield taken()
         packer.finish()
         if rows:
             yield taken()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, PIECES)
+    return rows.mapInArrow(pack, PIECES)
+
+
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 256, max_loss: int = 2048, window: int = 512) -> DataFrame:
+    """Packs every whole text of (doc_id, text) with end_id appended; a row a piece. Every token but a segment's first bears loss, so of the limits it is that on tokens that binds."""
+
+    def examples(encoder: TextEncoder, batch: pa.RecordBatch):
+        return ((d, ids, None) for d, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(batch.column(1).to_pylist(), end_id)))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _packed(rows, examples, end_id, vocabulary, (max_tokens, max_segments, max_loss), window)
+
+
+def pack_conversations(turns: DataFrame, learned: tuple[str, ...] = ("assistant",), vocabulary: str | None = None, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 64, max_loss: int = 1024, window: int = 512, most_turns: int = 256) -> DataFrame:
+    """Packs instruction data, (conv_id, turn, role, text): a conversation's turns in order, each closed by end_id, are one example, of which the tokens of learned roles bear loss. A row a piece, doc_id being the conv_id. Turns are gathered by most_turns turn numbers, so a longer conversation is several examples. Null text is an empty turn; a null turn comes first."""
+
+    def examples(encoder: TextEncoder, batch: pa.RecordBatch):
+        for conv_id, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            coded = encoder.encode_many([t["text"] for t in said], end_id)
+            loss = np.repeat([t["role"] in learned for t in said], [len(c) // 2 for c in coded])
+            yield conv_id, b"".join(coded), loss
+
+    said = F.array_sort(F.collect_list(F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))))
+    rows = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id"), F.floor(F.col("turn") / most_turns).alias("part")).agg(said.alias("said")).select("conv_id", "said")
+    return _packed(rows, examples, end_id, vocabulary, (max_tokens, max_segments, max_loss), window)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

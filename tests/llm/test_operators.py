@@ -20,7 +20,7 @@ from quill.llm.common import open_fs, scratch
 from quill.llm.importance import best_cut, importance_resample, kth_largest, labelled_sample, op4_importance
 from quill.llm.language_id import Lattice, identify, lattice_of, op3_language_id
 from quill.llm.minhash_dedup import near_duplicates, op6_minhash_dedup
-from quill.llm.packing import DotProductPacker, op2_packing
+from quill.llm.packing import DotProductPacker, op2_packing, pack_conversations
 from quill.llm.quality_rules import op8_quality_rules
 from quill.llm.registry import ORACLE_SQL, QUERIES
 from quill.llm.secret_scan import base_spans, linked_spans, op5_secret_scan, redact_secrets, weak_parts
@@ -118,6 +118,58 @@ def test_packer_keeps_every_limit(examples, segments, loss):
         assert sum(p[1] for p in pieces) <= 40 and len(pieces) <= segments and sum(p[2] for p in pieces) <= loss
 
 
+def largest_first(examples, max_tokens, max_segments, max_loss):
+    """Bins of whole examples, each put into the first that holds it, by descending tokens."""
+    bins = []
+    for n, loss in sorted(examples, reverse=True):
+        for b in bins:
+            if b[0] + n <= max_tokens and b[1] + 1 <= max_segments and b[2] + loss <= max_loss:
+                b[0], b[1], b[2] = b[0] + n, b[1] + 1, b[2] + loss
+                break
+        else:
+            bins.append([n, 1, loss])
+    return len(bins)
+
+
+def test_op2_every_limit_binds_and_the_heuristic_balances():
+    rng = np.random.default_rng(8)
+    for limits in ((2048, 256, 700), (2048, 6, 2048), (2048, 8, 900)):
+        examples = [(int(n), int(n * share)) for n, share in zip(rng.integers(40, 700, 900), rng.choice([0.05, 0.9], 900))]
+        placed = []
+        packer = DotProductPacker(lambda *x: placed.append(x), *limits, window=300)
+        for k, (n, loss) in enumerate(examples):
+            packer.add(k, n, np.arange(n) < loss)
+        packer.finish()
+        sums = {}
+        for _, _, length, b, _, loss in placed:
+            t = sums.setdefault(b, [0, 0, 0])
+            t[0], t[1], t[2] = t[0] + length, t[1] + 1, t[2] + loss
+        assert all(x <= y for t in sums.values() for x, y in zip(t, limits))
+        assert any(t[0] < 2048 and (t[1] == limits[1] or t[2] >= limits[2] - 1) for t in sums.values())  # another limit was reached first
+        assert len(sums) <= largest_first(examples, *limits)
+
+
+def test_op2_conversations(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary_path())
+    ids, loss = {}, {}
+    for r in turns.orderBy("conv_id", "turn").collect():
+        coded = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1]
+        ids.setdefault(r.conv_id, []).extend(coded)
+        loss.setdefault(r.conv_id, []).extend([r.role == "assistant"] * len(coded))
+    limits = {"max_tokens": 512, "max_segments": 4, "max_loss": 300}
+    got = pack_conversations(turns, **limits).toPandas()
+    for r in got.itertuples():
+        assert crc(ids[r.doc_id][r.start : r.start + r.length]) == r.ids_crc32 and sum(loss[r.doc_id][r.start : r.start + r.length]) == r.loss_tokens
+    assert got.groupby("doc_id")["length"].sum().to_dict() == {c: len(v) for c, v in ids.items()}
+    sums = got.groupby("sequence_id").agg(tokens=("length", "sum"), segments=("length", "size"), loss=("loss_tokens", "sum"))
+    assert sums["tokens"].max() <= 512 and sums["segments"].max() <= 4 and 290 <= sums["loss"].max() <= 300
+    odd = spark.createDataFrame([(1, None, None, None), (1, 0, "assistant", "hi"), (None, 2, "user", "")], "conv_id long, turn int, role string, text string")
+    assert pack_conversations(odd).agg({"length": "sum"}).first()[0] >= 4 and pack_conversations(odd.limit(0)).isEmpty()
+
+
 def test_op3(spark, docs):
     got = op3_language_id(spark, SF).toPandas().merge(docs[["doc_id", "lang", "text"]], on="doc_id")
     assert (got["held_out"] == [zlib.crc32(str(d).encode()) % 5 == 0 for d in got["doc_id"]]).all()
