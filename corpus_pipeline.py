@@ -1,10 +1,17 @@
-"""A training-data pipeline over `documents`: each stage takes what the one before it kept."""
+"""A training-data pipeline over `documents`: each stage takes what the one before it kept.
+
+Null and empty texts pass every filter (no n-grams, no shingles, no secrets) and are packed
+as the end id alone; a null doc_id is never a near-duplicate of anything. Repeated rows are
+decided alike, but for near-duplicates, where rows of one doc_id are one document. Further
+columns pass through. Empty tables give no rows; without labels nothing is rejected by the
+first stage, without benchmark items nothing by the third.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quill.llm.common import materialize, table, without
+from quill.llm.common import intermediates, materialize, table, without
 from quill.llm.containment import contained_items
 from quill.llm.importance import importance_resample
 from quill.llm.minhash_dedup import near_duplicates
@@ -13,7 +20,7 @@ from quill.llm.secret_scan import redact_secrets
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling does not draw go."""
+    """Documents that importance resampling does not draw go, toxic ones among them."""
     return without(docs, importance_resample(docs, table(spark, sf_dir, "labels")).filter("not kept"))
 
 
@@ -45,7 +52,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Tokenizing and seeded sampling are beyond SQL; tests/llm/test_pipeline.py runs a brute-force version.
+#: Tokenizing and seeded sampling are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force on its own input.
 ORACLE_SQL = None
 
 
@@ -53,5 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each result is written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with intermediates(spark, name):
+            docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
