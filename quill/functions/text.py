@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The forms of tags, list markers, page references and sentence ends that texts are read by.
 #: A tag: slash, name, attributes, trailing slash.
 TAG = r"(?U)<\s*(/?)\s*([A-Za-z][\w.-]*)([^<>]*?)(/?)\s*>"
 #: A list marker: a bullet, or an ordinal of up to four characters.
@@ -101,13 +102,32 @@ def first_line_label(text: Column, default: str = "Untitled") -> Column:
 
 
 def join_lines(lines: Column) -> Column:
-    """Lines joined by spaces; a hyphen at a line's end between lower-case letters goes."""
+    """Lines joined by spaces, leading empty ones left out; a hyphen at a line's end between lower-case letters goes. Each seam is decided by the two lines that meet there."""
+    first = F.array_position(F.transform(lines, lambda t: t != ""), True).cast("int")
+    rest = lambda k: F.slice(lines, first + k, F.greatest(F.size(lines) - first + 1 - k, F.lit(0)))
 
-    def step(so_far: Column, line: Column) -> Column:
-        wraps = so_far.rlike(r"[a-z]-\z") & line.rlike(r"\A\p{Ll}")
-        return F.when(so_far == "", line).when(wraps, F.concat(F.substring(so_far, F.lit(1), F.length(so_far) - 1), line)).otherwise(F.concat(so_far, F.lit(" "), line))
+    def seam(line: Column, following: Column) -> Column:
+        wraps = line.rlike(r"[a-z]-\z") & following.rlike(r"\A\p{Ll}")
+        return F.when(following.isNull(), line).when(wraps, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(F.concat(line, F.lit(" ")))
 
-    return F.aggregate(lines, F.lit(""), step)
+    return F.when(first > 0, F.array_join(F.zip_with(rest(0), rest(1), seam), "")).otherwise("")
+
+
+def ascii_only(text: Column) -> Column:
+    """Without characters beyond ASCII, and without white space at the ends."""
+    return strip(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
+
+
+def indent_of(text: Column, at: Column) -> Column:
+    """The blanks that the line of a 0-based offset begins with."""
+    before = F.substring_index(F.substring(text, F.lit(1), at.cast("int")), "\n", -1)
+    line = F.concat(before, F.substring_index(F.substring(text, at.cast("int") + 1, F.length(text)), "\n", 1))
+    return F.regexp_extract(line, r"\A[ \t]*", 0)
+
+
+def bare_paragraph(text: Column) -> Column:
+    """Plain text as a paragraph, white space collapsed; null for blank text."""
+    return F.when(collapse(text) != "", F.concat(F.lit("<para>"), escape_html(collapse(text)), F.lit("</para>")))
 
 
 def download_name(name: Column, default: str = "cropped") -> Column:

@@ -66,15 +66,37 @@ def area(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.greatest(zero, x1 - x0) * F.greatest(zero, y1 - y0)
 
 
-def best_overlap(clips: DataFrame, images: DataFrame, key: str, least_sum: float = 0.9, least_clip: float = 0.25) -> DataFrame:
-    """For each clip the image of its key that overlaps it most (the first by image_id of equals), if it has least_sum of all overlap and covers least_clip of the clip."""
-    shared = area(F.greatest("x0", "ix0"), F.greatest("y0", "iy0"), F.least("x1", "ix1"), F.least("y1", "iy1"))
-    met = clips.join(images, key).withColumn("overlap", shared).filter("overlap > 0").withColumn("clip", area(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
+def best_overlap(clips: DataFrame, images: DataFrame, key: str, least_sum: float = 0.9, least_clip: float = 0.25, tile: float = 64.0) -> DataFrame:
+    """For each clip the image of its key that overlaps it most (the first by image_id of equals), if it has least_sum of all overlap and covers least_clip of the clip. Both sides are cut into square tiles, so rectangles meet by (key, tile); a pair counts in the tile of its overlap's top left corner alone."""
+
+    def tiled(rows: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
+        place = lambda c: F.floor(F.col(c) / tile)
+        full = rows.filter((F.col(x1) > F.col(x0)) & (F.col(y1) > F.col(y0)))
+        return full.withColumn("tx", F.explode(F.sequence(place(x0), place(x1)))).withColumn("ty", F.explode(F.sequence(place(y0), place(y1))))
+
+    left, top = F.greatest("x0", "ix0"), F.greatest("y0", "iy0")
+    met = tiled(clips, "x0", "y0", "x1", "y1").join(tiled(images, "ix0", "iy0", "ix1", "iy1"), [key, "tx", "ty"])
+    met = met.filter((F.floor(left / tile) == F.col("tx")) & (F.floor(top / tile) == F.col("ty")))
+    met = met.withColumn("overlap", area(left, top, F.least("x1", "ix1"), F.least("y1", "iy1"))).filter("overlap > 0").withColumn("clip", area(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
     best = met.groupBy("clip_id").agg(F.sum("overlap").alias("total"), F.max("clip").alias("clip"), F.max(F.struct(F.col("overlap").alias("o"), (-F.col("image_id")).alias("i"))).alias("best"))
     good = (F.col("best.o") >= least_sum * F.col("total")) & (F.col("best.o") >= least_clip * F.col("clip"))
     return best.filter(good).select("clip_id", (-F.col("best.i")).alias("image_id"), F.col("best.o").alias("overlap"))
 
 
+def crop_box(x0: Column, y0: Column, x1: Column, y1: Column, image: dict[str, Column], width: Column, height: Column) -> Column:
+    """A region in points as a box of an embedded image's pixels: struct (x0, y0, x1, y1), null for an image that is turned, mirrored or masked, or where nothing is left. `image`: its box in points (x0, y0, x1, y1), the off-diagonal of its transform (skew) and whether it has a soft mask (masked). Starts are cut, ends rounded to whole pixels."""
+    per_x, per_y = width / (image["x1"] - image["x0"]), height / (image["y1"] - image["y0"])
+    left, top = F.floor((F.greatest(x0, image["x0"]) - image["x0"]) * per_x), F.floor((F.greatest(y0, image["y0"]) - image["y0"]) * per_y)
+    right, bottom = F.floor((F.least(x1, image["x1"]) - image["x0"]) * per_x + 0.5), F.floor((F.least(y1, image["y1"]) - image["y0"]) * per_y + 0.5)
+    fine = (image["skew"] == 0) & ~image["masked"] & (per_x > 0) & (per_y > 0) & (right > left) & (bottom > top)
+    return F.when(fine, F.struct(left.cast("int").alias("x0"), top.cast("int").alias("y0"), right.cast("int").alias("x1"), bottom.cast("int").alias("y1")))
+
+
+def page_counts(layout: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """id, n_pages of a layout (id, page)."""
+    return layout.groupBy(id_column).agg(F.count_distinct("page").alias("n_pages"))
+
+
 def clamp_zoom(width: Column, height: Column, zoom: Column, max_megapixels: float | None) -> Column:
     """The zoom, or what keeps a raster within the ceiling."""
     if not max_megapixels:

@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -43,16 +43,28 @@ def idle_sessions(events: DataFrame, key: str, at: str, idle_seconds: float) ->
 
 
 def merge_continuations(base: DataFrame, more: DataFrame, key: str = "token") -> DataFrame:
-    """Items of a later page appended to a saved result of the same key and kind; `merged` is false where either has none or the kinds differ, and the base stays."""
-    other = more.select(key, F.col("kind").alias("more_kind"), F.col("items").alias("more_items"))
+    """A later page's items (and regions, where both sides have them) appended to a saved result of the same key and kind; `merged` is false where either has none or the kinds differ, and the base stays. Other columns are the base's; `xml` is put together anew from the items."""
+    lists = [c for c in ("items", "regions") if c in base.columns and c in more.columns]
+    other = more.select(key, F.col("kind").alias("more_kind"), *[F.col(c).alias(f"more_{c}") for c in lists])
     ok = (F.col("kind") == F.col("more_kind")) & (F.size("items") > 0) & (F.size("more_items") > 0)
     rows = base.join(other, key, "left").withColumn("merged", F.coalesce(ok, F.lit(False)))
-    return rows.select(key, "kind", F.when(F.col("merged"), F.concat("items", "more_items")).otherwise(F.col("items")).alias("items"), "merged")
+    joined = [F.when(F.col("merged"), F.concat(c, f"more_{c}")).otherwise(F.col(c)).alias(c) for c in lists]
+    rows = rows.select(*[c for c in base.columns if c not in (*lists, "xml")], *joined, "merged")
+    return rows.withColumn("xml", wrapped(F.col("kind"), F.col("items"))) if "xml" in base.columns else rows
 
 
-def lost_words(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
-    """key, n_lost: how many words, as a multiset, of `old` (an array) are missing from `new`. 0 means that a repair may stand."""
-    side = lambda c, sign: pairs.select(key, F.explode(c).alias("word"), F.lit(sign).alias("sign"))
-    counts = side("old", 1).unionAll(side("new", -1)).groupBy(key, "word").agg(F.sum("sign").alias("n"))
-    lost = counts.groupBy(key).agg(F.sum(F.greatest("n", F.lit(0))).alias("n_lost"))
-    return pairs.select(key).join(lost, key, "left").select(key, F.coalesce("n_lost", F.lit(0)).alias("n_lost"))
+def wrapped(kind: Column, items: Column) -> Column:
+    """Items as one fragment: paragraphs on lines of their own, list items inside a list."""
+    text = F.array_join(items, "\n")
+    in_list = lambda name: F.concat(F.lit(f"<{name}>\n"), text, F.lit(f"\n</{name}>"))
+    return F.when(kind == "orderedlist", in_list("orderedlist")).when(kind.isin("list", "itemizedlist"), in_list("itemizedlist")).otherwise(text)
+
+
+def lost_words(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair_id, n_lost for each of pairs (pair_id, old, new): how many words of text `old`, as a multiset, text `new` lacks, from words (text_id, word). 0 means that a repair may stand. Words are counted for each text before they are dealt to pairs."""
+    counts = words.groupBy("text_id", "word").agg(F.count("*").alias("n"))
+    sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.col("old").alias("text_id"), F.lit(1).alias("sign")), F.struct(F.col("new").alias("text_id"), F.lit(-1).alias("sign")))).alias("s"))
+    dealt = sides.select("pair_id", "s.text_id", "s.sign").join(counts, "text_id")
+    left = dealt.groupBy("pair_id", "word").agg(F.sum(F.col("n") * F.col("sign")).alias("n"))
+    lost = left.groupBy("pair_id").agg(F.sum(F.greatest("n", F.lit(0))).alias("n_lost"))
+    return pairs.select("pair_id").join(lost, "pair_id", "left").select("pair_id", F.coalesce("n_lost", F.lit(0)).alias("n_lost"))

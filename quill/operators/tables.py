@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quill.functions.text import escape_html
+from quill.functions.text import collapse, escape_html
 
 
 def row_widths(cells: DataFrame, key: str = "table_id") -> DataFrame:
-    """key, row, width. A cell of (row, colspan, rowspan) adds its colspan to each row it reaches, so a row's width is a sum over the rows its cells cover, and no state runs down the table. Only rows that have cells count."""
-    covered = cells.select(key, F.col("row").alias("from"), "colspan", F.explode(F.sequence(F.col("row"), F.col("row") + F.greatest("rowspan", F.lit(1)) - 1)).alias("row"))
-    widths = covered.groupBy(key, "row").agg(F.sum("colspan").alias("width"), F.max((F.col("from") == F.col("row")).cast("int")).alias("own"))
-    return widths.filter("own = 1").drop("own")
+    """key, row, width. A cell of (row, colspan, rowspan) adds its colspan at its own row and takes it back below the last row it reaches; a row's width is the running sum, so a rowspan costs two numbers whatever its size. Only rows that have cells count."""
+    below = F.col("row") + F.greatest("rowspan", F.lit(1))
+    steps = F.array(F.struct(F.col("row").cast("long").alias("row"), F.col("colspan").cast("long").alias("step"), F.lit(1).alias("own")), F.struct(below.cast("long").alias("row"), (-F.col("colspan")).cast("long").alias("step"), F.lit(0).alias("own")))
+    row_type = cells.schema["row"].dataType
+    rows = cells.select(key, F.explode(steps).alias("s")).groupBy(key, F.col("s.row").alias("row")).agg(F.sum("s.step").alias("step"), F.max("s.own").alias("own"))
+    upto = Window.partitionBy(key).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("width", F.sum("step").over(upto)).filter("own = 1").select(key, F.col("row").cast(row_type).alias("row"), "width")
 
 
 def table_layout(cells: DataFrame, key: str = "table_id", declared: DataFrame | None = None) -> DataFrame:
@@ -36,6 +39,23 @@ def build_tables(cells: DataFrame, key: str = "table_id") -> DataFrame:
     return parts.select(key, F.concat(F.lit('<informaltable frame="box" rules="all">'), head, F.lit("<tbody>"), "body", F.lit("</tbody></informaltable>")).alias("xml"))
 
 
+def emit_rows(cells: DataFrame, key: str = "table_id") -> DataFrame:
+    """key, head, body: arrays of row markup from (row, col, is_header, text, colspan, rowspan), white space collapsed, spans over 1 as attributes. Rows without text go; the first rows that are all header cells are the head if another row follows."""
+    said = F.concat(F.lit("<para>"), escape_html(collapse(F.coalesce("text", F.lit("")))), F.lit("</para>"))
+    span = lambda name: F.when(F.col(name) > 1, F.concat(F.lit(f' {name}="'), name, F.lit('"'))).otherwise("")
+    tag = F.when(F.col("is_header"), "th").otherwise("td")
+    cell = F.concat(F.lit("<"), tag, span("colspan"), span("rowspan"), F.lit(">"), said, F.lit("</"), tag, F.lit(">"))
+    rows = cells.withColumn("cell", F.struct("col", cell.alias("xml"))).groupBy(key, "row").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("cell")), lambda c: c["xml"]), "").alias("xml"), F.bool_and("is_header").alias("head"), F.max(collapse(F.coalesce("text", F.lit(""))) != "").alias("filled")
+    )
+    down = Window.partitionBy(key).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.filter("filled").withColumn("head", F.min("head").over(down)).withColumn("bodies", F.count_if(~F.col("head")).over(Window.partitionBy(key)))
+    row = F.struct("row", F.concat(F.lit("<tr>"), "xml", F.lit("</tr>")).alias("xml"))
+    is_head = F.col("head") & (F.col("bodies") > 0)
+    part = lambda when: F.transform(F.array_sort(F.collect_list(F.when(when, row))), lambda r: r["xml"])
+    return rows.groupBy(key).agg(part(is_head).alias("head"), part(~is_head).alias("body"))
+
+
 def reliable_header(spans: DataFrame, key: str = "table_id") -> DataFrame:
     """key, has_header: at least two rows, over half of the first row's non-blank spans bold, none of the second's. Bold is the flag alone; a row without spans has no share."""
     share = F.avg(F.when(F.trim("text") != "", (F.col("flags").bitwiseAND(16) != 0).cast("int")))
