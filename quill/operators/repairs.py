@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quill.functions.text import plain_words
+from quill.functions.text import TAG, plain_words
+from quill.operators.findings import SPEC
+from quill.operators.tags import matched, translate_inline
 
 
 def _head(n: Column) -> Column:
@@ -16,61 +18,187 @@ def _tail(n: Column) -> Column:
     return F.substring(F.col("text"), n.cast("int") + 1, F.length("text"))
 
 
+def _cut(start: Column, end: Column) -> Column:
+    return F.substring(F.col("text"), start.cast("int") + 1, (end - start).cast("int"))
+
+
+def _line_before(at: Column) -> Column:
+    """What stands on an offset's line before it."""
+    return F.substring_index(_head(at), "\n", -1)
+
+
+def _indent(at: Column) -> Column:
+    return F.regexp_extract(_line_before(at), r"\A[ \t]*", 0)
+
+
+def _whole_lines(start: Column, end: Column) -> tuple[Column, Column, Column]:
+    """An element's span with its lines' blanks and line end, and whether nothing but blanks stands before it on its line."""
+    before = _line_before(start)
+    alone = F.trim(F.replace(before, F.lit("\t"), F.lit(" "))) == ""
+    ends_line = _cut(end, end + 1) == "\n"
+    return F.when(alone, start - F.length(before)).otherwise(start), F.when(alone & ends_line, end + 1).otherwise(end), alone & ends_line
+
+
+def _option(label: str, when: Column, cut_from: Column, cut_to: Column, at: Column, inserted: Column) -> Column:
+    """A repair is one cut and one insertion outside it or at its place."""
+    before = F.concat(_head(at), inserted, _cut(at, cut_from), _tail(cut_to))
+    after = F.concat(_head(cut_from), _cut(cut_to, at), inserted, _tail(at))
+    text = F.when(at <= cut_from, before).when(at >= cut_to, after)
+    return F.when(when, F.struct(F.lit(label).alias("label"), text.alias("new_text")))
+
+
+def keeps_words(old: Column, new: Column) -> Column:
+    """Whether an array of words has all words of another, each as often: in the sorted union of both, with the new ones first, no prefix of equal words has more old ones than new."""
+    side = lambda words, k: F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(k).alias("k")))
+    both = F.array_sort(F.concat(side(new, 0), side(old, 1)))
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("left"), F.lit(True).alias("ok"))
+
+    def step(state: Column, x: Column) -> Column:
+        left = F.when(state["w"] == x["w"], state["left"]).otherwise(0) + F.when(x["k"] == 0, 1).otherwise(-1)
+        return F.struct(x["w"].alias("w"), left.alias("left"), (state["ok"] & (left >= 0)).alias("ok"))
+
+    return F.aggregate(both, start, step)["ok"]
+
+
+def _places(rows: DataFrame, tags: DataFrame, id_column: str) -> DataFrame:
+    """Findings with the places that repairs need: the element's end, its list's close, the last item's and section's close before it, the next section and block tag, and the root section."""
+    pairs = matched(tags, id_column)
+    by = lambda prefix, start: pairs.select(id_column, F.col("start").alias(start), F.col("p_start").alias(f"{prefix}_close"), F.col("p_end").alias(f"{prefix}_end"))
+    rows = rows.join(by("el", "el_start"), [id_column, "el_start"], "left").join(by("list", "list_start"), [id_column, "list_start"], "left").join(by("section", "section_start"), [id_column, "section_start"], "left")
+    own = Window.partitionBy(id_column).orderBy("start")
+    before, ahead = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(1, Window.unboundedFollowing)
+    latest = lambda name: F.last(F.when((F.col("name") == name) & F.col("is_close"), F.col("start")), True).over(before)
+    following = lambda hit: F.first(F.when(hit, F.struct("start", "name", "is_close", "is_self")), True).over(ahead)
+    opens_section = (F.col("name") == "section") & ~F.col("is_close") & ~F.col("is_self")
+    around = tags.select(
+        id_column, "start", latest("listitem").alias("item_before"), latest("section").alias("section_before"),
+        following(opens_section)["start"].alias("next_section"), following(~F.col("name").isin(*BLOCK_INLINE)).alias("block"),
+    )
+    rows = rows.join(around, [id_column, "start"], "left")
+    first = pairs.join(tags.filter(opens_section).groupBy(id_column).agg(F.min("start").alias("start")), [id_column, "start"]).filter("name = 'section'")
+    return rows.join(first.select(id_column, F.col("start").alias("root_start"), F.col("end").alias("root_open"), F.col("p_start").alias("root_close"), F.col("p_end").alias("root_end")), id_column, "left")
+
+
+#: Fixed value: what does not end an unclosed paragraph or title.
+BLOCK_INLINE = ["emphasis", "guilabel", "guibutton", "xref", "indexterm", "primary", "secondary"]
+
+
 def suggest_fixes(docs: DataFrame, findings: DataFrame, tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """A row for each option of a repairable finding: id, code, start, label, new_text. Options: delete a stray close (with its line if it stands alone there); close an unclosed paragraph or title before the next block tag or at the end; close a section before the next section or at the end. Those that lose words of the text are dropped."""
-    rows = findings.filter("fix is not null").join(docs.select(id_column, "text"), id_column)
-    inline = ["emphasis", "guilabel", "guibutton", "xref", "indexterm"]
-    ahead = Window.partitionBy(id_column).orderBy("start").rowsBetween(1, Window.unboundedFollowing)
-    following = lambda hit: F.first(F.when(hit, F.col("start")), True).over(ahead)
-    next_tags = tags.select(id_column, "start", following(~F.col("name").isin(inline)).alias("block"), following(F.col("name") == "section").alias("section"))
-    rows = rows.join(next_tags, [id_column, "start"])
-    length = F.length("text")
+    """A row for each option of a repairable finding: id, code, start, label, new_text. A finding's `fix` names the kind of repair; a kind without options (unwrap-from-para) gives none. Elements that fill their lines are moved with their lines, others as they stand. Options that lose a word of the text are dropped."""
+    rows = findings.filter("fix is not null")
+    rows = rows.select(id_column, "start", "end", "tag", "code", "fix", *[F.col(c) if c in findings.columns else F.lit(None).cast("long").alias(c) for c in SPEC])
+    rows = _places(rows, tags, id_column).join(docs.select(id_column, "text"), id_column)
+    length, start, end = F.length("text"), F.col("start"), F.col("end")
+    is_ = lambda *kinds: F.col("fix").isin(*kinds)
+    has = lambda c: F.col(c).isNotNull()
+    el_start, el_end = F.col("el_start"), F.coalesce("el_end", length)
+    element = _cut(el_start, el_end)
+    lines_from, lines_to, lines = _whole_lines(el_start, el_end)
+    indent = _indent(el_start)
+    nl, two = F.lit("\n"), F.lit("  ")
+
+    def wrapped(name: str, inner: Column) -> Column:
+        block = F.concat(indent, F.lit(f"<{name}>\n"), indent, two, inner, nl, indent, F.lit(f"</{name}>\n"))
+        return F.when(lines, block).otherwise(F.concat(F.lit(f"<{name}>"), element, F.lit(f"</{name}>")))
+
+    above, item_indent = F.col("item_before"), _indent(F.col("item_before"))
+    below = F.concat(nl, _indent(F.col("list_close")), element)
+    text = _cut(F.col("text_start"), F.col("text_end"))
+    lead, trail = F.length(F.regexp_extract(text, r"(?U)\A\s*", 0)), F.length(F.regexp_extract(text, r"(?U)\s*\z", 0))
+    words_from, words_to = F.col("text_start") + lead, F.col("text_end") - trail
+    # A run of late content ends before the next section or where its own section closes.
+    stop = F.coalesce(F.least(F.col("next_section"), F.coalesce("section_close", length)), F.coalesce("section_close", length))
+    run = F.regexp_replace(_cut(el_start, stop), r"\s+\z", "")
+    run_from, run_to, run_lines = _whole_lines(el_start, el_start + F.length(run))
+    section_indent = _indent(F.col("section_start"))
+    new_section = F.concat(section_indent, F.lit("  <section>\n"), section_indent, F.lit("    <title>Untitled section</title>\n"), section_indent, F.lit("    "), run, nl, section_indent, F.lit("  </section>\n"))
+    late = is_("content-after-subsection") & has("section_start") & (run != "")
+    # A repair of an unclosed tag goes before the blanks in front of the next block.
+    before_block = F.length(F.regexp_replace(_head(F.coalesce(F.col("block.start"), length)), r"(?U)\s+\z", ""))
+    twice = (F.col("block.name") == F.col("tag")) & ~F.col("block.is_close") & ~F.col("block.is_self") & (F.trim(F.regexp_replace(_cut(end, F.col("block.start")), r"(?U)\s+", "")) == "")
+    tag_from, tag_to, _ = _whole_lines(start, end)
+    after_opener = end + F.length(F.regexp_extract(_tail(end), r"\A[ \t\n]*", 0))
     close = F.concat(F.lit("</"), "tag", F.lit(">"))
-    head, tail = _head(F.col("start")), _tail(F.col("end"))
-    alone = head.rlike(r"(?:\A|\n)[ \t]*\z") & tail.rlike(r"\A[ \t]*(?:\n|\z)")
-    whole_line = F.concat(F.regexp_replace(head, r"[ \t]*\z", ""), F.regexp_replace(tail, r"\A[ \t]*\n?", ""))
-    deleted = F.when(alone, whole_line).otherwise(F.concat(head, tail))
-
-    def closed(at: Column) -> Column:
-        before = F.regexp_replace(_head(at), r"(?U)\s+\z", "")
-        return F.concat(before, close, F.substring(F.col("text"), F.length(before) + 1, length))
-
-    option = lambda label, text: F.struct(F.lit(label).alias("label"), text.alias("new_text"))
-    none = F.lit(None).cast("struct<label:string,new_text:string>")
-    options = (
-        F.when(F.col("fix") == "delete-stray-close", F.array(option("Delete the tag", deleted), none))
-        .when(F.col("fix") == "insert-close", F.array(option("Close it before the next block", closed(F.coalesce("block", length))), none))
-        .when(F.col("fix") == "close-section", F.array(option("Close it at the end", closed(length)), F.when(F.col("section").isNotNull(), option("Close it before the next section", closed(F.col("section"))))))
-    )
-    made = rows.select(id_column, "code", "start", "text", F.explode(F.array_compact(options)).alias("o"))
-    old, new = plain_words(F.col("text")), plain_words(F.col("o.new_text"))
-    # A multiset is kept where, word by word in sorted order, nothing is left over.
-    kept = F.size(F.array_except(old, new)) == 0
-    counts = F.forall(F.array_distinct(old), lambda w: F.size(F.filter(old, lambda x: x == w)) <= F.size(F.filter(new, lambda x: x == w)))
-    same = F.array_join(old, "\n") == F.array_join(new, "\n")
-    return made.filter(same | (kept & counts)).select(id_column, "code", "start", F.col("o.label").alias("label"), F.col("o.new_text").alias("new_text"))
-
-
-def convert_flat_lists(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """id, start, xml: each outer ul or ol span of a text as a DocBook list, an item with one paragraph for each li; null where the list nests, has no items, or holds text beside them."""
-    rows = docs.join(spans, id_column).select(id_column, "start", F.substring(F.col("text"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("span"))
-    kind = F.when(F.col("span").rlike(r"(?i)\A<\s*ol"), "orderedlist").otherwise("itemizedlist")
-    inner = F.regexp_replace("span", r"(?isU)\A<[^>]*>|<\s*/\s*[ou]l\s*>\z", "")
-    items = F.regexp_extract_all(inner, F.lit(r"(?isU)<\s*li(?:\s[^<>]*)?>(.*?)<\s*/\s*li\s*>"), F.lit(1))
-    beside = F.regexp_replace(inner, r"(?isU)<\s*li(?:\s[^<>]*)?>.*?<\s*/\s*li\s*>", "")
-    plain = (F.trim(F.regexp_replace(beside, r"(?U)\s+", "")) == "") & (F.size(items) > 0) & ~inner.rlike(r"(?i)<\s*(?:ul|ol|table)")
-    one = lambda t: F.concat(F.lit("<listitem><para>"), F.trim(F.regexp_replace(F.regexp_replace(t, r"(?i)</?a(?:\s[^<>]*)?>", ""), r"(?U)\s+", " ")), F.lit("</para></listitem>"))
-    xml = F.concat(F.lit("<"), kind, F.lit(">"), F.array_join(F.transform(items, one), ""), F.lit("</"), kind, F.lit(">"))
-    return rows.select(id_column, "start", F.when(plain, xml).alias("xml"))
+    at_end = F.length(F.regexp_replace("text", r"(?U)\s+\z", ""))
+    title = F.length(F.regexp_extract(_tail(F.col("root_open")), r"(?s)\A\s*<title[^>]*>.*?</title>", 0))
+    run_before, run_after = (F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "") for c in (_head(F.col("root_start")), _tail(F.col("root_end"))))
+    before_close = F.length(F.regexp_replace(_head(F.col("root_close")), r"\s+\z", ""))
+    root_indent = _indent(F.col("root_close"))
+    loose, table, empty = is_("loose-block-in-list"), is_("table-in-listitem"), is_("empty-listitem")
+    blank_from = F.length(F.regexp_replace(_head(F.col("el_close")), r"\s+\z", ""))
+    options = [
+        _option("Make it an item of its own", loose, lines_from, lines_to, lines_from, wrapped("listitem", element)),
+        _option("Move it into the item above", loose & (above > F.col("list_start")), lines_from, lines_to, above, F.when(lines, F.concat(two, element, nl, item_indent)).otherwise(element)),
+        _option("Move it below the list", (loose | table) & has("list_end"), lines_from, lines_to, F.col("list_end"), below),
+        _option("Delete the tag", is_("delete-stray-close"), tag_from, tag_to, tag_from, F.lit("")),
+        _option("Add an empty paragraph", empty & has("el_close"), blank_from, F.col("el_close"), blank_from, F.concat(nl, indent, F.lit("  <para></para>\n"), indent)),
+        _option("Delete the empty item", empty, lines_from, lines_to, lines_from, F.lit("")),
+        _option("Put it into a mediaobject", is_("wrap-in-mediaobject"), lines_from, lines_to, lines_from, wrapped("mediaobject", F.replace(element, nl, F.lit("\n  ")))),
+        _option("Put it into an item", is_("bare-text-in-list") & (words_to > words_from), words_from, words_to, words_from, F.concat(F.lit("<listitem><para>"), _cut(words_from, words_to), F.lit("</para></listitem>"))),
+        _option("Move it into the subsection before", late & (F.col("section_before") > F.col("section_start")), run_from, run_to, F.col("section_before"), F.concat(two, run, nl, _indent(F.col("section_before")))),
+        _option("Move it above the subsections", late & (F.col("first_sub") < el_start), run_from, run_to, F.col("first_sub"), F.concat(run, nl, _indent(F.col("first_sub")))),
+        _option("Put it into a new subsection", late, run_from, run_to, run_from, F.when(run_lines, new_section).otherwise(F.concat(F.lit("<section><title>Untitled section</title>"), run, F.lit("</section>")))),
+        _option("Delete the opener that is doubled", is_("insert-close") & twice, tag_from, after_opener, tag_from, F.lit("")),
+        _option("Close it before the next block", is_("insert-close"), before_block, before_block, before_block, close),
+        _option("Move it into the section", is_("move-inside-root-before") & has("root_start") & (run_before != ""), F.lit(0), F.col("root_start"), F.col("root_open") + title, F.concat(nl, _indent(F.col("root_open")), run_before)),
+        _option("Move it into the section", is_("move-inside-root-after") & has("root_close") & (run_after != ""), F.col("root_end"), length, before_close, F.concat(nl, root_indent, two, run_after, nl, root_indent)),
+        _option("Close it at the end", is_("close-section"), at_end, at_end, at_end, close),
+        _option("Close it before the next section", is_("close-section") & has("next_section"), F.col("next_section"), F.col("next_section"), F.col("next_section"), close),
+    ]
+    made = rows.select(id_column, "code", "start", "text", F.explode(F.array_compact(F.array(*options))).alias("o"))
+    kept = made.filter(keeps_words(plain_words(F.col("text")), plain_words(F.col("o.new_text"))))
+    return kept.select(id_column, "code", "start", F.col("o.label").alias("label"), F.col("o.new_text").alias("new_text"))
+
+
+def splice(docs: DataFrame, edits: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs with the spans of edits (id, start, end, new) replaced; spans do not overlap. The pieces between the spans and the new parts are joined once."""
+    ordered = F.array_sort(F.collect_list(F.struct("start", "end", "new")))
+    per_doc = edits.groupBy(id_column).agg(ordered.alias("_edits"))
+    text = F.col(text_column)
+    piece = lambda a, b: F.substring(text, a.cast("int") + 1, (b - a).cast("int"))
+    stop = lambda i: F.when(i > 0, F.get("_edits", i - 1)["end"]).otherwise(0)
+    parts = F.transform("_edits", lambda e, i: F.concat(piece(stop(i), e["start"]), e["new"]))
+    rest = piece(F.element_at("_edits", -1)["end"], F.length(text))
+    rows = docs.join(per_doc, id_column, "left")
+    return rows.withColumn(text_column, F.when(F.col("_edits").isNull(), text).otherwise(F.concat(F.array_join(parts, ""), rest))).drop("_edits")
+
+
+_LIST_TAG = r"(?iU)<\s*/?\s*(?:ul|ol|li|p)(?![\w.-])[^<>]*>"
+
+
+def convert_lists(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """id, start, end, xml: each outer ul or ol span of a text as a DocBook list, nested lists inside their items. Each run of text and inline tags in an item is a paragraph (bold and italic tags as emphasis, other inline tags go), an item without any gets an empty one, text between items goes. xml is null where an item is not closed, a list stands directly in a list, there are no items, or a table or a medium is inside."""
+    rows = docs.join(spans, id_column).select(id_column, "start", "end", F.substring(F.col("text"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("text"))
+    rows = translate_inline(rows).withColumns({"m": F.transform(F.regexp_extract_all("text", F.lit(_LIST_TAG), F.lit(0)), lambda t: F.lower(F.regexp_replace(F.regexp_extract(t, r"<\s*(/?\s*\w+)", 1), r"\s", ""))), "g": F.split("text", _LIST_TAG, -1)})
+    names = {"ul": "<itemizedlist>", "/ul": "</itemizedlist>", "ol": "<orderedlist>", "/ol": "</orderedlist>", "li": "<listitem>", "/li": "</listitem>"}
+    rendered = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    before = lambda i: F.when(i > 0, F.get("m", i - 1))
+    run = lambda i: F.trim(F.regexp_replace(F.regexp_replace(F.get("g", i), r"(?i)<(?!\s*/?\s*emphasis)[^<>]*>", ""), r"(?U)\s+", " "))
+    in_item = lambda i: F.coalesce(before(i).isin("li", "p", "/p", "/ul", "/ol"), F.lit(False))
+    said = lambda t, i: F.when(in_item(i) & (run(i) != ""), F.concat(F.lit("<para>"), run(i), F.lit("</para>"))).when((t == "/li") & (before(i) == "li"), "<para></para>").otherwise("")
+    xml = F.array_join(F.transform("m", lambda t, i: F.concat(said(t, i), F.coalesce(F.try_element_at(rendered, t), F.lit("")))), "")
+    count = lambda *tags: F.size(F.filter("m", lambda t: t.isin(*tags)))
+    steps = F.transform("m", lambda t, i: F.struct(before(i).alias("a"), t.alias("b")))
+    is_list, opens = ("ul", "ol"), ("ul", "ol", "/li")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    wrong = F.exists(steps, lambda s: yes((s["b"].isin(*is_list) & s["a"].isin(*opens)) | ((s["b"] == "li") & s["a"].isin("li", "p", "/p")) | ((s["b"] == "/li") & s["a"].isin("ul", "ol", "/li")) | (s["b"].isin("/ul", "/ol") & s["a"].isin("ul", "ol", "li", "p", "/p"))))
+    plain = ~wrong & (count("li") == count("/li")) & (count("li") > 0) & ~F.col("text").rlike(r"(?i)<\s*(?:table|informaltable|figure|mediaobject|img)\b")
+    return rows.select(id_column, "start", "end", F.when(plain, xml).alias("xml"))
 
 
 def strip_xinfo(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """Texts without xinfo attributes, but for those of the first section opener: the text up to and with that tag's match is split off, both other parts are cleaned."""
-    attribute = r"""(?iU)\s+xinfo:[A-Za-z0-9_.-]+\s*=\s*(?:"[^"]*"|'[^']*')"""
-    opener = r"(?iU)<\s*section(?![\w.-])[^<>]*>"
+    """Texts without the xinfo attributes of their tags, but for those of the first section opener. A tag that loses one is written anew, its name in lower case; other tags, and text between tags, stay as they are. The text is cut into tags and the gaps before them, which are put together again."""
     text = F.col(text_column)
-    first = F.regexp_extract(text, opener, 0)
-    at = F.when(first != "", F.instr(text, first)).otherwise(0)
-    clean = lambda c: F.regexp_replace(c, attribute, "")
-    out = F.concat(clean(F.substring(text, F.lit(1), at - 1)), first, clean(F.substring(text, at + F.length(first), F.length(text))))
-    return docs.withColumn(text_column, F.when(first != "", out).otherwise(clean(text)))
+    attribute = r"""(?U)\s+xinfo:[A-Za-z0-9_.-]+\s*=\s*(?:"[^"]*"|'[^']*')"""
+    tags, gaps = F.regexp_extract_all(text, F.lit(TAG), F.lit(0)), F.split(text, TAG, -1)
+    part = lambda t, k: F.regexp_extract(t, TAG, k)
+    is_root = F.transform("_tags", lambda t: (F.lower(part(t, 2)) == "section") & (part(t, 1) == "") & (part(t, 4) == ""))
+    rows = docs.withColumns({"_tags": tags, "_gaps": gaps}).withColumn("_root", F.array_position(is_root, True) - 1)
+
+    def clean(t: Column, i: Column) -> Column:
+        attrs = F.regexp_replace(part(t, 3), attribute, "")
+        anew = F.concat(F.lit("<"), part(t, 1), F.lower(part(t, 2)), attrs, part(t, 4), F.lit(">"))
+        return F.when((i != F.col("_root")) & (attrs != part(t, 3)), anew).otherwise(t)
+
+    pieces = F.zip_with("_gaps", F.transform("_tags", clean), lambda g, t: F.concat(g, F.coalesce(t, F.lit(""))))
+    return rows.withColumn(text_column, F.array_join(pieces, "")).drop("_tags", "_gaps", "_root")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quill.functions.text import TAG
+from quill.operators.structure import nested
+from quill.operators.tags import tag_stream
+
 KINDS = ["paragraph", "list", "table", "image"]
 PREVIEW_SCALE = 1.5
 
@@ -49,11 +53,21 @@ def is_empty_result(kind: Column, items: Column, cells: Column) -> Column:
     return F.when(kind == "paragraph", ~filled(items)).when(kind == "list", F.size(items) == 0).when(kind == "table", ~filled(cells)).otherwise(False)
 
 
-def is_valid_result(empty: Column, fragment: Column) -> Column:
-    """Null where nothing is to be judged, else whether every tag of the fragment is closed in order (by the count of each kind, with no stray text delimiters)."""
-    openers = F.regexp_count(fragment, F.lit(r"<[A-Za-z][^<>]*[^/<>]>|<[A-Za-z]>"))
-    closers = F.regexp_count(fragment, F.lit(r"</[A-Za-z][^<>]*>"))
-    return F.when(~empty, openers == closers)
+def judge_fragments(results: DataFrame, id_column: str = "token") -> DataFrame:
+    """results (id, empty, xml) with `valid`: null where nothing is to be judged, else whether the fragment is well formed (each close ends the innermost open element, nothing stays open, and < and & stand in tags and references alone)."""
+    tags = tag_stream(results, id_column, "xml")
+    rows = nested(tags, id_column)
+    wrong = F.col("is_close") & ~F.coalesce(F.col("plain_top") == F.col("name"), F.lit(False))
+    nests = rows.groupBy(id_column).agg((~F.max(wrong) & (F.count_if("is_close") == F.count_if(~F.col("is_close") & ~F.col("is_self")))).alias("nests"))
+    rest = F.regexp_replace(F.coalesce("xml", F.lit("")), TAG, "")
+    plain = ~rest.contains("<") & ~rest.rlike(r"&(?!(?:\w+|#\d+|#x[0-9A-Fa-f]+);)")
+    found = results.join(nests, id_column, "left")
+    return found.withColumn("valid", F.when(~F.col("empty"), F.coalesce("nests", F.lit(True)) & plain)).drop("nests")
+
+
+def fraction_to_pixels(fraction: Column, size: Column) -> Column:
+    """A share of an image's size in whole pixels, inside the image."""
+    return F.least(F.greatest(F.round(fraction * size), F.lit(0)), size).cast("int")
 
 
 def latest(events: DataFrame, keys: list[str], order: str) -> DataFrame:

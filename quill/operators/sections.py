@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quill.functions.text import count_of, strip
-
-
-def _finding(rows: DataFrame, id_column: str, code, tag, message) -> DataFrame:
-    return rows.select(id_column, "line", "start", tag.alias("tag"), code.alias("code"), message.alias("message"))
+from quill.operators.findings import finding
+from quill.operators.structure import INLINE, LISTS, SLOTS
 
 
 def with_frames(tags: DataFrame, name: str, id_column: str = "doc_id") -> DataFrame:
@@ -40,14 +38,15 @@ def check_media(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
         .when(outside & F.col("name").isin("imageobject", "imagedata"), "media.outside")
         .when(is_("imagedata") & opens & ~F.col("attrs").rlike(r"(?iU)\bfileref\s*="), "media.no_fileref")
     )
-    single = _finding(rows.withColumn("code", code).filter("code is not null"), id_column, F.col("code"), F.col("name"), F.concat(F.lit("<"), "name", F.lit("> "), F.split_part("code", F.lit("."), F.lit(2))))
+    fix = F.when((F.col("code") == "media.outside") & is_("imageobject"), "wrap-in-mediaobject")
+    single = finding(rows.withColumn("code", code).filter("code is not null"), id_column, F.col("code"), F.concat(F.lit("<"), "name", F.lit("> "), F.split_part("code", F.lit("."), F.lit(2))), F.col("name"), fix, el_start=F.col("start"))
     frames = rows.filter((F.col("depth") > 0) & F.col("frame").isNotNull()).groupBy(id_column, "frame").agg(
         F.count_if(is_("imageobject") & opens).alias("objects"), F.count_if(is_("imagedata") & opens).alias("data"),
         F.max(is_("mediaobject") & F.col("is_close")).alias("closed"), F.min(F.when(is_("mediaobject") & opens, F.col("line"))).alias("line"),
     )
     lacks = F.when(F.col("objects") == 0, "media.no_imageobject").when(F.col("data") == 0, "media.no_imagedata")
     judged = frames.withColumn("code", lacks).filter("closed and code is not null").withColumn("start", F.col("frame"))
-    return single.unionByName(_finding(judged, id_column, F.col("code"), F.lit("mediaobject"), F.concat(F.lit("<mediaobject> "), F.split_part("code", F.lit("."), F.lit(2)))))
+    return single.unionByName(finding(judged, id_column, F.col("code"), F.concat(F.lit("<mediaobject> "), F.split_part("code", F.lit("."), F.lit(2))), F.lit("mediaobject")))
 
 
 def check_sections(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -72,9 +71,10 @@ def check_sections(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
     )
     title = F.when(F.col("titles") == 0, "section.no_title").when(F.col("titles") > 1, "section.titles").when(F.col("first") != "title", "section.title_not_first")
     titled = frames.withColumn("code", title).filter("closed and code is not null").withColumn("start", F.col("frame"))
-    late = frames.filter("late is not null").select(id_column, F.col("late.line").alias("line"), F.col("late.start").alias("start"), F.col("late.name").alias("name"))
-    out = _finding(titled, id_column, F.col("code"), F.lit("section"), F.concat(F.lit("<section> "), F.split_part("code", F.lit("."), F.lit(2))))
-    return out.unionByName(_finding(late, id_column, F.lit("section.late_content"), F.col("name"), F.concat(F.lit("<"), "name", F.lit("> after a child section"))))
+    late = frames.filter("late is not null").select(id_column, F.col("late.line").alias("line"), F.col("late.start").alias("start"), F.col("late.name").alias("name"), F.col("frame").alias("section_start"), "first_section")
+    out = finding(titled, id_column, F.col("code"), F.concat(F.lit("<section> "), F.split_part("code", F.lit("."), F.lit(2))), F.lit("section"))
+    spec = {"el_start": F.col("start"), "section_start": F.col("section_start"), "first_sub": F.col("first_section")}
+    return out.unionByName(finding(late, id_column, F.lit("section.late_content"), F.concat(F.lit("<"), "name", F.lit("> after a child section")), F.col("name"), F.lit("content-after-subsection"), **spec))
 
 
 def with_child_sections(rows: DataFrame, id_column: str) -> DataFrame:
@@ -89,17 +89,7 @@ def with_child_sections(rows: DataFrame, id_column: str) -> DataFrame:
 
 
 #: element -> what may open directly inside it; other elements allow anything.
-ALLOWED = {
-    "table": ["title", "caption", "colgroup", "thead", "tbody"],
-    "informaltable": ["title", "caption", "colgroup", "thead", "tbody"],
-    "colgroup": ["col"],
-    "thead": ["tr"],
-    "tbody": ["tr"],
-    "tr": ["td", "th"],
-    "itemizedlist": ["listitem"],
-    "orderedlist": ["listitem"],
-    "para": ["emphasis", "guilabel", "guibutton", "xref", "indexterm"],
-}
+ALLOWED = {**SLOTS, **{name: ["listitem"] for name in LISTS}, "para": INLINE}
 
 
 def parents(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -123,7 +113,7 @@ def check_placement(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
     allowed = F.try_element_at(rules, F.col("parent"))
     rows = parents(tags, id_column).filter(allowed.isNotNull() & ~F.array_contains(allowed, F.col("name")))
     prefix = F.when(F.col("parent") == "para", "para").when(F.col("parent").endswith("list"), "list").otherwise("table")
-    return _finding(rows, id_column, F.concat(prefix, F.lit(".misplaced_child")), F.col("name"), F.concat(F.lit("<"), "name", F.lit("> directly inside <"), "parent", F.lit(">")))
+    return finding(rows, id_column, F.concat(prefix, F.lit(".misplaced_child")), F.concat(F.lit("<"), "name", F.lit("> directly inside <"), "parent", F.lit(">")), F.col("name"))
 
 
 def check_loose_text(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -138,4 +128,4 @@ def check_loose_text(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
     bad = inside.isin(containers) & (strip(F.col("gap")) != "")
     found = joined.filter(bad).withColumn("inside", inside)
     prefix = F.when(F.col("inside").endswith("list"), "list").otherwise("table")
-    return _finding(found.withColumn("line", F.col("line") - count_of(F.col("gap"), "\n")), id_column, F.concat(prefix, F.lit(".text_in_container")), F.col("inside"), F.concat(F.lit("text directly inside <"), "inside", F.lit(">")))
+    return finding(found.withColumn("line", F.col("line") - count_of(F.col("gap"), "\n")), id_column, F.concat(prefix, F.lit(".text_in_container")), F.concat(F.lit("text directly inside <"), "inside", F.lit(">")), F.col("inside"))

@@ -43,6 +43,35 @@ def unbalanced_tags(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return rows.select(id_column, "line", "start", "end", F.col("name").alias("tag"), "code", message.alias("message"), fix.alias("fix"))
 
 
+def matched(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Openers with the close that each pairs with, per name whatever the nesting: id, name, start, end, level, p_start, p_end (null for one never closed; its own end for a self-closed tag).
+
+    With `level` the running sum of +1 and -1 over one name after an opener and before a close, an opener's close is the next tag of its level."""
+    own = Window.partitionBy(id_column, "name").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    rows = tags.filter("not is_self").withColumn("s", F.sum(F.when(F.col("is_close"), -1).otherwise(1)).over(own))
+    rows = rows.withColumn("level", F.col("s") + F.col("is_close").cast("int"))
+    at = Window.partitionBy(id_column, "name", "level").orderBy("start")
+    pairs = F.lead("is_close").over(at)
+    rows = rows.withColumns({"p_start": F.when(pairs, F.lead("start").over(at)), "p_end": F.when(pairs, F.lead("end").over(at))}).filter("not is_close")
+    selfs = tags.filter("is_self").withColumns({"level": F.lit(None).cast("long"), "p_start": F.col("end"), "p_end": F.col("end")})
+    columns = [id_column, "name", "start", "end", "level", "p_start", "p_end"]
+    return rows.select(*columns).unionByName(selfs.select(*columns))
+
+
+def child_spans(tags: DataFrame, name: str, id_column: str = "doc_id") -> DataFrame:
+    """id, start, close_start, children: every closed element of a name with the (start, end) of those of the same name directly inside it, in order."""
+    rows = matched(tags.filter(F.col("name") == name), id_column).filter("level is not null")
+    inner = rows.filter("p_start is not null").select(id_column, F.col("level").alias("at"), F.col("start").alias("o"), F.struct("start", F.col("p_end").alias("end")).alias("child"), F.lit(None).cast("long").alias("outer"))
+    outer = rows.select(id_column, (F.col("level") + 1).alias("at"), F.col("start").alias("o"), F.lit(None).cast("struct<start:bigint,end:bigint>").alias("child"), F.col("start").alias("outer"))
+    # As-of within (document, level): the latest opener one level up is around.
+    around = F.last("outer", True).over(Window.partitionBy(id_column, "at").orderBy("o").rowsBetween(Window.unboundedPreceding, 0))
+    cast = lambda df: df.withColumns({"o": F.col("o").cast("long"), "child": F.col("child").cast("struct<start:bigint,end:bigint>"), "outer": F.col("outer").cast("long")})
+    met = cast(inner).unionByName(cast(outer)).withColumn("start", around).filter("child is not null and start is not null")
+    children = met.groupBy(id_column, "start").agg(F.array_sort(F.collect_list("child")).alias("children"))
+    closed = rows.filter("p_start is not null").select(id_column, F.col("start").cast("long").alias("start"), F.col("p_start").alias("close_start"))
+    return closed.join(children, [id_column, "start"], "left").withColumn("children", F.coalesce("children", F.array().cast("array<struct<start:bigint,end:bigint>>")))
+
+
 def outer_spans(tags: DataFrame, names: list[str], id_column: str = "doc_id") -> DataFrame:
     """The outermost spans of a set of names, whose tags nest into each other: (start, end) from an opener at depth 0 to the close that returns there. Stray closes and self-closed tags count for nothing, unclosed spans are left out."""
     own = Window.partitionBy(id_column).orderBy("start")
