@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,17 +23,42 @@ def unix_lines(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def read_vocabulary(spark: SparkSession, path: str, fallback: list[str]) -> DataFrame:
-    """name: the tags of all groups of a JSON rule file {"tags": {group: [tag]}}, in lower case; the fallback where the file gives none."""
+    """name: the tags of all groups of a JSON rule file {"tags": {group: [tag]}}, in lower case; the fallback where the file is missing or gives none."""
     own = spark.createDataFrame([(n.lower(),) for n in fallback], "name string")
+    if not _exists(spark, path):
+        return own.distinct()
     schema = "tags map<string,array<string>>"
     found = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("r")).select(F.explode("r.tags").alias("group", "names")).select(F.explode("names").alias("tag")).select(F.lower("tag").alias("name")).distinct()
     return own.distinct() if found.isEmpty() else found
 
 
-def read_uploads(spark: SparkSession, path: str, pattern: str = "*.png", most_bytes: int = 50 << 20) -> DataFrame:
-    """name, length, content of binary files up to a size."""
+def optional_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file, stripped; null where it is missing."""
+    row = spark.read.text(path, wholetext=True).select(F.trim("value")).first() if _exists(spark, path) else None
+    return row and row[0]
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _hadoop(spark, path)
+    return bool(fs.exists(target))
+
+
+#: How files of these kinds begin, in hexadecimal digits.
+SIGNATURES = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "pdf": "255044462D"}
+
+
+def read_uploads(spark: SparkSession, path: str, pattern: str = "*", most_bytes: int = 50 << 20, kinds: tuple[str, ...] = ("png", "jpeg")) -> DataFrame:
+    """token (32 random hexadecimal digits), name, kind, length, content of binary files up to a size whose first bytes are those of one of the kinds."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).filter(F.col("length") <= most_bytes)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", "content")
+    begins = F.hex(F.substring("content", 1, 8))
+    kind = F.coalesce(*[F.when(begins.startswith(SIGNATURES[k]), k) for k in kinds])
+    token = F.replace(F.expr("uuid()"), F.lit("-"), F.lit(""))
+    return files.select(token.alias("token"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"), kind.alias("kind"), "length", "content").filter("kind is not null")
 
 
 def labelled_tabs(texts: DataFrame) -> DataFrame:
@@ -49,9 +75,13 @@ def legal_page(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def setting(name: str, section: Mapping, default, env: Mapping[str, str] = os.environ):
-    """The environment's value, then the file's, then the default; a number that is none falls through."""
-    raw = env.get(name.upper())
-    if raw is not None:
+    """The environment's value, then the file's, then the default. An empty value, a number that is none and a truth value that is neither true nor false fall through."""
+    raw = env.get(name.upper(), "").strip()
+    if raw and isinstance(default, bool):
+        known = {**dict.fromkeys(("1", "true", "yes", "on"), True), **dict.fromkeys(("0", "false", "no", "off"), False)}
+        if raw.lower() in known:
+            return known[raw.lower()]
+    elif raw:
         try:
             return type(default)(raw)
         except ValueError:
@@ -60,9 +90,26 @@ def setting(name: str, section: Mapping, default, env: Mapping[str, str] = os.en
 
 
 def save_results(results: DataFrame, path: str, key: str = "token") -> None:
-    """Result documents as JSON, one for each key: the last by `version` holds."""
+    """Result documents as JSON, one for each key: the last by `version` takes the place of an older one with its key, other keys stay. The new table is written beside the old one and then renamed."""
+    spark = results.sparkSession
     last = results.groupBy(key).agg(F.max_by(F.to_json(F.struct(*[c for c in results.columns if c not in (key, "version")])), "version").alias("result"))
-    last.write.mode("overwrite").json(path)
+    if _exists(spark, path):
+        last = last.unionByName(spark.read.schema(f"{key} string, result string").json(path).join(last, key, "left_anti"))
+    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    last.write.json(beside)
+    fs, target = _hadoop(spark, path)
+    fs.delete(target, True)
+    fs.rename(_hadoop(spark, beside)[1], target)
+
+
+def delete_results(spark: SparkSession, path: str, keys: list[str], key: str = "token") -> None:
+    """Removes the documents of some keys."""
+    left = spark.read.schema(f"{key} string, result string").json(path).filter(~F.col(key).isin(keys))
+    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    left.write.json(beside)
+    fs, target = _hadoop(spark, path)
+    fs.delete(target, True)
+    fs.rename(_hadoop(spark, beside)[1], target)
 
 
 def load_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
