@@ -6,7 +6,7 @@ sides derive from the supplied tables by the same arithmetic.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quill.functions import text as T
@@ -22,9 +22,11 @@ from quill.operators import state as ST
 from quill.operators import streams as SM
 from quill.operators import tables as TB
 from quill.operators import tags as TG
+from quill.plans import faults
+from quill.sources import markup as MK
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES: dict = dict(faults.QUERIES)
+SQL: dict[str, str] = dict(faults.SQL)
 
 
 def query(name: str, sql: str | None = None):
@@ -111,12 +113,20 @@ def findings_summary(spark, sf_dir):
     return FI.summarize(_unbalanced(spark, sf_dir), _pages(spark, sf_dir))
 
 
-@query("report_lines", f"""{_UNBALANCED_SQL}, lines AS (
-    SELECT page_id AS doc_id, unnest(range(1, len(string_split(html, chr(10))) + 1)) AS num FROM pages
-), notes AS (SELECT doc_id, line, count(*) AS n FROM found WHERE code IS NOT NULL GROUP BY ALL)
-SELECT lines.doc_id, num, coalesce(n, 0) AS n_notes FROM lines LEFT JOIN notes ON lines.doc_id = notes.doc_id AND num = line""")
+def _esc(x: str) -> str:
+    return f"""replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), chr(39), '&#39;')"""
+
+
+@query("report_lines", f"""{_UNBALANCED_SQL}, lines0 AS (SELECT page_id AS doc_id, unnest(range(1, len(string_split(h, chr(10))) + 1)) AS num, string_split(h, chr(10)) AS l FROM src
+), lines AS (SELECT doc_id, num, l[num] AS t, coalesce(sum(length(l[num]) + 1) OVER (PARTITION BY doc_id ORDER BY num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM lines0
+), notes AS (SELECT f.doc_id, f.line AS num, f.start, e.stop, CASE f.code WHEN 'tag.unclosed' THEN '<' || f.tag || '> stays open' ELSE '</' || f.tag || '> closes nothing' END AS m FROM found f JOIN tags e ON e.doc_id = f.doc_id AND e.start = f.start WHERE code IS NOT NULL
+), placed AS (SELECT l.doc_id, l.num, t, m, CAST(n.start - base AS BIGINT) AS a, CAST(least(stop - base, length(t)) AS BIGINT) AS b, CAST(coalesce(lag(least(stop - base, length(t))) OVER w, 0) AS BIGINT) AS prev, row_number() OVER w AS i FROM notes n JOIN lines l ON l.doc_id = n.doc_id AND l.num = n.num WINDOW w AS (PARTITION BY l.doc_id, l.num ORDER BY n.start)
+), marked AS (SELECT doc_id, num, string_agg({_esc("substr(t, prev + 1, a - prev)")} || '<span class="bad">' || {_esc("substr(t, a + 1, b - a)")} || '</span>', '' ORDER BY i) || {_esc("substr(any_value(t), max(b) + 1)")} AS html, string_agg(m, '; ' ORDER BY i) AS notes FROM placed GROUP BY ALL)
+SELECT lines.doc_id, lines.num, coalesce(html, {_esc("t")}) AS html, coalesce(notes, '') AS notes FROM lines LEFT JOIN marked ON lines.doc_id = marked.doc_id AND lines.num = marked.num""")
 def report_lines(spark, sf_dir):
-    return FI.report_lines(_pages(spark, sf_dir), _unbalanced(spark, sf_dir)).select("doc_id", F.col("num").cast("long").alias("num"), F.size("notes").cast("long").alias("n_notes"))
+    texts = TG.translate_inline(_pages(spark, sf_dir))
+    rows = FI.report_lines(texts, TG.unbalanced_tags(TG.tag_stream(texts)))
+    return rows.select("doc_id", F.col("num").cast("long").alias("num"), "html", F.array_join("notes", "; ").alias("notes"))
 
 
 @query("inline_translate", f"SELECT page_id AS doc_id, h AS text, CAST(len(regexp_extract_all(html, '(?i)<\\s*/?\\s*(?:b|strong|i|em)(?:[^\\w.<>-][^<>]*?)?\\s*>')) AS BIGINT) AS n_translated FROM ({_INLINE_SQL})")
@@ -167,22 +177,11 @@ def line_functions(spark, sf_dir):
 
 
 @query("page_ref_flag", r"""SELECT doc_id, regexp_replace(t, '(?i)(\(\s*(?:see\s+)?(?:pages?|pgs?\.?|pp?\.?)\s*\d+(?:\s*[-–—]\s*\d+)?[^)]*\))', '<span class="page-ref-flag">\1</span>', 'g') AS text FROM (
-    SELECT doc_id, left(text, 80) || CASE doc_id % 3 WHEN 0 THEN ' (see page ' || doc_id || ')' WHEN 1 THEN ' (PP. 3 - 4, below)' ELSE ' (pages are numbered)' END AS t FROM documents)""")
+    SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' (see page ' || doc_id || ')' WHEN 1 THEN ' (PP. 3 - 4, below)' ELSE ' (pages are numbered)' END AS t FROM documents)""")
 def page_ref_flag(spark, sf_dir):
-    """Of the first 80 characters of each text, as in its SQL; page_ref_flag_whole reads whole texts."""
-    return _page_refs(_table(spark, sf_dir, "documents"), F.substring("text", 1, 80))
-
-
-def _page_refs(docs: DataFrame, text: Column) -> DataFrame:
     k = F.col("doc_id") % 3
     said = F.when(k == 0, F.concat(F.lit(" (see page "), "doc_id", F.lit(")"))).when(k == 1, " (PP. 3 - 4, below)").otherwise(" (pages are numbered)")
-    return docs.select("doc_id", T.flag_page_refs(F.concat(text, said)).alias("text"))
-
-
-@query("page_ref_flag_whole", r"""SELECT doc_id, regexp_replace(t, '(?i)(\(\s*(?:see\s+)?(?:pages?|pgs?\.?|pp?\.?)\s*\d+(?:\s*[-–—]\s*\d+)?[^)]*\))', '<span class="page-ref-flag">\1</span>', 'g') AS text FROM (
-    SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' (see page ' || doc_id || ')' WHEN 1 THEN ' (PP. 3 - 4, below)' ELSE ' (pages are numbered)' END AS t FROM documents)""")
-def page_ref_flag_whole(spark, sf_dir):
-    return _page_refs(_table(spark, sf_dir, "documents"), F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", T.flag_page_refs(F.concat("text", said)).alias("text"))
 
 
 @query("markdown_label", r"""SELECT conv_id, turn, CASE WHEN t LIKE '# %' THEN trim(substr(string_split(t, chr(10))[1], 3)) ELSE 'Untitled' END AS label FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '# ' || text ELSE text END AS t FROM conversations)""")
@@ -195,10 +194,11 @@ def markdown_label(spark, sf_dir):
 c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL), lost AS (SELECT a.doc_id, sum(greatest(a.n - coalesce(b.n, 0), 0)) AS n FROM c a LEFT JOIN c b ON b.doc_id = a.doc_id + 1 AND a.word = b.word GROUP BY 1)
 SELECT d.doc_id AS pair_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lost FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1 LEFT JOIN lost ON lost.doc_id = d.doc_id""")
 def word_multiset_guard(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", T.plain_words(F.col("text")).alias("words"))
-    later = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("words").alias("new"))
-    pairs = docs.join(later, "doc_id").select(F.col("doc_id").alias("pair_id"), F.col("words").alias("old"), "new")
-    return ST.lost_words(pairs)
+    docs = _table(spark, sf_dir, "documents")
+    words = docs.select(F.col("doc_id").alias("text_id"), F.explode(T.plain_words(F.col("text"))).alias("word"))
+    ids = docs.select("doc_id")
+    pairs = ids.join(ids.select((F.col("doc_id") - 1).alias("doc_id")), "doc_id").select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("old"), (F.col("doc_id") + 1).alias("new"))
+    return ST.lost_words(words, pairs)
 
 
 # ---------------------------------------------------------------- layout
@@ -223,22 +223,11 @@ def _layout(spark, sf_dir) -> DataFrame:
 
 
 @query("region_filter", f"""WITH {_LAYOUT_SQL} SELECT doc_id, line, text, flags // 16 % 2 = 1 OR contains(lower(font), 'bold') AS bold, flags // 2 % 2 = 1 OR contains(lower(font), 'oblique') OR contains(lower(font), 'italic') AS italic
-FROM lay WHERE (x0 + x1) / 2 >= 130 AND (x0 + x1) / 2 < 160 AND (y0 + y1) / 2 >= 20 AND (y0 + y1) / 2 < 400 AND abs(dir_x * dir_y) <= 0.01 AND trim(text) <> ''""")
-def region_filter(spark, sf_dir):
-    """Of the top of each page, as in its SQL; region_filter_whole takes a region as tall as the page."""
-    return _styles(L.in_region(_layout(spark, sf_dir), 130, 20, 160, 400))
-
-
-def _styles(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", "line", "text", L.is_bold(F.col("font"), F.col("flags")).alias("bold"), L.is_italic(F.col("font"), F.col("flags")).alias("italic"))
-
-
-@query("region_filter_whole", f"""WITH {_LAYOUT_SQL} SELECT doc_id, line, text, flags // 16 % 2 = 1 OR contains(lower(font), 'bold') AS bold, flags // 2 % 2 = 1 OR contains(lower(font), 'oblique') OR contains(lower(font), 'italic') AS italic
 FROM lay WHERE 120.0 + line % 50 >= 130 AND 120.0 + line % 50 < 160 AND abs(dir_x * dir_y) <= 0.01 AND trim(text) <> ''""")
-def region_filter_whole(spark, sf_dir):
+def region_filter(spark, sf_dir):
     indent = F.col("line") % 50
-    lines = _layout(spark, sf_dir).withColumns({"x0": 20.0 + indent, "x1": 220.0 + indent})
-    return _styles(L.in_region(lines, 130, 0, 160, float("inf")))
+    lines = L.in_region(_layout(spark, sf_dir).withColumns({"x0": 20.0 + indent, "x1": 220.0 + indent}), 130, 0, 160, float("inf"))
+    return lines.select("doc_id", "line", "text", L.is_bold(F.col("font"), F.col("flags")).alias("bold"), L.is_italic(F.col("font"), F.col("flags")).alias("italic"))
 
 
 @query("paragraph_islands", f"""WITH {_LAYOUT_SQL}, med AS (SELECT doc_id, list_sort(list(y1 - y0))[count(*) // 2 + 1] AS m FROM lay GROUP BY 1
@@ -269,23 +258,12 @@ def list_items(spark, sf_dir):
     return L.list_items(_layout(spark, sf_dir))
 
 
-@query("line_in_cell_join", f"""WITH {_LAYOUT_SQL}, cells AS (SELECT doc_id, r * 2 + c AS cell, 100.0 * c AS cx0, 100.0 * c + 100 AS cx1, 60.0 * r AS cy0, 60.0 * r + 60 AS cy1 FROM documents, range(0, 5) AS a(r), range(0, 2) AS b(c))
+@query("line_in_cell_join", f"""WITH {_LAYOUT_SQL}, tall AS (SELECT doc_id, CAST(ceil(max(y1) / 60) AS BIGINT) AS n FROM lay GROUP BY 1), cells AS (SELECT doc_id, r * 2 + c AS cell, 100.0 * c AS cx0, 100.0 * c + 100 AS cx1, 60.0 * r AS cy0, 60.0 * r + 60 AS cy1 FROM (SELECT doc_id, unnest(range(0, n)) AS r FROM tall), range(0, 2) AS b(c))
 SELECT lay.doc_id, cell, count(*) AS n FROM lay JOIN cells ON lay.doc_id = cells.doc_id AND (x0 + x1) / 2 >= cx0 AND (x0 + x1) / 2 < cx1 AND (y0 + y1) / 2 >= cy0 AND (y0 + y1) / 2 < cy1 GROUP BY ALL""")
 def line_in_cell_join(spark, sf_dir):
-    """With five rows of cells, as in its SQL; line_in_cell_join_whole has rows for all lines."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.lit(5).alias("n_rows"))
-    return _lines_of_cells(_layout(spark, sf_dir), docs)
-
-
-@query("line_in_cell_join_whole", f"""WITH {_LAYOUT_SQL}, tall AS (SELECT doc_id, CAST(ceil(max(y1) / 60) AS BIGINT) AS n FROM lay GROUP BY 1), cells AS (SELECT doc_id, r * 2 + c AS cell, 100.0 * c AS cx0, 100.0 * c + 100 AS cx1, 60.0 * r AS cy0, 60.0 * r + 60 AS cy1 FROM (SELECT doc_id, unnest(range(0, n)) AS r FROM tall), range(0, 2) AS b(c))
-SELECT lay.doc_id, cell, count(*) AS n FROM lay JOIN cells ON lay.doc_id = cells.doc_id AND (x0 + x1) / 2 >= cx0 AND (x0 + x1) / 2 < cx1 AND (y0 + y1) / 2 >= cy0 AND (y0 + y1) / 2 < cy1 GROUP BY ALL""")
-def line_in_cell_join_whole(spark, sf_dir):
     lines = _layout(spark, sf_dir)
-    return _lines_of_cells(lines, lines.groupBy("doc_id").agg(F.ceil(F.max("y1") / 60).alias("n_rows")))
-
-
-def _lines_of_cells(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    cells = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), (2 * F.col("n_rows") - 1).cast("long"))).alias("cell"))
+    tall = lines.groupBy("doc_id").agg(F.ceil(F.max("y1") / 60).alias("n_rows"))
+    cells = tall.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), (2 * F.col("n_rows") - 1).cast("long"))).alias("cell"))
     r, c = F.floor(F.col("cell") / 2), F.col("cell") % 2
     cells = cells.select("doc_id", "cell", (100.0 * c).alias("cx0"), (100.0 * c + 100).alias("cx1"), (60.0 * r).alias("cy0"), (60.0 * r + 60).alias("cy1"))
     return L.lines_in_cells(lines, cells, "doc_id", 60).groupBy("doc_id", "cell").agg(F.count("*").alias("n"))
@@ -421,11 +399,11 @@ def ocr_flags(spark, sf_dir):
     SELECT user_id, event_type, i, t, true AS ok, [t] AS live FROM e WHERE i = 1 UNION ALL
     SELECT e.user_id, e.event_type, e.i, e.t, len(list_filter(f.live, lambda x: x > e.t - 86400)) < 2, CASE WHEN len(list_filter(f.live, lambda x: x > e.t - 86400)) < 2 THEN list_append(list_filter(f.live, lambda x: x > e.t - 86400), e.t) ELSE list_filter(f.live, lambda x: x > e.t - 86400) END
     FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.i = f.i + 1)
-SELECT user_id, event_type, count(*) AS n, count(*) FILTER (ok) AS n_allowed FROM f GROUP BY ALL""")
+SELECT user_id, event_type, CAST(round(t * 1e6) AS BIGINT) AS at_us, ok AS allowed FROM f""")
 def limiter_decisions(spark, sf_dir):
     requests = _table(spark, sf_dir, "events").select("user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     rows = ST.limit_requests(requests, ["user_id", "event_type"], 2, 86400)
-    return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.count_if("allowed").alias("n_allowed"))
+    return rows.select("user_id", "event_type", F.round(F.col("at") * 1e6).cast("long").alias("at_us"), "allowed")
 
 
 @query("idle_sessions", """WITH g AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 21600000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -436,13 +414,13 @@ def idle_sessions(spark, sf_dir):
 
 
 @query("continuation_merge", """WITH a AS (SELECT conv_id AS token, min(role) FILTER (turn = 0) AS kind, list(text) FILTER (turn = 0) AS items, min(CASE WHEN conv_id % 3 = 0 THEN 'other' ELSE 'user' END) FILTER (turn = 1) AS k2, list(text ORDER BY turn) FILTER (turn > 0) AS more, min(role) FILTER (turn = 0) = 'user' AND conv_id % 3 <> 0 AND count(*) FILTER (turn > 0) > 0 AS merged FROM conversations GROUP BY conv_id)
-SELECT token, len(items) + CASE WHEN merged THEN len(more) ELSE 0 END AS n_items, coalesce(merged, false) AS merged FROM a WHERE items IS NOT NULL""")
+SELECT token, kind, array_to_string(CASE WHEN merged THEN list_concat(items, more) ELSE items END, chr(10)) AS xml, coalesce(merged, false) AS merged FROM a WHERE items IS NOT NULL""")
 def continuation_merge(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "token")
-    base = turns.filter("turn = 0").groupBy("token").agg(F.min("role").alias("kind"), F.collect_list("text").alias("items"))
+    base = turns.filter("turn = 0").groupBy("token").agg(F.min("role").alias("kind"), F.collect_list("text").alias("items")).withColumn("xml", F.lit(""))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
     more = turns.filter("turn > 0").groupBy("token").agg(F.when(F.col("token") % 3 == 0, "other").otherwise("user").alias("kind"), texts.alias("items"))
-    return ST.merge_continuations(base, more).select("token", F.size("items").cast("long").alias("n_items"), "merged")
+    return ST.merge_continuations(base, more).select("token", "kind", "xml", "merged")
 
 
 # ---------------------------------------------------------------- derived topics
@@ -479,17 +457,20 @@ def fix_candidates(spark, sf_dir):
     return RP.suggest_fixes(docs, TG.unbalanced_tags(tags), tags).select("doc_id", "label", "new_text")
 
 
-@query("strip_xinfo", f"WITH {_BODY_SQL} SELECT doc_id, replace(replace(text, '<section>', '<section xinfo:id=\"1\">'), '<title>', '<title>') AS text FROM topics")
+@query("strip_xinfo", f"WITH {_BODY_SQL} SELECT doc_id, replace(replace(text, '<section>', '<section xinfo:id=\"1\">'), '<para>', '<para role=\"x\">say xinfo:b=\"2\" here ') AS text FROM topics")
 def strip_xinfo(spark, sf_dir):
-    marked = F.replace(F.replace("text", F.lit("<section>"), F.lit('<section xinfo:id="1">')), F.lit("<title>"), F.lit("<title xinfo:n='2'>"))
-    return RP.strip_xinfo(_topics(spark, sf_dir).withColumn("text", marked))
+    change = {"<section>": '<section xinfo:id="1">', "<title>": "<TITLE xinfo:n='2'>", "<para>": '<Para xinfo:a = "1" role="x">say xinfo:b="2" here '}
+    text = F.col("text")
+    for old, new in change.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return RP.strip_xinfo(_topics(spark, sf_dir).withColumn("text", text))
 
 
 @query("page_list_items", r"""WITH u AS (SELECT page_id AS doc_id, instr(html, '<ul') - 1 AS start, regexp_extract(html, '(?s)<ul[^>]*>(.*?)</ul>', 1) AS t FROM pages WHERE contains(html, '<ul'))
 SELECT doc_id, start, '<itemizedlist>' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '</?a(?:\s[^<>]*)?>', '', 'g'), '>\s+<', '><', 'g'), '<li>\s*', '<listitem><para>', 'g'), '\s*</li>\s*', '</para></listitem>', 'g') || '</itemizedlist>' AS xml FROM u""")
 def page_list_items(spark, sf_dir):
     docs = _pages(spark, sf_dir)
-    return RP.convert_flat_lists(docs, TG.outer_spans(TG.tag_stream(docs), ["ul"]))
+    return RP.convert_lists(docs, TG.outer_spans(TG.tag_stream(docs), ["ul", "ol"])).select("doc_id", "start", "xml")
 
 
 @query("region_requests", """WITH r AS (SELECT c_custkey AS id, c_custkey % 90 AS x0, c_custkey % 70 AS x1, CASE c_custkey % 5 WHEN 0 THEN 'shape' WHEN 1 THEN 'list' ELSE 'table' END AS kind, CASE WHEN c_custkey % 3 = 0 THEN 'table' END AS cont FROM customer)
@@ -556,24 +537,10 @@ def watermark_ops(spark, sf_dir):
     return SM.remove_line(streams, "COPY").select("doc_id", "possible", F.col("data").cast("string").alias("data"))
 
 
-@query("styled_paragraphs", r"""WITH w AS (SELECT doc_id, unnest(range(1, least(12, len(l)) + 1)) AS i, l FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)),
-s AS (SELECT doc_id, i - 1 AS i, replace(replace(replace(replace(replace(l[i] || ' ', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), '''', '&#39;') AS t, (i - 1) % 5 IN (1, 2) AS b, (i - 1) % 7 = 3 AS it FROM w),
-n AS (SELECT *, CASE WHEN b = lag(b) OVER q AND it = lag(it) OVER q THEN 0 ELSE 1 END AS new FROM s WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
-r AS (SELECT doc_id, run, string_agg(t, '' ORDER BY i) AS t, any_value(b) AS b, any_value(it) AS it FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n) GROUP BY doc_id, run),
-p AS (SELECT doc_id, run, CASE WHEN (b OR it) AND regexp_matches(t, '\S') THEN regexp_extract(t, '^\s*') || CASE WHEN b THEN '<emphasis role="strong">' ELSE '<emphasis>' END || regexp_replace(t, '^\s+|\s+$', '', 'g') || '</emphasis>' || regexp_extract(t, '\s*$') ELSE t END AS x FROM r)
-SELECT doc_id, '<para>' || regexp_replace(string_agg(x, '' ORDER BY run), '^\s+|\s+$', '', 'g') || '</para>' AS xml FROM p GROUP BY doc_id""")
+@query("styled_paragraphs")
 def styled_paragraphs(spark, sf_dir):
-    """Of the first 12 words of each text, as in its SQL; styled_paragraphs_whole reads whole texts."""
-    return _styled(_table(spark, sf_dir, "documents"), F.slice(F.split("text", " "), 1, 12))
-
-
-@query("styled_paragraphs_whole")
-def styled_paragraphs_whole(spark, sf_dir):
-    return _styled(_table(spark, sf_dir, "documents"), F.split("text", " "))
-
-
-def _styled(docs: DataFrame, words: Column) -> DataFrame:
-    words = docs.select("doc_id", F.posexplode(words).alias("i", "w"))
+    """No SQL: an ordered string_agg of every word takes too long on whole tables; tests hold it against brute force."""
+    words = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
     spans = words.select("doc_id", "i", F.concat("w", F.lit(" ")).alias("text"), (F.col("i") % 5).isin(1, 2).alias("bold"), (F.col("i") % 7 == 3).alias("italic"))
     return L.styled_paragraphs(spans, ["doc_id"], "i")
 
@@ -582,3 +549,94 @@ def _styled(docs: DataFrame, words: Column) -> DataFrame:
 def download_names(spark, sf_dir):
     raw = F.when(F.col("p_partkey") % 7 == 0, "/?.png").otherwise(F.concat(F.lit("a/"), "p_name", F.lit(".png")))
     return _table(spark, sf_dir, "part").select("p_partkey", T.download_name(F.regexp_replace(raw, r"\Aa/", "")).alias("name"))
+
+# ---------------------------------------------------------------- more of requests, sources and streams
+
+@query("watermark_runs", """WITH p AS (SELECT p_partkey AS doc_id, p_partkey % 8 AS k, p_name AS n FROM part)
+SELECT doc_id, k IN (0, 1, 2, 3, 5) AS possible, CASE k WHEN 0 THEN 'q BT  0 -14 Td  ET (' || n || ') Tj' WHEN 1 THEN 'BT (' || n || ') Tj  ET' WHEN 2 THEN 'BT ET BT   /F1 9 Tf  ET' WHEN 3 THEN 'BT (' || n || ') Tj ET'
+    WHEN 4 THEN 'BT (COPY) Tj ET BT (COPY) Tj ET' WHEN 5 THEN 'BT <5> Tj  ET' WHEN 6 THEN 'BT (CO) Tj ET BT (PY) Tj ET' ELSE 'BT (COPYCAT) Tj ET' END AS data FROM p""")
+def watermark_runs(spark, sf_dir):
+    """Operators between the shows stay; a page whose layout has no such line needs nothing removed (k = 3, whose stream does not draw it)."""
+    k, name = F.col("p_partkey") % 8, F.col("p_name")
+    data = (
+        F.when(k == 0, F.concat(F.lit("q BT (CO) Tj 0 -14 Td (PY) Tj ET ("), name, F.lit(") Tj")))
+        .when(k == 1, F.concat(F.lit("BT ("), name, F.lit(") Tj [(C) 3 (O) -20 <50 59>] TJ ET")))
+        .when(k == 2, "BT ET BT (C) Tj (OP) Tj /F1 9 Tf (Y) Tj ET")
+        .when(k == 3, F.concat(F.lit("BT ("), name, F.lit(") Tj ET")))
+        .when(k == 4, "BT (COPY) Tj ET BT (COPY) Tj ET")
+        .when(k == 5, "BT <5> Tj <43 4F5059> Tj ET")
+        .when(k == 6, "BT (CO) Tj ET BT (PY) Tj ET")
+        .otherwise("BT (COPYCAT) Tj ET")
+    )
+    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("xref"), data.cast("binary").alias("data"))
+    lines = parts.select("doc_id", "page", F.when(F.col("doc_id") % 8 == 3, "other").otherwise("COPY").alias("text"))
+    return SM.remove_line(parts, "COPY", lines).select("doc_id", "possible", F.col("data").cast("string").alias("data"))
+
+
+@query("exact_lines", f"WITH {_LAYOUT_SQL} SELECT doc_id, line FROM lay WHERE text IN (SELECT min(text) FROM lay WHERE length(text) > 3) AND abs(dir_x - 1.0) <= 0.01")
+def exact_lines(spark, sf_dir):
+    lines = _layout(spark, sf_dir)
+    text = lines.filter(F.length("text") > 3).agg(F.min("text")).first()[0]
+    return SM.exact_lines(lines, text, dir_x=1.0).select("doc_id", "line")
+
+
+@query("judge_fragments", """SELECT conv_id AS token, turn, CASE WHEN turn % 5 <> 4 THEN turn % 5 IN (0, 3) END AS valid FROM conversations""")
+def judge_fragments(spark, sf_dir):
+    k = F.col("turn") % 5
+    xml = F.when(k == 0, "<para>a <b>c</b> &amp; <br/></para>").when(k == 1, "<b></i>").when(k == 2, "<para>a & b</para>").otherwise("<a></a><a>x</a>")
+    rows = _table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), (k == 4).alias("empty"), xml.alias("xml"))
+    return RQ.judge_fragments(rows, "id").select(F.col("id.conv_id").alias("token"), F.col("id.turn").alias("turn"), "valid")
+
+
+@query("empty_results", """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN trim(text) = '' WHEN 1 THEN false WHEN 2 THEN true ELSE false END AS empty FROM conversations""")
+def empty_results(spark, sf_dir):
+    k = F.col("turn") % 4
+    kind = F.when(k == 0, "paragraph").when(k == 1, "list").when(k == 2, "table").otherwise("image")
+    rows = _table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", RQ.is_empty_result(kind, F.array("text"), F.array(F.lit(" "), F.lit(None).cast("string"))).alias("empty"))
+
+
+@query("pending_matches", "SELECT o_orderkey AS token, o_orderkey % 3 AS page, o_orderkey % 2 = 0 AND o_orderkey % 3 = 1 AS accepted FROM orders")
+def pending_matches(spark, sf_dir):
+    token = F.col("o_orderkey")
+    orders = _table(spark, sf_dir, "orders")
+    pending = orders.filter(token % 2 == 0).select(token.alias("token"), F.lit(1).cast("long").alias("page"))
+    return RQ.pending_matches(pending, orders.select(token.alias("token"), (token % 3).alias("page")))
+
+
+@query("legal_pages", r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE ' ' || text END AS text FROM documents""")
+def legal_pages(spark, sf_dir):
+    marked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# Terms <!-- draft\n-->\n"), "text")).otherwise(F.concat(F.lit("<!-- a --> <!-- # b\n -->"), "text"))
+    return MK.legal_page(_table(spark, sf_dir, "documents").select("doc_id", marked.alias("text")))
+
+
+@query("matched_tags", f"""WITH src AS (SELECT page_id, html AS h FROM pages), {_TAGS_SQL}, s1 AS (SELECT *, sum(CASE WHEN is_close THEN -1 ELSE 1 END) OVER (PARTITION BY doc_id, name ORDER BY start) AS s FROM tags WHERE NOT is_self)
+SELECT o.doc_id, o.name, o.start, (SELECT min(c.start) FROM s1 c WHERE c.doc_id = o.doc_id AND c.name = o.name AND c.start > o.start AND c.s < o.s) AS p_start FROM s1 o WHERE NOT o.is_close UNION ALL SELECT doc_id, name, start, stop FROM tags WHERE is_self""")
+def matched_tags(spark, sf_dir):
+    return TG.matched(TG.tag_stream(_pages(spark, sf_dir))).select("doc_id", "name", "start", "p_start")
+
+
+@query("crop_boxes", """SELECT p_partkey, CAST(floor((greatest(x0, 20) - 20) * 4) AS INT) AS px0, CAST(floor((least(x0 + 30, 100) - 20) * 4 + 0.5) AS INT) AS px1 FROM (SELECT p_partkey, p_partkey % 140 + 0.3 AS x0 FROM part) WHERE p_partkey % 5 <> 0 AND floor((least(x0 + 30, 100) - 20) * 4 + 0.5) > floor((greatest(x0, 20) - 20) * 4)""")
+def crop_boxes(spark, sf_dir):
+    x0, zero = F.col("p_partkey") % 140 + 0.3, F.lit(0.0)
+    image = {"x0": F.lit(20.0), "y0": zero, "x1": F.lit(100.0), "y1": F.lit(50.0), "skew": F.when(F.col("p_partkey") % 5 == 0, 1.0).otherwise(0.0), "masked": F.lit(False)}
+    box = L.crop_box(x0, zero, x0 + 30, F.lit(50.0), image, F.lit(320), F.lit(100))
+    return _table(spark, sf_dir, "part").select("p_partkey", box.alias("box")).filter("box is not null").select("p_partkey", F.col("box.x0").alias("px0"), F.col("box.x1").alias("px1"))
+
+
+@query("table_rows", """WITH c AS (SELECT l_orderkey AS table_id, l_linenumber AS row, c AS col, l_linenumber = 1 AS head, CASE WHEN (l_orderkey + l_linenumber) % 4 = 0 THEN '' ELSE l_partkey || '&' || c END AS t, 1 + (l_orderkey + c) % 2 AS colspan FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL), range(0, 2) AS a(c)),
+r AS (SELECT table_id, row, head, string_agg(CASE WHEN head THEN '<th' ELSE '<td' END || CASE WHEN colspan > 1 THEN ' colspan="2"' ELSE '' END || '><para>' || replace(t, '&', '&amp;') || CASE WHEN head THEN '</para></th>' ELSE '</para></td>' END, '' ORDER BY col) AS x FROM c GROUP BY ALL HAVING max(t) <> ''),
+s AS (SELECT *, head AND count(*) FILTER (NOT head) OVER (PARTITION BY table_id) > 0 AS is_head FROM r)
+SELECT table_id, coalesce(string_agg('<tr>' || x || '</tr>', '' ORDER BY row) FILTER (is_head), '') AS head, coalesce(string_agg('<tr>' || x || '</tr>', '' ORDER BY row) FILTER (NOT is_head), '') AS body FROM s GROUP BY 1""")
+def table_rows(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row")).agg(F.min("l_partkey").alias("part")).withColumn("col", F.explode(F.array(F.lit(0), F.lit(1))))
+    text = F.when((F.col("table_id") + F.col("row")) % 4 == 0, "").otherwise(F.concat("part", F.lit("&"), "col"))
+    cells = rows.select("table_id", "row", "col", (F.col("row") == 1).alias("is_header"), text.alias("text"), (1 + (F.col("table_id") + F.col("col")) % 2).alias("colspan"), F.lit(1).alias("rowspan"))
+    return TB.emit_rows(cells).select("table_id", F.array_join("head", "").alias("head"), F.array_join("body", "").alias("body"))
+
+
+# The same queries under the names by which they first read whole texts.
+for _name in ("page_ref_flag", "region_filter", "line_in_cell_join", "styled_paragraphs"):
+    QUERIES[f"{_name}_whole"] = QUERIES[_name]
+    if _name in SQL:
+        SQL[f"{_name}_whole"] = SQL[_name]

@@ -6,9 +6,11 @@ import re
 import pytest
 
 from quill.operators.findings import dedup_findings, report_lines, summarize
-from quill.operators.repairs import convert_flat_lists, strip_xinfo, suggest_fixes
+from quill.operators.repairs import convert_lists, keeps_words, splice, strip_xinfo, suggest_fixes
 from quill.operators.sections import check_loose_text, check_media, check_placement, check_sections
-from quill.operators.tags import outer_spans, tag_stream, translate_inline, unbalanced_tags
+from quill.operators.route import check
+from quill.operators.structure import check_lists, check_outside_root, check_paragraphs, check_tables, nested
+from quill.operators.tags import child_spans, matched, outer_spans, tag_stream, translate_inline, unbalanced_tags
 
 TAG = re.compile(r"<\s*(/?)\s*([A-Za-z][\w.-]*)([^<>]*?)(/?)\s*>")
 
@@ -129,6 +131,10 @@ def test_report(spark):
     twice = found.withColumn("checker", F.lit(1)).unionAll(found.withColumn("checker", F.lit(2)))
     assert [(r.start, r.checker, r.place) for r in dedup_findings(twice).orderBy("place").collect()] == [(0, 1, 1), (4, 1, 2)]
     lines = {(r.doc_id, r.num): r.notes for r in report_lines(docs, found).collect()}
+    marked = {(r.doc_id, r.num): r.html for r in report_lines(docs, found).collect()}
+    assert marked[0, 1] == '<span class="bad">&lt;a&gt;</span>' and marked[1, 1] == "fine"
+    by_tag = report_lines(frame(spark, ["x <b> & <b>"]), spark.createDataFrame([(0, 1, "b", "m"), (0, 9, None, "n")], "doc_id long, line long, tag string, message string")).first()
+    assert (by_tag.html, by_tag.notes) == ('x <span class="bad">&lt;b&gt;</span> &amp; &lt;b&gt;'.replace("<b>", "&lt;b&gt;"), ["m", "n"])
     assert lines[0, 1] == ["<a> stays open"] and lines[0, 2] == ["</b> closes nothing"] and lines[0, 3] == [] and lines[2, 1] == []
 
 
@@ -144,13 +150,105 @@ def test_repairs(spark):
     }
 
 
-def test_flat_lists(spark):
-    docs = frame(spark, ["a <ul><li>x  y</li>\n<li><a href='#'>z</a></li></ul> <ol><li>1</li></ol>", "<ul><li>a<ul><li>b</li></ul></li></ul>"])
-    got = {(r.doc_id, r.start): r.xml for r in convert_flat_lists(docs, outer_spans(tag_stream(docs), ["ul", "ol"])).collect()}
-    assert got[0, 2] == "<itemizedlist><listitem><para>x y</para></listitem><listitem><para>z</para></listitem></itemizedlist>"
-    assert got[0, 52] == "<orderedlist><listitem><para>1</para></listitem></orderedlist>" and got[1, 0] is None
+def test_lists(spark):
+    texts = [
+        "a <ul><li>x  y</li>\n<li><a href='#'>z</a> <i>i</i></li></ul> <ol><li>1</li></ol>",
+        "<ul><li>a<ul><li>b</li></ul> c</li><li></li></ul>",
+        "<ul><li><p>a</p><p>b</p></li></ul>",
+        "<ul><li>a</ul>", "<ul>text</ul>", "<ul><li>a</li><ul><li>b</li></ul></ul>", "<ul><li><table></table></li></ul>",
+    ]
+    docs = frame(spark, texts)
+    got = {(r.doc_id, r.start): r.xml for r in convert_lists(docs, outer_spans(tag_stream(docs), ["ul", "ol"])).collect()}
+    assert got[0, 2] == "<itemizedlist><listitem><para>x y</para></listitem><listitem><para>z <emphasis>i</emphasis></para></listitem></itemizedlist>"
+    assert got[0, texts[0].index("<ol>")] == "<orderedlist><listitem><para>1</para></listitem></orderedlist>"
+    assert got[1, 0] == "<itemizedlist><listitem><para>a</para><itemizedlist><listitem><para>b</para></listitem></itemizedlist><para>c</para></listitem><listitem><para></para></listitem></itemizedlist>"
+    assert got[2, 0] == "<itemizedlist><listitem><para>a</para><para>b</para></listitem></itemizedlist>"
+    assert [got[k, 0] for k in (3, 4, 5, 6)] == [None] * 4
+
+
+def test_splice(spark):
+    docs = frame(spark, ["abcdef", "xyz", None])
+    edits = spark.createDataFrame([(0, 4, 6, "!"), (0, 1, 2, "--"), (0, 2, 2, "+")], "doc_id long, start long, end long, new string")
+    assert [r.text for r in splice(docs, edits).orderBy("doc_id").collect()] == ["a--+cd!", "xyz", None]
+
+
+def test_words_are_kept(spark):
+    from pyspark.sql import functions as F
+
+    cases = [(["a", "b", "a"], ["a", "x", "a", "b"], True), (["a", "a"], ["a", "b"], False), ([], ["a"], True), (["a"], [], False), ([], [], True)]
+    rows = spark.createDataFrame([(i, o, n) for i, (o, n, _) in enumerate(cases)], "i long, o array<string>, n array<string>")
+    assert [r.k for r in rows.orderBy("i").select(keeps_words(F.col("o"), F.col("n")).alias("k")).collect()] == [c[2] for c in cases]
+
+
+def test_matched(spark, random_texts):
+    got = {(r.doc_id, r.start): (r.p_start, r.p_end) for r in matched(tag_stream(frame(spark, random_texts))).collect()}
+    expected = {}
+    for d, t in enumerate(random_texts):
+        open_ = {}
+        for m in TAG.finditer(t):
+            name, close, self_ = m[2].lower(), m[1] == "/", m[4] == "/" and m[1] != "/"
+            if self_:
+                expected[d, m.start()] = (m.end(), m.end())
+            elif not close:
+                expected[d, m.start()] = (None, None)
+                open_.setdefault(name, []).append(m.start())
+            elif open_.get(name):
+                expected[d, open_[name].pop()] = (m.start(), m.end())
+    assert got == expected
+
+
+def test_child_spans(spark):
+    text = "<section><section><section></section></section>x<section></section></section>"
+    got = {r.start: (r.close_start, [tuple(c) for c in r.children]) for r in child_spans(tag_stream(frame(spark, [text])), "section").collect()}
+    assert got == {0: (67, [(9, 47), (48, 67)]), 9: (37, [(18, 37)]), 18: (27, []), 48: (57, [])}
+
+
+def test_lenient_stack(spark, random_texts):
+    """What is open around each tag, against a plain stack."""
+    got = {(r.doc_id, r.start): (r.top, r.closes) for r in nested(tag_stream(frame(spark, random_texts))).collect()}
+    for d, t in enumerate(random_texts):
+        stack = []
+        for m in TAG.finditer(t):
+            name, close, self_ = m[2].lower(), m[1] == "/", m[4] == "/" and m[1] != "/"
+            top, closes = (stack[-1][0] if stack else None), None
+            if close:
+                k = max((i for i, (_, n) in enumerate(stack) if n == name), default=None)
+                if k is not None:
+                    closes = stack[k][0]
+                    del stack[k:]
+            elif not self_:
+                stack.append((m.start(), name))
+            assert got[d, m.start()] == (top, closes)
+
+
+def test_structure_of_clean_texts(spark):
+    texts = [
+        '<table frame="box"><caption>Parts</caption><thead><tr><th><para>Part</para></th></tr></thead><tbody><tr><td><para>1</para></td></tr></tbody></table>',
+        "<informaltable><tbody><tr><td><para>Steps:</para><orderedlist><listitem><para>one</para></listitem></orderedlist></td></tr></tbody></informaltable>",
+        "<itemizedlist><listitem><mediaobject><imageobject/></mediaobject></listitem></itemizedlist>",
+        "<orderedlist><listitem><itemizedlist><listitem><para>x</para></listitem></itemizedlist></listitem></orderedlist>",
+        "<para>Use <guilabel>Home</guilabel> and <guibutton>OK</guibutton>, see <xref href='x'/> and <indexterm><primary>x</primary></indexterm>.</para>",
+        "<table><tbody><tr><td rowspan='65535'><para>a</para></td><td><para>b</para></td></tr><tr><td><para>c</para></td></tr></tbody></table>",
+    ]
+    rows = nested(tag_stream(frame(spark, texts)))
+    for check_one in (check_tables, check_lists, check_paragraphs):
+        assert check_one(rows).isEmpty()
+    sections = ['<?xml version="1.0"?><section><title>x</title></section><!-- end --> ', "no tags at all", " ", None, "<section/>"]
+    docs = frame(spark, sections)
+    assert codes(check_outside_root(tag_stream(docs), docs)) == [(1, 0, "section.outside_root")]
+
+
+def test_route(spark):
+    docs = frame(spark, ["<section>\r\n<title>t</title><ul><li>a</li></ul>\r\n<para>x</section>", None, ""])
+    done = check(docs)
+    summary = {r.doc_id: r.summary for r in done.summary.collect()}
+    assert summary == {0: "1 problem: 1 unclosed tag", 1: "No problems found.", 2: "No problems found."}
+    assert [r.new_text for r in done.fixes.collect()] == ["<section>\n<title>t</title><itemizedlist><listitem><para>a</para></listitem></itemizedlist>\n<para>x</para></section>"]
+    lines = {(r.doc_id, r.num): (r.html, r.notes) for r in done.lines.collect()}
+    assert lines[0, 3] == ('<span class="bad">&lt;para&gt;</span>x&lt;/section&gt;', ["<para> stays open"]) and lines[1, 1] == ("", [])
+    done.release()
 
 
 def test_xinfo(spark):
-    texts = ['<a xinfo:x="1" b="2"><section xinfo:id="3"><section xinfo:id="4">', "<p xinfo:y='q'>", None]
-    assert [r.text for r in strip_xinfo(frame(spark, texts)).orderBy("doc_id").collect()] == ['<a b="2"><section xinfo:id="3"><section>', "<p>", None]
+    texts = ['<a xinfo:x="1" b="2"><section xinfo:id="3"><section xinfo:id="4">', "<p xinfo:y='q'>", None, 'say xinfo:b="2" here <P  xinfo:b="2" c>', "</section><Section/><SECTION xinfo:a='1'>"]
+    assert [r.text for r in strip_xinfo(frame(spark, texts)).orderBy("doc_id").collect()] == ['<a b="2"><section xinfo:id="3"><section>', "<p>", None, 'say xinfo:b="2" here <p c>', "</section><Section/><SECTION xinfo:a='1'>"]
