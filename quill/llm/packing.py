@@ -65,20 +65,30 @@ class DotProductPacker:
         self._fill(0)
 
     def _fill(self, keep: int) -> None:
-        while len(self.waiting) > keep:
-            self._one_bin()
-
-    def _one_bin(self) -> None:
+        """Makes bins until at most `keep` pieces wait. Demands are columns of numbers that the bins share; a piece that is cut changes its own."""
         items = self.waiting
-        demand = np.array([[n, 1, self._loss(s, at, n)] for _, at, n, s in items], float) / self.limits
-        left, used, open_ = np.ones(3), 0, np.ones(len(items), bool)
+        share = lambda k: self._demand(*items[k][1:])
+        demand = np.array([share(k) for k in range(len(items))], float).reshape(-1, 3).T.copy()
+        open_, n = np.ones(len(items), bool), len(items)
+        while n > keep:
+            n -= self._one_bin(items, demand, open_, share)
+        self.waiting = [x for x, o in zip(items, open_) if o]
+
+    def _demand(self, start: int, length: int, sums: np.ndarray | None) -> np.ndarray:
+        return np.array([length, 1, self._loss(sums, start, length)]) / self.limits
+
+    def _one_bin(self, items: list, demand: np.ndarray, open_: np.ndarray, share: Callable) -> int:
+        """Fills one bin; returns how many pieces it used up."""
+        left, used, done = np.ones(3), 0, 0
         while open_.any():
-            fit = open_ & (demand <= left + 1e-12).all(axis=1)
+            fit = open_.copy()
+            for d, room in zip(demand, left + 1e-12):
+                fit &= d <= room
             if fit.any():
-                k = int(np.argmax(np.where(fit, demand @ left, -1.0)))
+                k = int(np.argmax(np.where(fit, left @ demand, -1.0)))
                 n = items[k][2]
             elif left[1] * self.limits[1] >= 0.5 and (room := self.max_tokens - used) > 0:
-                k = int(np.argmax(np.where(open_, demand[:, 0], -1.0)))
+                k = int(np.argmax(np.where(open_, demand[0], -1.0)))
                 example, at, n, sums = items[k]
                 n = self._fits(sums, at, min(room, n), round(left[2] * self.limits[2]))
                 if n < 1:
@@ -92,11 +102,13 @@ class DotProductPacker:
             left -= np.array([n, 1, loss]) / self.limits
             if n == whole:
                 open_[k] = False
+                done += 1
             else:
                 items[k] = (example, at + n, whole - n, sums)
+                demand[:, k] = share(k)
                 break
-        self.waiting = [x for x, o in zip(items, open_) if o]
         self.bin += 1
+        return done
 
 
 def _packed(rows: DataFrame, examples: Callable, end_id: int, vocabulary: str | None, limits: tuple[int, int, int], window: int) -> DataFrame:
