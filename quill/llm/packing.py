@@ -4,8 +4,9 @@ Each partition packs its own documents, so nothing is shuffled and no state grow
 the table: pieces wait in a window of bounded size, whole sequences are cut off long
 documents, and the remainders are placed by the dot-product heuristic of vector bin
 packing: the bin being filled takes the piece whose demand vector (tokens, segments,
-loss-bearing tokens, each as a share of its limit) has the largest dot product with
-what the bin has left. When no whole piece fits and tokens are left, a piece is cut to
+loss-bearing tokens, each as a share of its limit), scaled to one length, has the largest
+dot product with what the bin has left, limits weighed by how much the waiting pieces ask
+of them. When no whole piece fits and tokens are left, a piece is cut to
 fill the bin, so that only a partition's last sequences, and bins that reach another
 limit first, are padded.
 
@@ -70,14 +71,17 @@ class DotProductPacker:
         share = lambda k: self._demand(*items[k][1:])
         demand = np.array([share(k) for k in range(len(items))], float).reshape(-1, 3).T.copy()
         open_, n = np.ones(len(items), bool), len(items)
+        # A limit weighs as much as the waiting pieces ask of it, and a piece's size does not count, only its direction.
+        weight = demand.mean(axis=1) if n else np.ones(3)
+        norm = np.sqrt(weight @ demand**2)
         while n > keep:
-            n -= self._one_bin(items, demand, open_, share)
+            n -= self._one_bin(items, demand, open_, share, weight, norm)
         self.waiting = [x for x, o in zip(items, open_) if o]
 
     def _demand(self, start: int, length: int, sums: np.ndarray | None) -> np.ndarray:
         return np.array([length, 1, self._loss(sums, start, length)]) / self.limits
 
-    def _one_bin(self, items: list, demand: np.ndarray, open_: np.ndarray, share: Callable) -> int:
+    def _one_bin(self, items: list, demand: np.ndarray, open_: np.ndarray, share: Callable, weight: np.ndarray, norm: np.ndarray) -> int:
         """Fills one bin; returns how many pieces it used up."""
         left, used, done = np.ones(3), 0, 0
         while open_.any():
@@ -85,7 +89,7 @@ class DotProductPacker:
             for d, room in zip(demand, left + 1e-12):
                 fit &= d <= room
             if fit.any():
-                k = int(np.argmax(np.where(fit, left @ demand, -1.0)))
+                k = int(np.argmax(np.where(fit, (weight * left) @ demand / norm, -1.0)))
                 n = items[k][2]
             elif left[1] * self.limits[1] >= 0.5 and (room := self.max_tokens - used) > 0:
                 k = int(np.argmax(np.where(open_, demand[0], -1.0)))
@@ -106,6 +110,7 @@ class DotProductPacker:
             else:
                 items[k] = (example, at + n, whole - n, sums)
                 demand[:, k] = share(k)
+                norm[k] = np.sqrt(weight @ demand[:, k] ** 2)
                 break
         self.bin += 1
         return done
