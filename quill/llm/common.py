@@ -84,11 +84,12 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose (doc_id, row_key) is not among the rejected."""
-    out = rejected.select(F.col("doc_id").alias("_rejected_id"), F.col("row_key").alias("_rejected_key"))
+def without(docs: DataFrame, rejected: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs, all columns, whose (doc_id, row_key) is not among the rejected. These are written and counted; while they fit broadcast_bytes, at 64 bytes each, they go to the texts, beyond that both are shuffled."""
+    out = materialize(rejected.select(F.col("doc_id").alias("_rejected_id"), F.col("row_key").alias("_rejected_key")), "rejected")
     same = (row_key() == F.col("_rejected_key")) & F.col("doc_id").eqNullSafe(F.col("_rejected_id"))
-    return docs.join(out, same, "left_anti")
+    small = 64 * out.count() <= broadcast_bytes
+    return docs.join(F.broadcast(out) if small else out, same, "left_anti")
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

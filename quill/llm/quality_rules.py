@@ -41,7 +41,6 @@ def base_counts(docs: DataFrame, window: int = 8) -> DataFrame:
     words = F.array_remove(F.split(_blank(text), " "), "")
     lines = F.filter(F.split(text, "\n"), lambda s: F.length(F.translate(s, " \t\n\x0b\x0c\r", "")) > 0)
     step = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("text"), words.alias("words"), lines.alias("lines"))
-    hashes = F.when(F.size("words") > window, F.transform(F.sequence(F.lit(1), F.size("words") - window + 1), lambda i: F.xxhash64(F.slice("words", i, F.lit(window)))))
     step = step.select(
         "doc_id", "lang", "source",
         F.size("words").cast("long").alias("n_words"),
@@ -49,8 +48,12 @@ def base_counts(docs: DataFrame, window: int = 8) -> DataFrame:
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        hashes.alias("hashes"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("w"),
     )
+    # A window's hash is taken of its words' hashes, each made once.
+    fields = [f"w{i}" for i in range(window)]
+    shifted = F.arrays_zip(*[F.slice("w", F.lit(i + 1), F.size("w") - window + 1) for i in range(window)]).cast(f"array<struct<{', '.join(f'{f}: bigint' for f in fields)}>>")
+    step = step.withColumn("hashes", F.when(F.size("w") > window, F.transform(shifted, lambda x: F.xxhash64(*[x[f] for f in fields])))).drop("w")
     # Texts whose windows all differ end here; for others, equal hashes are neighbours once sorted.
     repeated = F.size("hashes") != F.size(F.array_distinct("hashes"))
     step = step.withColumn("pairs", F.when(repeated, F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))

@@ -13,6 +13,7 @@ from __future__ import annotations
 import gc
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -20,8 +21,9 @@ from quill.llm.common import WordCoder
 
 #: Python's split() also cuts at these, which the tokenizers' \s does not match.
 _PLAIN_SPLIT_FAILS = re.compile("[\x1c-\x1f]")
-#: "<|" may begin a special token.
-_NOT_PLAIN = re.compile("[\x1c-\x1f]|[^\x00-\xff]|<[|]")
+_NOT_PLAIN = re.compile("[\x1c-\x1f\u0100-\U0010ffff]")
+#: May begin a special token.
+_SPECIAL = "<|"
 #: The pre-tokens of word_bpe_49k for lower-cased Latin-1 text without white space.
 _LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 
@@ -72,7 +74,8 @@ class TextEncoder:
         """Pre-tokens go straight to the merges, in the byte alphabet."""
         tokenize = self.model.tokenize
         spelled = [p if p.isalpha() and p.isascii() else p.encode().decode("latin-1").translate(_BYTES) for p in pieces]
-        return [np.array([k.id for k in tokenize(p)], dtype="<u2").tobytes() for p in spelled]
+        coded = [[k.id for k in tokenize(p)] for p in spelled]
+        return [struct.pack(f"<{len(ids)}H", *ids) for ids in coded]
 
     def encode_many(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids of each whole text (null: empty) and then `end`, as little-endian unsigned 16-bit integers."""
@@ -90,7 +93,7 @@ class TextEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not _NOT_PLAIN.search(text):
+            if _SPECIAL not in text and not _NOT_PLAIN.search(text):
                 plain.append((i, text.lower().split()))
             elif _PLAIN_SPLIT_FAILS.search(text):
                 out[i] = self._encode_raw([text])[0] + last
