@@ -23,8 +23,8 @@ def is_italic(font: Column, flags: Column) -> Column:
     return (flags.bitwiseAND(2) != 0) | F.lower(font).rlike("italic|oblique")
 
 
-def paragraphs(lines: DataFrame, id_column: str = "doc_id", fraction: float = 0.5) -> DataFrame:
-    """Lines grouped to paragraphs: id, para (from 1), n_lines, text. A gap over `fraction` of the upper median of line heights always splits; a new block splits unless the text reads as wrapped (no sentence end before, lower case after)."""
+def assign_paragraphs(lines: DataFrame, id_column: str = "doc_id", fraction: float = 0.5) -> DataFrame:
+    """Lines with `para` (from 1). A gap over `fraction` of the upper median of line heights always splits; a new block splits unless the text reads as wrapped (no sentence end before, lower case after)."""
     heights = lines.groupBy(id_column).agg(F.sort_array(F.collect_list(F.col("y1") - F.col("y0"))).alias("h"))
     median = heights.select(id_column, F.element_at("h", (F.floor(F.size("h") / 2) + 1).cast("int")).alias("median"))
     own = Window.partitionBy(id_column).orderBy("y0", "y1", "block", "line")
@@ -32,24 +32,33 @@ def paragraphs(lines: DataFrame, id_column: str = "doc_id", fraction: float = 0.
     big = (F.col("y0") - F.col("py")) > F.col("median") * fraction
     wrap = ~strip(F.col("pt")).rlike(SENTENCE_END) & strip(F.col("text")).rlike(r"\A\p{Ll}")
     splits = F.col("py").isNotNull() & (big | ((F.col("block") != F.col("pb")) & ~wrap))
-    rows = rows.withColumn("para", F.sum(splits.cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)) + 1)
-    ordered = F.array_sort(F.collect_list(F.struct("y0", "y1", "block", "line", "text")))
-    return rows.groupBy(id_column, "para").agg(F.count("*").alias("n_lines"), join_lines(F.transform(ordered, lambda r: strip(r["text"]))).alias("text"))
+    return rows.withColumn("para", F.sum(splits.cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("median", "py", "pb", "pt")
+
+
+def paragraphs(lines: DataFrame, id_column: str = "doc_id", fraction: float = 0.5) -> DataFrame:
+    """Lines grouped to paragraphs: id, para (from 1), n_lines, text."""
+    ordered = F.array_sort(F.collect_list(F.struct("y0", "y1", "block", "line", strip(F.col("text")).alias("text"))))
+    grouped = assign_paragraphs(lines, id_column, fraction).groupBy(id_column, "para").agg(F.count("*").alias("n_lines"), F.transform(ordered, lambda r: r["text"]).alias("texts"))
+    return grouped.select(id_column, "para", "n_lines", join_lines(F.col("texts")).alias("text"))
+
+
+def assign_items(lines: DataFrame, id_column: str = "doc_id", order: str = "line") -> DataFrame:
+    """Lines with `group` (the number of markers so far), `mark` (begins an item) and `ordered` (the list's, by its first marker). Lines before the first marker are dropped."""
+    own = Window.partitionBy(id_column).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    text = strip(F.col("text"))
+    marks = text.rlike(rf"(?U)\A\s*{MARKER}\s*\z") | text.rlike(rf"(?U)\A\s*{MARKER}\s+")
+    rows = lines.withColumn("mark", marks).withColumn("group", F.sum(F.col("mark").cast("int")).over(own)).filter("group > 0")
+    return rows.withColumn("ordered", F.first(F.when(F.col("mark"), text.rlike(rf"(?U)\A\s*{ORDINAL}")), True).over(own))
 
 
 def list_items(lines: DataFrame, id_column: str = "doc_id", order: str = "line") -> DataFrame:
-    """Lines grouped to list items: id, item (from 1), ordered, text. A marker starts an item, lines before the first are dropped, a marker with nothing after it is no item; the first marker says whether the list is ordered."""
-    own = Window.partitionBy(id_column).orderBy(order)
-    only, prefix = rf"(?U)\A\s*{MARKER}\s*\z", rf"(?U)\A\s*{MARKER}\s+"
+    """Lines grouped to list items: id, item (from 1), ordered, text. A marker starts an item, a marker with nothing after it is no item."""
     text = strip(F.col("text"))
-    marks = text.rlike(only) | text.rlike(prefix)
-    rows = lines.withColumn("mark", marks).withColumn("group", F.sum(F.col("mark").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0))).filter("group > 0")
-    first = F.first(F.when(F.col("mark"), text.rlike(rf"(?U)\A\s*{ORDINAL}")), True).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("ordered", first)
-    content = F.when(text.rlike(only), F.lit(None)).when(F.col("mark"), F.regexp_replace(text, rf"(?U)\A\s*{MARKER}\s*", "")).otherwise(text)
+    rows = assign_items(lines, id_column, order)
+    content = F.when(text.rlike(rf"(?U)\A\s*{MARKER}\s*\z"), F.lit(None)).when(F.col("mark"), F.regexp_replace(text, rf"(?U)\A\s*{MARKER}\s*", "")).otherwise(text)
     parts = F.array_sort(F.collect_list(F.when(content.isNotNull(), F.struct(F.col(order).alias("o"), content.alias("t")))))
-    items = rows.groupBy(id_column, "group").agg(F.first("ordered").alias("ordered"), join_lines(F.transform(parts, lambda p: p["t"])).alias("text"), F.count(content).alias("n")).filter("n > 0")
-    return items.select(id_column, F.row_number().over(Window.partitionBy(id_column).orderBy("group")).alias("item"), "ordered", "text")
+    items = rows.groupBy(id_column, "group").agg(F.first("ordered").alias("ordered"), F.transform(parts, lambda p: p["t"]).alias("texts")).filter(F.size("texts") > 0)
+    return items.select(id_column, F.row_number().over(Window.partitionBy(id_column).orderBy("group")).alias("item"), "ordered", join_lines(F.col("texts")).alias("text"))
 
 
 def lines_in_cells(lines: DataFrame, cells: DataFrame, id_column: str, band: float) -> DataFrame:
@@ -105,16 +114,21 @@ def clamp_zoom(width: Column, height: Column, zoom: Column, max_megapixels: floa
     return F.when(pixels > most, zoom * F.sqrt(most / pixels)).otherwise(zoom)
 
 
-def styled_paragraphs(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """keys, xml: spans (text, bold, italic) of one paragraph as mixed content. Neighbours of one style are one run, white space at a styled run's ends stays outside it, bold wins over italic, the ends are trimmed; blank runs are plain."""
+def styled_runs(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys, run, text, bold, italic, xml: neighbouring spans of one style as one run, and its markup. White space at a styled run's ends stays outside its tags, bold wins over italic, blank runs are plain."""
     own = Window.partitionBy(*keys).orderBy(order)
     new = F.coalesce((F.col("bold") != F.lag("bold").over(own)) | (F.col("italic") != F.lag("italic").over(own)), F.lit(True))
     rows = spans.filter("text <> ''").withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    in_order = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(by).alias("o"), c.alias("t")))), lambda x: x["t"]), "")
-    runs = rows.groupBy(*keys, "run").agg(in_order(F.col("text"), order).alias("text"), F.first("bold").alias("bold"), F.first("italic").alias("italic"))
+    in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t")))), lambda x: x["t"]), "")
+    runs = rows.groupBy(*keys, "run").agg(in_order.alias("text"), F.first("bold").alias("bold"), F.first("italic").alias("italic"))
     text, core = F.col("text"), strip(F.col("text"))
     opener = F.when(F.col("bold"), '<emphasis role="strong">').otherwise("<emphasis>")
     lead, trail = F.regexp_extract(text, r"(?U)\A\s*", 0), F.regexp_extract(text, r"(?U)\s*\z", 0)
     styled = F.concat(lead, opener, escape_html(core), F.lit("</emphasis>"), trail)
-    xml = F.when((F.col("bold") | F.col("italic")) & (core != ""), styled).otherwise(escape_html(text))
-    return runs.withColumn("part", xml).groupBy(*keys).agg(F.concat(F.lit("<para>"), strip(in_order(F.col("part"), "run")), F.lit("</para>")).alias("xml"))
+    return runs.withColumn("xml", F.when((F.col("bold") | F.col("italic")) & (core != ""), styled).otherwise(escape_html(text)))
+
+
+def styled_paragraphs(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys, xml: spans (text, bold, italic) of one paragraph as mixed content, trimmed at both ends."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "xml"))), lambda x: x["xml"]), "")
+    return styled_runs(spans, keys, order).groupBy(*keys).agg(F.concat(F.lit("<para>"), strip(whole), F.lit("</para>")).alias("xml"))

@@ -141,16 +141,16 @@ def frames(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
     # Paragraphs and media count for the nearest item unless a list is nearer, lists for the item that they are put into.
     fills = opens & name.isin("para", "mediaobject") & (F.col("near_item_tag") == "listitem") & ~(F.col("is_self") & (name == "para"))
     holds = whole & name.isin(*LISTS) & (F.col("parent_tag") == "listitem")
-    fields = {"opener": opener, "close_end": F.col("end"), "item": F.lit(1), "fill": F.lit(True), "cell": F.col("start"), "row": F.lit(1), "declared": attr_int(F.col("attrs"), "span")}
-    types = {"close_end": "long", "item": "int", "fill": "boolean", "cell": "long", "row": "int", "declared": "int"}
+    fields = {"opener": opener, "close": F.struct("start", "end"), "item": F.lit(1), "fill": F.lit(True), "cell": F.col("start"), "row": F.lit(1), "declared": attr_int(F.col("attrs"), "span")}
+    types = {"close": "struct<start:bigint,end:bigint>", "item": "int", "fill": "boolean", "cell": "long", "row": "int", "declared": "int"}
 
     def says(when: Column, frame: str, what: str) -> Column:
-        others = [(fields[k] if k == what else F.lit(None).cast(types[k]) if k in types else F.when(F.lit(False), opener)).alias(k) for k in fields]
+        others = [(fields[k].cast(types[k]) if k == what and k in types else fields[k] if k == what else F.lit(None).cast(types[k]) if k in types else F.when(F.lit(False), opener)).alias(k) for k in fields]
         return F.when(when, F.struct(F.col(frame).cast("long").alias("frame"), *others))
 
     told = [
         says(whole & name.isin(*_FRAMES), "start", "opener"),
-        says(F.col("closes_tag").isin(*_FRAMES), "closes", "close_end"),
+        says(F.col("closes_tag").isin(*_FRAMES), "closes", "close"),
         says(opens & is_item & in_list, "parent", "item"),
         says(fills, "near_item", "fill"),
         says(holds, "parent", "fill"),
@@ -160,10 +160,10 @@ def frames(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
     ]
     parts = rows.select(id_column, F.explode(F.array_compact(F.array(*told))).alias("t")).select(id_column, "t.*").filter("frame is not null")
     grouped = parts.groupBy(id_column, F.col("frame").alias("start")).agg(
-        F.max("opener").alias("o"), F.max("close_end").alias("close_end"), F.count("item").alias("items"), F.coalesce(F.max("fill"), F.lit(False)).alias("filled"),
+        F.max("opener").alias("o"), F.max("close").alias("close"), F.count("item").alias("items"), F.coalesce(F.max("fill"), F.lit(False)).alias("filled"),
         F.count("cell").alias("cells"), F.max("cell").alias("last_cell"), F.count("row").alias("rows"), F.sum("declared").alias("declared"),
     )
-    return grouped.filter("o is not null").select(id_column, "start", "o.*", "close_end", F.col("close_end").isNotNull().alias("closed"), "items", "filled", "cells", "last_cell", "rows", "declared")
+    return grouped.filter("o is not null").select(id_column, "start", "o.*", F.col("close.start").alias("close_start"), F.col("close.end").alias("close_end"), F.col("close").isNotNull().alias("closed"), "items", "filled", "cells", "last_cell", "rows", "declared")
 
 
 def check_tables(rows: DataFrame, framed: DataFrame | None = None, id_column: str = "doc_id") -> DataFrame:

@@ -22,11 +22,11 @@ from quill.operators import state as ST
 from quill.operators import streams as SM
 from quill.operators import tables as TB
 from quill.operators import tags as TG
-from quill.plans import faults
+from quill.plans import faults, fragments
 from quill.sources import markup as MK
 
-QUERIES: dict = dict(faults.QUERIES)
-SQL: dict[str, str] = dict(faults.SQL)
+QUERIES: dict = faults.QUERIES | fragments.QUERIES
+SQL: dict[str, str] = faults.SQL | fragments.SQL
 
 
 def query(name: str, sql: str | None = None):

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from quill.operators.findings import dedup_findings, report_lines, summarize
+from quill.operators.normalize import normalize
 from quill.operators.repairs import convert_lists, keeps_words, splice, strip_xinfo, suggest_fixes
 from quill.operators.sections import check_loose_text, check_media, check_placement, check_sections
 from quill.operators.route import check
@@ -166,6 +167,13 @@ def test_lists(spark):
     assert [got[k, 0] for k in (3, 4, 5, 6)] == [None] * 4
 
 
+def test_normalize_edges(spark):
+    got = {r.doc_id: (r.output, r.changed, r.diagnostic) for r in normalize(frame(spark, [None, " \n", "<table></table>", "<table><tr><td rowspan='2'>a</td></tr></table>x<p>y</p>"])).collect()}
+    assert got[0] == ("", False, "Nothing to normalize.") and got[1] == (" \n", False, "Nothing to normalize.") and got[2][1:] == (False, "Nothing to change.")
+    assert got[3] == ('<informaltable frame="box" rules="all"><tbody><tr><td rowspan="2"><para>a</para></td></tr></tbody></informaltable>x<para>y</para>', True, "Normalized 1 table(s) and 1 paragraph(s).")
+    assert normalize(frame(spark, [None]).filter("false")).isEmpty()
+
+
 def test_splice(spark):
     docs = frame(spark, ["abcdef", "xyz", None])
     edits = spark.createDataFrame([(0, 4, 6, "!"), (0, 1, 2, "--"), (0, 2, 2, "+")], "doc_id long, start long, end long, new string")
