@@ -49,7 +49,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class TextEncoder:
     """Encodes texts to unsigned 16-bit ids, as word_bpe_49k does. special_as_text: strings of special tokens in a text are ordinary text. limit: chunks and pre-tokens that are remembered."""
 
-    def __init__(self, path: str, special_as_text: bool = False, limit: int = 500_000):
+    def __init__(self, path: str, special_as_text: bool = False, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
