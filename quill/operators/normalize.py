@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quill.functions.text import collapse, squash, strip_envelope
+from quill.functions.text import collapse, squash, strip, strip_envelope
 from quill.operators.repairs import convert_lists, splice
 from quill.operators.structure import frames, nested, table_cells
 from quill.operators.tables import emit_rows
@@ -64,7 +64,7 @@ def normalize(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     did = F.concat_ws(" and ", part("lists", "list"), part("tables", "table"), part("paragraphs", "paragraph"))
     changed = squash(F.col("text")) != squash(strip_envelope(F.col("source")))
     says = (
-        F.when(F.trim("source") == "", "Nothing to normalize.")
+        F.when(strip(F.col("source")) == "", "Nothing to normalize.")
         .when(~F.col("source").rlike(r"<\s*/?\s*[A-Za-z]"), "No tags found.")
         .when(~changed, "Nothing to change.")
         .otherwise(F.concat(F.lit("Normalized "), F.when(did != "", did).otherwise("inline markup"), F.lit(".")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,15 @@ def erase(rows: DataFrame, boxes: DataFrame, white: int = 255) -> DataFrame:
     spans = mine.groupBy("img_id", "y").agg(F.collect_list(F.struct("x0", "x1")).alias("spans"))
     hit = lambda x: F.exists(F.coalesce("spans", F.array().cast("array<struct<x0:int,x1:int>>")), lambda s: (x >= s["x0"]) & (x < s["x1"]))
     return rows.join(spans, ["img_id", "y"], "left").select("img_id", "y", F.transform("pixels", lambda v, x: F.when(hit(x), F.lit(white)).otherwise(v)).alias("pixels"))
+
+
+def masked_ink(rows: DataFrame, mask: DataFrame) -> DataFrame:
+    """img_id, y, ink: how many pixels at or below the image's threshold are also in the mask (img_id, y, on: array<boolean>)."""
+    both = rows.join(otsu_threshold(rows), "img_id").join(mask, ["img_id", "y"])
+    hits = F.zip_with("pixels", "on", lambda v, on: F.coalesce(on, F.lit(False)) & (v <= F.col("threshold")))
+    return both.select("img_id", "y", F.size(F.filter(hits, lambda h: F.coalesce(h, F.lit(False)))).alias("ink"))
+
+
+def size_problem(width: Column, height: Column, least_width: int, least_height: int) -> Column:
+    """Null for an image that is large enough, else how large it must be."""
+    return F.when((width < least_width) | (height < least_height), F.concat(F.lit(f"at least {least_width} x {least_height} pixels, not "), width, F.lit(" x "), height))

@@ -90,3 +90,12 @@ def exact_lines(lines: DataFrame, text: str, dir_x: float | None = None, dir_y:
         if value is not None:
             rows = rows.filter(F.abs(F.col(column) - value) <= tolerance)
     return rows
+
+
+def redact_lines(lines: DataFrame, text: str, fill: str = " ") -> DataFrame:
+    """Lines with the first place of the text in each filled, and `redacted`, whether there was one; other places stay."""
+    line = F.col("text")
+    at = F.instr(line, text)
+    hidden = F.concat(F.substring(line, F.lit(1), at - 1), F.lit(fill * len(text)), F.substring(line, at + len(text), F.length(line)))
+    found = F.coalesce((at > 0) & F.lit(bool(text)), F.lit(False))
+    return lines.withColumns({"redacted": found, "text": F.when(found, hidden).otherwise(line)})

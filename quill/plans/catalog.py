@@ -23,6 +23,7 @@ from quill.operators import streams as SM
 from quill.operators import tables as TB
 from quill.operators import tags as TG
 from quill.plans import faults, fragments
+from quill.sources import layout as LY
 from quill.sources import markup as MK
 
 QUERIES: dict = faults.QUERIES | fragments.QUERIES
@@ -635,6 +636,34 @@ def table_rows(spark, sf_dir):
     return TB.emit_rows(cells).select("table_id", F.array_join("head", "").alias("head"), F.array_join("body", "").alias("body"))
 
 
+@query("layout_scan", f"WITH {_LAYOUT_SQL} SELECT doc_id, line, block, x0, y0, dir_x, font, flags, text FROM lay")
+def layout_scan(spark, sf_dir):
+    """Spans of nested pages, one a line here; the pages are written and read as JSON documents would be."""
+    line = F.struct(F.array("x0", "y0", "x1", "y1").alias("bbox"), F.array("dir_x", "dir_y").alias("dir"), F.array(F.struct(F.array("x0", "y0", "x1", "y1").alias("bbox"), "text", "font", "flags")).alias("spans"))
+    blocks = _layout(spark, sf_dir).groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("line", line.alias("l")))).alias("lines"))
+    block = F.struct("block", F.struct(F.transform("lines", lambda x: x["l"]).alias("lines")).alias("b"))
+    pages = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(block)).alias("blocks")).select("doc_id", F.lit(1).alias("page"), F.transform("blocks", lambda x: x["b"]).alias("blocks"))
+    rows = pages.select(F.from_json(F.to_json(F.struct("*")), LY.PAGE).alias("p")).select("p.*")
+    return LY.layout_spans(rows).select("doc_id", F.col("line").cast("long").alias("line"), F.col("block").cast("long").alias("block"), "x0", "y0", "dir_x", "font", "flags", "text")
+
+
+@query("redacted_lines", f"WITH {_LAYOUT_SQL} SELECT doc_id, line, contains(text, 'an') AS redacted, CASE WHEN contains(text, 'an') THEN left(text, instr(text, 'an') - 1) || '  ' || substr(text, instr(text, 'an') + 2) ELSE text END AS text FROM lay")
+def redacted_lines(spark, sf_dir):
+    return SM.redact_lines(_layout(spark, sf_dir), "an").select("doc_id", "line", "redacted", "text")
+
+
+@query("masked_ink", """WITH p AS (SELECT n_nationkey AS img_id, y, x, CASE WHEN (y // 4 + n_nationkey) % 3 = 0 AND x % 2 = 0 THEN 20 + x ELSE 230 - y END AS v FROM nation, range(0, 24) AS a(y), range(0, 32) AS b(x))
+SELECT img_id, y, count(*) FILTER (v < 100 AND x < y) AS ink FROM p GROUP BY ALL""")
+def masked_ink(spark, sf_dir):
+    y = F.col("y")
+    rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("img_id"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("y"))
+    dark = (F.floor(y / 4) + F.col("img_id")) % 3 == 0
+    place = F.sequence(F.lit(0), F.lit(31))
+    pixels = rows.withColumn("pixels", F.transform(place, lambda x: F.when(dark & (x % 2 == 0), 20 + x).otherwise(230 - y)))
+    mask = rows.withColumn("on", F.transform(place, lambda x: x < y))
+    return RA.masked_ink(pixels, mask).select("img_id", y.cast("long").alias("y"), F.col("ink").cast("long").alias("ink"))
+
+
 # The same queries under the names by which they first read whole texts.
 for _name in ("page_ref_flag", "region_filter", "line_in_cell_join", "styled_paragraphs"):
     QUERIES[f"{_name}_whole"] = QUERIES[_name]

@@ -75,25 +75,12 @@ def test_layout_of_whole_pages(spark, tmp_path):
     assert found == {(1, i) for i in range(100) if i % 50 in range(10, 40) and i % 11 != 10}
 
 
-def _without(tmp_path, code, hidden=()):
+def test_entry_without_the_corpus_package(tmp_path):
     root = Path(__file__).resolve().parents[1]
     (tmp_path / "quill").mkdir()
     for path in root.glob("quill/*"):
-        if path.name != "llm" or hidden:
+        if path.name != "llm":
             (tmp_path / "quill" / path.name).symlink_to(path)
     (tmp_path / "__spark_entry__.py").write_text((root / "__spark_entry__.py").read_text())
-    for name in hidden:
-        (tmp_path / f"{name}.py").write_text("raise ImportError('hidden')")
-        (tmp_path / "corpus_pipeline.py").write_text((root / "corpus_pipeline.py").read_text())
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'tag_stream' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
-
-
-_PLAIN = "import __spark_entry__ as e; q = e.queries(); assert 'tag_stream' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
-
-
-def test_entry_without_the_corpus_package(tmp_path):
-    _without(tmp_path, _PLAIN)
-
-
-def test_entry_without_a_library_of_the_corpus_package(tmp_path):
-    _without(tmp_path, _PLAIN, hidden=["zstandard"])

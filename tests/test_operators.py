@@ -1,6 +1,7 @@
 """Layout, review, state, stream and source operators on worked examples."""
 
 import difflib
+import json
 import random
 import time
 
@@ -11,7 +12,7 @@ from quill.functions import text as T
 from quill.operators import layout as layout_ops
 from quill.operators import raster, readings, requests, state, streams, tables
 from quill.operators.layout import in_region, list_items, paragraphs
-from quill.sources import markup
+from quill.sources import layout, markup
 from quill.streaming.limiter import limit_stream
 
 
@@ -31,7 +32,7 @@ def test_text_functions(spark):
     assert one(T.line_of(s("a\nb\n\U0001f600c"), s(5))) == 3 and one(T.escape_html(s("<a & 'b'>"))) == "&lt;a &amp; &#39;b&#39;&gt;"
 
 
-def layout(spark, texts, gaps=None, blocks=None):
+def layout_of(spark, texts, gaps=None, blocks=None):
     rows, y = [], 0.0
     for k, t in enumerate(texts):
         y += (gaps or {}).get(k, 0)
@@ -42,15 +43,15 @@ def layout(spark, texts, gaps=None, blocks=None):
 
 def test_paragraphs(spark):
     texts = ["One wrapped", "line here", "next. block", "joined as wrap", "After a gap"]
-    got = [r.text for r in paragraphs(layout(spark, texts, gaps={4: 6}, blocks={2: 1, 3: 2, 4: 2})).orderBy("para").collect()]
+    got = [r.text for r in paragraphs(layout_of(spark, texts, gaps={4: 6}, blocks={2: 1, 3: 2, 4: 2})).orderBy("para").collect()]
     assert got == ["One wrapped line here next. block joined as wrap", "After a gap"]
-    got = [r.text for r in paragraphs(layout(spark, ["Ends here.", "new block"], blocks={1: 1})).orderBy("para").collect()]
+    got = [r.text for r in paragraphs(layout_of(spark, ["Ends here.", "new block"], blocks={1: 1})).orderBy("para").collect()]
     assert got == ["Ends here.", "new block"]
-    assert in_region(layout(spark, ["a", " ", "b"]), 0, 0, 60, 25).count() == 1
+    assert in_region(layout_of(spark, ["a", " ", "b"]), 0, 0, 60, 25).count() == 1
 
 
 def test_list_items(spark):
-    got = [(r.item, r.ordered, r.text) for r in list_items(layout(spark, ["intro", "1.) first", "goes on", "2.", "(b) third", "•"])).orderBy("item").collect()]
+    got = [(r.item, r.ordered, r.text) for r in list_items(layout_of(spark, ["intro", "1.) first", "goes on", "2.", "(b) third", "•"])).orderBy("item").collect()]
     assert got == [(1, True, "first goes on"), (2, True, "third")]
 
 
@@ -205,6 +206,19 @@ def test_raster(spark):
     assert [r.ink for r in raster.row_ink(raster.erase(rows, boxes)).orderBy("y").collect()][3:6] == [3, 3, 5]
 
 
+def test_pages(spark, tmp_path):
+    line = lambda text, y: {"bbox": [0, y, 9, y + 9], "dir": [1, 0], "spans": [{"bbox": [0, y, 5, y + 9], "text": text, "font": "F", "flags": 16}, {"bbox": [5, y, 9, y + 9], "text": "!", "font": "F", "flags": 0}]}
+    image = {"xref": 4, "bbox": [0, 0, 10, 20], "transform": [10, 0, 0, 20, 0, 0], "smask": 0, "width": 100, "height": 200}
+    pages = [{"doc_id": 1, "page": 1, "blocks": [{"lines": [line("a", 0), line("b", 10)]}, {"lines": None}, {"lines": [line("c", 20)]}], "images": [image, {**image, "xref": 5, "transform": [0, 10, 20, 0, 0, 0], "smask": 7}]}, {"doc_id": 2, "page": 1}]
+    (tmp_path / "pages.json").write_text("\n".join(map(json.dumps, pages)) + "\nnot json\n")
+    rows = layout.read_pages(spark, str(tmp_path / "pages.json"))
+    assert [(r.block, r.line, r.span, r.text, r.y0) for r in layout.layout_spans(rows).orderBy("line", "span").collect()] == [(0, 0, 0, "a", 0.0), (0, 0, 1, "!", 0.0), (0, 1, 0, "b", 10.0), (0, 1, 1, "!", 10.0), (2, 2, 0, "c", 20.0), (2, 2, 1, "!", 20.0)]
+    assert [(r.xref, r.skew, r.masked, r.ix1, r.iy1) for r in layout.page_images(rows).orderBy("xref").collect()] == [(4, 0.0, False, 10.0, 20.0), (5, 31.0, True, 10.0, 20.0)]
+    assert [r.n_pages for r in layout_ops.page_counts(rows).orderBy("doc_id").collect()] == [1, 1]
+    sizes = spark.createDataFrame([(10, 10), (9, 10)], "w int, h int")
+    assert [r.p for r in sizes.select(raster.size_problem(F.col("w"), F.col("h"), 10, 5).alias("p")).collect()] == [None, "at least 10 x 5 pixels, not 9 x 10"]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "b.md").write_text("# Second \r\nbody")
     (tmp_path / "a.md").write_text("no heading")
