@@ -56,8 +56,12 @@ def test_benchmark_decontamination(stages):
 
 def test_secret_scan(spark, stages):
     """Every found span becomes one mask, overlapping ones together, and nothing else changes."""
-    before, after = stages["benchmark_decontamination"], stages["secret_scan"]
-    assert set(before.index) == set(after.index)
+    assert set(stages["benchmark_decontamination"].index) == set(stages["secret_scan"].index)
+    planted = "client_id=web-7 with aB3xY7zQaB3xY7zQaB3x, password = hunter22 and token=AKIA" + "Z9" * 9 + " end"
+    before = pd.concat([stages["benchmark_decontamination"], pd.DataFrame({"text": [planted], "n_chars": [len(planted)]}, index=pd.Index([-1], name="doc_id"))])
+    rows = spark.createDataFrame(before[["text", "n_chars"]].reset_index())
+    after = corpus_pipeline.secret_scan(spark, rows, SF).toPandas().set_index("doc_id")
+    assert (after["text"].drop(-1) == stages["secret_scan"]["text"]).all()
     spans = {r.doc_id: sorted((s["start"], s["end"]) for s in [*r.base, *r.linked]) for r in find_secrets(spark.createDataFrame(before["text"].reset_index())).collect()}
     masked = 0
     for d, text in before["text"].items():
@@ -72,7 +76,7 @@ def test_secret_scan(spark, stages):
         assert after["text"][d] == expected and after["n_chars"][d] == len(expected)
         masked += text != expected
         assert not re.search(r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", expected)
-    assert masked
+    assert masked and after["text"][-1] == "[secret] with [secret], [secret] and [secret] end"
 
 
 def test_packing(stages):
