@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quill.llm.chat_format import OP13_SQL, op13_chat_format
 from quill.llm.containment import OP10_SQL, op10_containment
+from quill.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from quill.llm.importance import op4_importance
 from quill.llm.language_id import op3_language_id
 from quill.llm.minhash_dedup import OP6_SQL, op6_minhash_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_separator_scan": op9_separator_scan,
     "op10_containment": op10_containment,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_chat_format": op13_chat_format,
 }
 
@@ -35,5 +37,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_warc_bundle": OP7_SQL,
     "op10_containment": OP10_SQL,
     "op11_prefix_trie": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
     "op13_chat_format": OP13_SQL,
 }
