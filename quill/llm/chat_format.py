@@ -17,7 +17,8 @@ list of spans, in UTF-8 bytes of the formatted conversation, of the learned role
 Null text or role: empty. A null conv_id is a conversation of its own. Null turns and
 sequence numbers come first; rows of one turn follow by role and text, events of one number
 by message, kind and text; repeated rows each count. Events of a message that never starts
-are ignored, and so is a second `start`. An empty table gives no rows; other columns are
+are ignored, and so is a second `start`; a message that went stays away, but a
+`regenerate` sent to it still takes what started behind it. An empty table gives no rows; other columns are
 ignored. A conversation is one row of the output, so it must fit one.
 """
 
