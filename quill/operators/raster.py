@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def otsu_threshold(rows: DataFrame) -> DataFrame:
-    """img_id, threshold: the grey value that parts an image's histogram with the largest variance between the two sides (the first of equals). Histograms have 256 counts, so the scan is a window over them."""
+    """img_id, threshold: the grey value that parts an image's histogram with the largest variance between the two sides (the first of equals; 0 where all pixels are equal). Histograms have 256 counts, so the scan is a window over them."""
     from pyspark.sql import Window
 
     counts = rows.select("img_id", F.explode("pixels").alias("v")).groupBy("img_id", "v").agg(F.count("*").alias("n"))
@@ -19,7 +19,8 @@ def otsu_threshold(rows: DataFrame) -> DataFrame:
     w1 = F.col("t") - F.col("w0")
     gap = F.col("m0") / F.col("w0") - F.when(w1 > 0, (F.col("m") - F.col("m0")) / w1)
     spread = F.coalesce(F.col("w0") * w1 * gap * gap, F.lit(0.0))
-    return side.groupBy("img_id").agg((-F.max(F.struct(spread.alias("s"), (-F.col("v")).alias("v")))["v"]).alias("threshold"))
+    best = F.max(F.struct(spread.alias("s"), (-F.col("v")).alias("v")))
+    return side.groupBy("img_id").agg(F.when(best["s"] > 0, -best["v"]).otherwise(0).alias("threshold"))
 
 
 def row_ink(rows: DataFrame) -> DataFrame:

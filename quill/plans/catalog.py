@@ -17,6 +17,7 @@ from quill.operators import readings as R
 from quill.operators import repairs as RP
 from quill.operators import requests as RQ
 from quill.operators import sections as SE
+from quill.operators import segmentation as SG
 from quill.operators import segments as S
 from quill.operators import state as ST
 from quill.operators import streams as SM
@@ -664,6 +665,52 @@ def masked_ink(spark, sf_dir):
     return RA.masked_ink(pixels, mask).select("img_id", y.cast("long").alias("y"), F.col("ink").cast("long").alias("ink"))
 
 
+def _table_images(spark, sf_dir):
+    """A small picture of a table for each customer, with or without rules; the text of its cells differs in place, width and height."""
+    k, y = F.col("c_custkey"), F.col("y")
+    rows = _table(spark, sf_dir, "customer").select("c_custkey").repartition("c_custkey").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(43))).alias("y"))
+    upright = lambda x: (k % 4 != 0) & y.between(2, 41) & (x.isin(3, 68) | (x == 25 + k % 5) | ((k % 2 == 0) & (x == 26 + k % 5)))
+    flat = lambda x: (k % 4 != 0) & y.isin(2, 41) & x.between(3, 68)
+    first = lambda x: y.between(7, 14) & (((k % 3 != 1) & x.between(8, 12 + k % 9)) | ((k % 6 != 2) & x.between(34, 36 + k % 20)))
+    second = lambda x: (k % 7 != 0) & y.between(20, 27 + k % 6) & (((k % 5 != 3) & x.between(9, 11 + k % 7)) | x.between(40, 40 + k % 11))
+    speck = lambda x: (x == 50) & (y == 17) | (y == 33 + k % 5) & (x % 3 == 0)
+    dark = lambda x: upright(x) | flat(x) | first(x) | second(x) | speck(x)
+    return rows.select(k.alias("img_id"), "y", F.transform(F.sequence(F.lit(0), F.lit(71)), lambda x: F.when(dark(x), 20 + k % 50).otherwise(255)).alias("pixels"))
+
+
+@query("segmented_cells", """WITH p AS (SELECT c_custkey AS k, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x FROM customer, range(44) AS a(y), range(72) AS b(x)
+    WHERE (c_custkey % 4 <> 0 AND y BETWEEN 2 AND 41 AND (x IN (3, 68) OR x = 25 + c_custkey % 5 OR (c_custkey % 2 = 0 AND x = 26 + c_custkey % 5)))
+    OR (c_custkey % 4 <> 0 AND y IN (2, 41) AND x BETWEEN 3 AND 68)
+    OR (y BETWEEN 7 AND 14 AND ((c_custkey % 3 <> 1 AND x BETWEEN 8 AND 12 + c_custkey % 9) OR (c_custkey % 6 <> 2 AND x BETWEEN 34 AND 36 + c_custkey % 20)))
+    OR (c_custkey % 7 <> 0 AND y BETWEEN 20 AND 27 + c_custkey % 6 AND ((c_custkey % 5 <> 3 AND x BETWEEN 9 AND 11 + c_custkey % 7) OR x BETWEEN 40 AND 40 + c_custkey % 11))
+    OR (x = 50 AND y = 17) OR (y = 33 + c_custkey % 5 AND x % 3 = 0)),
+h AS (SELECT k, y, x FROM (SELECT *, count(*) OVER (PARTITION BY k, y, i) AS n FROM (SELECT *, x - row_number() OVER (PARTITION BY k, y ORDER BY x) AS i FROM p)) WHERE n >= 20),
+v AS (SELECT k, y, x FROM (SELECT *, count(*) OVER (PARTITION BY k, x, i) AS n FROM (SELECT *, y - row_number() OVER (PARTITION BY k, x ORDER BY y) AS i FROM p)) WHERE n >= 15),
+profile AS (SELECT 'v' AS kind, k, x AS pos, count(*) AS n FROM v GROUP BY ALL UNION ALL SELECT 'h', k, y, count(*) FROM h GROUP BY ALL),
+full_ AS (SELECT *, pos - row_number() OVER (PARTITION BY kind, k ORDER BY pos) AS i FROM (SELECT *, max(n) OVER (PARTITION BY kind, k) AS most FROM profile) WHERE n > 0.5 * most),
+peaks AS (SELECT kind, k, (min(pos) + max(pos)) // 2 AS peak FROM full_ GROUP BY kind, k, i),
+frame AS (SELECT c_custkey AS k, count(*) FILTER (kind = 'v') >= 2 AS grid, CASE WHEN count(*) FILTER (kind = 'h') >= 2 THEN min(peak) FILTER (kind = 'h') ELSE 0 END AS top, CASE WHEN count(*) FILTER (kind = 'h') >= 2 THEN max(peak) FILTER (kind = 'h') ELSE 43 END AS bottom
+    FROM customer LEFT JOIN peaks ON k = c_custkey GROUP BY 1),
+cols AS (SELECT k, peak AS x FROM peaks JOIN frame USING (k) WHERE kind = 'v' AND grid UNION ALL SELECT k, unnest([0, 71]) FROM frame WHERE NOT grid),
+spans AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY x) - 1 AS col, x + 2 AS x0, greatest(after - 2, x + 3) AS x1 FROM (SELECT *, lead(x) OVER (PARTITION BY k ORDER BY x) AS after FROM cols) WHERE after IS NOT NULL),
+wide AS (SELECT DISTINCT k, y + dy AS y, x + dx AS x FROM (SELECT * FROM h UNION SELECT * FROM v), unnest([-1, 0, 1]) AS a(dy), unnest([-1, 0, 1]) AS b(dx)),
+clean AS (SELECT * FROM p ANTI JOIN wide USING (k, y, x)),
+square AS (SELECT k, y, x FROM clean SEMI JOIN (SELECT k, y, x - 1 AS x FROM clean) USING (k, y, x) SEMI JOIN (SELECT k, y - 1 AS y, x FROM clean) USING (k, y, x) SEMI JOIN (SELECT k, y - 1 AS y, x - 1 AS x FROM clean) USING (k, y, x)),
+inner_ AS (SELECT k, min(x) + 3 AS lo, max(x) - 3 AS hi FROM cols GROUP BY k),
+ink AS (SELECT DISTINCT k, y + dy AS y, x + dx AS x FROM square, unnest([0, 1]) AS a(dy), unnest([0, 1]) AS b(dx)),
+inside AS (SELECT ink.* FROM ink JOIN frame USING (k) JOIN inner_ USING (k) WHERE y BETWEEN top AND bottom AND x BETWEEN lo AND hi),
+lines AS (SELECT k, y, y - row_number() OVER (PARTITION BY k ORDER BY y) AS i FROM (SELECT k, y FROM inside GROUP BY k, y HAVING count(*) >= 3)),
+run AS (SELECT k, min(y) AS a, max(y) AS b FROM lines GROUP BY k, i),
+joined AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY a) AS band FROM (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY k ORDER BY a) - 1 <= 2 THEN 0 ELSE 1 END AS new FROM run)),
+band AS (SELECT k, min(a) AS a, max(b) AS b FROM joined GROUP BY k, band HAVING max(b) - min(a) >= 5),
+rows_ AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY a) - 1 AS row, coalesce((lag(b) OVER (PARTITION BY k ORDER BY a) + a) // 2, top) AS y0, coalesce((b + lead(a) OVER (PARTITION BY k ORDER BY a)) // 2, bottom + 1) AS y1 FROM band JOIN frame USING (k)),
+cells AS (SELECT k, row, col, y0, y1, x0, x1, grid FROM rows_ JOIN spans USING (k) JOIN frame USING (k)),
+inked AS (SELECT k, row, col, count(*) AS n FROM cells JOIN inside USING (k) WHERE y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY ALL)
+SELECT k AS img_id, row, col, y0, y1, x0, x1, coalesce(n, 0) < 20 AS empty, grid FROM cells LEFT JOIN inked USING (k, row, col)""")
+def segmented_cells(spark, sf_dir):
+    return SG.segment_tables(_table_images(spark, sf_dir))
+
+
 # The same queries under the names by which they first read whole texts.
 for _name in ("page_ref_flag", "region_filter", "line_in_cell_join", "styled_paragraphs"):
     QUERIES[f"{_name}_whole"] = QUERIES[_name]
