@@ -2,15 +2,17 @@
 
 Two generative models of hashed word n-grams (single tokens and pairs of neighbours, in
 one table of buckets) are counted: the raw model over every document, the target model
-over labelled good ones (quality 1, not toxic). A document's log weight is the sum over
-its n-grams of log p_target - log p_raw. k documents are then sampled without
-replacement, in proportion to their weights, as the k largest of log weight + Gumbel
-noise; noise is a hash of the row, so a run can be repeated.
+over labelled good ones (quality 1, not toxic). A document's log weight is the mean over
+its n-grams of log p_target - log p_raw, divided by `temperature`: sums over whole texts
+would put hundreds between documents of one kind, and no draw could then change their
+order. k documents are sampled without replacement, in proportion to their weights, as the
+k largest of log weight + Gumbel noise; noise is a hash of the row, so a run can be repeated.
 
 The target model is fitted on a bounded sample of labelled rows, about `sample_rows`
-chosen by a hash of doc_id; a third of the sample is left out of the fit, and k is the
-number of documents whose log weight reaches the cut that best parts good from bad rows
-there (keeping good ones counts `keep_good` times). The driver holds the table of
+chosen by a hash of doc_id; a third of the sample is left out of the fit. k is given, or a
+given share of the documents that are not toxic, or else the number of those whose log
+weight reaches the level that best parts good from bad rows of the left-out third (keeping
+good ones counts `keep_good` times); which ones these k are is for the draw. The driver holds the table of
 buckets and that third of the sample. The k-th largest key is found by histograms over
 all keys, a few thousand counts at a time; ties with it are all kept.
 
@@ -144,17 +146,17 @@ def toxicity(hashes: np.ndarray, known: np.ndarray, ratio: np.ndarray) -> float:
     return float(ratio[np.unique(at[known[at] == hashes])].sum())
 
 
-def log_weights(docs: DataFrame, ratio: np.ndarray, toxic: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, row_key, log_weight, toxicity of every row."""
+def log_weights(docs: DataFrame, ratio: np.ndarray, toxic: tuple[np.ndarray, np.ndarray], temperature: float) -> DataFrame:
+    """doc_id, row_key, log_weight (a mean over n-grams, by temperature), toxicity of every row."""
     shared = docs.sparkSession.sparkContext.broadcast((ratio, *toxic))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known, excess = shared.value
         for batch in slices(batches, 256):
             found = [ngram_hashes(t) for t in batch.column(2).to_pylist()]
-            sums = [float(table[ngram_buckets(h, len(table))].sum()) for h in found]
+            means = [float(table[ngram_buckets(h, len(table))].mean()) / temperature if len(h) else 0.0 for h in found]
             evidence = [toxicity(h, known, excess) for h in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.float64()), pa.array(evidence, pa.float64())], ["doc_id", "row_key", "log_weight", "toxicity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(means, pa.float64()), pa.array(evidence, pa.float64())], ["doc_id", "row_key", "log_weight", "toxicity"])
 
     return docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text").mapInArrow(score, "doc_id long, row_key long, log_weight double, toxicity double")
 
@@ -199,28 +201,31 @@ def kth_largest(rows: DataFrame, column: str, k: int, few: int = 4096) -> float:
     return low
 
 
-def _gumbel(seed: int) -> Column:
+def gumbel_noise(seed: int | Column) -> Column:
+    """Standard Gumbel noise by a hash of the row (doc_id, row_key)."""
     u = (F.pmod(F.xxhash64("doc_id", "row_key", F.lit(seed)), F.lit(1 << 52)) + 0.5) / (1 << 52)
     return -F.log(-F.log(u))
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, sample_rows: int = 30_000, buckets: int = 1 << 17, keep_good: float = 3.0, toxic_loss: float = 0.001, seed: int = 0) -> DataFrame:
-    """doc_id, row_key, log_weight, toxicity, sample_key and kept for each row of (doc_id, text). k: how many to draw; by default as many as reach the cut."""
+def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, sample_rows: int = 30_000, buckets: int = 1 << 17, keep_good: float = 3.0, toxic_loss: float = 0.001, seed: int = 0, temperature: float = 0.02, share: float | None = None) -> DataFrame:
+    """doc_id, row_key, log_weight, toxicity, sample_key and kept for each row of (doc_id, text). k, or share of the rows that are not toxic: how many to draw; by default as many as reach the level that parts good from bad."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with intermediates(docs.sparkSession, "weights"):
-        return _drawn(docs, labels, k, sample_rows, buckets, keep_good, toxic_loss, seed)
+        return _drawn(docs, labels, k, share, sample_rows, buckets, keep_good, toxic_loss, seed, temperature)
 
 
-def _drawn(docs: DataFrame, labels: DataFrame, k: int | None, sample_rows: int, buckets: int, keep_good: float, toxic_loss: float, seed: int) -> DataFrame:
+def _drawn(docs: DataFrame, labels: DataFrame, k: int | None, share: float | None, sample_rows: int, buckets: int, keep_good: float, toxic_loss: float, seed: int, temperature: float) -> DataFrame:
     sample = materialize(labelled_sample(labels, sample_rows), "labelled")
     texts = materialize(docs.join(F.broadcast(sample.filter("not held").select("doc_id", "toxic")), "doc_id").select("text", "toxic"), "labelled-texts")  # bounded by the sample
-    scored = log_weights(docs, fit_ratio(docs, sample, buckets), toxic_ngrams(texts))
-    scored = materialize(scored.withColumn("sample_key", F.col("log_weight") + _gumbel(seed)), "weights")
+    scored = log_weights(docs, fit_ratio(docs, sample, buckets), toxic_ngrams(texts), temperature)
+    scored = materialize(scored.withColumn("sample_key", F.col("log_weight") + gumbel_noise(seed)), "weights")
     held = scored.join(F.broadcast(sample.filter("held")), "doc_id").select("good", "toxic", "log_weight", "toxicity").toPandas()  # bounded by the sample
     clean = held["toxicity"][~held["toxic"].astype(bool)].to_numpy()
     most = float(np.quantile(clean, 1 - toxic_loss, method="higher")) if len(clean) else 0.0
     pool = F.col("toxicity") <= most
-    if k is None:
+    if k is None and share is not None:
+        k = round(share * scored.filter(pool).count())
+    elif k is None:
         judged = held[held["good"].notna()]
         good = judged["good"].astype(bool)
         cut = best_cut(judged["log_weight"][good].to_numpy(), judged["log_weight"][~good].to_numpy(), keep_good)

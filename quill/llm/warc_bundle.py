@@ -11,7 +11,10 @@ page_id is a response, the others are revisits that refer to it; smaller payload
 all responses. The payload digest is the bare upper-case base32 SHA-1.
 
 A record's identifier is page:<page_id>; rows that share a page_id, and rows without one,
-have their bundle and place in it added or instead, so that every identifier is unique.
+have their bundle and place in it added or instead, so that every identifier is unique. A
+revisit names its response's page in X-Refers-To-Page, and in WARC-Refers-To the record,
+unless several rows share that page_id: then the page alone is known before bundles are
+written, and the header, which is optional, is left out.
 
 Null html: an empty payload. Null url: no target header. Line breaks in a url are
 percent-encoded. Null page_id: written, and the response only if no equal payload has an
@@ -43,8 +46,8 @@ def _headers(fields: list[tuple[str, str | None]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None) + "\r\n").encode()
 
 
-def make_record(record_id: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    """One WARC record; a revisit holds no payload, but its digest and length."""
+def make_record(record_id: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, vague: bool = False) -> bytes:
+    """One WARC record; a revisit holds no payload, but its digest and length. vague: several records have the page_id it refers to."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     block = payload if refers_to is None else b""
     uri = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
@@ -55,7 +58,8 @@ def make_record(record_id: str, page_id: int | None, url: str | None, payload: b
         ("WARC-Target-URI", uri),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Profile", None if refers_to is None else "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-        ("WARC-Refers-To", None if refers_to is None else f"<urn:quill:page:{refers_to}>"),
+        ("WARC-Refers-To", None if refers_to is None or vague else f"<urn:quill:page:{refers_to}>"),
+        ("X-Refers-To-Page", None if refers_to is None else str(refers_to)),
         ("X-Page-ID", None if page_id is None else str(page_id)),
         ("X-Payload-Length", str(len(payload))),
         ("Content-Type", "text/html"),
@@ -130,22 +134,23 @@ class BundleReader:
 
 
 def with_revisits(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, refers_to and shared (other rows have this page_id). Only ids and digests are grouped; the payloads are dealt once, by page_id."""
+    """page_id, url, payload, refers_to, shared (other rows have this page_id) and vague (several rows have the page_id it refers to). Only ids and digests are grouped; the payloads are dealt once, by page_id."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     keys = rows.select("page_id", "digest", F.octet_length("payload").alias("n"))
     groups = keys.filter(F.col("n") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("rows")).filter("rows > 1 and response is not null").drop("rows")
     repeated = keys.groupBy("page_id").agg(F.count("*").alias("rows")).filter("rows > 1 and page_id is not null").select("page_id", F.lit(True).alias("shared"))
+    groups = groups.join(repeated.select(F.col("page_id").alias("response"), F.col("shared").alias("vague")), "response", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
-    notes = keys.join(groups, "digest", "left").join(repeated, "page_id", "left").select("page_id", "digest", refers.alias("refers_to"), F.coalesce("shared", F.lit(False)).alias("shared"))
+    notes = keys.join(groups, "digest", "left").join(repeated, "page_id", "left").select("page_id", "digest", refers.alias("refers_to"), F.coalesce("shared", F.lit(False)).alias("shared"), F.coalesce("vague", F.lit(False)).alias("vague"))
     notes = notes.filter("refers_to is not null or shared").distinct()
     # Rows meet by one number, the page_id or, where it is null, the digest's hash.
     deal = F.coalesce("page_id", F.xxhash64("digest"))
-    notes = notes.select(deal.alias("r_deal"), F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to", "shared")
+    notes = notes.select(deal.alias("r_deal"), F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to", "shared", "vague")
     same = (F.col("deal") == F.col("r_deal")) & F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest"))
     joined = rows.withColumn("deal", deal).join(notes, same, "left")
-    return joined.select("page_id", "url", "payload", "refers_to", F.coalesce("shared", F.lit(False)).alias("shared"))
+    return joined.select("page_id", "url", "payload", "refers_to", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("shared", "vague")])
 
 
 def write_warc_bundles(pages: DataFrame, path: str, revisit_bytes: int = 0, frame_bytes: int = 1 << 20, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -161,9 +166,9 @@ def write_warc_bundles(pages: DataFrame, path: str, revisit_bytes: int = 0, fram
             out = BundleWriter(sink, frame_bytes, level)
             for batch in slices(batches, 256):
                 rows = []
-                for page_id, url, payload, refers_to, shared in zip(*(c.to_pylist() for c in batch.columns)):
+                for page_id, url, payload, refers_to, shared, vague in zip(*(c.to_pylist() for c in batch.columns)):
                     record_id = f"row:{part}:{n}" if page_id is None else f"page:{page_id}:row:{part}:{n}" if shared else f"page:{page_id}"
-                    record = make_record(record_id, page_id, url, payload, refers_to, date)
+                    record = make_record(record_id, page_id, url, payload, refers_to, date, vague)
                     rows.append((page_id, record_id, part, *out.add(record), len(record)))
                     n += 1
                 if rows:
@@ -193,8 +198,8 @@ def read_warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
                             digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                             if h["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
                                 raise ValueError(f"{name}: the payload of {h['WARC-Record-ID']} is damaged")
-                            refers = h.get("WARC-Refers-To")
-                            rows.append((int(h["X-Page-ID"]) if "X-Page-ID" in h else None, int(h["X-Payload-Length"]), digest, h["WARC-Type"], int(refers.split(":")[-1].rstrip(">")) if refers else None, h.get("WARC-Target-URI")))
+                            refers = h.get("X-Refers-To-Page")
+                            rows.append((int(h["X-Page-ID"]) if "X-Page-ID" in h else None, int(h["X-Payload-Length"]), digest, h["WARC-Type"], int(refers) if refers else None, h.get("WARC-Target-URI")))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"])
 
     dealt = files.repartitionByRange(n, "name")

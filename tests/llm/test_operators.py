@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quill.llm import containment, quality_rules
 from quill.llm.common import open_fs, scratch
-from quill.llm.importance import best_cut, importance_resample, kth_largest, labelled_sample, op4_importance
+from quill.llm.importance import best_cut, gumbel_noise, importance_resample, kth_largest, labelled_sample, op4_importance
 from quill.llm.language_id import Lattice, identify, lattice_of, op3_language_id
 from quill.llm.minhash_dedup import near_duplicates, op6_minhash_dedup
 from quill.llm.packing import DotProductPacker, op2_packing, pack_conversations
@@ -149,6 +149,35 @@ def test_op2_every_limit_binds_and_the_heuristic_balances():
         assert len(sums) < largest_first(examples, *limits)
 
 
+def largest_first_cut(lengths, max_tokens):
+    """Pieces when each bin takes the largest that fits and then a cut of the largest one left."""
+    waiting, pieces = sorted(lengths, reverse=True), 0
+    while waiting:
+        room = max_tokens
+        while waiting and room:
+            k = next((i for i, n in enumerate(waiting) if n <= room), None)
+            pieces += 1
+            if k is None:
+                waiting[0] -= room
+                waiting.sort(reverse=True)
+                room = 0
+            else:
+                room -= waiting.pop(k)
+    return pieces
+
+
+def test_op2_cuts_hardly_more_than_largest_first():
+    rng = np.random.default_rng(3)
+    for _ in range(3):
+        lengths = [int(n) for n in np.minimum(rng.lognormal(5.5, 1.2, 600) + 1, 2047)]
+        placed = []
+        packer = DotProductPacker(lambda *x: placed.append(x), window=10_000)
+        for k, n in enumerate(lengths):
+            packer.add(k, n)
+        packer.finish()
+        assert len(placed) <= 1.04 * largest_first_cut(lengths, 2048)
+
+
 def test_op2_conversations(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     from tokenizers import Tokenizer
@@ -248,7 +277,7 @@ def test_op4_weights_by_force(spark, docs):
     got = op4_importance(spark, SF).toPandas().set_index("doc_id")
     toxicity = {d: sum(excess[x] for x in set(f) & set(excess)) for d, f in found.items()}
     for d, f in found.items():
-        assert math.isclose(got.log_weight[d], sum(ratio(x % buckets) for x in f), rel_tol=1e-9, abs_tol=1e-6)
+        assert math.isclose(got.log_weight[d], sum(ratio(x % buckets) for x in f) / max(1, len(f)) / 0.02, rel_tol=1e-9, abs_tol=1e-6)
         assert math.isclose(got.toxicity[d], toxicity[d], rel_tol=1e-9, abs_tol=1e-9)
     held = sample[sample["held"]]
     most = max(toxicity[d] for d in held.index[~held["toxic"].astype(bool)])
@@ -271,6 +300,29 @@ def test_op4_leaves_toxic_documents_out(spark):
     assert importance_resample(docs, labels.filter("toxic = 0")).filter("toxicity > 0").isEmpty()
 
 
+def test_op4_draw_follows_the_weights(spark):
+    """The first of a draw is row i with probability w_i / sum of w; the second follows what is left."""
+    weights = [1.0, 2.0, 4.0, 8.0]
+    rows = spark.createDataFrame([(i, i * 31, math.log(w)) for i, w in enumerate(weights)], "doc_id long, row_key long, log_weight double").crossJoin(spark.range(6000).withColumnRenamed("id", "seed"))
+    drawn = rows.withColumn("key", F.col("log_weight") + gumbel_noise(F.col("seed"))).groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("key", "doc_id")), False).alias("d")).select(F.col("d")[0].doc_id.alias("a"), F.col("d")[1].doc_id.alias("b")).toPandas()
+    for i, w in enumerate(weights):
+        assert abs((drawn["a"] == i).mean() - w / 15) < 0.02
+        second = sum(v / 15 * w / (15 - v) for j, v in enumerate(weights) if j != i)
+        assert abs((drawn["b"] == i).mean() - second) < 0.02
+
+
+def test_op4_seeds_give_different_draws(spark):
+    """Texts of one kind are near one another in weight, so of half of them each seed takes others; bad ones stay out."""
+    rng = np.random.default_rng(0)
+    words, junk = [f"word{i}" for i in range(60)], [f"zz{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(junk if i % 5 == 0 else words, 80))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    draws = [importance_resample(docs, labels, share=0.4, seed=s).filter("kept").toPandas()["doc_id"] for s in (1, 2)]
+    assert [len(d) for d in draws] == [160, 160]
+    assert 20 < len(set(draws[0]) - set(draws[1])) and all((d % 5 != 0).all() for d in draws)
+
+
 def test_op4_kth_and_cut(spark):
     values = [0.0] * 50 + [float(i) / 7 for i in range(2000)] + [1e300, -1e300]
     frame = spark.createDataFrame([(v,) for v in values], "v double")
@@ -304,6 +356,15 @@ def test_op5(spark, docs):
         assert [got[f"n_{k}"][d] for k in ("assign", "access", "hex")] == [sum(s[0] == k for s in spans) for k in ("assign", "access", "hex")]
 
 
+def test_op5_query_links_planted_credentials(spark, tmp_path):
+    """Through the query itself: of each kind one part alone is no span, and the parts together are."""
+    parts = {"ident": "client_id = web-7", "endpoint": "https://db.example.com/x", "opaque": "aB3xY7zQ" * 5}
+    texts = [*parts.values(), f"{parts['ident']} with {parts['opaque']}", f"{parts['endpoint']} takes {parts['opaque']}", f"{parts['ident']}, password: hunter22", f"{parts['endpoint']}, secret=abcdefgh", f"AKIA{'A1' * 8} and {parts['opaque']}", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",") if s] for r in op5_secret_scan(spark, str(tmp_path)).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: ["ident", "opaque"], 4: ["endpoint", "opaque"], 5: ["ident", "assign"], 6: ["endpoint", "assign"], 7: ["access", "opaque"], 8: [], 9: []}
+
+
 def test_op5_links_complementary_parts():
     key = "aB3" + "xY7z" * 9 + "q"
     assert linked_spans(key, base_spans(key)) == []
@@ -429,6 +490,23 @@ def test_op7_random_access(spark):
         assert headers["X-Page-ID"] == str(r.page_id) and block == f"<p>{r.page_id}</p>".encode() * 50
 
 
+def test_op7_references_resolve(spark):
+    """Also where several rows share the page_id of a response."""
+    rows = [(5, "a", "same"), (5, "b", "same"), (5, "c", "other"), (3, "d", "same"), (4, "e", "once"), (2, "f", "twice"), (1, "g", "twice"), (None, "h", "twice")]
+    path = scratch(spark, "t")
+    index = write_warc_bundles(spark.createDataFrame(rows, "page_id long, url string, html string"), path).collect()
+    ids, found = {f"<urn:quill:{r.record_id}>": r.page_id for r in index}, []
+    assert len(ids) == len(rows)
+    fs, root = open_fs(f"{path}/bundles")
+    for r in index:
+        with fs.open_input_file(f"{root}/bundle-{r.bundle:06d}.warc.zst") as source:
+            ((headers, _, _, _),) = parse_records(BundleReader(source).record(r.frame, r.offset, r.length))
+        if "WARC-Refers-To" in headers:
+            assert str(ids[headers["WARC-Refers-To"]]) == headers["X-Refers-To-Page"]
+        found += [(r.page_id, headers["X-Refers-To-Page"], "WARC-Refers-To" in headers)] if headers["WARC-Type"] == "revisit" else []
+    assert sorted(found, key=str) == [(1, "2", True), (3, "5", False), (None, "2", True)]
+
+
 def test_op8(spark, docs):
     got = op8_quality_rules(spark, SF).toPandas().set_index("doc_id")
     for d, t in zip(docs["doc_id"], docs["text"]):
