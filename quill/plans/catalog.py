@@ -668,7 +668,7 @@ def masked_ink(spark, sf_dir):
 def _table_images(spark, sf_dir):
     """A small picture of a table for each customer, with or without rules; the text of its cells differs in place, width and height."""
     k, y = F.col("c_custkey"), F.col("y")
-    rows = _table(spark, sf_dir, "customer").select("c_custkey").repartition("c_custkey").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(43))).alias("y"))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey").repartition(spark.sparkContext.defaultParallelism, "c_custkey").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(43))).alias("y"))
     upright = lambda x: (k % 4 != 0) & y.between(2, 41) & (x.isin(3, 68) | (x == 25 + k % 5) | ((k % 2 == 0) & (x == 26 + k % 5)))
     flat = lambda x: (k % 4 != 0) & y.isin(2, 41) & x.between(3, 68)
     first = lambda x: y.between(7, 14) & (((k % 3 != 1) & x.between(8, 12 + k % 9)) | ((k % 6 != 2) & x.between(34, 36 + k % 20)))
