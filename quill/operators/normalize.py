@@ -2,46 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quill.functions.text import collapse, squash, strip, strip_envelope
-from quill.operators.repairs import convert_lists, splice
-from quill.operators.structure import frames, nested, table_cells
-from quill.operators.tables import emit_rows
+from quill.functions.text import squash, strip, strip_envelope
+from quill.operators.repairs import splice
 from quill.operators.tags import outer_spans, tag_stream, translate_inline
-
-_SPANS = r"(?i)\b(?:namest|nameend|spanname|morerows)\s*="
-
-
-def _as_rows(span: Column) -> Column:
-    """Row and entry tags of a table as tr, td and, in its head, th; group and column tags go."""
-    head = F.regexp_extract(span, r"(?isU)<\s*thead[^<>]*>.*?<\s*/\s*thead\s*>", 0)
-    rest = F.when(head == "", span).otherwise(F.replace(span, head, F.lit("\x00")))
-    cell = lambda text, name: F.regexp_replace(F.regexp_replace(text, r"(?iU)<\s*(/?)\s*entry(?![\w.-])[^<>]*>", f"<$1{name}>"), r"(?iU)<\s*(/?)\s*row(?![\w.-])[^<>]*>", "<$1tr>")
-    both = F.replace(cell(rest, "td"), F.lit("\x00"), cell(head, "th"))
-    return F.regexp_replace(both, r"(?iU)<\s*/?\s*(?:tgroup|colspec|spanspec|tfoot)(?![\w.-])[^<>]*>", "")
-
-
-def convert_tables(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """id, start, end, xml: each outer table of a text, with HTML rows and cells or with rows and entries, as one form: rows without text go, the first rows of header cells alone are the head if others follow, a cell's text is one paragraph with its white space collapsed, spans over 1 stay, titles and captions stand before the table as paragraphs. xml is null where tables nest, entries span, or there are no rows."""
-    rows = docs.join(spans, id_column).select(F.struct(id_column, "start", "end").alias("id"), F.substring(F.col("text"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("text"))
-    plain = (F.regexp_count("text", F.lit(r"(?iU)<\s*(?:informal)?table(?![\w.-])")) == 1) & ~F.col("text").rlike(_SPANS)
-    rows = rows.withColumn("plain", plain).withColumn("text", F.regexp_replace(_as_rows(F.col("text")), r"(?iU)<\s*br\s*/?\s*>", " "))
-    framed = frames(nested(tag_stream(rows.filter("plain"), "id"), "id"), "id")
-    cells = table_cells(framed, "id").join(framed.select("id", "start", "end", "close_start"), ["id", "start"]).join(rows.select("id", "text"), "id")
-    inner = F.substring(F.col("text"), F.col("end").cast("int") + 1, (F.coalesce("close_start", "end") - F.col("end")).cast("int"))
-    # References stand for characters until the text is escaped again.
-    text = collapse(F.regexp_replace(inner, "<[^>]*>", " "))
-    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&#34;", '"'), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(ref), F.lit(char))
-    made = emit_rows(cells.select("id", "row", "col", "is_header", text.alias("text"), "colspan", "rowspan"), "id")
-    joined = lambda c: F.array_join(c, "")
-    head = F.when(F.size("head") > 0, F.concat(F.lit("<thead>"), joined("head"), F.lit("</thead>"))).otherwise("")
-    table = F.concat(F.lit('<informaltable frame="box" rules="all">'), head, F.lit("<tbody>"), joined("body"), F.lit("</tbody></informaltable>"))
-    titles = F.transform(F.regexp_extract_all("text", F.lit(r"(?isU)<\s*(?:caption|title)(?![\w.-])[^<>]*>(.*?)<\s*/\s*(?:caption|title)\s*>"), F.lit(1)), lambda t: F.concat(F.lit("<para>"), collapse(F.regexp_replace(t, "<[^>]*>", " ")), F.lit("</para>")))
-    found = rows.join(made, "id", "left")
-    return found.select(F.col(f"id.{id_column}").alias(id_column), "id.start", "id.end", F.when(F.size("body") > 0, F.concat(joined(titles), table)).alias("xml"))
+from quill.operators.trees import convert_lists, convert_tables
 
 
 def normalize(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -49,9 +16,9 @@ def normalize(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     source = docs.select(id_column, F.coalesce("text", F.lit("")).alias("source")).withColumn("text", strip_envelope(F.col("source")))
     tags = tag_stream(source, id_column)
     # Lists inside tables and tables inside lists belong to what is around them.
-    spans = outer_spans(tags, ["ul", "ol", "table", "informaltable"], id_column)
+    spans = outer_spans(tags, ["ul", "ol", "itemizedlist", "orderedlist", "table", "informaltable"], id_column)
     named = spans.join(tags.select(id_column, "start", "name"), [id_column, "start"])
-    is_list = F.col("name").isin("ul", "ol")
+    is_list = F.col("name").isin("ul", "ol", "itemizedlist", "orderedlist")
     lists = convert_lists(source, named.filter(is_list).drop("name"), id_column).withColumn("kind", F.lit("list"))
     tables = convert_tables(source, named.filter(~is_list).drop("name"), id_column).withColumn("kind", F.lit("table"))
     found = lists.unionByName(tables).filter("xml is not null")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quill.functions.text import TAG, plain_words
 from quill.operators.findings import SPEC
-from quill.operators.tags import matched, translate_inline
+from quill.operators.tags import matched
 
 
 def _head(n: Column) -> Column:
@@ -80,7 +80,7 @@ def _places(rows: DataFrame, tags: DataFrame, id_column: str) -> DataFrame:
 
 
 #: Fixed value: what does not end an unclosed paragraph or title.
-BLOCK_INLINE = ["emphasis", "guilabel", "guibutton", "xref", "indexterm", "primary", "secondary"]
+BLOCK_INLINE = ["emphasis", "guilabel", "xref", "indexterm", "primary", "secondary"]
 
 
 def suggest_fixes(docs: DataFrame, findings: DataFrame, tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -163,29 +163,6 @@ def splice(docs: DataFrame, edits: DataFrame, id_column: str = "doc_id", text_co
     return rows.withColumn(text_column, F.when(F.col("_edits").isNull(), text).otherwise(F.concat(F.array_join(parts, ""), rest))).drop("_edits")
 
 
-_LIST_TAG = r"(?iU)<\s*/?\s*(?:ul|ol|li|p)(?![\w.-])[^<>]*>"
-
-
-def convert_lists(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """id, start, end, xml: each outer ul or ol span of a text as a DocBook list, nested lists inside their items. Each run of text and inline tags in an item is a paragraph (bold and italic tags as emphasis, other inline tags go), an item without any gets an empty one, text between items goes. xml is null where an item is not closed, a list stands directly in a list, there are no items, or a table or a medium is inside."""
-    rows = docs.join(spans, id_column).select(id_column, "start", "end", F.substring(F.col("text"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("text"))
-    rows = translate_inline(rows).withColumns({"m": F.transform(F.regexp_extract_all("text", F.lit(_LIST_TAG), F.lit(0)), lambda t: F.lower(F.regexp_replace(F.regexp_extract(t, r"<\s*(/?\s*\w+)", 1), r"\s", ""))), "g": F.split("text", _LIST_TAG, -1)})
-    names = {"ul": "<itemizedlist>", "/ul": "</itemizedlist>", "ol": "<orderedlist>", "/ol": "</orderedlist>", "li": "<listitem>", "/li": "</listitem>"}
-    rendered = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    before = lambda i: F.when(i > 0, F.get("m", i - 1))
-    run = lambda i: F.trim(F.regexp_replace(F.regexp_replace(F.get("g", i), r"(?i)<(?!\s*/?\s*emphasis)[^<>]*>", ""), r"(?U)\s+", " "))
-    in_item = lambda i: F.coalesce(before(i).isin("li", "p", "/p", "/ul", "/ol"), F.lit(False))
-    said = lambda t, i: F.when(in_item(i) & (run(i) != ""), F.concat(F.lit("<para>"), run(i), F.lit("</para>"))).when((t == "/li") & (before(i) == "li"), "<para></para>").otherwise("")
-    xml = F.array_join(F.transform("m", lambda t, i: F.concat(said(t, i), F.coalesce(F.try_element_at(rendered, t), F.lit("")))), "")
-    count = lambda *tags: F.size(F.filter("m", lambda t: t.isin(*tags)))
-    steps = F.transform("m", lambda t, i: F.struct(before(i).alias("a"), t.alias("b")))
-    is_list, opens = ("ul", "ol"), ("ul", "ol", "/li")
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    wrong = F.exists(steps, lambda s: yes((s["b"].isin(*is_list) & s["a"].isin(*opens)) | ((s["b"] == "li") & s["a"].isin("li", "p", "/p")) | ((s["b"] == "/li") & s["a"].isin("ul", "ol", "/li")) | (s["b"].isin("/ul", "/ol") & s["a"].isin("ul", "ol", "li", "p", "/p"))))
-    plain = ~wrong & (count("li") == count("/li")) & (count("li") > 0) & ~F.col("text").rlike(r"(?i)<\s*(?:table|informaltable|figure|mediaobject|img)\b")
-    return rows.select(id_column, "start", "end", F.when(plain, xml).alias("xml"))
-
-
 def strip_xinfo(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """Texts without the xinfo attributes of their tags, but for those of the first section opener. A tag that loses one is written anew, its name in lower case; other tags, and text between tags, stay as they are. The text is cut into tags and the gaps before them, which are put together again."""
     text = F.col(text_column)

@@ -4,54 +4,64 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quill.functions.text import line_of
 from quill.operators.findings import dedup_findings, finding, report_lines, summarize
-from quill.operators.repairs import convert_lists, splice, strip_xinfo, suggest_fixes
+from quill.operators.lineage import cut
+from quill.operators.repairs import splice, strip_xinfo, suggest_fixes
 from quill.operators.sections import check_media, check_sections
-from quill.operators.structure import check_lists, check_outside_root, check_paragraphs, check_tables, frames, nested
-from quill.operators.tags import outer_spans, tag_stream, translate_inline, unbalanced_tags
+from quill.operators.structure import TABLES, check_lists, check_outside_root, check_paragraphs, check_tables, frames, nested
+from quill.operators.tags import VOCABULARY, known_tags, outer_spans, tag_stream, translate_inline, unbalanced_tags
+from quill.operators.trees import convert_lists, convert_tables
 
 
 @dataclass(frozen=True)
 class Checked:
-    """texts: as they were judged; findings: without duplicates, by `place`; fixes, summary and lines of them. Texts, tags and findings are read by several of these and so are kept in memory and on disk until release()."""
+    """texts: as they were judged; findings: without duplicates, by `place`; fixes, summary and lines of them."""
 
     texts: DataFrame
     findings: DataFrame
     fixes: DataFrame
     summary: DataFrame
     lines: DataFrame
-    kept: tuple[DataFrame, ...] = ()
 
-    def release(self) -> None:
-        for frame in self.kept:
-            frame.unpersist()
+
+def _converted(texts: DataFrame, made: DataFrame, id_column: str, code: str, says: str) -> tuple[DataFrame, DataFrame]:
+    """Texts with what was made of some spans (start, end, xml, problem), and findings, at their places in the new texts, for those that stay as they are."""
+    good = made.filter("xml is not null").select(id_column, "start", "end", F.col("xml").alias("new"))
+    out = splice(texts, good, id_column)
+    # Lines and offsets are those of the translated text, which the spans before one have changed.
+    shift = F.when(F.col("xml").isNotNull(), F.length("xml") - (F.col("end") - F.col("start"))).otherwise(0)
+    before = Window.partitionBy(id_column).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    moved = made.withColumn("moved", F.coalesce(F.sum(shift).over(before), F.lit(0))).filter("xml is null")
+    bad = moved.join(out.select(id_column, "text"), id_column).select(id_column, (F.col("start") + F.col("moved")).alias("start"), (F.col("end") + F.col("moved")).alias("end"), "problem", "text")
+    bad = bad.withColumn("line", line_of(F.col("text"), F.col("start").cast("int")))
+    return out, finding(bad, id_column, F.lit(code), F.concat(F.lit(f"{says} cannot be translated: "), "problem"))
 
 
 def translate(docs: DataFrame, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Texts with bold and italic tags and foreign lists translated, and findings for the lists that cannot be; those stay as they are."""
-    inline = translate_inline(docs)
-    lists = convert_lists(inline, outer_spans(tag_stream(inline, id_column), ["ul", "ol"], id_column), id_column)
-    good = lists.filter("xml is not null").select(id_column, "start", "end", F.col("xml").alias("new"))
-    texts = splice(inline, good, id_column)
-    # Lines and offsets are those of the translated text, which the spans before a list have changed.
-    moved = lists.withColumn("shift", F.when(F.col("xml").isNotNull(), F.length("xml") - (F.col("end") - F.col("start"))).otherwise(0)).groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct("start", "end", "xml", "shift"))).alias("l"))
-    at = F.posexplode("l").alias("i", "x")
-    bad = moved.select(id_column, "l", at).filter("x.xml is null").withColumn("shift", F.aggregate(F.slice("l", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, e: a + e["shift"]))
-    bad = bad.join(texts.select(id_column, "text"), id_column).select(id_column, (F.col("x.start") + F.col("shift")).alias("start"), (F.col("x.end") + F.col("shift")).alias("end"), "text")
-    bad = bad.withColumn("line", line_of(F.col("text"), F.col("start").cast("int")))
-    return texts, finding(bad, id_column, F.lit("dialect.list"), F.lit("this list cannot be translated"))
+    """Texts with bold and italic tags, foreign lists and tables of rows and entries translated, and findings for the lists and tables that cannot be, which stay as they are. A table is foreign if it holds a tgroup. A list's place counts in the text in which lists are translated, a table's in the result."""
+    inline = cut(translate_inline(docs))
+    lists = cut(convert_lists(inline, outer_spans(tag_stream(inline, id_column), ["ul", "ol"], id_column), id_column))
+    texts, bad_lists = _converted(inline, lists, id_column, "dialect.list", "this list")
+    texts = cut(texts)
+    tags = cut(tag_stream(texts, id_column).drop("gap"))
+    groups = tags.filter("name = 'tgroup' and not is_close").select(id_column, F.col("start").alias("at"))
+    foreign = outer_spans(tags, list(TABLES), id_column).join(groups, id_column).filter("at > start and at < end").select(id_column, "start", "end").distinct()
+    tables = cut(convert_tables(texts, foreign, id_column))
+    out, bad_tables = _converted(texts, tables, id_column, "dialect.table", "this table")
+    return out, bad_lists.unionByName(bad_tables)
 
 
-def all_findings(texts: DataFrame, tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The findings of all checkers, numbered in the order in which duplicates are judged. Every checker reads the tags, so they should be persisted."""
-    rows = nested(tags, id_column).persist()
-    framed = frames(rows, id_column).persist()
+def all_findings(texts: DataFrame, tags: DataFrame, id_column: str = "doc_id", vocabulary: DataFrame | None = None) -> DataFrame:
+    """The findings of all checkers, numbered in the order in which duplicates are judged. Closing tags are checked for the names of the vocabulary (name), or of tags.VOCABULARY. Every checker reads the tags, so their lineage should be cut."""
+    rows = cut(nested(tags, id_column))
+    framed = cut(frames(rows, id_column))
+    known = tags.filter(F.col("name").isin(VOCABULARY)) if vocabulary is None else known_tags(tags, vocabulary)
     sections = check_sections(tags, id_column).unionByName(check_outside_root(tags, texts, id_column))
-    checks = [unbalanced_tags(tags, id_column), check_tables(rows, framed, id_column), check_lists(rows, framed, id_column), check_media(tags, id_column), sections, check_paragraphs(rows, id_column)]
+    checks = [unbalanced_tags(known, id_column), check_tables(rows, framed, id_column), check_lists(rows, framed, id_column), check_media(tags, id_column), sections, check_paragraphs(rows, id_column)]
     out = None
     for k, found in enumerate(checks, 1):
         found = found.withColumn("checker", F.lit(k))
@@ -59,12 +69,12 @@ def all_findings(texts: DataFrame, tags: DataFrame, id_column: str = "doc_id") -
     return out
 
 
-def check(docs: DataFrame, id_column: str = "doc_id") -> Checked:
+def check(docs: DataFrame, id_column: str = "doc_id", vocabulary: DataFrame | None = None) -> Checked:
     """Every stage over (id, text): line ends, xinfo attributes, translation, all checkers, duplicates, repairs, summary, report."""
     plain = docs.select(id_column, F.regexp_replace("text", "\r\n?", "\n").alias("text"))
     texts, problems = translate(strip_xinfo(plain), id_column)
-    texts = texts.select(id_column, "text").persist()
-    tags = tag_stream(texts, id_column).persist()
-    found = problems.withColumn("checker", F.lit(0)).unionByName(all_findings(texts, tags, id_column), allowMissingColumns=True)
-    findings = dedup_findings(found, id_column).persist()
-    return Checked(texts, findings, suggest_fixes(texts, findings, tags, id_column), summarize(findings, texts, id_column), report_lines(texts, findings, id_column), (texts, tags, findings))
+    texts = cut(texts.select(id_column, "text"))
+    tags = cut(tag_stream(texts, id_column))
+    found = all_findings(texts, tags, id_column, vocabulary)
+    findings = cut(dedup_findings(problems.withColumn("checker", F.lit(0)).unionByName(found, allowMissingColumns=True), id_column))
+    return Checked(texts, findings, suggest_fixes(texts, findings, tags, id_column), summarize(findings, texts, id_column), report_lines(texts, findings, id_column))

@@ -59,11 +59,12 @@ class _Open:
         self.frames.append((start, name))
 
 
-def nested(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def nested(tags: DataFrame, id_column: str = "doc_id", around: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Tags with what is open around each, under a lenient stack: a close ends the nearest open element of its name and all above it, or is stray.
 
-    `top` (start, name) is the innermost element before the tag takes effect, so it holds the gap before the tag; `parent` the one that an opener is put into, after what it ends by itself (an item, a row or a cell ends the one before it); `closes` the opener that a close ends; near_table and so on the nearest elements of a kind around; `plain_top` the innermost element where openers end nothing. An element that no close names was never closed. Tags stream by in order, so a task holds the elements open at one place."""
-    added = ["top", "parent", "closes", *_NEAR]
+    `top` (start, name) is the innermost element before the tag takes effect, so it holds the gap before the tag; `parent` the one that an opener is put into, after what it ends by itself (an item, a row or a cell ends the one before it); `closes` the opener that a close ends; near_table and so on the nearest elements of a kind around; `plain_top` the innermost element where openers end nothing. An element that no close names was never closed. around: further columns, each with the nearest element of some names around the gap before a tag. Tags stream by in order, so a task holds the elements open at one place."""
+    around = around or {}
+    added = ["top", "parent", "closes", *_NEAR, *around]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, open_, plain = object(), _Open(), _Open()
@@ -76,6 +77,8 @@ def nested(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
                     current, open_, plain = doc, _Open(), _Open()
                 rows["top"].append(open_.at(len(open_.frames) - 1))
                 plain_tops.append(plain.at(len(plain.frames) - 1)[1])
+                for c, near in around.items():
+                    rows[c].append(open_.at(open_.nearest(near)))
                 if not is_close and not is_self and name in _ENDS and (k := open_.nearest(_ENDS[name])) >= 0:
                     open_.cut(k + 1)
                 rows["parent"].append(open_.at(len(open_.frames) - 1))

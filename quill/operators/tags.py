@@ -22,6 +22,13 @@ def tag_stream(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return rows.select(id_column, "seq", "start", (F.col("start") + F.length("tag")).alias("end"), "line", F.lower(group(2)).alias("name"), group(3).alias("attrs"), is_close.alias("is_close"), ((group(4) == "/") & ~is_close).alias("is_self"), "gap")
 
 
+#: The names that the check of closing tags knows where no vocabulary is given.
+VOCABULARY = [
+    "section", "title", "para", "orderedlist", "itemizedlist", "listitem", "informaltable", "thead", "tbody", "tr", "th", "td", "colgroup", "col",
+    "mediaobject", "imageobject", "imagedata", "informalfigure", "fileref", "emphasis", "guilabel", "xref", "indexterm", "note", "warning", "caution",
+]
+
+
 def known_tags(tags: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Tags whose name is in the vocabulary (name); it is broadcast while Spark's size threshold allows."""
     return tags.join(vocabulary.select(F.lower("name").alias("name")).distinct(), "name", "left_semi")

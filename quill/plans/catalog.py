@@ -23,6 +23,7 @@ from quill.operators import state as ST
 from quill.operators import streams as SM
 from quill.operators import tables as TB
 from quill.operators import tags as TG
+from quill.operators import trees as TR
 from quill.plans import faults, fragments
 from quill.sources import layout as LY
 from quill.sources import markup as MK
@@ -472,7 +473,7 @@ def strip_xinfo(spark, sf_dir):
 SELECT doc_id, start, '<itemizedlist>' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '</?a(?:\s[^<>]*)?>', '', 'g'), '>\s+<', '><', 'g'), '<li>\s*', '<listitem><para>', 'g'), '\s*</li>\s*', '</para></listitem>', 'g') || '</itemizedlist>' AS xml FROM u""")
 def page_list_items(spark, sf_dir):
     docs = _pages(spark, sf_dir)
-    return RP.convert_lists(docs, TG.outer_spans(TG.tag_stream(docs), ["ul", "ol"])).select("doc_id", "start", "xml")
+    return TR.convert_lists(docs, TG.outer_spans(TG.tag_stream(docs), ["ul", "ol"])).select("doc_id", "start", "xml")
 
 
 @query("region_requests", """WITH r AS (SELECT c_custkey AS id, c_custkey % 90 AS x0, c_custkey % 70 AS x1, CASE c_custkey % 5 WHEN 0 THEN 'shape' WHEN 1 THEN 'list' ELSE 'table' END AS kind, CASE WHEN c_custkey % 3 = 0 THEN 'table' END AS cont FROM customer)

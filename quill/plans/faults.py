@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from quill.operators import repairs as RP
 from quill.operators import route as RT
 from quill.operators import tags as TG
+from quill.operators.lineage import cut
 
 
 @dataclass
 class Fault:
-    """inside: after the topic's lines; found: (code, where it is first seen); fixes: (label, old, new) replacements that give the repaired text."""
+    """inside: after the topic's lines; found: (code, where it is first seen); fixes: (label, old, new) replacements that give the repaired text; translated and routed: what the whole check makes of `inside`, and the codes that it then finds, where these differ."""
 
     inside: str = ""
     found: list[tuple[str, str]] = field(default_factory=list)
@@ -25,6 +26,8 @@ class Fault:
     before: str = ""
     after: str = ""
     closed: bool = True
+    translated: str | None = None
+    routed: list[str] | None = None
 
 
 _TABLE = "<informaltable><tbody>{}</tbody></informaltable>"
@@ -83,8 +86,15 @@ FAULTS = [
         ("Close it before the next section", "<section><title>S", "</section><section><title>S"),
         ("Close it at the end", "<para>s</para></section>", "<para>s</para></section></section>"),
     ], closed=False),
-    Fault("<ul><li>one<ol><li>two <b>x</b></li></ol></li></ul>"),
-    Fault("<ul><li>one</ul>", [("tag.unclosed", "<li>")]),
+    Fault("<ul><li>one<ol><li>two <b>x</b></li></ol></li></ul>", translated='<itemizedlist><listitem><para>one</para><orderedlist><listitem><para>two <emphasis role="strong">x</emphasis></para></listitem></orderedlist></listitem></itemizedlist>'),
+    Fault("<ul><li>one</ul>", translated="<itemizedlist><listitem><para>one</para></listitem></itemizedlist>"),
+    Fault("<ul><li>a</li><ol><li>b</li></ol></ul>", translated="<itemizedlist><listitem><para>a</para><orderedlist><listitem><para>b</para></listitem></orderedlist></listitem></itemizedlist>"),
+    Fault("<ul></ul>", routed=["dialect.list"]),
+    Fault('<informaltable><tgroup cols="1"><tbody><row><entry>x</entry></row></tbody></tgroup></informaltable>', [("table.no_rows", "<informaltable>"), ("table.misplaced_child", "<tgroup"), ("table.misplaced_child", "<row>")],
+          translated='<informaltable frame="box" rules="all"><tbody><tr><td><para>x</para></td></tr></tbody></informaltable>', routed=[]),
+    Fault('<informaltable><tgroup cols="1"><tbody><row><entry namest="a">x</entry></row></tbody></tgroup></informaltable>', [("table.no_rows", "<informaltable>"), ("table.misplaced_child", "<tgroup"), ("table.misplaced_child", "<row>")],
+          routed=["dialect.table", "table.no_rows", "table.misplaced_child", "table.misplaced_child"]),
+    Fault("<foo>x<bar>"),
 ]
 
 
@@ -112,7 +122,7 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _structure_findings(spark, sf_dir):
     """Every finding of the lenient checkers and of the other ones, by code and place."""
     docs = topics(spark, sf_dir)
-    return RT.all_findings(docs, TG.tag_stream(docs).persist()).select("doc_id", "code", "start").distinct()
+    return RT.all_findings(docs, cut(TG.tag_stream(docs))).select("doc_id", "code", "start").distinct()
 
 
 _FOUND = ", ".join(f"({k}, {_quoted(code)}, {_quoted(mark)})" for k, f in enumerate(FAULTS) for code, mark in f.found)
@@ -122,8 +132,8 @@ STRUCTURE_SQL = f"WITH {_TOPICS_SQL}, f(k, code, mark) AS (VALUES {_FOUND}) SELE
 def _fix_options(spark, sf_dir):
     """Every option of every finding, with the repaired text."""
     docs = topics(spark, sf_dir)
-    tags = TG.tag_stream(docs).persist()
-    findings = RT.dedup_findings(RT.all_findings(docs, tags))
+    tags = cut(TG.tag_stream(docs))
+    findings = cut(RT.dedup_findings(RT.all_findings(docs, tags)))
     return RP.suggest_fixes(docs, findings, tags).select("doc_id", "label", "new_text")
 
 
@@ -147,13 +157,15 @@ _BUCKET = {
     "misplaced element": ["list.misplaced_child", "list.text_in_container", "list.table_in_item", "list.sublist", "list.item_outside", "table.cell_wrong_close", "table.cell_outside_row", "table.text_in_cell", "table.text_in_container", "table.misplaced_child", "para.misplaced_child", "media.outside", "section.late_content"],
     "missing piece": ["list.empty_item", "list.no_items", "table.no_rows", "table.row_no_cells"],
     "table layout": ["table.ragged", "table.colgroup_mismatch"],
-    "other issue": ["list.item_unclosed", "table.row_unclosed", "table.unclosed", "section.outside_root", "dialect.list"],
+    "other issue": ["list.item_unclosed", "table.row_unclosed", "table.unclosed", "section.outside_root", "dialect.list", "dialect.table"],
 }
-_ROUTED = [(k, code) for k, f in enumerate(FAULTS) for code, _ in f.found] + [(len(FAULTS) - 1, "dialect.list")]
+_ROUTED = [(k, code) for k, f in enumerate(FAULTS) for code in ([c for c, _ in f.found] if f.routed is None else f.routed)]
+_TRANSLATED = [(k, f.inside, f.translated) for k, f in enumerate(FAULTS) if f.translated is not None]
+_TEXT = "CASE k " + " ".join(f"WHEN {k} THEN replace(text, {_quoted(old)}, {_quoted(new)})" for k, old, new in _TRANSLATED) + " ELSE text END"
 _COUNTED = ", ".join(f"({k}, {next(i for i, v in enumerate(_BUCKET.values()) if code in v)}, {_quoted(next(b for b, v in _BUCKET.items() if code in v))})" for k, code in _ROUTED)
 ROUTE_SQL = f"""WITH {_TOPICS_SQL}, f(k, rank, bucket) AS (VALUES {_COUNTED}), n AS (SELECT k, rank, bucket, count(*) AS n FROM f GROUP BY ALL), s AS (SELECT k, sum(n) AS n, string_agg(n || ' ' || bucket || CASE WHEN n <> 1 THEN 's' ELSE '' END, ', ' ORDER BY rank) AS parts FROM n GROUP BY k)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_problems, CASE WHEN n IS NULL THEN 'No problems found.' ELSE CAST(n AS BIGINT) || ' problem' || CASE WHEN n <> 1 THEN 's' ELSE '' END || ': ' || parts END AS summary,
-    replace(text, '<ul><li>one<ol><li>two <b>x</b></li></ol></li></ul>', '<itemizedlist><listitem><para>one</para><orderedlist><listitem><para>two <emphasis role="strong">x</emphasis></para></listitem></orderedlist></listitem></itemizedlist>') AS text FROM topics LEFT JOIN s USING (k)"""
+    {_TEXT} AS text FROM topics LEFT JOIN s USING (k)"""
 
 
 QUERIES = {"structure_findings": _structure_findings, "fix_options": _fix_options, "check_route": _check_route}

@@ -19,7 +19,7 @@ SOURCES = [
     ("<para>{n}</para>", None, "Nothing to change."),
     ("<ul><li>{n}</li></ul>", _LIST, "Normalized 1 list(s)."),
     ("<table><tr><th>A</th><th>B</th></tr><tr><td>{n}</td><td colspan='2'>x <b>y</b><br>z</td></tr><tr><td></td><td> </td></tr></table>",
-     f'{_OPEN}<thead><tr><th><para>A</para></th><th><para>B</para></th></tr></thead><tbody><tr><td><para>{{n}}</para></td><td colspan="2"><para>x y z</para></td></tr></tbody>{_CLOSE}', "Normalized 1 table(s)."),
+     f'{_OPEN}<thead><tr><th><para>A</para></th><th><para>B</para></th></tr></thead><tbody><tr><td><para>{{n}}</para></td><td colspan="2"><para>x y z</para></td></tr><tr><td><para></para></td><td><para></para></td></tr></tbody>{_CLOSE}', "Normalized 1 table(s)."),
     ('<table><title>T {n}</title><tgroup cols="2"><colspec colname="a"/><thead><row><entry>H</entry></row></thead><tbody><row><entry>{n} &amp; co</entry></row></tbody></tgroup></table>',
      f"<para>T {{n}}</para>{_OPEN}<thead><tr><th><para>H</para></th></tr></thead><tbody><tr><td><para>{{n}} &amp; co</para></td></tr></tbody>{_CLOSE}", "Normalized 1 table(s)."),
     ('<table><tgroup><tbody><row><entry namest="a" nameend="b">{n}</entry></row></tbody></tgroup></table>', None, "Nothing to change."),
@@ -28,6 +28,10 @@ SOURCES = [
     ("<b>{n}</b>", '<emphasis role="strong">{n}</emphasis>', "Normalized inline markup."),
     ("<table><tr><td><table><tr><td>{n}</td></tr></table></td></tr></table>", None, "Nothing to change."),
     ("<table><tr><td><ul><li>{n}</li></ul></td></tr></table>", f"{_OPEN}<tbody><tr><td><para>{{n}}</para></td></tr></tbody>{_CLOSE}", "Normalized 1 table(s)."),
+    ("<table><thead><tr><td>H</td></tr></thead><tfoot><tr><td>F</td></tr></tfoot><tbody><tr><td>{n}</td></tr></tbody></table>", f"{_OPEN}<thead><tr><th><para>H</para></th></tr></thead><tbody><tr><td><para>{{n}}</para></td></tr><tr><td><para>F</para></td></tr></tbody>{_CLOSE}", "Normalized 1 table(s)."),
+    ("<ul><li>a</li><ul><li>{n}</li></ul><li>b < c</li></ul>", "<itemizedlist><listitem><para>a</para>" + _LIST + "</listitem><listitem><para>b &lt; c</para></listitem></itemizedlist>", "Normalized 1 list(s)."),
+    ("<ol numeration='loweralpha'><ul><li>{n}</li></ul><li>c</ol>", '<orderedlist numeration="loweralpha"><listitem><para></para>' + _LIST + "</listitem><listitem><para>c</para></listitem></orderedlist>", "Normalized 1 list(s)."),
+    ("<itemizedlist><listitem>{n}</listitem></itemizedlist>", _LIST, "Normalized 1 list(s)."),
     ("<?xml version='1.0'?><ul><li>{n}<table><tr><td>x</td></tr></table></li></ul>", None, "Nothing to change."),
 ]
 

@@ -7,7 +7,8 @@ import pytest
 
 from quill.operators.findings import dedup_findings, report_lines, summarize
 from quill.operators.normalize import normalize
-from quill.operators.repairs import convert_lists, keeps_words, splice, strip_xinfo, suggest_fixes
+from quill.operators.repairs import keeps_words, splice, strip_xinfo, suggest_fixes
+from quill.operators.trees import convert_lists, convert_tables
 from quill.operators.sections import check_loose_text, check_media, check_placement, check_sections
 from quill.operators.route import check
 from quill.operators.structure import check_lists, check_outside_root, check_paragraphs, check_tables, nested
@@ -162,9 +163,86 @@ def test_lists(spark):
     got = {(r.doc_id, r.start): r.xml for r in convert_lists(docs, outer_spans(tag_stream(docs), ["ul", "ol"])).collect()}
     assert got[0, 2] == "<itemizedlist><listitem><para>x y</para></listitem><listitem><para>z <emphasis>i</emphasis></para></listitem></itemizedlist>"
     assert got[0, texts[0].index("<ol>")] == "<orderedlist><listitem><para>1</para></listitem></orderedlist>"
-    assert got[1, 0] == "<itemizedlist><listitem><para>a</para><itemizedlist><listitem><para>b</para></listitem></itemizedlist><para>c</para></listitem><listitem><para></para></listitem></itemizedlist>"
+    # An item's lists follow its paragraphs; a list between items falls to the one before.
+    assert got[1, 0] == "<itemizedlist><listitem><para>a</para><para>c</para><itemizedlist><listitem><para>b</para></listitem></itemizedlist></listitem><listitem><para></para></listitem></itemizedlist>"
     assert got[2, 0] == "<itemizedlist><listitem><para>a</para><para>b</para></listitem></itemizedlist>"
-    assert [got[k, 0] for k in (3, 4, 5, 6)] == [None] * 4
+    assert got[3, 0] == "<itemizedlist><listitem><para>a</para></listitem></itemizedlist>"
+    assert got[4, 0] is None and got[6, 0] is None
+    assert got[5, 0] == "<itemizedlist><listitem><para>a</para><itemizedlist><listitem><para>b</para></listitem></itemizedlist></listitem></itemizedlist>"
+
+
+def converted(spark, convert, names, texts):
+    docs = frame(spark, texts)
+    return {r.doc_id: (r.xml, r.problem) for r in convert(docs, outer_spans(tag_stream(docs), names)).collect()}
+
+
+def test_lists_as_trees(spark):
+    item = lambda *inner: "<listitem>" + "".join(x if x.startswith("<") else f"<para>{x}</para>" for x in inner) + "</listitem>"
+    bullets = lambda *items: f"<itemizedlist>{''.join(items)}</itemizedlist>"
+    cases = {
+        "<ul><ul><li>a</li></ul><li>b</li></ul>": bullets(item("", bullets(item("a"))), item("b")),
+        "<ul><li>a</li><ul><li>a1</li></ul><ol><li>a2</li></ol><li>b</li></ul>": bullets(item("a", bullets(item("a1")), f"<orderedlist>{item('a2')}</orderedlist>"), item("b")),
+        '<ol numeration="loweralpha"><li>x</li></ol>': f'<orderedlist numeration="loweralpha">{item("x")}</orderedlist>',
+        '<ol numeration="odd"><li>x</li></ol>': f"<orderedlist>{item('x')}</orderedlist>",
+        "<ul><li>b < c & d &amp; e</li></ul>": bullets(item("b &lt; c &amp; d &amp; e")),
+        "<ul><li>one<li>two <b>x</b></ul>": bullets(item("one"), item('two <emphasis role="strong">x</emphasis>')),
+        "<ul><li>a<br>b <span>c</span></li></ul>": bullets(item("a b c")),
+        "<ul><li><p></p></li><li><p>p</p>rest<ul><li>n</li></ul>tail</li></ul>": bullets(item(""), item("p", "rest", "tail", bullets(item("n")))),
+        "<ul><li>a <b>x<ul><li>y</li></ul>z</b></li></ul>": bullets(item("a x", "z", bullets(item("y")))),
+        "<ul>stray<li>a</li>stray</ul>": bullets(item("a")),
+    }
+    deep = "<ul><li>x" * 40 + "</li></ul>" * 40
+    got = converted(spark, convert_lists, ["ul", "ol"], [*cases, deep, "<ul></ul>", "<ul><li>see <table><tr><td>x</td></tr></table></li></ul>", "<ul><li><ol><li>a</ul></ol>", "<ul><li><b>x<ul><li>y</b></li></ul></li></ul>"])
+    assert [got[k][0] for k in range(len(cases))] == list(cases.values())
+    want = ""
+    for _ in range(40):
+        want = bullets(item("x", want) if want else item("x"))
+    n = len(cases)
+    assert got[n][0] == want
+    assert got[n + 1] == (None, "a list has no items") and got[n + 2][0] is None and "<table>" in got[n + 2][1] and got[n + 3] == got[n + 4] == (None, "a list is not closed")
+
+
+def test_tables_by_their_sections(spark):
+    def table(head, *body, titles=""):
+        row = lambda cells: "<tr>" + "".join(c if c.startswith("<") else f"<td><para>{c}</para></td>" for c in cells) + "</tr>"
+        return f'{titles}<informaltable frame="box" rules="all">{f"<thead>{row(head)}</thead>" if head else ""}<tbody>{"".join(map(row, body)) or "<tr></tr>"}</tbody></informaltable>'
+
+    th = lambda *texts: [f"<th><para>{t}</para></th>" for t in texts]
+    cases = {
+        "<table><thead><tr><td>H</td><th>I</th></tr></thead><tbody><tr><td>a</td><td>b</td></tr></tbody></table>": table(th("H", "I"), ["a", "b"]),
+        "<table><tfoot><tr><td>f</td></tr></tfoot><tbody><tr><td>a</td></tr></tbody><tr><td>d</td></tr></table>": table(None, ["a"], ["f"], ["d"]),
+        "<table><tr><th>A</th></tr><tr><th>B</th></tr></table>": table(th("A"), th("B")),
+        "<table><tr><th>A</th></tr></table>": table(None, th("A")),
+        "<table><tr><td> </td></tr><tr></tr></table>": table(None, [""]),
+        "<TABLE><TR><TH>Head<TH>Other<TR><TD>first<TD>second</TABLE>": table(th("Head", "Other"), ["first", "second"]),
+        "<table><tgroup cols='1'><tfoot><row><entry>f</entry></row></tfoot><thead><row><entry>H</entry></row></thead><tbody><row><entry>a<br/>b</entry></row></tbody></tgroup></table>": table(th("H"), ["a b"], ["f"]),
+        "<table><caption>C <b>d</b></caption><tr><td colspan=2>AT&T &lt; 3</td></tr></table>": table(None, ['<td colspan="2"><para>AT&amp;T &lt; 3</para></td>'], titles="<para>C d</para>"),
+        "<table><thead><tr><td>H</td></tr></thead></table>": table(th("H")),
+        "<table><tr><td><ul><li>x</li><li>y</li></ul></td></tr></table>": table(None, ["x y"]),
+    }
+    got = converted(spark, convert_tables, ["table", "informaltable"], [*cases, "<table></table>", "<table><tr><td><table><tr><td>x</td></tr></table></td></tr></table>", "<table><tgroup><tbody><row><entry namest='a'>x</entry></row></tbody></tgroup></table>"])
+    assert [got[k][0] for k in range(len(cases))] == list(cases.values())
+    assert [got[len(cases) + k] for k in range(3)] == [(None, "the table has no rows"), (None, "a table holds another"), (None, "its entries span columns or rows; convert it by hand")]
+
+
+def test_check_knows_its_vocabulary_and_both_dialects(spark):
+    cals = '<informaltable><tgroup cols="1"><tbody><row><entry>x</entry></row></tbody></tgroup></informaltable>'
+    texts = [
+        "<section><title>T</title><para>a<br>b</para><foo>x<bar></section>",
+        f"<section><title>T</title><para>a</para>{cals}</section>",
+        "<section><title>T</title><para>a</para>\n" + cals.replace("<entry>", "<entry namest='a'>") + "</section>",
+        "<section><title>T</title>\n<ul><li>see <table><tr><td>x</td></tr></table></li></ul></section>",
+    ]
+    done = check(frame(spark, texts))
+    found = {}
+    for r in done.findings.collect():
+        found.setdefault(r.doc_id, []).append((r.code, r.line))
+    assert [c for c in found[0] if c[0].startswith("tag.")] == [] and 1 not in found
+    assert ("dialect.table", 2) in found[2] and ("dialect.list", 2) in found[3]
+    assert "<td><para>x</para></td>" in {r.doc_id: r.text for r in done.texts.collect()}[1]
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+    own = check(frame(spark, texts[:1]), vocabulary=spark.createDataFrame([("FOO",)], "name string"))
+    assert [(r.tag, r.code) for r in own.findings.collect() if r.code.startswith("tag.")] == [("foo", "tag.unclosed")]
 
 
 def test_normalize_edges(spark):
@@ -254,7 +332,6 @@ def test_route(spark):
     assert [r.new_text for r in done.fixes.collect()] == ["<section>\n<title>t</title><itemizedlist><listitem><para>a</para></listitem></itemizedlist>\n<para>x</para></section>"]
     lines = {(r.doc_id, r.num): (r.html, r.notes) for r in done.lines.collect()}
     assert lines[0, 3] == ('<span class="bad">&lt;para&gt;</span>x&lt;/section&gt;', ["<para> stays open"]) and lines[1, 1] == ("", [])
-    done.release()
 
 
 def test_xinfo(spark):
