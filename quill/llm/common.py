@@ -75,7 +75,20 @@ def make_dir(spark: SparkSession, path: str) -> None:
     fs.mkdirs(target)
 
 
+#: Rows that Spark hands to Python at a time. Its default of 10,000 is meant for rows of a few bytes; of whole texts that is tens of megabytes, held by the JVM, the pipe and the worker at once.
+ARROW_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ARROW_ROWS rows, unless it has set its own. Results are the same for any size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder, for queries over whole texts."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
