@@ -83,3 +83,9 @@ def snap_headers(headers: DataFrame, known: list[str], cutoff: float = 0.6) -> D
 
     distinct = headers.select("text").distinct().withColumn("near", best(compared(F.col("text"))))
     return headers.join(distinct, "text", "left").withColumn("snapped", F.coalesce("near", "text")).drop("near")
+
+
+def review_header(cells: DataFrame, known: list[str], key: str = "img_id", cutoff: float = 0.6) -> DataFrame:
+    """key, col, text: the header cells of tables that have a header, each as the known header that it is most like."""
+    header = body_and_header(cells, key).filter("body_row < 0")
+    return snap_headers(header.select(key, "col", F.coalesce("text", F.lit("")).alias("text")), known, cutoff).select(key, "col", F.col("snapped").alias("text"))

@@ -11,8 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 
+def busy_stretches(requests: DataFrame, keys: list[str], window_seconds: float, windows: int = 64) -> DataFrame:
+    """requests (keys, at in seconds) with `stretch`: times between two of which at least window_seconds pass lie in different stretches if they also lie in different slots of `windows` windows. Only the first and last time of a key's slots are put in order, so a key with many requests is not brought together."""
+    slot = F.floor(F.col("at") / (windows * window_seconds)).alias("slot")
+    slots = requests.select(*keys, "at", slot).groupBy(*keys, "slot").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    own = Window.partitionBy(*keys).orderBy("slot")
+    new = F.col("first") - F.lag("last").over(own) >= window_seconds
+    begins = slots.withColumn("begins", F.when(F.coalesce(new, F.lit(True)), F.col("slot")))
+    named = begins.withColumn("stretch", F.max("begins").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    named = named.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("slot").alias("_slot"), "stretch")
+    same = F.col("_slot") == slot
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return requests.join(named, same).select(*requests.columns, "stretch")
+
+
 def limit_requests(requests: DataFrame, keys: list[str], most: int, window_seconds: float) -> DataFrame:
-    """keys, at, allowed. A request is rejected, and not remembered, where `most` accepted ones lie less than window_seconds back; equal times keep one order. A key's times are sorted within a partition and judged as they stream by; a task holds `most` accepted times."""
+    """keys, at, allowed. A request is rejected, and not remembered, where `most` accepted ones lie less than window_seconds back; equal times keep one order. Where a key has no request for a window its state is empty, so its busy stretches are dealt as keys of their own; each is sorted within a partition and judged as it streams by. A task holds `most` accepted times."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, live = None, deque()
@@ -29,8 +44,9 @@ def limit_requests(requests: DataFrame, keys: list[str], most: int, window_secon
                 allowed.append(ok)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], [*batch.schema.names, "allowed"])
 
-    rows = requests.filter(F.col("at").isNotNull()).select(*keys, F.col("at").cast("double").alias("at")).repartition(*keys).sortWithinPartitions(*keys, "at")
-    return rows.mapInArrow(judge, StructType([*rows.schema.fields, StructField("allowed", BooleanType())]))
+    rows = requests.filter(F.col("at").isNotNull()).select(*keys, F.col("at").cast("double").alias("at"))
+    rows = busy_stretches(rows, keys, window_seconds).select(*keys, "stretch", "at").repartition(*keys, "stretch").sortWithinPartitions(*keys, "stretch", "at")
+    return rows.mapInArrow(judge, StructType([*rows.schema.fields, StructField("allowed", BooleanType())])).drop("stretch")
 
 
 def idle_sessions(events: DataFrame, key: str, at: str, idle_seconds: float) -> DataFrame:
@@ -42,6 +58,31 @@ def idle_sessions(events: DataFrame, key: str, at: str, idle_seconds: float) ->
     return rows.groupBy(key, "session").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n"))
 
 
+#: What may be said of an upload: whether it is used, how a continuation goes, and the hand-off of a page that waits.
+ACTIONS = ("upload", "arm", "append", "done", "wait", "submit")
+
+
+def upload_decisions(events: DataFrame, token: str = "token", at: str = "at", idle_seconds: float = 1200) -> DataFrame:
+    """events (token, at in seconds, seq, action of ACTIONS, page) with `accepted`. Events are in order of at and seq. An upload is good until nothing has been accepted or tried for it for more than idle_seconds; then all is rejected until it is uploaded again. `append` needs an `arm` that no `done` ended, `submit` the page of the last `wait`, which it takes. The same as streaming.uploads.upload_stream decides."""
+    own = Window.partitionBy(token).orderBy(at, "seq")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    # A gap that is too long ends an upload as a new one does; what follows a gap is of no upload.
+    starts = (F.col("action") == "upload") | (F.col(at) - F.lag(at).over(own) > idle_seconds)
+    rows = events.withColumn("_life", F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(upto))
+    life = Window.partitionBy(token, "_life").orderBy(at, "seq")
+    before = life.rowsBetween(Window.unboundedPreceding, -1)
+    alive = F.first("action").over(life.rowsBetween(Window.unboundedPreceding, 0)) == "upload"
+    armed = F.coalesce(F.last(F.when(F.col("action").isin("arm", "done"), F.col("action")), True).over(before) == "arm", F.lit(False))
+    # A submit that does not fit leaves the page waiting, so what counts is the last wait since the last submit of its page.
+    rows = rows.withColumns({"_alive": alive, "_armed": armed, "_wait": F.last(F.when(F.col("action") == "wait", F.struct(F.col(at).alias("at"), "seq", "page")), True).over(before)})
+    taken = F.last(F.when((F.col("action") == "submit") & (F.col("page") == F.col("_wait.page")), F.struct("_wait.at", "_wait.seq")), True).over(before)
+    rows = rows.withColumn("_taken", taken)
+    free = ~(F.struct("_wait.at", "_wait.seq").eqNullSafe(F.col("_taken")))
+    fits = F.col("_wait").isNotNull() & free & (F.col("page") == F.col("_wait.page"))
+    accepted = F.col("_alive") & F.when(F.col("action") == "append", F.col("_armed")).when(F.col("action") == "submit", F.coalesce(fits, F.lit(False))).otherwise(F.lit(True))
+    return rows.withColumn("accepted", accepted).select(*events.columns, "accepted")
+
+
 def merge_continuations(base: DataFrame, more: DataFrame, key: str = "token") -> DataFrame:
     """A later page's items (and regions, where both sides have them) appended to a saved result of the same key and kind; `merged` is false where either has none or the kinds differ, and the base stays. Other columns are the base's; `xml` is put together anew from the items."""
     lists = [c for c in ("items", "regions") if c in base.columns and c in more.columns]
@@ -61,10 +102,16 @@ def wrapped(kind: Column, items: Column) -> Column:
 
 
 def lost_words(words: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pair_id, n_lost for each of pairs (pair_id, old, new): how many words of text `old`, as a multiset, text `new` lacks, from words (text_id, word). 0 means that a repair may stand. Words are counted for each text before they are dealt to pairs."""
-    counts = words.groupBy("text_id", "word").agg(F.count("*").alias("n"))
-    sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.col("old").alias("text_id"), F.lit(1).alias("sign")), F.struct(F.col("new").alias("text_id"), F.lit(-1).alias("sign")))).alias("s"))
-    dealt = sides.select("pair_id", "s.text_id", "s.sign").join(counts, "text_id")
-    left = dealt.groupBy("pair_id", "word").agg(F.sum(F.col("n") * F.col("sign")).alias("n"))
-    lost = left.groupBy("pair_id").agg(F.sum(F.greatest("n", F.lit(0))).alias("n_lost"))
-    return pairs.select("pair_id").join(lost, "pair_id", "left").select("pair_id", F.coalesce("n_lost", F.lit(0)).alias("n_lost"))
+    """pair_id, n_lost for each of pairs (pair_id, old, new): how many words of text `old`, as a multiset, text `new` lacks, from words (text_id, word). 0 means that a repair may stand. A text's words travel as one row; in the sorted union of both texts, with the new ones first among equal words, an old word is lost where no new one is left for it."""
+    texts = words.filter(F.col("word").isNotNull()).groupBy("text_id").agg(F.collect_list("word").alias("words"))
+    side = lambda name: texts.select(F.col("text_id").alias(name), F.col("words").alias(f"{name}_words"))
+    both = pairs.select("pair_id", "old", "new").join(side("old"), "old", "left").join(side("new"), "new", "left")
+    tagged = lambda name, k: F.transform(F.coalesce(f"{name}_words", F.array().cast("array<string>")), lambda w: F.struct(w.alias("w"), F.lit(k).alias("k")))
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("left"), F.lit(0).cast("long").alias("lost"))
+
+    def step(state: Column, x: Column) -> Column:
+        left = F.when(state["w"] == x["w"], state["left"]).otherwise(0)
+        return F.struct(x["w"].alias("w"), F.when(x["k"] == 0, left + 1).otherwise(F.greatest(left - 1, F.lit(0))).alias("left"), (state["lost"] + ((x["k"] == 1) & (left == 0)).cast("long")).alias("lost"))
+
+    union = F.array_sort(F.concat(tagged("new", 0), tagged("old", 1)))
+    return both.select("pair_id", F.aggregate(union, start, step)["lost"].alias("n_lost"))

@@ -409,6 +409,25 @@ def limiter_decisions(spark, sf_dir):
     return rows.select("user_id", "event_type", F.round(F.col("at") * 1e6).cast("long").alias("at_us"), "allowed")
 
 
+_ACTION_SQL = "CASE event_id % 7 WHEN 0 THEN 'upload' WHEN 1 THEN 'arm' WHEN 2 THEN 'append' WHEN 3 THEN 'wait' WHEN 4 THEN 'submit' WHEN 5 THEN 'append' ELSE CASE WHEN event_id % 2 = 0 THEN 'done' ELSE 'submit' END END"
+
+
+@query("upload_decisions", f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS t, {_ACTION_SQL} AS action, event_id % 3 AS page, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT event_id, user_id, i, action = 'upload' AS ok, CASE WHEN action = 'upload' THEN t END AS used, false AS armed, CAST(NULL AS BIGINT) AS waits FROM e WHERE i = 1 UNION ALL
+    SELECT e.event_id, e.user_id, e.i,
+        CASE WHEN action = 'upload' THEN true WHEN f.used IS NULL OR e.t - f.used > 86400 THEN false WHEN action = 'append' THEN f.armed WHEN action = 'submit' THEN coalesce(f.waits = page, false) ELSE true END,
+        CASE WHEN action = 'upload' OR e.t - f.used <= 86400 THEN e.t END,
+        CASE WHEN action = 'upload' OR f.used IS NULL OR e.t - f.used > 86400 THEN false WHEN action IN ('arm', 'done') THEN action = 'arm' ELSE f.armed END,
+        CASE WHEN action = 'upload' OR f.used IS NULL OR e.t - f.used > 86400 THEN NULL WHEN action = 'wait' THEN page WHEN action = 'submit' AND f.waits = page THEN NULL ELSE f.waits END
+    FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT event_id, ok AS accepted FROM f""")
+def upload_decisions(spark, sf_dir):
+    k = F.col("event_id") % 7
+    action = F.when(k == 0, "upload").when(k == 1, "arm").when(k.isin(2, 5), "append").when(k == 3, "wait").when((k == 4) | (F.col("event_id") % 2 == 1), "submit").otherwise("done")
+    events = _table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("token"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("seq"), action.alias("action"), (F.col("event_id") % 3).alias("page"))
+    return ST.upload_decisions(events, idle_seconds=86400).select("event_id", "accepted")
+
+
 @query("idle_sessions", """WITH g AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 21600000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t) AS session FROM g) SELECT user_id, CAST(session AS BIGINT) AS session, min(t) AS start, max(t) AS "end", count(*) AS n FROM s GROUP BY user_id, session""")
 def idle_sessions(spark, sf_dir):
@@ -518,7 +537,7 @@ def readings_merge(spark, sf_dir):
 
 @query("header_snap")
 def header_snap(spark, sf_dir):
-    texts = _table(spark, sf_dir, "part").select("p_partkey", F.concat(F.substring("p_type", 1, 8), F.lit(" NQ.")).alias("text"))
+    texts = _table(spark, sf_dir, "part").select("p_partkey", F.concat("p_type", F.lit(" NQ.")).alias("text"))
     return R.snap_headers(texts, ["ITEM NO.", "PART NO.", "QTY", "STANDARD NO."])
 
 
