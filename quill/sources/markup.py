@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quill.functions.text import first_line_label
+from quill.sources import results as store
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -90,29 +90,17 @@ def setting(name: str, section: Mapping, default, env: Mapping[str, str] = os.en
 
 
 def save_results(results: DataFrame, path: str, key: str = "token") -> None:
-    """Result documents as JSON, one for each key: the last by `version` takes the place of an older one with its key, other keys stay. The new table is written beside the old one and then renamed."""
-    spark = results.sparkSession
-    last = results.groupBy(key).agg(F.max_by(F.to_json(F.struct(*[c for c in results.columns if c not in (key, "version")])), "version").alias("result"))
-    if _exists(spark, path):
-        last = last.unionByName(spark.read.schema(f"{key} string, result string").json(path).join(last, key, "left_anti"))
-    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    last.write.json(beside)
-    fs, target = _hadoop(spark, path)
-    fs.delete(target, True)
-    fs.rename(_hadoop(spark, beside)[1], target)
+    """Result documents as JSON, one for each key: the last by `version` takes the place of an older one with its key. Only these documents are written, as a new version of the store."""
+    last = results.groupBy(F.col(key).alias("token")).agg(F.max_by(F.to_json(F.struct(*[c for c in results.columns if c not in (key, "version")])), "version").alias("result"))
+    store.save(last, path)
 
 
-def delete_results(spark: SparkSession, path: str, keys: list[str], key: str = "token") -> None:
+def delete_results(spark: SparkSession, path: str, keys: list[str]) -> None:
     """Removes the documents of some keys."""
-    left = spark.read.schema(f"{key} string, result string").json(path).filter(~F.col(key).isin(keys))
-    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    left.write.json(beside)
-    fs, target = _hadoop(spark, path)
-    fs.delete(target, True)
-    fs.rename(_hadoop(spark, beside)[1], target)
+    store.save(spark.createDataFrame([(k, None) for k in keys], "token string, result string"), path)
 
 
 def load_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """What save_results wrote; keys of hexadecimal digits only."""
-    rows = spark.read.schema("token string, result string").json(path).filter(F.col("token").rlike(r"\A[0-9a-f]+\z"))
+    rows = store.view(spark, path).filter(F.col("token").rlike(r"\A[0-9a-f]+\z"))
     return rows.select("token", F.from_json("result", schema).alias("r")).select("token", "r.*")
