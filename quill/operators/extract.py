@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quill.functions.text import MARKER, escape_html, flag_page_refs, strip
-from quill.operators.layout import assign_items, assign_paragraphs, styled_runs
+from quill.functions.text import MARKER, escape_html, flag_page_refs, join_lines, strip
+from quill.operators.layout import assign_items, assign_paragraphs, best_overlap, crop_box, lines_in_cells, styled_runs
+from quill.operators.tables import build_tables, reliable_header
 
 
 def peel_marker(spans: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -71,8 +72,35 @@ def extract_lists(spans: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return made.select(id_column, number.alias("item"), "ordered", F.concat(F.lit("<listitem>"), "xml", F.lit("</listitem>")).alias("xml"), "html")
 
 
-def extract_regions(requests: DataFrame, spans: DataFrame, images: DataFrame | None = None, id_column: str = "doc_id") -> DataFrame:
-    """id, kind, xml, n_items, needs_reading for requests (id, kind, x0, y0, x1, y1), one for each id: paragraphs or a list of the spans whose line's centre is in the region; a table region without text whose id is among `images` (id) needs reading."""
+def extract_tables(spans: DataFrame, regions: DataFrame, cells: DataFrame | None = None, id_column: str = "doc_id", band: float = 64.0) -> DataFrame:
+    """id, xml of each of regions (id): its grid's cells (id, row, col, cx0, cy0, cx1, cy1) with the lines of spans whose centre they hold, joined as in a paragraph, and a head where the first row is bold and the second is not. A region without cells is one cell with all its lines."""
+    lines = spans.groupBy(id_column, "line", "y0", "y1").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda s: s["text"]), "").alias("text"))
+    lines = lines.filter(strip(F.col("text")) != "")
+    in_order = lambda: join_lines(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]))
+    grid = regions.limit(0).select(id_column, *[F.lit(0).alias(c) for c in ("row", "col")], *[F.lit(0.0).alias(c) for c in ("cx0", "cy0", "cx1", "cy1")]) if cells is None else cells.join(regions.select(id_column), id_column, "left_semi")
+    held = lines_in_cells(lines, grid, id_column, band)
+    texts = held.groupBy(id_column, "row", "col").agg(in_order().alias("text"))
+    flagged = spans.select(id_column, "line", "text", F.when(F.col("bold"), 16).otherwise(0).alias("flags"))
+    head = reliable_header(held.select(id_column, "line", "row").join(flagged, [id_column, "line"]), id_column)
+    made = grid.select(id_column, "row", "col").join(texts, [id_column, "row", "col"], "left").join(head, id_column, "left")
+    made = made.select(id_column, "row", "col", (F.coalesce("has_header", F.lit(False)) & (F.col("row") == 0)).alias("is_header"), "text")
+    plain = regions.select(id_column).join(grid.select(id_column).distinct(), id_column, "left_anti").join(lines.groupBy(id_column).agg(in_order().alias("text")), id_column, "left")
+    plain = plain.select(id_column, F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(False).alias("is_header"), "text")
+    return build_tables(made.unionByName(plain), id_column)
+
+
+def extract_images(requests: DataFrame, images: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """id, image_id, box for the image regions of requests (id, kind, x0, y0, x1, y1): the embedded image (id, image_id, ix0, iy0, ix1, iy1, skew, masked, width, height) that lies in most of it, and the region as a box of its pixels. A region over several images, or over none that can be cut, has no row."""
+    clips = requests.filter("kind = 'image'").select(id_column, F.col(id_column).alias("clip_id"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    best = best_overlap(clips, images, id_column).select(F.col("clip_id").alias(id_column), "image_id")
+    met = best.join(images, [id_column, "image_id"]).join(clips, id_column)
+    image = {"x0": F.col("ix0"), "y0": F.col("iy0"), "x1": F.col("ix1"), "y1": F.col("iy1"), "skew": F.col("skew"), "masked": F.col("masked")}
+    box = crop_box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], image, F.col("width"), F.col("height"))
+    return met.select(id_column, "image_id", box.alias("box")).filter("box is not null")
+
+
+def extract_regions(requests: DataFrame, spans: DataFrame, images: DataFrame | None = None, id_column: str = "doc_id", cells: DataFrame | None = None) -> DataFrame:
+    """id, kind, xml, n_items, needs_reading for requests (id, kind, x0, y0, x1, y1), one for each id: paragraphs, a list or a table (by the grid's cells, see extract_tables) of the spans whose line's centre is in the region; a table region without text whose id is among `images` (id) needs reading and has no fragment."""
     region = requests.select(id_column, "kind", *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     level = F.abs(F.col("dir_x") * F.col("dir_y")) <= 0.01
@@ -83,9 +111,10 @@ def extract_regions(requests: DataFrame, spans: DataFrame, images: DataFrame | N
     texts = inside.filter("kind = 'table'").filter(strip(F.col("text")) != "").select(id_column).distinct()
     drawn = texts.select(id_column, F.lit(True).alias("has_text"))
     pictured = (images if images is not None else requests.limit(0)).select(id_column).distinct().withColumn("has_image", F.lit(True))
-    rows = region.select(id_column, "kind").join(paragraphs.unionByName(lists), id_column, "left").join(drawn, id_column, "left").join(pictured, id_column, "left")
+    tables = extract_tables(inside.filter("kind = 'table'"), requests.filter("kind = 'table'"), cells, id_column).withColumnRenamed("xml", "table")
+    rows = region.select(id_column, "kind").join(paragraphs.unionByName(lists), id_column, "left").join(tables, id_column, "left").join(drawn, id_column, "left").join(pictured, id_column, "left")
     tag = F.when(F.col("ordered"), "orderedlist").otherwise("itemizedlist")
     body = F.array_join("items", "\n")
-    xml = F.when(F.col("kind") == "list", F.concat(F.lit("<"), tag, F.lit(">\n"), body, F.lit("\n</"), tag, F.lit(">"))).otherwise(body)
+    xml = F.when(F.col("kind") == "list", F.concat(F.lit("<"), tag, F.lit(">\n"), body, F.lit("\n</"), tag, F.lit(">"))).when(F.col("kind") == "table", F.col("table")).otherwise(body)
     needs = (F.col("kind") == "table") & F.col("has_text").isNull() & F.coalesce("has_image", F.lit(False))
-    return rows.select(id_column, "kind", xml.alias("xml"), F.coalesce(F.size("items"), F.lit(0)).alias("n_items"), needs.alias("needs_reading"))
+    return rows.select(id_column, "kind", F.when(~needs, xml).alias("xml"), F.coalesce(F.size("items"), F.lit(0)).alias("n_items"), needs.alias("needs_reading"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quill.operators import extract as EX
@@ -63,7 +63,7 @@ REGIONS = [
      '<orderedlist>\n<listitem><para>first {n} goes on</para></listitem>\n<listitem><para><emphasis role="strong">second</emphasis></para></listitem>\n</orderedlist>', 2, False),
     ("list", [(0, 0, 0, "• a", 0, 0), (1, 0, 10, "1. {n}", 0, 0), (2, 0, 900, "outside", 0, 0)], "<itemizedlist>\n<listitem><para>a</para></listitem>\n<listitem><para>{n}</para></listitem>\n</itemizedlist>", 2, False),
     ("table", [(0, 0, 900, "outside {n}", 0, 0)], None, 0, True),
-    ("table", [(0, 0, 0, "cell {n}", 0, 0)], None, 0, False),
+    ("table", [(0, 0, 0, "cell {n}", 0, 0)], f"{_OPEN}<tbody><tr><td><para>cell {{n}}</para></td></tr></tbody>{_CLOSE}", 0, False),
 ]
 
 
@@ -80,5 +80,28 @@ def _extract(spark, sf_dir):
 _REGIONS_SQL = ", ".join(f"({k}, {_quoted(kind)}, {'NULL' if xml is None else _quoted(xml)}, {n}, {str(reads).lower()})" for k, (kind, _, xml, n, reads) in enumerate(REGIONS))
 EXTRACT_SQL = f"WITH f(k, kind, t, n_items, needs_reading) AS (VALUES {_REGIONS_SQL}) SELECT o_orderkey AS doc_id, kind, replace(t, '{{n}}', CAST(o_orderkey AS VARCHAR)) AS xml, CAST(n_items AS BIGINT) AS n_items, needs_reading FROM orders JOIN f ON k = o_orderkey % {len(REGIONS)}"
 
-QUERIES = {"normalize_fragments": _normalize, "extract_regions": _extract}
-SQL = {"normalize_fragments": NORMALIZE_SQL, "extract_regions": EXTRACT_SQL}
+
+def _table_fragments(spark, sf_dir):
+    """Each order is a table region: a grid of its lines by three columns, of which the last is empty for every fifth line, with two lines of text in the middle one; every third order's first row is bold."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
+    rows = lines.select(F.col("l_orderkey").alias("doc_id"), (F.row_number().over(order) - 1).alias("row"), "part")
+    top = F.col("row") * 30.0
+    box = lambda col: F.struct("row", F.lit(col).alias("col"), F.lit(100.0 * col).alias("cx0"), top.alias("cy0"), F.lit(100.0 * col + 100).alias("cx1"), (top + 30).alias("cy1"))
+    cells = rows.select("doc_id", F.explode(F.array(*map(box, range(3)))).alias("c")).select("doc_id", "c.*")
+    said = lambda n, col, y, text: F.struct((F.col("row") * 4 + n).alias("line"), F.lit(0).alias("span"), F.lit(0).alias("block"), (top + y).alias("y0"), (top + y + 8).alias("y1"), F.lit(100.0 * col + 5).alias("x0"), F.lit(100.0 * col + 95).alias("x1"), text.alias("text"))
+    part = F.col("part").cast("string")
+    texts = F.array(said(0, 0, 2, part), said(1, 1, 2, F.concat(F.lit("a & "), part)), said(2, 1, 14, F.lit("b")), F.when(F.col("part") % 5 != 0, said(3, 2, 2, F.lit("z"))))
+    bold = (F.col("doc_id") % 3 == 0) & (F.col("row") == 0)
+    spans = rows.select("doc_id", bold.alias("bold"), F.explode(F.array_compact(texts)).alias("s")).select("doc_id", "s.*", "bold", F.lit(False).alias("italic"), F.lit(1.0).alias("dir_x"), F.lit(0.0).alias("dir_y"))
+    requests = rows.groupBy("doc_id").agg(F.lit("table").alias("kind"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(300.0).alias("x1"), (F.max("row") * 30.0 + 30).alias("y1"))
+    return EX.extract_regions(requests, spans, cells=cells).select("doc_id", "xml")
+
+
+TABLES_SQL = f"""WITH l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS row, min(l_partkey) AS part FROM lineitem GROUP BY l_orderkey, l_linenumber),
+t AS (SELECT *, doc_id % 3 = 0 AND row = 0 AND count(*) OVER (PARTITION BY doc_id) > 1 AS head FROM l),
+r AS (SELECT doc_id, row, head, '<tr>' || array_to_string(list_transform([CAST(part AS VARCHAR), 'a &amp; ' || part || ' b', CASE WHEN part % 5 <> 0 THEN 'z' ELSE '' END], lambda x: CASE WHEN head THEN '<th><para>' || x || '</para></th>' ELSE '<td><para>' || x || '</para></td>' END), '') || '</tr>' AS x FROM t)
+SELECT doc_id, '{_OPEN}' || coalesce('<thead>' || string_agg(x, '') FILTER (head) || '</thead>', '') || '<tbody>' || coalesce(string_agg(x, '' ORDER BY row) FILTER (NOT head), '') || '</tbody>{_CLOSE}' AS xml FROM r GROUP BY doc_id"""
+
+QUERIES = {"normalize_fragments": _normalize, "extract_regions": _extract, "table_fragments": _table_fragments}
+SQL = {"normalize_fragments": NORMALIZE_SQL, "extract_regions": EXTRACT_SQL, "table_fragments": TABLES_SQL}
