@@ -99,3 +99,15 @@ def redact_lines(lines: DataFrame, text: str, fill: str = " ") -> DataFrame:
     hidden = F.concat(F.substring(line, F.lit(1), at - 1), F.lit(fill * len(text)), F.substring(line, at + len(text), F.length(line)))
     found = F.coalesce((at > 0) & F.lit(bool(text)), F.lit(False))
     return lines.withColumns({"redacted": found, "text": F.when(found, hidden).otherwise(line)})
+
+
+def redaction_boxes(chars: DataFrame, text: str) -> DataFrame:
+    """doc_id, page, line, boxes, rect for the lines that hold the text, of characters (doc_id, page, line, span, pos, c, x0, y0, x1, y1): the boxes of the characters of its first place, in order, and the rectangle around them. A line's characters are put in order by span and pos; what is looked for may run over spans. An empty text is nowhere."""
+    box = F.struct("span", "pos", "c", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    lines = chars.groupBy("doc_id", "page", "line").agg(F.array_sort(F.collect_list(box)).alias("chars"))
+    whole = F.array_join(F.transform("chars", lambda c: c["c"]), "")
+    found = lines.withColumn("at", F.instr(whole, text)).filter((F.col("at") > 0) & F.lit(bool(text)))
+    boxes = F.transform(F.slice("chars", F.col("at"), F.lit(max(1, len(text)))), lambda c: c["box"])
+    side = lambda name: F.transform("boxes", lambda b: b[name])
+    rect = F.struct(F.array_min(side("x0")).alias("x0"), F.array_min(side("y0")).alias("y0"), F.array_max(side("x1")).alias("x1"), F.array_max(side("y1")).alias("y1"))
+    return found.withColumn("boxes", boxes).select("doc_id", "page", "line", "boxes", rect.alias("rect"))

@@ -6,7 +6,7 @@ sides derive from the supplied tables by the same arithmetic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quill.functions import text as T
@@ -673,6 +673,19 @@ def redacted_lines(spark, sf_dir):
     return SM.redact_lines(_layout(spark, sf_dir), "an").select("doc_id", "line", "redacted", "text")
 
 
+@query("redaction_boxes", """WITH c AS (SELECT p_partkey, unnest(range(1, length(p_name) + 1)) AS i, p_name FROM part), w AS (SELECT *, substr(p_name, i, 1) AS c, 3.0 + ord(substr(p_name, i, 1)) % 5 AS w FROM c),
+x AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY p_partkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x0 FROM w)
+SELECT p_partkey AS doc_id, min(x0) AS x0, max(x0 + w) AS x1, min(10.0 - i % 2) AS y0, max(18.0 + i % 3) AS y1, count(*) AS n FROM x WHERE instr(p_name, 'ol') > 0 AND i BETWEEN instr(p_name, 'ol') AND instr(p_name, 'ol') + 1 GROUP BY p_partkey""")
+def redaction_boxes(spark, sf_dir):
+    """Names as lines of characters, two to a span, each as wide as its letter says."""
+    letters = _table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", "")).alias("i", "c")).filter("c <> ''")
+    width = F.lit(3.0) + F.ascii("c") % 5
+    before = F.coalesce(F.sum(width).over(Window.partitionBy("p_partkey").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    n = F.col("i") + 1
+    chars = letters.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("line"), F.floor(F.col("i") / 2).alias("span"), (F.col("i") % 2).alias("pos"), "c", before.alias("x0"), (F.lit(10.0) - n % 2).alias("y0"), (before + width).alias("x1"), (F.lit(18.0) + n % 3).alias("y1"))
+    return SM.redaction_boxes(chars, "ol").select("doc_id", "rect.x0", "rect.x1", "rect.y0", "rect.y1", F.size("boxes").cast("long").alias("n"))
+
+
 @query("masked_ink", """WITH p AS (SELECT n_nationkey AS img_id, y, x, CASE WHEN (y // 4 + n_nationkey) % 3 = 0 AND x % 2 = 0 THEN 20 + x ELSE 230 - y END AS v FROM nation, range(0, 24) AS a(y), range(0, 32) AS b(x))
 SELECT img_id, y, count(*) FILTER (v < 100 AND x < y) AS ink FROM p GROUP BY ALL""")
 def masked_ink(spark, sf_dir):

@@ -21,3 +21,13 @@ def test_image_regions(spark):
     frame = spark.createDataFrame(images, "doc_id long, image_id long, ix0 double, iy0 double, ix1 double, iy1 double, skew double, masked boolean, width int, height int")
     got = [(r.doc_id, r.image_id, tuple(r.box)) for r in extract_images(spark.createDataFrame(requests, REQUESTS), frame).collect()]
     assert got == [(1, 7, (20, 40, 120, 240))]
+
+
+def test_redaction_boxes(spark):
+    from quill.operators.streams import redaction_boxes
+
+    rows = [(1, 1, 0, s, p, c, 5.0 * i, 0.0, 5.0 * i + 4, 9.0 + i) for i, (s, p, c) in enumerate([(0, 0, "a"), (0, 1, "C"), (1, 0, "O"), (1, 1, "P"), (2, 0, "C"), (2, 1, "O"), (2, 2, "P")])] + [(1, 1, 1, 0, 0, "x", 0.0, 0.0, 1.0, 1.0)]
+    chars = spark.createDataFrame(rows, "doc_id long, page long, line long, span long, pos long, c string, x0 double, y0 double, x1 double, y1 double")
+    (got,) = redaction_boxes(chars, "COP").collect()
+    assert (got.line, tuple(got.rect), [b.x0 for b in got.boxes]) == (0, (5.0, 0.0, 19.0, 12.0), [5.0, 10.0, 15.0])
+    assert redaction_boxes(chars, "").isEmpty() and redaction_boxes(chars, "none").isEmpty()
