@@ -62,11 +62,17 @@ def list_items(lines: DataFrame, id_column: str = "doc_id", order: str = "line")
 
 
 def lines_in_cells(lines: DataFrame, cells: DataFrame, id_column: str, band: float) -> DataFrame:
-    """Lines joined to the cells (same id) that hold their centre. Cells are cut into bands of height `band`, so the join is on equal (id, band) and the rest is a filter."""
-    cut = cells.withColumn("band", F.explode(F.sequence(F.floor(F.col("cy0") / band), F.floor(F.col("cy1") / band))))
+    """Lines joined to the cells (same id) that hold their centre. Cells are cut into bands of height `band`, so the join is on equal (id, band) and the rest is a filter. A cell of more than eight bands goes to a coarser level, of bands twice as high until eight hold it, and lines look at each level that there is: a cell makes nine rows at most, and there are as many levels as the tallest cell has doublings."""
+    height = F.greatest(F.col("cy1") - F.col("cy0"), F.lit(0.0))
+    level = F.greatest(F.ceil(F.log2(height / (8 * band))), F.lit(0)).cast("int")
+    size = lambda level: F.lit(band) * F.pow(F.lit(2.0), level)
+    leveled = cells.withColumn("level", F.coalesce(level, F.lit(0)))
+    cut = leveled.withColumn("band", F.explode(F.sequence(F.floor(F.col("cy0") / size(F.col("level"))), F.floor(F.col("cy1") / size(F.col("level"))))))
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    found = lines.withColumn("band", F.floor(cy / band)).join(cut, [id_column, "band"])
-    return found.filter((cx >= F.col("cx0")) & (cx < F.col("cx1")) & (cy >= F.col("cy0")) & (cy < F.col("cy1"))).drop("band")
+    present = [r["level"] for r in leveled.select("level").distinct().collect()]  # one for each doubling
+    looked = lines.withColumn("level", F.explode(F.array(*map(F.lit, present or [0])).cast("array<int>"))).withColumn("band", F.floor(cy / size(F.col("level"))))
+    found = looked.join(cut, [id_column, "level", "band"])
+    return found.filter((cx >= F.col("cx0")) & (cx < F.col("cx1")) & (cy >= F.col("cy0")) & (cy < F.col("cy1"))).drop("band", "level")
 
 
 def area(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

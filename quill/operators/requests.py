@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quill.functions.text import TAG
+from quill.operators.state import merge_continuations
 from quill.operators.structure import nested
 from quill.operators.tags import tag_stream
 
@@ -65,6 +66,13 @@ def judge_fragments(results: DataFrame, id_column: str = "token") -> DataFrame:
     return found.withColumn("valid", F.when(~F.col("empty"), F.coalesce("nests", F.lit(True)) & plain)).drop("nests")
 
 
+def merge_and_judge(base: DataFrame, more: DataFrame, key: str = "token") -> DataFrame:
+    """merge_continuations() with `empty` and `valid`: what was put together is judged anew, whatever the pages were judged before; a fragment without text in its items is empty and is not judged."""
+    merged = merge_continuations(base, more, key)
+    plain = F.regexp_replace(F.array_join("items", ""), TAG, "")
+    return judge_fragments(merged.drop("empty", "valid").withColumn("empty", F.regexp_replace(F.coalesce(plain, F.lit("")), r"(?U)\s", "") == ""), key)
+
+
 def fraction_to_pixels(fraction: Column, size: Column) -> Column:
     """A share of an image's size in whole pixels, inside the image."""
     return F.least(F.greatest(F.round(fraction * size), F.lit(0)), size).cast("int")
