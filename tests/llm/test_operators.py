@@ -629,7 +629,7 @@ def test_op9_stitches_blocks(spark, block):
 @pytest.mark.parametrize("name", ORACLE_SQL)
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     a, b = con.sql(ORACLE_SQL[name]).df(), QUERIES[name](spark, SF).toPandas()
     columns = sorted(a.columns)
