@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quill.functions.text import MARKER, escape_html, flag_page_refs, join_lines, strip
 from quill.operators.layout import assign_items, assign_paragraphs, best_overlap, crop_box, lines_in_cells, styled_runs
-from quill.operators.tables import build_tables, reliable_header
+from quill.operators.tables import build_tables
 
 
 def peel_marker(spans: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -74,19 +74,28 @@ def extract_lists(spans: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 def extract_tables(spans: DataFrame, regions: DataFrame, cells: DataFrame | None = None, id_column: str = "doc_id", band: float = 64.0) -> DataFrame:
     """id, xml of each of regions (id): its grid's cells (id, row, col, cx0, cy0, cx1, cy1) with the lines of spans whose centre they hold, joined as in a paragraph, and a head where the first row is bold and the second is not. A region without cells is one cell with all its lines."""
-    lines = spans.groupBy(id_column, "line", "y0", "y1").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda s: s["text"]), "").alias("text"))
-    lines = lines.filter(strip(F.col("text")) != "")
-    in_order = lambda: join_lines(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]))
-    grid = regions.limit(0).select(id_column, *[F.lit(0).alias(c) for c in ("row", "col")], *[F.lit(0.0).alias(c) for c in ("cx0", "cy0", "cx1", "cy1")]) if cells is None else cells.join(regions.select(id_column), id_column, "left_semi")
-    held = lines_in_cells(lines, grid, id_column, band)
-    texts = held.groupBy(id_column, "row", "col").agg(in_order().alias("text"))
-    flagged = spans.select(id_column, "line", "text", F.when(F.col("bold"), 16).otherwise(0).alias("flags"))
-    head = reliable_header(held.select(id_column, "line", "row").join(flagged, [id_column, "line"]), id_column)
-    made = grid.select(id_column, "row", "col").join(texts, [id_column, "row", "col"], "left").join(head, id_column, "left")
-    made = made.select(id_column, "row", "col", (F.coalesce("has_header", F.lit(False)) & (F.col("row") == 0)).alias("is_header"), "text")
-    plain = regions.select(id_column).join(grid.select(id_column).distinct(), id_column, "left_anti").join(lines.groupBy(id_column).agg(in_order().alias("text")), id_column, "left")
-    plain = plain.select(id_column, F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(False).alias("is_header"), "text")
-    return build_tables(made.unionByName(plain), id_column)
+    said = F.trim("text") != ""
+    lines = spans.groupBy(id_column, "line", "y0", "y1").agg(
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda s: s["text"]), "").alias("text"),
+        F.count_if(said).alias("said"), F.count_if(said & F.col("bold")).alias("bold"),
+    ).filter(strip(F.col("text")) != "")
+    null = lambda c, t: F.lit(None).cast(t).alias(c)
+    place, content = [null("row", "long"), null("col", "long")], [null("line", "long"), null("text", "string"), null("said", "long"), null("bold", "long")]
+    told = ["line", "text", "said", "bold"]
+    parts = lines.select(id_column, *place, *told).unionByName(regions.select(id_column, *place, *content)).withColumn("asked", F.col("line").isNull())
+    if cells is not None:
+        held = lines_in_cells(lines, cells, id_column, band).select(id_column, "row", "col", *told)
+        parts = parts.unionByName(cells.select(id_column, "row", "col", *content).unionByName(held).withColumn("asked", F.lit(False)))
+    # Cells and lines come together by union and window, as joins of them may be broadcast through the driver.
+    region = Window.partitionBy(id_column)
+    parts = parts.withColumns({"known": F.max("asked").over(region), "gridded": F.max(F.col("row").isNotNull()).over(region)}).filter("known and (row is not null or not gridded)")
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", "text")))), lambda x: x["text"])
+    made = parts.groupBy(id_column, "gridded", F.coalesce("row", F.lit(0)).alias("row"), F.coalesce("col", F.lit(0)).alias("col")).agg(join_lines(texts).alias("text"), F.sum("said").alias("said"), F.sum("bold").alias("bold"))
+    of = lambda k: F.sum(F.when(F.col("row") == k, F.col("bold"))).over(region) / F.nullif(F.sum(F.when(F.col("row") == k, F.col("said"))).over(region), F.lit(0))
+    filled = F.when(F.col("said").isNotNull(), F.col("row"))
+    several = F.min(filled).over(region) < F.max(filled).over(region)
+    made = made.withColumn("head", F.col("gridded") & several & (of(0) > 0.5) & (of(1) == 0))
+    return build_tables(made.select(id_column, "row", "col", (F.coalesce("head", F.lit(False)) & (F.col("row") == 0)).alias("is_header"), "text"), id_column)
 
 
 def extract_images(requests: DataFrame, images: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -104,15 +113,19 @@ def extract_regions(requests: DataFrame, spans: DataFrame, images: DataFrame | N
     region = requests.select(id_column, "kind", *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     level = F.abs(F.col("dir_x") * F.col("dir_y")) <= 0.01
-    inside = spans.join(region, id_column).filter((cx >= F.col("r_x0")) & (cx < F.col("r_x1")) & (cy >= F.col("r_y0")) & (cy < F.col("r_y1")) & level)
+    inside = spans.join(region.hint("merge"), id_column).filter((cx >= F.col("r_x0")) & (cx < F.col("r_x1")) & (cy >= F.col("r_y0")) & (cy < F.col("r_y1")) & level)
     whole = F.transform(F.array_sort(F.collect_list(F.struct("item", "xml"))), lambda x: x["xml"])
-    paragraphs = extract_paragraphs(inside.filter("kind = 'paragraph'"), id_column).groupBy(id_column).agg(whole.alias("items"), F.lit(None).cast("boolean").alias("ordered"))
+    paragraphs = extract_paragraphs(inside.filter("kind = 'paragraph'"), id_column).groupBy(id_column).agg(whole.alias("items"))
     lists = extract_lists(inside.filter("kind = 'list'"), id_column).groupBy(id_column).agg(whole.alias("items"), F.first("ordered").alias("ordered"))
-    texts = inside.filter("kind = 'table'").filter(strip(F.col("text")) != "").select(id_column).distinct()
-    drawn = texts.select(id_column, F.lit(True).alias("has_text"))
-    pictured = (images if images is not None else requests.limit(0)).select(id_column).distinct().withColumn("has_image", F.lit(True))
+    drawn = inside.filter("kind = 'table'").filter(strip(F.col("text")) != "").select(id_column, F.lit(True).alias("has_text"))
     tables = extract_tables(inside.filter("kind = 'table'"), requests.filter("kind = 'table'"), cells, id_column).withColumnRenamed("xml", "table")
-    rows = region.select(id_column, "kind").join(paragraphs.unionByName(lists), id_column, "left").join(tables, id_column, "left").join(drawn, id_column, "left").join(pictured, id_column, "left")
+    rows = region.select(id_column, "kind")
+    for part in (paragraphs, lists, tables, drawn, *([] if images is None else [images.select(id_column, F.lit(True).alias("has_image"))])):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    if images is None:
+        rows = rows.withColumn("has_image", F.lit(False))
+    # What is known of a request comes together by grouping, as joins of it may be broadcast through the driver.
+    rows = rows.groupBy(id_column).agg(*[F.first(c, True).alias(c) for c in ("kind", "items", "ordered", "table", "has_text", "has_image")]).filter("kind is not null")
     tag = F.when(F.col("ordered"), "orderedlist").otherwise("itemizedlist")
     body = F.array_join("items", "\n")
     xml = F.when(F.col("kind") == "list", F.concat(F.lit("<"), tag, F.lit(">\n"), body, F.lit("\n</"), tag, F.lit(">"))).when(F.col("kind") == "table", F.col("table")).otherwise(body)

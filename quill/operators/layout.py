@@ -71,7 +71,7 @@ def lines_in_cells(lines: DataFrame, cells: DataFrame, id_column: str, band: flo
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     present = [r["level"] for r in leveled.select("level").distinct().collect()]  # one for each doubling
     looked = lines.withColumn("level", F.explode(F.array(*map(F.lit, present or [0])).cast("array<int>"))).withColumn("band", F.floor(cy / size(F.col("level"))))
-    found = looked.join(cut, [id_column, "level", "band"])
+    found = looked.join(cut.hint("merge"), [id_column, "level", "band"])  # cells grow with the input, so they are never broadcast
     return found.filter((cx >= F.col("cx0")) & (cx < F.col("cx1")) & (cy >= F.col("cy0")) & (cy < F.col("cy1"))).drop("band", "level")
 
 
