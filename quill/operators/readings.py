@@ -15,32 +15,45 @@ _DIGITS = r"\A[0-9]+\z"
 
 def body_and_header(cells: DataFrame, key: str = "img_id") -> DataFrame:
     """cells with has_header (two rows or more, and no filled cell of row 0 is all digits, blanks, commas, points or dashes) and body_row, the row below the header (-1 on it)."""
-    numeric = F.max(F.when((F.col("row") == 0) & (F.coalesce("text", F.lit("")) != ""), F.col("text").rlike(r"(?U)\A[\d\s.,-]+\z").cast("int")))
-    heads = cells.groupBy(key).agg(((F.count_distinct("row") >= 2) & (F.coalesce(numeric, F.lit(0)) == 0)).alias("has_header"))
-    return cells.join(heads, key).withColumn("body_row", F.col("row") - F.col("has_header").cast("int"))
+    whole = Window.partitionBy(key)
+    numeric = F.max(F.when((F.col("row") == 0) & (F.coalesce("text", F.lit("")) != ""), F.col("text").rlike(r"(?U)\A[\d\s.,-]+\z").cast("int"))).over(whole)
+    heads = (F.min("row").over(whole) < F.max("row").over(whole)) & (F.coalesce(numeric, F.lit(0)) == 0)
+    rows = cells.filter(F.col(key).isNotNull()).withColumn("has_header", F.coalesce(heads, F.lit(False)))
+    return rows.withColumn("body_row", F.col("row") - F.col("has_header").cast("int"))
+
+
+def _with_profile(body: DataFrame, key: str) -> DataFrame:
+    """The body's cells, each with its column's profile, see column_profile(). Windows over (key, col) alone, so that nothing is joined: a join of profiles may be broadcast through the driver."""
+    filled = F.coalesce("text", F.lit("")) != ""
+    rows = body.withColumns({"filled": filled, "is_int": filled & F.col("text").rlike(_DIGITS), "shape": F.when(filled, shape(F.col("text")))})
+    column = Window.partitionBy(key, "col")
+    before = column.orderBy("body_row").rowsBetween(Window.unboundedPreceding, -1)
+    value = F.col("text").try_cast("decimal(38,0)")
+    of_shape = Window.partitionBy(key, "col", "shape")
+    rows = rows.withColumn("previous", F.last(F.when(F.col("is_int"), value), True).over(before))
+    rows = rows.withColumns({"k": F.count_if("filled").over(of_shape), "first": F.min(F.when(F.col("filled"), F.col("body_row"))).over(of_shape)})
+    rows = rows.withColumns({
+        "n": F.count_if("filled").over(column), "n_int": F.count_if("is_int").over(column), "ups": F.count_if(F.col("is_int") & (value - F.col("previous") == 1)).over(column),
+        "top": F.max(F.when(F.col("filled"), F.struct("k", (-F.col("first")).alias("f"), "shape"))).over(column),
+    })
+    rows = rows.withColumn("numeric", F.col("n_int") / F.nullif(F.col("n"), F.lit(0)) >= 0.8)
+    counting = F.col("numeric") & (F.col("n_int") >= 3) & (F.col("ups") >= (F.col("n_int") - 1) * 0.7)
+    patterned = ~F.col("numeric") & (F.col("n") >= 3) & (F.col("top.k") / F.nullif(F.col("n"), F.lit(0)) >= 0.7) & (F.length("top.shape") >= 4)
+    return rows.withColumns({"counting": counting, "common": F.col("top.shape"), "patterned": patterned})
 
 
 def column_profile(body: DataFrame, key: str = "img_id") -> DataFrame:
     """Per (key, col) of the body's filled cells: n, n_int, numeric (0.8 integers), counting (0.7 of the integers' steps are 1), common shape (the most frequent, the first of equals) and patterned (not numeric, 3 cells, 0.7 of one shape of 4 characters)."""
-    filled = body.filter(F.coalesce("text", F.lit("")) != "").withColumns({"is_int": F.col("text").rlike(_DIGITS), "shape": shape(F.col("text"))})
-    digits = Window.partitionBy(key, "col").orderBy("body_row")
-    steps = filled.filter("is_int").withColumn("step", F.col("text").cast("decimal(38,0)") - F.lag(F.col("text").cast("decimal(38,0)")).over(digits)).groupBy(key, "col").agg(F.count_if(F.col("step") == 1).alias("ups"))
-    shapes = filled.groupBy(key, "col", "shape").agg(F.count("*").alias("k"), F.min("body_row").alias("first"), F.count_if("is_int").alias("ints"))
-    columns = shapes.groupBy(key, "col").agg(F.sum("k").alias("n"), F.sum("ints").alias("n_int"), F.max(F.struct("k", (-F.col("first")).alias("f"), "shape")).alias("top"))
-    rows = columns.join(steps, [key, "col"], "left").withColumn("numeric", F.col("n_int") / F.col("n") >= 0.8)
-    counting = F.col("numeric") & (F.col("n_int") >= 3) & (F.coalesce("ups", F.lit(0)) >= (F.col("n_int") - 1) * 0.7)
-    patterned = ~F.col("numeric") & (F.col("n") >= 3) & (F.col("top.k") / F.col("n") >= 0.7) & (F.length("top.shape") >= 4)
-    return rows.select(key, "col", "n", "n_int", "numeric", counting.alias("counting"), F.col("top.shape").alias("common"), patterned.alias("patterned"))
+    columns = ["n", "n_int", "numeric", "counting", "common", "patterned"]
+    rows = _with_profile(body, key).filter("filled").groupBy(key, "col").agg(*[F.first(c).alias(c) for c in columns])
+    return rows.select(key, "col", *columns)
 
 
 def review(cells: DataFrame, key: str = "img_id", least_confidence: float = 0.9, grid: bool = True) -> DataFrame:
     """The body's cells with `why` (reasons in a fixed order), `fixed` and the repaired `text`. A null text is a missing cell: counted as empty and never flagged."""
-    rows = body_and_header(cells, key).filter("body_row >= 0")
-    rows = rows.join(column_profile(rows, key), [key, "col"], "left")
+    rows = _with_profile(body_and_header(cells, key).filter("body_row >= 0"), key)
     v = F.coalesce("text", F.lit(""))
     is_int, value = v.rlike(_DIGITS), v.try_cast("decimal(38,0)")
-    own = Window.partitionBy(key, "col").orderBy("body_row").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("previous", F.last(F.when(is_int & F.col("text").isNotNull(), value), True).over(own))
     yes = lambda c: F.coalesce(c, F.lit(False))
     numeric, patterned = yes(F.col("numeric")), yes(F.col("patterned"))
     free = ~numeric & ~patterned

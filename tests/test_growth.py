@@ -13,3 +13,8 @@ def plan(frame) -> str:
 
 def test_table_regions_are_not_broadcast(spark):
     assert "Broadcast" not in plan(catalog.QUERIES["table_fragments"](spark, SF))
+
+
+def test_readings_are_not_broadcast(spark):
+    for name in ("ocr_flags", "ocr_column_profile"):
+        assert "Broadcast" not in plan(catalog.QUERIES[name](spark, SF)), name
