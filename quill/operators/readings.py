@@ -81,11 +81,12 @@ def merge_readings(a: DataFrame, b: DataFrame, key: str = "img_id") -> DataFrame
 
 def apply_edits(reviewed: DataFrame, edits: DataFrame, key: str = "img_id", most_chars: int = 2000) -> DataFrame:
     """Edits (key, body_row, col, new_text) put into the body of each table where every flagged cell has one of at most most_chars; other tables keep their text. `accepted` says which."""
-    rows = reviewed.join(edits, [key, "body_row", "col"], "left")
+    rows = reviewed.join(edits.hint("merge"), [key, "body_row", "col"], "left")  # edits grow with the tables, so they are never broadcast
     fine = F.coalesce(F.length("new_text") <= most_chars, F.lit(False))
-    ok = rows.groupBy(key).agg(F.coalesce(F.bool_and(fine | ((F.size("why") == 0) & F.col("new_text").isNull())), F.lit(False)).alias("accepted"))
+    ok = F.bool_and(fine | ((F.size("why") == 0) & F.col("new_text").isNull())).over(Window.partitionBy(key))
+    rows = rows.filter(F.col(key).isNotNull()).withColumn("accepted", F.coalesce(ok, F.lit(False)))
     text = F.when(F.col("accepted") & F.col("new_text").isNotNull(), F.trim(F.regexp_replace("new_text", r"(?U)\s+", " "))).otherwise(F.col("text"))
-    return rows.join(ok, key).select(key, "body_row", "col", text.alias("text"), "accepted")
+    return rows.select(key, "body_row", "col", text.alias("text"), "accepted")
 
 
 def snap_headers(headers: DataFrame, known: list[str], cutoff: float = 0.6) -> DataFrame:

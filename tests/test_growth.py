@@ -16,5 +16,5 @@ def test_table_regions_are_not_broadcast(spark):
 
 
 def test_readings_are_not_broadcast(spark):
-    for name in ("ocr_flags", "ocr_column_profile"):
+    for name in ("ocr_flags", "ocr_review_apply", "ocr_column_profile"):
         assert "Broadcast" not in plan(catalog.QUERIES[name](spark, SF)), name
