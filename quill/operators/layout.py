@@ -82,7 +82,8 @@ def area(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 def best_overlap(clips: DataFrame, images: DataFrame, key: str, least_sum: float = 0.9, least_clip: float = 0.25, tile: float = 64.0) -> DataFrame:
-    """For each clip the image of its key that overlaps it most (the first by image_id of equals), if it has least_sum of all overlap and covers least_clip of the clip. Both sides are cut into square tiles, so rectangles meet by (key, tile); a pair counts in the tile of its overlap's top left corner alone."""
+    """For each clip the image of its key that overlaps it most (the first by image_id of equals), if it has least_sum of all overlap and covers least_clip of the clip. Rectangles that are the same meet once: pairs are made of the different ones, images counted, and each clip takes the result of its rectangle. Both sides are cut into square tiles, so rectangles meet by (key, tile); a pair counts in the tile of its overlap's top left corner alone. Pairs grow with the rectangles of a key that overlap, as each of these counts in the sum."""
+    clip_box, image_box = [key, "x0", "y0", "x1", "y1"], [key, "ix0", "iy0", "ix1", "iy1"]
 
     def tiled(rows: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
         place = lambda c: F.floor(F.col(c) / tile)
@@ -90,12 +91,14 @@ def best_overlap(clips: DataFrame, images: DataFrame, key: str, least_sum: float
         return full.withColumn("tx", F.explode(F.sequence(place(x0), place(x1)))).withColumn("ty", F.explode(F.sequence(place(y0), place(y1))))
 
     left, top = F.greatest("x0", "ix0"), F.greatest("y0", "iy0")
-    met = tiled(clips, "x0", "y0", "x1", "y1").join(tiled(images, "ix0", "iy0", "ix1", "iy1"), [key, "tx", "ty"])
+    boxes = clips.select(*clip_box).distinct()
+    pictures = images.groupBy(*image_box).agg(F.min("image_id").alias("image_id"), F.count("*").alias("copies"))
+    met = tiled(boxes, "x0", "y0", "x1", "y1").join(tiled(pictures, "ix0", "iy0", "ix1", "iy1"), [key, "tx", "ty"])
     met = met.filter((F.floor(left / tile) == F.col("tx")) & (F.floor(top / tile) == F.col("ty")))
-    met = met.withColumn("overlap", area(left, top, F.least("x1", "ix1"), F.least("y1", "iy1"))).filter("overlap > 0").withColumn("clip", area(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
-    best = met.groupBy("clip_id").agg(F.sum("overlap").alias("total"), F.max("clip").alias("clip"), F.max(F.struct(F.col("overlap").alias("o"), (-F.col("image_id")).alias("i"))).alias("best"))
-    good = (F.col("best.o") >= least_sum * F.col("total")) & (F.col("best.o") >= least_clip * F.col("clip"))
-    return best.filter(good).select("clip_id", (-F.col("best.i")).alias("image_id"), F.col("best.o").alias("overlap"))
+    met = met.withColumn("overlap", area(left, top, F.least("x1", "ix1"), F.least("y1", "iy1"))).filter("overlap > 0")
+    best = met.groupBy(*clip_box).agg(F.sum(F.col("overlap") * F.col("copies")).alias("total"), F.max(F.struct(F.col("overlap").alias("o"), (-F.col("image_id")).alias("i"))).alias("best"))
+    good = (F.col("best.o") >= least_sum * F.col("total")) & (F.col("best.o") >= least_clip * area(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
+    return clips.join(best.filter(good), clip_box).select("clip_id", (-F.col("best.i")).alias("image_id"), F.col("best.o").alias("overlap"))
 
 
 def crop_box(x0: Column, y0: Column, x1: Column, y1: Column, image: dict[str, Column], width: Column, height: Column) -> Column:

@@ -1,5 +1,8 @@
 """What must not grow with the input: tables that plans broadcast through the driver, rows that joins or windows make."""
 
+from pyspark.sql import functions as F
+
+from quill.operators.layout import best_overlap
 from quill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +21,32 @@ def test_table_regions_are_not_broadcast(spark):
 def test_readings_are_not_broadcast(spark):
     for name in ("ocr_flags", "ocr_review_apply", "ocr_column_profile"):
         assert "Broadcast" not in plan(catalog.QUERIES[name](spark, SF)), name
+
+
+def test_equal_rectangles_meet_once(spark):
+    n = 3000
+    clips = spark.range(n).selectExpr("id AS clip_id", "0 AS k", "0D AS x0", "0D AS y0", "10D AS x1", "10D AS y1")
+    images = spark.range(n).selectExpr("id AS image_id", "0 AS k", "0D AS ix0", "0D AS iy0", "10D AS ix1", "10D AS iy1")
+    one = images.filter("image_id = 7").unionAll(images.filter("image_id <> 7").withColumns({"ix0": F.lit(200.0), "ix1": F.lit(210.0)}))
+    assert best_overlap(clips, images, "k").count() == 0  # of equal images none has most of the overlap
+    assert {(r.image_id, r.overlap) for r in best_overlap(clips, one, "k").collect()} == {(7, 100.0)} and best_overlap(clips, one, "k").count() == n
+    seen = best_overlap(clips, images, "k", 0.0, 0.0)
+    assert seen.count() == n and {r.image_id for r in seen.collect()} == {0}
+    assert n <= max(rows_of(seen)) <= 2 * n  # and not n * n
+
+
+def rows_of(frame) -> list[int]:
+    """How many rows each step of a plan gave."""
+    frame.collect()
+    out, todo = [], [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        inner = node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan() if name.endswith("QueryStageExec") else None
+        if inner is not None:
+            todo.append(inner)
+            continue
+        metric = node.metrics().get("numOutputRows")
+        out += [metric.get().value()] if metric.isDefined() else []
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
