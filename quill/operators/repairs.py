@@ -169,13 +169,15 @@ def strip_xinfo(docs: DataFrame, text_column: str = "text") -> DataFrame:
     attribute = r"""(?U)\s+xinfo:[A-Za-z0-9_.-]+\s*=\s*(?:"[^"]*"|'[^']*')"""
     tags, gaps = F.regexp_extract_all(text, F.lit(TAG), F.lit(0)), F.split(text, TAG, -1)
     part = lambda t, k: F.regexp_extract(t, TAG, k)
-    is_root = F.transform("_tags", lambda t: (F.lower(part(t, 2)) == "section") & (part(t, 1) == "") & (part(t, 4) == ""))
+    # Most tags are told by a plain search, so that few are matched again, and these once for each part.
+    is_root = F.transform("_tags", lambda t: F.lower(t).contains("section") & (F.lower(part(t, 2)) == "section") & (part(t, 1) == "") & (part(t, 4) == ""))
     rows = docs.withColumns({"_tags": tags, "_gaps": gaps}).withColumn("_root", F.array_position(is_root, True) - 1)
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
 
     def clean(t: Column, i: Column) -> Column:
-        attrs = F.regexp_replace(part(t, 3), attribute, "")
-        anew = F.concat(F.lit("<"), part(t, 1), F.lower(part(t, 2)), attrs, part(t, 4), F.lit(">"))
-        return F.when((i != F.col("_root")) & (attrs != part(t, 3)), anew).otherwise(t)
+        anew = lambda attrs: F.concat(F.lit("<"), part(t, 1), F.lower(part(t, 2)), attrs, part(t, 4), F.lit(">"))
+        changed = lambda given: once(F.regexp_replace(given, attribute, ""), lambda attrs: F.when(attrs != given, anew(attrs)).otherwise(t))
+        return F.when(t.contains("xinfo:") & (i != F.coalesce(F.col("_root"), F.lit(-1))), once(part(t, 3), changed)).otherwise(t)
 
     pieces = F.zip_with("_gaps", F.transform("_tags", clean), lambda g, t: F.concat(g, F.coalesce(t, F.lit(""))))
     return rows.withColumn(text_column, F.array_join(pieces, "")).drop("_tags", "_gaps", "_root")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quill.operators.layout import best_overlap
+from quill.operators.repairs import strip_xinfo
 from quill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +51,9 @@ def rows_of(frame) -> list[int]:
         out += [metric.get().value()] if metric.isDefined() else []
         todo += [node.children().apply(i) for i in range(node.children().size())]
     return out
+
+
+def test_xinfo_attributes_are_matched_once_for_each_tag(spark):
+    made = strip_xinfo(spark.createDataFrame([(1, '<section xinfo:a="1"><para xinfo:b="2" c>xinfo:d="3"<p>')], "doc_id long, text string"))
+    assert made.first().text == '<section xinfo:a="1"><para c>xinfo:d="3"<p>'
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
