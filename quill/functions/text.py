@@ -20,6 +20,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
+def has_text(text: Column) -> Column:
+    """Whether anything but white space is in it."""
+    return text.rlike(r"(?U)\S")
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return strip(F.regexp_replace(text, r"(?U)\s+", " "))

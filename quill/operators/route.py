@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quill.functions.text import line_of
 from quill.operators.findings import dedup_findings, finding, report_lines, summarize
-from quill.operators.lineage import cut
+from quill.operators.lineage import cut, parts_for
 from quill.operators.repairs import splice, strip_xinfo, suggest_fixes
 from quill.operators.sections import check_media, check_sections
 from quill.operators.structure import TABLES, check_lists, check_outside_root, check_paragraphs, check_tables, frames, nested
@@ -41,24 +41,28 @@ def _converted(texts: DataFrame, made: DataFrame, id_column: str, code: str, say
     return out, finding(bad, id_column, F.lit(code), F.concat(F.lit(f"{says} cannot be translated: "), "problem"))
 
 
-def translate(docs: DataFrame, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def translate(docs: DataFrame, id_column: str = "doc_id", parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Texts with bold and italic tags, foreign lists and tables of rows and entries translated, and findings for the lists and tables that cannot be, which stay as they are. A table is foreign if it holds a tgroup. A list's place counts in the text in which lists are translated, a table's in the result."""
-    inline = cut(translate_inline(docs))
-    lists = cut(convert_lists(inline, outer_spans(tag_stream(inline, id_column), ["ul", "ol"], id_column), id_column))
+    inline = cut(translate_inline(docs), id_column, parts)
+    # Only texts that name what can be translated are cut into tags.
+    listed = inline.filter(F.col("text").rlike(r"(?iU)<\s*[uo]l"))
+    lists = cut(convert_lists(listed, outer_spans(tag_stream(listed, id_column), ["ul", "ol"], id_column), id_column))
     texts, bad_lists = _converted(inline, lists, id_column, "dialect.list", "this list")
-    texts = cut(texts)
-    tags = cut(tag_stream(texts, id_column).drop("gap"))
+    texts = cut(texts, id_column, parts)
+    grouped = texts.filter(F.col("text").rlike("(?i)tgroup"))
+    tags = cut(tag_stream(grouped, id_column).drop("gap"), id_column, parts)
     groups = tags.filter("name = 'tgroup' and not is_close").select(id_column, F.col("start").alias("at"))
     foreign = outer_spans(tags, list(TABLES), id_column).join(groups, id_column).filter("at > start and at < end").select(id_column, "start", "end").distinct()
-    tables = cut(convert_tables(texts, foreign, id_column))
+    tables = cut(convert_tables(grouped, foreign, id_column))
     out, bad_tables = _converted(texts, tables, id_column, "dialect.table", "this table")
     return out, bad_lists.unionByName(bad_tables)
 
 
-def all_findings(texts: DataFrame, tags: DataFrame, id_column: str = "doc_id", vocabulary: DataFrame | None = None) -> DataFrame:
-    """The findings of all checkers, numbered in the order in which duplicates are judged. Closing tags are checked for the names of the vocabulary (name), or of tags.VOCABULARY. Every checker reads the tags, so their lineage should be cut."""
-    rows = cut(nested(tags, id_column))
-    framed = cut(frames(rows, id_column))
+def all_findings(texts: DataFrame, tags: DataFrame, id_column: str = "doc_id", vocabulary: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """The findings of all checkers, numbered in the order in which duplicates are judged. Closing tags are checked for the names of the vocabulary (name), or of tags.VOCABULARY. Every checker reads the nested tags, which are written once, bucketed by text; parts: to how many parts texts and tags are dealt by their id."""
+    rows = cut(nested(tags, id_column), id_column, parts)
+    tags = rows.select(*tags.columns)
+    framed = cut(frames(rows, id_column), id_column, parts)
     known = tags.filter(F.col("name").isin(VOCABULARY)) if vocabulary is None else known_tags(tags, vocabulary)
     sections = check_sections(tags, id_column).unionByName(check_outside_root(tags, texts, id_column))
     checks = [unbalanced_tags(known, id_column), check_tables(rows, framed, id_column), check_lists(rows, framed, id_column), check_media(tags, id_column), sections, check_paragraphs(rows, id_column)]
@@ -69,12 +73,13 @@ def all_findings(texts: DataFrame, tags: DataFrame, id_column: str = "doc_id", v
     return out
 
 
-def check(docs: DataFrame, id_column: str = "doc_id", vocabulary: DataFrame | None = None) -> Checked:
-    """Every stage over (id, text): line ends, xinfo attributes, translation, all checkers, duplicates, repairs, summary, report."""
+def check(docs: DataFrame, id_column: str = "doc_id", vocabulary: DataFrame | None = None, parts: int | None = None) -> Checked:
+    """Every stage over (id, text): line ends, xinfo attributes, translation, all checkers, duplicates, repairs, summary, report. Texts are dealt by their id once, to `parts` (the session's shuffle partitions), and stay so."""
+    parts = parts or parts_for(docs.sparkSession, 0)
     plain = docs.select(id_column, F.regexp_replace("text", "\r\n?", "\n").alias("text"))
-    texts, problems = translate(strip_xinfo(plain), id_column)
-    texts = cut(texts.select(id_column, "text"))
-    tags = cut(tag_stream(texts, id_column))
-    found = all_findings(texts, tags, id_column, vocabulary)
-    findings = cut(dedup_findings(problems.withColumn("checker", F.lit(0)).unionByName(found, allowMissingColumns=True), id_column))
+    texts, problems = translate(strip_xinfo(plain), id_column, parts)
+    texts = cut(texts.select(id_column, "text"), id_column, parts)
+    tags = cut(tag_stream(texts, id_column), id_column, parts)
+    found = all_findings(texts, tags, id_column, vocabulary, parts)
+    findings = cut(dedup_findings(problems.withColumn("checker", F.lit(0)).unionByName(found, allowMissingColumns=True), id_column), id_column, parts)
     return Checked(texts, findings, suggest_fixes(texts, findings, tags, id_column), summarize(findings, texts, id_column), report_lines(texts, findings, id_column))

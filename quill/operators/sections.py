@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quill.functions.text import count_of, strip
+from quill.functions.text import count_of, has_text
 from quill.operators.findings import finding
 from quill.operators.structure import INLINE, LISTS, SLOTS
 
@@ -51,16 +51,19 @@ def check_media(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 def check_sections(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Findings on each section that closes: no title among its own children, a title that is not its first child, several titles; and once for each section the first own content after a child section."""
-    rows = with_frames(tags, "section", id_column).filter("depth > 0 and frame is not null")
+    # A section's opener comes a second time one level up, where it tells the section around of a child.
+    twice = F.explode(F.when((F.col("name") == "section") & ~F.col("is_close") & ~F.col("is_self") & (F.col("depth") > 1), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("below")
+    rows = with_frames(tags, "section", id_column).filter("depth > 0 and frame is not null").select("*", twice).withColumn("depth", F.col("depth") - F.col("below").cast("int"))
+    around = F.last(F.when(~F.col("below"), F.col("frame")), True).over(Window.partitionBy(id_column, "depth").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("frame", F.when(F.col("below"), around).otherwise(F.col("frame"))).filter("frame is not null")
     # Depth among all elements tells children from deeper ones: an element is a child where nothing but sections is open around it.
     others = Window.partitionBy(id_column, "frame").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     move = F.when((F.col("name") == "section") | F.col("is_self"), 0).when(F.col("is_close"), -1).otherwise(1)
     rows = rows.withColumn("inner", F.coalesce(F.sum(move).over(others), F.lit(0)))
     opens = ~F.col("is_close")
     is_child = opens & (F.col("inner") == 0) & (F.col("name") != "section")
-    own = Window.partitionBy(id_column, "frame").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    sub = with_child_sections(rows, id_column)
-    rows = rows.join(sub, [id_column, "frame"], "left").withColumn("child", is_child)
+    first_section = F.min(F.when(F.col("below"), F.col("start"))).over(Window.partitionBy(id_column, "frame"))
+    rows = rows.withColumns({"first_section": first_section, "child": is_child})
     frames = rows.groupBy(id_column, "frame").agg(
         F.max((F.col("name") == "section") & F.col("is_close")).alias("closed"),
         F.count_if(F.col("child") & (F.col("name") == "title")).alias("titles"),
@@ -77,17 +80,6 @@ def check_sections(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return out.unionByName(finding(late, id_column, F.lit("section.late_content"), F.concat(F.lit("<"), "name", F.lit("> after a child section")), F.col("name"), F.lit("content-after-subsection"), **spec))
 
 
-def with_child_sections(rows: DataFrame, id_column: str) -> DataFrame:
-    """frame, first_section: where the first child section of each section opens."""
-    opens = rows.filter("name = 'section' and not is_close and not is_self")
-    children = opens.select(id_column, "depth", "start", F.lit(None).cast("long").alias("parent"))
-    above = opens.select(id_column, (F.col("depth") + 1).alias("depth"), "start", F.col("start").alias("parent"))
-    # As-of within (document, depth): the latest opener one level up is the parent.
-    latest = F.last("parent", True).over(Window.partitionBy(id_column, "depth").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
-    met = children.unionAll(above).withColumn("frame", latest).filter("parent is null and frame is not null")
-    return met.groupBy(id_column, "frame").agg(F.min("start").alias("first_section"))
-
-
 #: element -> what may open directly inside it; other elements allow anything.
 ALLOWED = {**SLOTS, **{name: ["listitem"] for name in LISTS}, "para": INLINE}
 
@@ -125,7 +117,7 @@ def check_loose_text(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
     joined = joined.withColumns(previous)
     inside = F.when(~F.col("pc"), F.col("pn")).otherwise(F.when(F.col("is_close"), F.col("name")).otherwise(F.col("opener_parent")))
     containers = [k for k in ALLOWED if k != "para"]
-    bad = inside.isin(containers) & (strip(F.col("gap")) != "")
+    bad = inside.isin(containers) & has_text(F.col("gap"))
     found = joined.filter(bad).withColumn("inside", inside)
     prefix = F.when(F.col("inside").endswith("list"), "list").otherwise("table")
     return finding(found.withColumn("line", F.col("line") - count_of(F.col("gap"), "\n")), id_column, F.concat(prefix, F.lit(".text_in_container")), F.concat(F.lit("text directly inside <"), "inside", F.lit(">")), F.col("inside"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quill.functions.text import TAG, attr_int, count_of, strip
+from quill.functions.text import TAG, attr_int, count_of, has_text
 from quill.operators.findings import SPEC, finding
 from quill.operators.tables import row_widths
 
@@ -44,7 +44,12 @@ class _Open:
 
     def nearest(self, names) -> int:
         """The index of the innermost of these, -1 for none."""
-        return max((self.places[k][-1] for k in {_KIND.get(n, n) for n in names} if self.places.get(k)), default=-1)
+        found, places = -1, self.places
+        for name in names:
+            at = places.get(_KIND.get(name, name))
+            if at and at[-1] > found:
+                found = at[-1]
+        return found
 
     def at(self, k: int) -> tuple:
         return self.frames[k] if self.frames and k >= 0 else (None, None)
@@ -100,9 +105,11 @@ def nested(tags: DataFrame, id_column: str = "doc_id", around: dict[str, tuple[s
             names_out = [n for c in added for n in (c, f"{c}_tag")]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array(plain_tops, pa.string())], [*batch.schema.names, *names_out, "plain_top"])
 
-    rows = tags.withColumn("start", F.col("start").cast("long")).repartition(id_column).sortWithinPartitions(id_column, "start")
+    # The window puts a text's tags together and in order; tags that are dealt by text already are not dealt again.
+    rows = tags.withColumn("start", F.col("start").cast("long"))
+    rows = rows.withColumn("nth_tag", F.row_number().over(Window.partitionBy(id_column).orderBy("start")))
     fields = [StructField(n, t) for c in added for n, t in ((c, LongType()), (f"{c}_tag", StringType()))]
-    return rows.mapInArrow(walk, StructType([*rows.schema.fields, *fields, StructField("plain_top", StringType())]))
+    return rows.mapInArrow(walk, StructType([*rows.schema.fields, *fields, StructField("plain_top", StringType())])).drop("nth_tag")
 
 
 def _says(pattern: str) -> Column:
@@ -111,12 +118,6 @@ def _says(pattern: str) -> Column:
     return F.concat(*[F.col(x) if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
 
 
-def _gap_start(rows: DataFrame) -> DataFrame:
-    """Rows with the place and line of the gap before a tag instead of the tag's."""
-    gap = F.col("gap")
-    return rows.withColumns({"end": F.col("start"), "start": F.col("start") - F.length(gap), "line": F.col("line") - count_of(gap, "\n")})
-
-
 #: What stays open until it is closed, and has rules on what it holds.
 _FRAMES = (*TABLES, *LISTS, "listitem", "tr", "td", "th")
 
@@ -130,8 +131,8 @@ def _rule(when: Column, code: Column | str, message: Column, tag: Column | None
 
 
 def _told(rows: DataFrame, id_column: str, *rules: Column) -> DataFrame:
-    """The findings of several rules in one pass over the rows."""
-    return rows.select(id_column, F.explode(F.array_compact(F.array(*rules))).alias("f")).select(id_column, "f.*")
+    """The findings of several rules in one pass over the rows. Rules that say nothing are dropped after the explode, which Spark compiles, as a function over the array is interpreted."""
+    return rows.select(id_column, F.explode(F.array(*rules)).alias("f")).filter("f is not null").select(id_column, "f.*")
 
 
 def frames(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -161,7 +162,7 @@ def frames(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
         says(whole & (name == "tr") & F.col("near_table").isNotNull(), "near_table", "row"),
         says(opens & (name == "col") & (F.col("parent_tag") == "colgroup"), "near_table", "declared"),
     ]
-    parts = rows.select(id_column, F.explode(F.array_compact(F.array(*told))).alias("t")).select(id_column, "t.*").filter("frame is not null")
+    parts = rows.select(id_column, F.explode(F.array(*told)).alias("t")).filter("t.frame is not null").select(id_column, "t.*")
     grouped = parts.groupBy(id_column, F.col("frame").alias("start")).agg(
         F.max("opener").alias("o"), F.max("close").alias("close"), F.count("item").alias("items"), F.coalesce(F.max("fill"), F.lit(False)).alias("filled"),
         F.count("cell").alias("cells"), F.max("cell").alias("last_cell"), F.count("row").alias("rows"), F.sum("declared").alias("declared"),
@@ -181,7 +182,7 @@ def check_tables(rows: DataFrame, framed: DataFrame | None = None, id_column: st
     misplaced = inside & opens & ~F.coalesce(outside, F.lit(False)) & ~F.array_contains(allowed, name) & ~(self_ & name.isin(*TABLES, "tr", "td", "th", "thead", "tbody", "colgroup"))
     stray = F.col("is_close") & closes.isNull()
     gap = F.col("gap")
-    text, in_cell = strip(gap) != "", F.col("top_tag").isin("td", "th")
+    text, in_cell = has_text(gap), F.col("top_tag").isin("td", "th")
     where = {"start": F.col("start") - F.length(gap), "end": F.col("start"), "line": F.col("line") - count_of(gap, "\n")}
     out = _told(
         rows, id_column,
@@ -256,7 +257,7 @@ def check_lists(rows: DataFrame, framed: DataFrame | None = None, id_column: str
         _rule(lone_image, "media.outside", _says("<{name}> outside"), name, "wrap-in-mediaobject", el_start=start),
         _rule(stray & is_item, "list.item_stray_close", _says("</{name}> closes no list or item"), name),
         _rule(stray & is_list, "list.stray_close", _says("</{name}> closes no list or item"), name),
-        _rule((strip(gap) != "") & F.col("top_tag").isin(*LISTS), "list.text_in_container", _says("text directly inside <{top_tag}>"), None, "bare-text-in-list",
+        _rule(has_text(gap) & F.col("top_tag").isin(*LISTS), "list.text_in_container", _says("text directly inside <{top_tag}>"), None, "bare-text-in-list",
               start=start - F.length(gap), end=start, line=F.col("line") - count_of(gap, "\n"), text_start=start - F.length(gap), text_end=start),
     )
     # A table in an item goes below the list that the item is in.
@@ -285,16 +286,24 @@ def check_outside_root(tags: DataFrame, docs: DataFrame, id_column: str = "doc_i
     mine = (F.col("name") == "section") & ~F.col("is_self")
     move = F.when(mine & F.col("is_close"), -1).when(mine, 1).otherwise(0)
     upto, before = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
-    tail = docs.filter(F.col(text_column).isNotNull()).select(id_column, F.try_element_at(F.split(text_column, TAG, -1), F.lit(-1)).alias("gap"), F.length(text_column).alias("start"), (count_of(F.col(text_column), "\n") + 1).alias("line"))
-    ends = tail.select(id_column, F.col("start").cast("long").alias("start"), F.col("start").cast("long").alias("end"), F.col("line").cast("long").alias("line"), F.lit("").alias("name"), F.lit(False).alias("is_close"), F.lit(True).alias("is_self"), "gap")
-    rows = tags.select(id_column, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("line").cast("long").alias("line"), "name", "is_close", "is_self", "gap").unionByName(ends)
-    rows = rows.withColumn("s", F.sum(move).over(upto))
+    rows = tags.select(id_column, *[F.col(c).cast("long").alias(c) for c in ("start", "end", "line")], "name", "is_close", "is_self", "gap").withColumn("s", F.sum(move).over(upto))
     rows = rows.withColumn("depth", F.col("s") - F.least(F.lit(0), F.min("s").over(upto)))
-    rows = rows.withColumns({"was": F.coalesce(F.lag("depth").over(own), F.lit(0)), "opened": F.coalesce(F.max(mine & ~F.col("is_close")).over(before), F.lit(False))})
-    rows = rows.withColumn("closed", F.coalesce(F.max(mine & F.col("is_close") & (F.col("was") == 1)).over(before), F.lit(False)))
-    outside = rows.filter("was = 0")
-    text = strip(F.regexp_replace("gap", r"(?s)<\?.*?\?>|<!--.*?-->", "")) != ""
-    found = _gap_start(outside.filter(text)).unionByName(outside.filter((F.col("name") != "") & ~F.col("is_close") & ((F.col("name") != "section") | (~F.col("is_self") & F.col("opened")))))
+    rows = rows.withColumns({"was": F.coalesce(F.lag("depth").over(own), F.lit(0)), "opened": F.coalesce(F.max(mine & ~F.col("is_close")).over(before), F.lit(False)), "is_last": F.lead("start").over(own).isNull()})
+    closes = mine & F.col("is_close") & (F.col("was") == 1)
+    rows = rows.withColumns({"closed": F.coalesce(F.max(closes).over(before), F.lit(False)), "closed_after": F.max(closes).over(upto)})
+    says = lambda gap: has_text(F.regexp_replace(gap, r"(?s)<\?.*?\?>|<!--.*?-->", ""))
+    element = (F.col("name") != "") & ~F.col("is_close") & ((F.col("name") != "section") | (~F.col("is_self") & F.col("opened")))
+    own_place = [F.col(c) for c in ("start", "end", "line")]
+    gap_place = [(F.col("start") - F.length("gap")).alias("start"), F.col("start").alias("end"), (F.col("line") - count_of(F.col("gap"), "\n")).alias("line")]
+    places = F.explode(F.array(F.when(says(F.col("gap")), F.struct(*gap_place)), F.when(element, F.struct(*own_place)))).alias("p")
+    found = rows.filter("was = 0").select(id_column, "closed", places).filter("p is not null").select(id_column, "closed", "p.*")
+    # What follows the last tag, or is the whole of a text without tags; it meets its text's last tag by the text's id alone.
+    cut_up = docs.filter(F.col(text_column).isNotNull()).select(id_column, F.split(text_column, TAG, -1).alias("gaps"), F.length(text_column).cast("long").alias("end"), (count_of(F.col(text_column), "\n") + 1).alias("line"))
+    tail = cut_up.withColumn("gap", F.try_element_at("gaps", F.lit(-1))).filter(says(F.col("gap")))
+    at = [(F.col("end") - F.length("gap")).alias("start"), "end", (F.col("line") - count_of(F.col("gap"), "\n")).cast("long").alias("line")]
+    bare = tail.filter(F.size("gaps") == 1).select(id_column, F.lit(False).alias("closed"), *at)
+    last = rows.filter("is_last and depth = 0").select(id_column, F.col("closed_after").alias("closed"))
+    found = found.unionByName(bare).unionByName(tail.filter(F.size("gaps") > 1).join(last, id_column).select(id_column, "closed", *at))
     phase = F.when(F.col("closed"), "after").otherwise("before")
     first = found.withColumn("phase", phase).withColumn("nth", F.row_number().over(Window.partitionBy(id_column, "phase").orderBy("start", "end"))).filter("nth = 1")
     return finding(first, id_column, F.lit("section.outside_root"), _says("content {phase} the root section"), None, F.concat(F.lit("move-inside-root-"), "phase"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quill.operators import repairs as RP
 from quill.operators import route as RT
 from quill.operators import tags as TG
-from quill.operators.lineage import cut
+from quill.operators.lineage import cut, parts_for
 
 
 @dataclass
@@ -110,19 +110,27 @@ _TOPICS_SQL = f"""body AS (SELECT l_orderkey AS doc_id, l_orderkey % {len(FAULTS
 topics AS (SELECT doc_id, k, {_case([f.before for f in FAULTS])} || '<section><title>Order ' || doc_id || '</title>' || b || {_case([f.inside for f in FAULTS])} || CASE WHEN k IN ({", ".join(str(k) for k, f in enumerate(FAULTS) if not f.closed)}) THEN '' ELSE '</section>' END || {_case([f.after for f in FAULTS])} AS text FROM body)"""
 
 
-def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
+def dealt_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """lineitem dealt by order before texts are made of it, as it is then smallest, and to how many parts: tags take many times the room, so Spark must not join parts by the size of the lines."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    parts = parts_for(spark, lines.count())
+    return lines.select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey").repartition(parts, "doc_id"), parts
+
+
+def topics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(doc_id, text) dealt by doc_id, and to how many parts."""
+    lines, parts = dealt_lines(spark, sf_dir)
+    lines = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
     body = F.array_join(F.transform("l", lambda x: F.concat(F.lit("<para>"), x["l_linenumber"], F.lit(" of "), x["l_partkey"], F.lit("</para>"))), "")
     made = spark.createDataFrame([(k, f.before, f.inside, "</section>" * f.closed, f.after) for k, f in enumerate(FAULTS)], "k long, before string, inside string, close string, after string")
     rows = lines.withColumn("k", F.col("doc_id") % len(FAULTS)).join(F.broadcast(made), "k")  # a row a fault
-    return rows.select("doc_id", F.concat("before", F.lit("<section><title>Order "), "doc_id", F.lit("</title>"), body, "inside", "close", "after").alias("text"))
+    return rows.select("doc_id", F.concat("before", F.lit("<section><title>Order "), "doc_id", F.lit("</title>"), body, "inside", "close", "after").alias("text")), parts
 
 
 def _structure_findings(spark, sf_dir):
     """Every finding of the lenient checkers and of the other ones, by code and place."""
-    docs = topics(spark, sf_dir)
-    return RT.all_findings(docs, cut(TG.tag_stream(docs))).select("doc_id", "code", "start").distinct()
+    docs, parts = topics(spark, sf_dir)
+    return RT.all_findings(docs, TG.tag_stream(docs), parts=parts).select("doc_id", "code", "start").distinct()
 
 
 _FOUND = ", ".join(f"({k}, {_quoted(code)}, {_quoted(mark)})" for k, f in enumerate(FAULTS) for code, mark in f.found)
@@ -131,10 +139,10 @@ STRUCTURE_SQL = f"WITH {_TOPICS_SQL}, f(k, code, mark) AS (VALUES {_FOUND}) SELE
 
 def _fix_options(spark, sf_dir):
     """Every option of every finding, with the repaired text."""
-    docs = topics(spark, sf_dir)
-    tags = cut(TG.tag_stream(docs))
-    findings = cut(RT.dedup_findings(RT.all_findings(docs, tags)))
-    return RP.suggest_fixes(docs, findings, tags).select("doc_id", "label", "new_text")
+    docs, parts = topics(spark, sf_dir)
+    tags = cut(TG.tag_stream(docs), "doc_id", parts)
+    findings = cut(RT.dedup_findings(RT.all_findings(docs, tags, parts=parts)), "doc_id", parts)
+    return RP.suggest_fixes(docs, findings, tags, parts=parts).select("doc_id", "label", "new_text")
 
 
 _FIXES = ", ".join(f"({k}, {_quoted(label)}, {_quoted(old)}, {_quoted(new)})" for k, f in enumerate(FAULTS) for label, old, new in f.fixes)
@@ -146,7 +154,8 @@ UNION ALL SELECT doc_id, 'Move it into the section', replace(replace(text, '<par
 
 def _check_route(spark, sf_dir):
     """The whole check, from raw text to the summary."""
-    done = RT.check(topics(spark, sf_dir))
+    docs, parts = topics(spark, sf_dir)
+    done = RT.check(docs, parts=parts)
     return done.summary.join(done.texts, "doc_id").select("doc_id", "n_problems", "summary", "text")
 
 

@@ -57,3 +57,30 @@ def test_xinfo_attributes_are_matched_once_for_each_tag(spark):
     made = strip_xinfo(spark.createDataFrame([(1, '<section xinfo:a="1"><para xinfo:b="2" c>xinfo:d="3"<p>')], "doc_id long, text string"))
     assert made.first().text == '<section xinfo:a="1"><para c>xinfo:d="3"<p>'
     assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
+def written(frame) -> list[int]:
+    """How many bytes each exchange between tasks wrote in a plan."""
+    frame.collect()
+    out, todo, seen = [], [frame._jdf.queryExecution().executedPlan()], set()
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        inner = node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan() if name.endswith("QueryStageExec") else None
+        if inner is not None:
+            todo.append(inner)
+            continue
+        if name == "ShuffleExchangeExec" and node.id() not in seen:
+            seen.add(node.id())
+            out.append(node.metrics().get("shuffleBytesWritten").get().value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_checkers_do_not_deal_the_tags_again(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sum(written(catalog.QUERIES["structure_findings"](spark, SF))) < 500_000  # 1,500 texts with 24,000 tags
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
