@@ -92,9 +92,11 @@ def parents(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
     rows = rows.withColumn("s", F.sum(F.when(F.col("is_self"), 0).when(F.col("is_close"), -1).otherwise(1)).over(upto))
     rows = rows.withColumn("depth", F.col("s") - F.least(F.lit(0), F.min("s").over(upto)))
     openers = rows.filter("not is_close").withColumn("depth", F.col("depth") + F.col("is_self").cast("int"))
-    up = openers.filter("not is_self").select(id_column, (F.col("depth") + 1).alias("depth"), F.col("start").alias("p_start"), F.col("name").alias("p_name"))
-    # As-of within (document, depth): the latest opener one level up, over the union of both in order.
-    both = openers.select(id_column, "depth", "start", "line", "name", F.lit(None).cast("string").alias("p")).unionByName(up.select(id_column, "depth", F.col("p_start").alias("start"), F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("name"), F.col("p_name").alias("p")))
+    # As-of within (document, depth): the latest opener one level up. Each opener comes at its depth, and one level down as what may be around.
+    line, none = F.col("line").cast("long"), F.lit(None).cast("string")
+    at = lambda depth, line, name, p: F.struct(depth.alias("depth"), line.alias("line"), name.alias("name"), p.alias("p"))
+    both = openers.select(id_column, "start", F.explode(F.array(at(F.col("depth"), line, F.col("name"), none), F.when(~F.col("is_self"), at(F.col("depth") + 1, F.lit(None).cast("long"), none, F.col("name"))))).alias("o"))
+    both = both.filter("o is not null").select(id_column, "o.depth", "start", "o.line", "o.name", "o.p")
     latest = F.last("p", True).over(Window.partitionBy(id_column, "depth").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn("parent", latest).filter("name is not null").drop("p")
 

@@ -24,7 +24,9 @@ from quill.operators import streams as SM
 from quill.operators import tables as TB
 from quill.operators import tags as TG
 from quill.operators import trees as TR
+from quill.operators.lineage import cut, met_by_text
 from quill.plans import faults, fragments
+from quill.plans.faults import dealt_lines
 from quill.sources import layout as LY
 from quill.sources import markup as MK
 
@@ -451,32 +453,37 @@ _BODY_SQL = """body AS (SELECT l_orderkey AS doc_id, l_orderkey % 8 AS k, string
 topics AS (SELECT doc_id, k, '<section>' || CASE WHEN k = 1 THEN '' ELSE '<title>Order ' || doc_id || '</title>' END || CASE k WHEN 2 THEN '<title>again</title>' WHEN 3 THEN '<para><para>in</para></para>' WHEN 4 THEN '<imageobject></imageobject>' WHEN 5 THEN '<mediaobject></mediaobject>' WHEN 7 THEN '<itemizedlist><para>loose</para></itemizedlist>' ELSE '' END || b || CASE WHEN k = 6 THEN '' ELSE '</section>' END AS text FROM body)"""
 
 
-def _topics(spark, sf_dir) -> DataFrame:
-    lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
+def _topics(spark, sf_dir) -> tuple[DataFrame, int]:
+    """(doc_id, text) dealt by doc_id, and to how many parts."""
+    dealt, parts = dealt_lines(spark, sf_dir)
+    lines = dealt.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
     body = F.array_join(F.transform("l", lambda x: F.concat(F.lit("<para>"), x["l_linenumber"], F.lit(" of "), x["l_partkey"], F.lit("</para>"))), "")
     k = F.col("doc_id") % 8
     title = F.when(k == 1, "").otherwise(F.concat(F.lit("<title>Order "), "doc_id", F.lit("</title>")))
     faults = {2: "<title>again</title>", 3: "<para><para>in</para></para>", 4: "<imageobject></imageobject>", 5: "<mediaobject></mediaobject>", 7: "<itemizedlist><para>loose</para></itemizedlist>"}
     fault = F.coalesce(*[F.when(k == n, x) for n, x in faults.items()], F.lit(""))
-    return lines.select("doc_id", F.concat(F.lit("<section>"), title, fault, body, F.when(k == 6, "").otherwise("</section>")).alias("text"))
+    return lines.select("doc_id", F.concat(F.lit("<section>"), title, fault, body, F.when(k == 6, "").otherwise("</section>")).alias("text")), parts
 
 
 @query("topic_findings", f"""WITH {_BODY_SQL}, c AS (SELECT doc_id, CASE k WHEN 1 THEN 'section.no_title' WHEN 2 THEN 'section.titles' WHEN 3 THEN 'para.misplaced_child' WHEN 4 THEN 'media.outside' WHEN 5 THEN 'media.no_imageobject' WHEN 6 THEN 'tag.unclosed' WHEN 7 THEN 'list.misplaced_child' END AS code,
     CASE WHEN k IN (1, 2, 6) THEN 0 ELSE instr(text, CASE k WHEN 3 THEN '<para>in' WHEN 4 THEN '<imageobject' WHEN 5 THEN '<mediaobject' WHEN 7 THEN '<para>loose' END) - 1 END AS start FROM topics) SELECT * FROM c WHERE code IS NOT NULL""")
 def topic_findings(spark, sf_dir):
-    tags = TG.tag_stream(_topics(spark, sf_dir))
+    docs, parts = _topics(spark, sf_dir)
+    tags = cut(TG.tag_stream(docs), "doc_id", parts)
     columns = ["doc_id", "code", "start"]
     found = TG.unbalanced_tags(tags).select(*columns)
-    for check in (SE.check_media, SE.check_sections, SE.check_placement, SE.check_loose_text):
+    for check in (SE.check_media, SE.check_sections, SE.check_placement):
         found = found.unionByName(check(tags).select(*columns))
-    return found
+    with met_by_text(spark):
+        loose = cut(SE.check_loose_text(tags).select(*columns))
+    return found.unionByName(loose)
 
 
 @query("fix_candidates", f"WITH {_BODY_SQL} SELECT doc_id, 'Close it at the end' AS label, text || '</section>' AS new_text FROM topics WHERE k = 6")
 def fix_candidates(spark, sf_dir):
-    docs = _topics(spark, sf_dir)
-    tags = TG.tag_stream(docs)
-    return RP.suggest_fixes(docs, TG.unbalanced_tags(tags), tags).select("doc_id", "label", "new_text")
+    docs, parts = _topics(spark, sf_dir)
+    tags = cut(TG.tag_stream(docs), "doc_id", parts)
+    return RP.suggest_fixes(docs, TG.unbalanced_tags(tags), tags, parts=parts).select("doc_id", "label", "new_text")
 
 
 @query("strip_xinfo", f"WITH {_BODY_SQL} SELECT doc_id, replace(replace(text, '<section>', '<section xinfo:id=\"1\">'), '<para>', '<para role=\"x\">say xinfo:b=\"2\" here ') AS text FROM topics")
@@ -485,7 +492,7 @@ def strip_xinfo(spark, sf_dir):
     text = F.col("text")
     for old, new in change.items():
         text = F.replace(text, F.lit(old), F.lit(new))
-    return RP.strip_xinfo(_topics(spark, sf_dir).withColumn("text", text))
+    return RP.strip_xinfo(_topics(spark, sf_dir)[0].withColumn("text", text))
 
 
 @query("page_list_items", r"""WITH u AS (SELECT page_id AS doc_id, instr(html, '<ul') - 1 AS start, regexp_extract(html, '(?s)<ul[^>]*>(.*?)</ul>', 1) AS t FROM pages WHERE contains(html, '<ul'))

@@ -81,6 +81,7 @@ def test_checkers_do_not_deal_the_tags_again(spark):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert sum(written(catalog.QUERIES["structure_findings"](spark, SF))) < 500_000  # 1,500 texts with 24,000 tags
+        for name in ("structure_findings", "topic_findings", "fix_candidates"):
+            assert sum(written(catalog.QUERIES[name](spark, SF))) < 500_000, name  # 1,500 texts with 24,000 tags
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
