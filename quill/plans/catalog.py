@@ -6,6 +6,8 @@ sides derive from the supplied tables by the same arithmetic.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from quill.operators import streams as SM
 from quill.operators import tables as TB
 from quill.operators import tags as TG
 from quill.operators import trees as TR
-from quill.operators.lineage import cut, met_by_text
+from quill.operators.lineage import cut, met_by_text, parts_for
 from quill.plans import faults, fragments
 from quill.plans.faults import dealt_lines
 from quill.sources import layout as LY
@@ -705,17 +707,25 @@ def masked_ink(spark, sf_dir):
     return RA.masked_ink(pixels, mask).select("img_id", y.cast("long").alias("y"), F.col("ink").cast("long").alias("ink"))
 
 
-def _table_images(spark, sf_dir):
-    """A small picture of a table for each customer, with or without rules; the text of its cells differs in place, width and height."""
-    k, y = F.col("c_custkey"), F.col("y")
-    rows = _table(spark, sf_dir, "customer").select("c_custkey").repartition(spark.sparkContext.defaultParallelism, "c_custkey").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(43))).alias("y"))
-    upright = lambda x: (k % 4 != 0) & y.between(2, 41) & (x.isin(3, 68) | (x == 25 + k % 5) | ((k % 2 == 0) & (x == 26 + k % 5)))
-    flat = lambda x: (k % 4 != 0) & y.isin(2, 41) & x.between(3, 68)
-    first = lambda x: y.between(7, 14) & (((k % 3 != 1) & x.between(8, 12 + k % 9)) | ((k % 6 != 2) & x.between(34, 36 + k % 20)))
-    second = lambda x: (k % 7 != 0) & y.between(20, 27 + k % 6) & (((k % 5 != 3) & x.between(9, 11 + k % 7)) | x.between(40, 40 + k % 11))
-    speck = lambda x: (x == 50) & (y == 17) | (y == 33 + k % 5) & (x % 3 == 0)
-    dark = lambda x: upright(x) | flat(x) | first(x) | second(x) | speck(x)
-    return rows.select(k.alias("img_id"), "y", F.transform(F.sequence(F.lit(0), F.lit(71)), lambda x: F.when(dark(x), 20 + k % 50).otherwise(255)).alias("pixels"))
+def _table_images(spark, sf_dir) -> tuple[DataFrame, int]:
+    """A small picture of a table for each customer, with or without rules; the text of its cells differs in place, width and height. Customers are dealt before pictures are made of them; also how many parts these need."""
+
+    @F.arrow_udf("array<int>")
+    def drawn(keys: pa.Array, lines: pa.Array) -> pa.Array:
+        k, y, x = keys.to_numpy()[:, None], lines.to_numpy()[:, None], np.arange(72)[None]
+        between = lambda v, low, high: (v >= low) & (v <= high)
+        upright = (k % 4 != 0) & between(y, 2, 41) & ((x == 3) | (x == 68) | (x == 25 + k % 5) | ((k % 2 == 0) & (x == 26 + k % 5)))
+        flat = (k % 4 != 0) & ((y == 2) | (y == 41)) & between(x, 3, 68)
+        first = between(y, 7, 14) & (((k % 3 != 1) & between(x, 8, 12 + k % 9)) | ((k % 6 != 2) & between(x, 34, 36 + k % 20)))
+        second = (k % 7 != 0) & between(y, 20, 27 + k % 6) & (((k % 5 != 3) & between(x, 9, 11 + k % 7)) | between(x, 40, 40 + k % 11))
+        speck = (x == 50) & (y == 17) | (y == 33 + k % 5) & (x % 3 == 0)
+        pixels = np.where(upright | flat | first | second | speck, 20 + k % 50, 255).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(pixels) + 1) * 72, pa.int32()), pa.array(pixels.ravel()))
+
+    customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("img_id"))
+    parts = parts_for(spark, customers.count() * 44)
+    rows = customers.repartition(parts).select("img_id", F.explode(F.sequence(F.lit(0), F.lit(43))).alias("y"))
+    return rows.withColumn("pixels", drawn("img_id", "y")), parts
 
 
 @query("segmented_cells", """WITH p AS (SELECT c_custkey AS k, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x FROM customer, range(44) AS a(y), range(72) AS b(x)
@@ -748,7 +758,8 @@ cells AS (SELECT k, row, col, y0, y1, x0, x1, grid FROM rows_ JOIN spans USING (
 inked AS (SELECT k, row, col, count(*) AS n FROM cells JOIN inside USING (k) WHERE y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY ALL)
 SELECT k AS img_id, row, col, y0, y1, x0, x1, coalesce(n, 0) < 20 AS empty, grid FROM cells LEFT JOIN inked USING (k, row, col)""")
 def segmented_cells(spark, sf_dir):
-    return SG.segment_tables(_table_images(spark, sf_dir))
+    images, parts = _table_images(spark, sf_dir)
+    return SG.segment_tables(images, parts=parts)
 
 
 # The same queries under the names by which they first read whole texts.
