@@ -201,11 +201,13 @@ def markdown_label(spark, sf_dir):
 c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL), lost AS (SELECT a.doc_id, sum(greatest(a.n - coalesce(b.n, 0), 0)) AS n FROM c a LEFT JOIN c b ON b.doc_id = a.doc_id + 1 AND a.word = b.word GROUP BY 1)
 SELECT d.doc_id AS pair_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lost FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1 LEFT JOIN lost ON lost.doc_id = d.doc_id""")
 def word_multiset_guard(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    words = docs.select(F.col("doc_id").alias("text_id"), F.explode(T.plain_words(F.col("text"))).alias("word"))
-    ids = docs.select("doc_id")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Few splits of a file hold many texts, so these are dealt before they are cut into words.
+    docs = docs.repartition(parts_for(spark, docs.count(), 2_000), "doc_id")
+    texts = docs.select(F.col("doc_id").alias("text_id"), T.plain_words(F.col("text")).alias("words"))
+    ids = _table(spark, sf_dir, "documents").select("doc_id")
     pairs = ids.join(ids.select((F.col("doc_id") - 1).alias("doc_id")), "doc_id").select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("old"), (F.col("doc_id") + 1).alias("new"))
-    return ST.lost_words(words, pairs)
+    return ST.lost_of_lists(texts, pairs)
 
 
 # ---------------------------------------------------------------- layout

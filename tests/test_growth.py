@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quill.operators.layout import best_overlap
 from quill.operators.repairs import strip_xinfo
+from quill.operators.state import lost_of_lists
 from quill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -85,3 +86,12 @@ def test_checkers_do_not_deal_the_tags_again(spark):
             assert sum(written(catalog.QUERIES[name](spark, SF))) < 500_000, name  # 1,500 texts with 24,000 tags
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_words_are_neither_broadcast_nor_rows(spark):
+    seen = catalog.QUERIES["word_multiset_guard"](spark, SF)
+    assert max(rows_of(seen)) <= 1000  # the documents, not their words
+    lists = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["a"]), (3, None)], "text_id long, words array<string>")
+    pairs = spark.createDataFrame([(1, 1, 2), (2, 2, 1), (3, 3, 1), (4, 1, 3), (5, 1, 9)], "pair_id long, old long, new long")
+    lost = lost_of_lists(lists, pairs)
+    assert dict(lost.collect()) == {1: 2, 2: 0, 3: 0, 4: 3, 5: 3} and "Broadcast" not in plan(lost)
