@@ -95,3 +95,9 @@ def test_words_are_neither_broadcast_nor_rows(spark):
     pairs = spark.createDataFrame([(1, 1, 2), (2, 2, 1), (3, 3, 1), (4, 1, 3), (5, 1, 9)], "pair_id long, old long, new long")
     lost = lost_of_lists(lists, pairs)
     assert dict(lost.collect()) == {1: 2, 2: 0, 3: 0, 4: 3, 5: 3} and "Broadcast" not in plan(lost)
+
+
+def test_words_of_paragraphs_stay_where_their_text_is(spark):
+    seen = catalog.QUERIES["styled_paragraphs"](spark, SF)
+    exchanges = [n for n in seen._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in n]
+    assert len(exchanges) == 1 and "REPARTITION_BY_NUM" in exchanges[0]  # that of whole texts
