@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # The forms of tags, list markers, page references and sentence ends that texts are read by.
 #: A tag: slash, name, attributes, trailing slash.
 TAG = r"(?U)<\s*(/?)\s*([A-Za-z][\w.-]*)([^<>]*?)(/?)\s*>"
+#: A tag of TAG without blanks, attributes and letters beyond ASCII: its name.
+PLAIN_TAG = r"\A</?([A-Za-z][A-Za-z0-9_.-]*)/?>\z"
 #: A list marker: a bullet, or an ordinal of up to four characters.
 MARKER = r"(?:[•\-\*◦▪‣]|\(?[a-zA-Z0-9]{1,4}(?:\.\)|[.)]))"
 ORDINAL = r"\(?[a-zA-Z0-9]{1,4}(?:\.\)|[.)])"

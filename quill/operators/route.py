@@ -58,10 +58,19 @@ def translate(docs: DataFrame, id_column: str = "doc_id", parts: int | None = No
     return out, bad_lists.unionByName(bad_tables)
 
 
+#: The columns of a tag stream beside the text's id.
+PLAIN = ["seq", "start", "end", "line", "name", "attrs", "is_close", "is_self", "gap"]
+
+
+def nested_once(tags: DataFrame, id_column: str = "doc_id", parts: int | None = None) -> DataFrame:
+    """nested() tags, written once and bucketed by text: all that checkers and repairs read of tags."""
+    return cut(nested(tags, id_column), id_column, parts)
+
+
 def all_findings(texts: DataFrame, tags: DataFrame, id_column: str = "doc_id", vocabulary: DataFrame | None = None, parts: int | None = None) -> DataFrame:
-    """The findings of all checkers, numbered in the order in which duplicates are judged. Closing tags are checked for the names of the vocabulary (name), or of tags.VOCABULARY. Every checker reads the nested tags, which are written once, bucketed by text; parts: to how many parts texts and tags are dealt by their id."""
-    rows = cut(nested(tags, id_column), id_column, parts)
-    tags = rows.select(*tags.columns)
+    """The findings of all checkers, numbered in the order in which duplicates are judged. Closing tags are checked for the names of the vocabulary (name), or of tags.VOCABULARY. Every checker reads the nested tags, which are written once, bucketed by text; tags that come as nested_once() wrote them are not written again. parts: to how many parts texts and tags are dealt by their id."""
+    rows = tags if "plain_top" in tags.columns else nested_once(tags, id_column, parts)
+    tags = rows.select(id_column, *PLAIN)
     framed = cut(frames(rows, id_column), id_column, parts)
     known = tags.filter(F.col("name").isin(VOCABULARY)) if vocabulary is None else known_tags(tags, vocabulary)
     sections = check_sections(tags, id_column).unionByName(check_outside_root(tags, texts, id_column))
@@ -79,7 +88,7 @@ def check(docs: DataFrame, id_column: str = "doc_id", vocabulary: DataFrame | No
     plain = docs.select(id_column, F.regexp_replace("text", "\r\n?", "\n").alias("text"))
     texts, problems = translate(strip_xinfo(plain), id_column, parts)
     texts = cut(texts.select(id_column, "text"), id_column, parts)
-    tags = cut(tag_stream(texts, id_column), id_column, parts)
+    tags = nested_once(tag_stream(texts, id_column), id_column, parts)
     found = all_findings(texts, tags, id_column, vocabulary, parts)
-    findings = cut(dedup_findings(problems.withColumn("checker", F.lit(0)).unionByName(found, allowMissingColumns=True), id_column), id_column, parts)
+    findings = cut(dedup_findings(problems.withColumn("checker", F.lit(0)).unionByName(found, allowMissingColumns=True), id_column, parts), id_column, parts)
     return Checked(texts, findings, suggest_fixes(texts, findings, tags, id_column), summarize(findings, texts, id_column), report_lines(texts, findings, id_column))

@@ -28,7 +28,8 @@ def with_frames(tags: DataFrame, name: str, id_column: str = "doc_id") -> DataFr
 
 def check_media(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Findings on mediaobject, imageobject and imagedata: outside a mediaobject, a mediaobject without them, imagedata without fileref, self-closed mediaobjects, stray closes. A mediaobject is judged where it closes."""
-    rows = with_frames(tags, "mediaobject", id_column)
+    # Only these three are judged, counted or open anything here.
+    rows = with_frames(tags.filter(F.col("name").isin("mediaobject", "imageobject", "imagedata")), "mediaobject", id_column)
     opens = ~F.col("is_close")
     is_ = lambda n: F.col("name") == n
     outside = opens & (F.col("depth") == 0)

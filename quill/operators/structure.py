@@ -37,31 +37,41 @@ _NEAR = {"near_table": TABLES, "near_row": ("tr", *TABLES), "near_item": ("listi
 
 
 class _Open:
-    """The elements open at one place, as (start, name), and where each kind of them is."""
+    """The elements open at one place, as (start, name), where each kind of them is, and at every depth the index of the innermost element of some groups of names, -1 for none, so that a tag asks for no search."""
 
-    def __init__(self):
-        self.frames, self.places = [], {}
+    def __init__(self, groups: tuple[tuple[str, ...], ...] = (), told: int = 0):
+        self.frames, self.places, self.told = [], {}, told
+        self.near, self.says = [(-1,) * len(groups)], [(None,) * (2 * told)]
+        self.members = {}
+        for g, names in enumerate(groups):
+            for name in names:
+                self.members.setdefault(_KIND.get(name, name), set()).add(g)
 
-    def nearest(self, names) -> int:
-        """The index of the innermost of these, -1 for none."""
-        found, places = -1, self.places
-        for name in names:
-            at = places.get(_KIND.get(name, name))
-            if at and at[-1] > found:
-                found = at[-1]
-        return found
+    def clear(self) -> None:
+        self.cut(0)
 
-    def at(self, k: int) -> tuple:
-        return self.frames[k] if self.frames and k >= 0 else (None, None)
+    def latest(self, name: str) -> int:
+        """The index of the innermost element of a kind, -1 for none."""
+        at = self.places.get(_KIND.get(name, name))
+        return at[-1] if at else -1
 
     def cut(self, size: int) -> None:
         while len(self.frames) > size:
             name = self.frames.pop()[1]
+            self.near.pop()
+            self.says.pop()
             self.places[_KIND.get(name, name)].pop()
 
     def open(self, start: int, name: str) -> None:
-        self.places.setdefault(_KIND.get(name, name), []).append(len(self.frames))
+        kind, k = _KIND.get(name, name), len(self.frames)
+        self.places.setdefault(kind, []).append(k)
         self.frames.append((start, name))
+        near, says = self.near[-1], self.says[-1]
+        if mine := self.members.get(kind):
+            near = tuple(k if g in mine else n for g, n in enumerate(near))
+            says = tuple(x for n in near[: self.told] for x in (self.frames[n] if n >= 0 else (None, None)))
+        self.near.append(near)
+        self.says.append(says)
 
 
 def nested(tags: DataFrame, id_column: str = "doc_id", around: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -70,38 +80,44 @@ def nested(tags: DataFrame, id_column: str = "doc_id", around: dict[str, tuple[s
     `top` (start, name) is the innermost element before the tag takes effect, so it holds the gap before the tag; `parent` the one that an opener is put into, after what it ends by itself (an item, a row or a cell ends the one before it); `closes` the opener that a close ends; near_table and so on the nearest elements of a kind around; `plain_top` the innermost element where openers end nothing. An element that no close names was never closed. around: further columns, each with the nearest element of some names around the gap before a tag. Tags stream by in order, so a task holds the elements open at one place."""
     around = around or {}
     added = ["top", "parent", "closes", *_NEAR, *around]
+    none, near = (None, None), len(_NEAR)
+    # The groups that columns tell come first, then those that ends and closes ask for.
+    groups = (*_NEAR.values(), *around.values(), *_ENDS.values(), *_WITHIN.values())
+    ends = {name: near + len(around) + g for g, name in enumerate(_ENDS)}
+    within = {name: near + len(around) + len(_ENDS) + g for g, name in enumerate(_WITHIN)}
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, open_, plain = object(), _Open(), _Open()
+        current, open_, plain = object(), _Open(groups, near + len(around)), _Open()
+        frames, nearest, says, plains = open_.frames, open_.near, open_.says, plain.frames
         for batch in batches:
             ids, starts, names, closes, selfs = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (id_column, "start", "name", "is_close", "is_self"))
-            rows = {c: [] for c in added}
-            plain_tops = []
+            tops, parents, ended, nears, arounds, plain_tops = [], [], [], [], [], []
             for doc, start, name, is_close, is_self in zip(ids, starts, names, closes, selfs):
                 if doc != current:
-                    current, open_, plain = doc, _Open(), _Open()
-                rows["top"].append(open_.at(len(open_.frames) - 1))
-                plain_tops.append(plain.at(len(plain.frames) - 1)[1])
-                for c, near in around.items():
-                    rows[c].append(open_.at(open_.nearest(near)))
-                if not is_close and not is_self and name in _ENDS and (k := open_.nearest(_ENDS[name])) >= 0:
+                    current = doc
+                    open_.clear()
+                    plain.clear()
+                tops.append(frames[-1] if frames else none)
+                plain_tops.append(plains[-1][1] if plains else None)
+                arounds.append(says[-1])
+                if not is_close and not is_self and name in ends and (k := nearest[-1][ends[name]]) >= 0:
                     open_.cut(k + 1)
-                rows["parent"].append(open_.at(len(open_.frames) - 1))
-                for c, near in _NEAR.items():
-                    rows[c].append(open_.at(open_.nearest(near)))
-                ended = (None, None)
+                parents.append(frames[-1] if frames else none)
+                nears.append(says[-1])
+                closed = none
                 if is_close:
-                    k = open_.nearest([name])
-                    if k > open_.nearest(_WITHIN.get(name, ())):
-                        ended = open_.at(k)
+                    k = open_.latest(name)
+                    if k > (nearest[-1][within[name]] if name in within else -1):
+                        closed = frames[k]
                         open_.cut(k)
-                    if (k := plain.nearest([name])) >= 0:
+                    if (k := plain.latest(name)) >= 0:
                         plain.cut(k)
                 elif not is_self:
                     open_.open(start, name)
                     plain.open(start, name)
-                rows["closes"].append(ended)
-            columns = [pa.array([r[i] for r in rows[c]], t) for c in added for i, t in ((0, pa.int64()), (1, pa.string()))]
+                ended.append(closed)
+            told = [x for rows in (tops, parents, ended) for x in zip(*rows)] + list(zip(*nears))[: 2 * near] + list(zip(*arounds))[2 * near :]
+            columns = [pa.array(told[i] if told else [], (pa.int64(), pa.string())[i % 2]) for i in range(2 * len(added))]
             names_out = [n for c in added for n in (c, f"{c}_tag")]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array(plain_tops, pa.string())], [*batch.schema.names, *names_out, "plain_top"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quill.functions.text import TAG, count_of
+from quill.functions.text import PLAIN_TAG, TAG, count_of
 
 
 def tag_stream(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -17,9 +17,13 @@ def tag_stream(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     before = Window.partitionBy(id_column).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     passed = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     rows = rows.select("*", (passed(F.length("gap") + F.length("tag")) + F.length("gap")).alias("start"), (passed(count_of(F.col("gap"), "\n") + count_of(F.col("tag"), "\n")) + count_of(F.col("gap"), "\n") + 1).alias("line"))
-    group = lambda k: F.regexp_extract("tag", TAG, k)
-    is_close = group(1) == "/"
-    return rows.select(id_column, "seq", "start", (F.col("start") + F.length("tag")).alias("end"), "line", F.lower(group(2)).alias("name"), group(3).alias("attrs"), is_close.alias("is_close"), ((group(4) == "/") & ~is_close).alias("is_self"), "gap")
+    # A tag without blanks and attributes, as most are, is told by one search for its name; others are matched again for each part.
+    rows = rows.withColumn("plain", F.regexp_extract("tag", PLAIN_TAG, 1))
+    is_plain, group = F.col("plain") != "", lambda k: F.regexp_extract("tag", TAG, k)
+    rows = rows.withColumn("is_close", F.when(is_plain, F.col("tag").startswith("</")).otherwise(group(1) == "/"))
+    ends = F.when(is_plain, F.col("tag").endswith("/>")).otherwise(group(4) == "/")
+    name, attrs = F.when(is_plain, F.col("plain")).otherwise(group(2)), F.when(is_plain, "").otherwise(group(3))
+    return rows.select(id_column, "seq", "start", (F.col("start") + F.length("tag")).alias("end"), "line", F.lower(name).alias("name"), attrs.alias("attrs"), "is_close", (ends & ~F.col("is_close")).alias("is_self"), "gap")
 
 
 #: The names that the check of closing tags knows where no vocabulary is given.
@@ -54,15 +58,16 @@ def matched(tags: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Openers with the close that each pairs with, per name whatever the nesting: id, name, start, end, level, p_start, p_end (null for one never closed; its own end for a self-closed tag).
 
     With `level` the running sum of +1 and -1 over one name after an opener and before a close, an opener's close is the next tag of its level."""
-    own = Window.partitionBy(id_column, "name").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    rows = tags.filter("not is_self").withColumn("s", F.sum(F.when(F.col("is_close"), -1).otherwise(1)).over(own))
+    # Self-closed tags are told apart by the windows and not by a union, which would have tags that are dealt by text dealt again.
+    kind = [id_column, "name", "is_self"]
+    own = Window.partitionBy(*kind).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    rows = tags.withColumn("s", F.sum(F.when(F.col("is_close"), -1).otherwise(1)).over(own))
     rows = rows.withColumn("level", F.col("s") + F.col("is_close").cast("int"))
-    at = Window.partitionBy(id_column, "name", "level").orderBy("start")
-    pairs = F.lead("is_close").over(at)
-    rows = rows.withColumns({"p_start": F.when(pairs, F.lead("start").over(at)), "p_end": F.when(pairs, F.lead("end").over(at))}).filter("not is_close")
-    selfs = tags.filter("is_self").withColumns({"level": F.lit(None).cast("long"), "p_start": F.col("end"), "p_end": F.col("end")})
-    columns = [id_column, "name", "start", "end", "level", "p_start", "p_end"]
-    return rows.select(*columns).unionByName(selfs.select(*columns))
+    at = Window.partitionBy(*kind, "level").orderBy("start")
+    pairs, is_self = F.lead("is_close").over(at), F.col("is_self")
+    mate = lambda c: F.when(is_self, F.col("end")).when(pairs, F.lead(c).over(at))
+    rows = rows.withColumns({"p_start": mate("start"), "p_end": mate("end")}).filter("is_self or not is_close")
+    return rows.select(id_column, "name", "start", "end", F.when(~is_self, F.col("level")).alias("level"), "p_start", "p_end")
 
 
 def child_spans(tags: DataFrame, name: str, id_column: str = "doc_id") -> DataFrame:

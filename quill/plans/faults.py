@@ -140,8 +140,9 @@ STRUCTURE_SQL = f"WITH {_TOPICS_SQL}, f(k, code, mark) AS (VALUES {_FOUND}) SELE
 def _fix_options(spark, sf_dir):
     """Every option of every finding, with the repaired text."""
     docs, parts = topics(spark, sf_dir)
-    tags = cut(TG.tag_stream(docs), "doc_id", parts)
-    findings = cut(RT.dedup_findings(RT.all_findings(docs, tags, parts=parts)), "doc_id", parts)
+    docs = cut(docs, "doc_id", parts)
+    tags = RT.nested_once(TG.tag_stream(docs), parts=parts)
+    findings = cut(RT.dedup_findings(RT.all_findings(docs, tags, parts=parts), parts=parts), "doc_id", parts)
     return RP.suggest_fixes(docs, findings, tags, parts=parts).select("doc_id", "label", "new_text")
 
 

@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from quill.operators.findings import dedup_findings
 from quill.operators.layout import best_overlap
+from quill.operators.lineage import cut, met_by_text
 from quill.operators.repairs import strip_xinfo
 from quill.operators.state import lost_of_lists
+from quill.operators.tags import matched, tag_stream
 from quill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +104,35 @@ def test_words_of_paragraphs_stay_where_their_text_is(spark):
     seen = catalog.QUERIES["styled_paragraphs"](spark, SF)
     exchanges = [n for n in seen._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in n]
     assert len(exchanges) == 1 and "REPARTITION_BY_NUM" in exchanges[0]  # that of whole texts
+
+
+def test_paired_tags_stay_where_their_text_is(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(k, "<a><b/>x</a><c>") for k in range(50)], "doc_id long, text string")
+        tags = cut(tag_stream(docs), "doc_id", 4)
+        with met_by_text(spark):
+            met = matched(tags).join(tags.select("doc_id", "start", "seq"), ["doc_id", "start"])
+            assert "Exchange" not in plan(met) and met.count() == 150
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_findings_are_dealt_once(spark):
+    columns = "doc_id long, line long, start long, message string, tag string, checker int"
+    found = spark.createDataFrame([(k % 5, 1, k, f"m{k % 3}", None, k % 2) for k in range(40)], columns)
+    once = dedup_findings(found, parts=4)
+    assert plan(once).count("Exchange hashpartitioning") == 1 and sorted(once.collect()) == sorted(dedup_findings(found).collect())
+
+
+def test_texts_are_made_once_for_repairs(spark):
+    for name in ("fix_options",):
+        assert "lineitem" not in plan(catalog.QUERIES[name](spark, SF)), name
+
+
+def test_plain_tags_are_told_as_others(spark):
+    text = "<a/></b/><C.d-e>x</C.d-e >< f ><\u00e9><g/ ><h i='1'/><j\u00e9><k //></ l><m\u00a0n><o_p></q.>"
+    rows = tag_stream(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("seq").collect()
+    names = [("a", "", 0, 1), ("b", "", 1, 0), ("c.d-e", "", 0, 0), ("c.d-e", "", 1, 0), ("f", "", 0, 0), ("g", "", 0, 1), ("h", " i='1'", 0, 1), ("j\u00e9", "", 0, 0), ("k", " /", 0, 1), ("l", "", 1, 0), ("m", "\u00a0n", 0, 0), ("o_p", "", 0, 0), ("q.", "", 1, 0)]
+    assert [(r["name"], r["attrs"], int(r["is_close"]), int(r["is_self"])) for r in rows] == names
