@@ -486,8 +486,10 @@ def topic_findings(spark, sf_dir):
 @query("fix_candidates", f"WITH {_BODY_SQL} SELECT doc_id, 'Close it at the end' AS label, text || '</section>' AS new_text FROM topics WHERE k = 6")
 def fix_candidates(spark, sf_dir):
     docs, parts = _topics(spark, sf_dir)
+    docs = cut(docs, "doc_id", parts)
     tags = cut(TG.tag_stream(docs), "doc_id", parts)
-    return RP.suggest_fixes(docs, TG.unbalanced_tags(tags), tags, parts=parts).select("doc_id", "label", "new_text")
+    found = cut(TG.unbalanced_tags(tags), "doc_id", parts)
+    return RP.suggest_fixes(docs, found, tags, parts=parts).select("doc_id", "label", "new_text")
 
 
 @query("strip_xinfo", f"WITH {_BODY_SQL} SELECT doc_id, replace(replace(text, '<section>', '<section xinfo:id=\"1\">'), '<para>', '<para role=\"x\">say xinfo:b=\"2\" here ') AS text FROM topics")

@@ -127,7 +127,7 @@ def test_findings_are_dealt_once(spark):
 
 
 def test_texts_are_made_once_for_repairs(spark):
-    for name in ("fix_options",):
+    for name in ("fix_options", "fix_candidates"):
         assert "lineitem" not in plan(catalog.QUERIES[name](spark, SF)), name
 
 
