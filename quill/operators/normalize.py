@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quill.functions.text import squash, strip, strip_envelope
+from quill.operators.lineage import cut, parts_for
 from quill.operators.repairs import splice
 from quill.operators.tags import outer_spans, tag_stream, translate_inline
 from quill.operators.trees import convert_lists, convert_tables
 
 
-def normalize(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """id, output, changed, diagnostic of (id, text): the text without its envelope, with foreign lists, tables and p elements converted. What was done is counted; a text that is empty, has no tags or needs nothing says so, and comes back as it is."""
+def normalize(docs: DataFrame, id_column: str = "doc_id", parts: int | None = None) -> DataFrame:
+    """id, output, changed, diagnostic of (id, text): the text without its envelope, with foreign lists, tables and p elements converted. What was done is counted; a text that is empty, has no tags or needs nothing says so, and comes back as it is. Texts, and the spans of lists and tables in them, are written once, bucketed by id; parts: to how many parts texts are dealt by their id already."""
     source = docs.select(id_column, F.coalesce("text", F.lit("")).alias("source")).withColumn("text", strip_envelope(F.col("source")))
-    tags = tag_stream(source, id_column)
-    # Lists inside tables and tables inside lists belong to what is around them.
-    spans = outer_spans(tags, ["ul", "ol", "itemizedlist", "orderedlist", "table", "informaltable"], id_column)
-    named = spans.join(tags.select(id_column, "start", "name"), [id_column, "start"])
+    if parts is None:
+        parts = parts_for(docs.sparkSession, 0)
+        source = source.repartition(parts, id_column)
+    source = cut(source, id_column, parts)
+    # Only texts that name a list or a table are cut into tags. Lists inside tables and tables inside lists belong to what is around them.
+    tags = tag_stream(source.filter(F.col("text").rlike(r"(?iU)<\s*(?:[uo]l|itemizedlist|orderedlist|table|informaltable)")), id_column)
+    named = cut(outer_spans(tags, ["ul", "ol", "itemizedlist", "orderedlist", "table", "informaltable"], id_column, named=True), id_column, parts)
     is_list = F.col("name").isin("ul", "ol", "itemizedlist", "orderedlist")
     lists = convert_lists(source, named.filter(is_list).drop("name"), id_column).withColumn("kind", F.lit("list"))
     tables = convert_tables(source, named.filter(~is_list).drop("name"), id_column).withColumn("kind", F.lit("table"))

@@ -84,8 +84,8 @@ def child_spans(tags: DataFrame, name: str, id_column: str = "doc_id") -> DataFr
     return closed.join(children, [id_column, "start"], "left").withColumn("children", F.coalesce("children", F.array().cast("array<struct<start:bigint,end:bigint>>")))
 
 
-def outer_spans(tags: DataFrame, names: list[str], id_column: str = "doc_id") -> DataFrame:
-    """The outermost spans of a set of names, whose tags nest into each other: (start, end) from an opener at depth 0 to the close that returns there. Stray closes and self-closed tags count for nothing, unclosed spans are left out."""
+def outer_spans(tags: DataFrame, names: list[str], id_column: str = "doc_id", named: bool = False) -> DataFrame:
+    """The outermost spans of a set of names, whose tags nest into each other: (start, end), and the opener's name if it is asked for, from an opener at depth 0 to the close that returns there. Stray closes and self-closed tags count for nothing, unclosed spans are left out."""
     own = Window.partitionBy(id_column).orderBy("start")
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
     rows = tags.filter(F.col("name").isin(names) & ~F.col("is_self"))
@@ -94,8 +94,9 @@ def outer_spans(tags: DataFrame, names: list[str], id_column: str = "doc_id") ->
     before = F.coalesce(F.lag("depth").over(own), F.lit(0))
     rows = rows.withColumn("opens", (~F.col("is_close") & (before == 0)).cast("int")).withColumn("closes", F.col("is_close") & (F.col("depth") == 0) & (before > 0))
     rows = rows.withColumn("span", F.sum("opens").over(upto))
-    spans = rows.groupBy(id_column, "span").agg(F.min(F.when(F.col("opens") == 1, F.col("start"))).alias("start"), F.max(F.when(F.col("closes"), F.col("end"))).alias("end"))
-    return spans.filter("start is not null and end is not null").select(id_column, "start", "end")
+    spans = rows.groupBy(id_column, "span").agg(F.min(F.when(F.col("opens") == 1, F.struct("start", "name"))).alias("o"), F.max(F.when(F.col("closes"), F.col("end"))).alias("end"))
+    spans = spans.filter("o is not null and end is not null").select(id_column, "o.start", "end", "o.name")
+    return spans if named else spans.drop("name")
 
 
 #: name -> what replaces its opener; closers of all become </emphasis>.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quill.operators import extract as EX
 from quill.operators import normalize as NO
+from quill.operators.lineage import parts_for
 from quill.plans.faults import _quoted
 
 _OPEN, _CLOSE = '<informaltable frame="box" rules="all">', "</informaltable>"
@@ -47,8 +48,11 @@ def _orders(spark: SparkSession, sf_dir: str, kinds: int) -> DataFrame:
 
 def _normalize(spark, sf_dir):
     made = spark.createDataFrame([(k, s) for k, (s, _, _) in enumerate(SOURCES)], "k long, text string")
-    docs = _orders(spark, sf_dir, len(SOURCES)).join(F.broadcast(made), "k").select("doc_id", _numbered("text").alias("text"))  # a row a kind
-    return NO.normalize(docs)
+    orders = _orders(spark, sf_dir, len(SOURCES))
+    parts = parts_for(spark, orders.count())
+    # Keys are dealt before texts are made of them: a scan of keys alone is a few tasks, whatever comes of it.
+    docs = orders.repartition(parts, "doc_id").join(F.broadcast(made), "k").select("doc_id", _numbered("text").alias("text"))  # a row a kind
+    return NO.normalize(docs, parts=parts)
 
 
 _SOURCES_SQL = ", ".join(f"({k}, {_quoted(out if out is not None else s)}, {str(out is not None).lower()}, {_quoted(d)})" for k, (s, out, d) in enumerate(SOURCES))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quill.operators.findings import dedup_findings
 from quill.operators.layout import best_overlap
-from quill.operators.lineage import cut, met_by_text
+from quill.operators.lineage import _KEPT, cut, met_by_text
 from quill.operators.repairs import strip_xinfo
 from quill.operators.state import lost_of_lists
 from quill.operators.tags import matched, tag_stream
@@ -136,3 +136,11 @@ def test_plain_tags_are_told_as_others(spark):
     rows = tag_stream(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("seq").collect()
     names = [("a", "", 0, 1), ("b", "", 1, 0), ("c.d-e", "", 0, 0), ("c.d-e", "", 1, 0), ("f", "", 0, 0), ("g", "", 0, 1), ("h", " i='1'", 0, 1), ("j\u00e9", "", 0, 0), ("k", " /", 0, 1), ("l", "", 1, 0), ("m", "\u00a0n", 0, 0), ("o_p", "", 0, 0), ("q.", "", 1, 0)]
     assert [(r["name"], r["attrs"], int(r["is_close"]), int(r["is_self"])) for r in rows] == names
+
+
+def test_fragments_are_made_and_cut_into_tags_once(spark):
+    before = len(_KEPT)
+    seen = plan(catalog.QUERIES["normalize_fragments"](spark, SF))
+    made = [spark.table(name) for _, name in _KEPT[before:] if name]
+    assert "orders" not in seen and [set(t.columns) for t in made] == [{"doc_id", "source", "text"}, {"doc_id", "start", "end", "name"}]
+    assert made[1].filter("name not in ('ul', 'ol', 'itemizedlist', 'orderedlist', 'table', 'informaltable')").count() == 0
