@@ -14,6 +14,7 @@ from quill.operators import repairs as RP
 from quill.operators import route as RT
 from quill.operators import tags as TG
 from quill.operators.lineage import cut, parts_for
+from quill.operators.skeletons import in_texts
 
 
 @dataclass
@@ -130,7 +131,8 @@ def topics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 def _structure_findings(spark, sf_dir):
     """Every finding of the lenient checkers and of the other ones, by code and place."""
     docs, parts = topics(spark, sf_dir)
-    return RT.all_findings(docs, TG.tag_stream(docs), parts=parts).select("doc_id", "code", "start").distinct()
+    shared, _, found = RT.shared_findings(docs, parts=parts)
+    return in_texts(shared, found.select("doc_id", "code", "start").distinct(), ["start"], "doc_id").drop("text")
 
 
 _FOUND = ", ".join(f"({k}, {_quoted(code)}, {_quoted(mark)})" for k, f in enumerate(FAULTS) for code, mark in f.found)
