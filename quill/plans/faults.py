@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from quill.operators import repairs as RP
 from quill.operators import route as RT
-from quill.operators import tags as TG
 from quill.operators.lineage import cut, parts_for
 from quill.operators.skeletons import in_texts
 
@@ -142,10 +141,9 @@ STRUCTURE_SQL = f"WITH {_TOPICS_SQL}, f(k, code, mark) AS (VALUES {_FOUND}) SELE
 def _fix_options(spark, sf_dir):
     """Every option of every finding, with the repaired text."""
     docs, parts = topics(spark, sf_dir)
-    docs = cut(docs, "doc_id", parts)
-    tags = RT.nested_once(TG.tag_stream(docs), parts=parts)
-    findings = cut(RT.dedup_findings(RT.all_findings(docs, tags, parts=parts), parts=parts), "doc_id", parts)
-    return RP.suggest_fixes(docs, findings, tags, parts=parts).select("doc_id", "label", "new_text")
+    shared, tags, found = RT.shared_findings(docs, parts=parts)
+    findings = cut(RT.dedup_findings(found, parts=shared.parts), "doc_id", shared.parts)
+    return RP.suggest_shared(shared, findings, tags).select("doc_id", "label", "new_text")
 
 
 _FIXES = ", ".join(f"({k}, {_quoted(label)}, {_quoted(old)}, {_quoted(new)})" for k, f in enumerate(FAULTS) for label, old, new in f.fixes)

@@ -61,7 +61,7 @@ def test_skeletons_keep_comments_and_lines(spark):
 
 
 def test_checkers_read_each_skeleton_once(spark):
-    for name in ("structure_findings", "check_route"):
+    for name in ("structure_findings", "fix_options", "check_route"):
         before = len(_KEPT)
         catalog.QUERIES[name](spark, SF)
         read = [spark.table(t).select("doc_id").distinct().count() for _, t in _KEPT[before:] if t and "plain_top" in spark.table(t).columns]
