@@ -117,7 +117,7 @@ def join_lines(lines: Column) -> Column:
         wraps = line.rlike(r"[a-z]-\z") & following.rlike(r"\A\p{Ll}")
         return F.when(following.isNull(), line).when(wraps, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(F.concat(line, F.lit(" ")))
 
-    return F.when(first > 0, F.array_join(F.zip_with(rest(0), rest(1), seam), "")).otherwise("")
+    return F.when(F.size(lines) == 1, F.coalesce(F.get(lines, F.lit(0)), F.lit(""))).when(first > 0, F.array_join(F.zip_with(rest(0), rest(1), seam), "")).otherwise("")
 
 
 def ascii_only(text: Column) -> Column:

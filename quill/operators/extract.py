@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quill.functions.text import MARKER, escape_html, flag_page_refs, join_lines, strip
+from quill.functions.text import MARKER, escape_html, flag_page_refs, has_text, join_lines, strip
 from quill.operators.layout import assign_items, assign_paragraphs, best_overlap, crop_box, lines_in_cells, styled_runs
+from quill.operators.lineage import cut, met_by_text
 from quill.operators.tables import build_tables
 
 
@@ -53,7 +54,7 @@ def _fragments(tokens: DataFrame, keys: list[str]) -> DataFrame:
 def _lines(spans: DataFrame, id_column: str) -> DataFrame:
     """The lines of spans, with their whole text."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda s: s["text"]), "")
-    return spans.groupBy(id_column, "line", "block", "y0", "y1").agg(text.alias("text")).filter(strip(F.col("text")) != "")
+    return spans.groupBy(id_column, "line", "block", "y0", "y1").agg(text.alias("text")).filter(has_text(F.col("text")))
 
 
 def extract_paragraphs(spans: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -72,25 +73,30 @@ def extract_lists(spans: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return made.select(id_column, number.alias("item"), "ordered", F.concat(F.lit("<listitem>"), "xml", F.lit("</listitem>")).alias("xml"), "html")
 
 
-def extract_tables(spans: DataFrame, regions: DataFrame, cells: DataFrame | None = None, id_column: str = "doc_id", band: float = 64.0) -> DataFrame:
-    """id, xml of each of regions (id): its grid's cells (id, row, col, cx0, cy0, cx1, cy1) with the lines of spans whose centre they hold, joined as in a paragraph, and a head where the first row is bold and the second is not. A region without cells is one cell with all its lines."""
+def extract_tables(spans: DataFrame, regions: DataFrame, cells: DataFrame | None = None, id_column: str = "doc_id", band: float = 64.0, parts: int | None = None) -> DataFrame:
+    """id, xml of each of regions (id): its grid's cells (id, row, col, cx0, cy0, cx1, cy1) with the lines of spans whose centre they hold, joined as in a paragraph, and a head where the first row is bold and the second is not. A region without cells is one cell with all its lines. parts: to how many parts spans, regions and cells are dealt by id, where they are; lines then meet cells without a shuffle and are written once, as they lie, with the cells."""
     said = F.trim("text") != ""
     lines = spans.groupBy(id_column, "line", "y0", "y1").agg(
         F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda s: s["text"]), "").alias("text"),
         F.count_if(said).alias("said"), F.count_if(said & F.col("bold")).alias("bold"),
-    ).filter(strip(F.col("text")) != "")
+    ).filter(has_text(F.col("text")))
     null = lambda c, t: F.lit(None).cast(t).alias(c)
     place, content = [null("row", "long"), null("col", "long")], [null("line", "long"), null("text", "string"), null("said", "long"), null("bold", "long")]
     told = ["line", "text", "said", "bold"]
-    parts = lines.select(id_column, *place, *told).unionByName(regions.select(id_column, *place, *content)).withColumn("asked", F.col("line").isNull())
-    if cells is not None:
-        held = lines_in_cells(lines, cells, id_column, band).select(id_column, "row", "col", *told)
-        parts = parts.unionByName(cells.select(id_column, "row", "col", *content).unionByName(held).withColumn("asked", F.lit(False)))
+    if cells is None:
+        rows = lines.select(id_column, *place, *told)
+    else:  # lines that no cell holds come once, without a cell
+        rows = lines_in_cells(lines, cells, id_column, band, outside=True).select(id_column, "row", "col", *told)
+        rows = rows.unionByName(cells.select(id_column, "row", "col", *content))
+    rows = rows.withColumn("asked", F.lit(False)).unionByName(regions.select(id_column, *place, *content).withColumn("asked", F.lit(True)))
+    if parts:  # what follows deals a union anew, unless it is written as it lies
+        with met_by_text(rows.sparkSession):
+            rows = cut(rows, id_column, parts)
     # Cells and lines come together by union and window, as joins of them may be broadcast through the driver.
     region = Window.partitionBy(id_column)
-    parts = parts.withColumns({"known": F.max("asked").over(region), "gridded": F.max(F.col("row").isNotNull()).over(region)}).filter("known and (row is not null or not gridded)")
+    rows = rows.withColumns({"known": F.max("asked").over(region), "gridded": F.max(F.col("row").isNotNull()).over(region)}).filter("known and (row is not null or not gridded)")
     texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", "text")))), lambda x: x["text"])
-    made = parts.groupBy(id_column, "gridded", F.coalesce("row", F.lit(0)).alias("row"), F.coalesce("col", F.lit(0)).alias("col")).agg(join_lines(texts).alias("text"), F.sum("said").alias("said"), F.sum("bold").alias("bold"))
+    made = rows.groupBy(id_column, "gridded", F.coalesce("row", F.lit(0)).alias("row"), F.coalesce("col", F.lit(0)).alias("col")).agg(join_lines(texts).alias("text"), F.sum("said").alias("said"), F.sum("bold").alias("bold"))
     of = lambda k: F.sum(F.when(F.col("row") == k, F.col("bold"))).over(region) / F.nullif(F.sum(F.when(F.col("row") == k, F.col("said"))).over(region), F.lit(0))
     filled = F.when(F.col("said").isNotNull(), F.col("row"))
     several = F.min(filled).over(region) < F.max(filled).over(region)
@@ -108,24 +114,26 @@ def extract_images(requests: DataFrame, images: DataFrame, id_column: str = "doc
     return met.select(id_column, "image_id", box.alias("box")).filter("box is not null")
 
 
-def extract_regions(requests: DataFrame, spans: DataFrame, images: DataFrame | None = None, id_column: str = "doc_id", cells: DataFrame | None = None) -> DataFrame:
-    """id, kind, xml, n_items, needs_reading for requests (id, kind, x0, y0, x1, y1), one for each id: paragraphs, a list or a table (by the grid's cells, see extract_tables) of the spans whose line's centre is in the region; a table region without text whose id is among `images` (id) needs reading and has no fragment."""
+def extract_regions(requests: DataFrame, spans: DataFrame, images: DataFrame | None = None, id_column: str = "doc_id", cells: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """id, kind, xml, n_items, needs_reading for requests (id, kind, x0, y0, x1, y1), one for each id: paragraphs, a list or a table (by the grid's cells, see extract_tables) of the spans whose line's centre is in the region; a table region without text whose id is among `images` (id) needs reading and has no fragment. parts: to how many parts requests, spans and cells are dealt by id, where they are."""
     region = requests.select(id_column, "kind", *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     level = F.abs(F.col("dir_x") * F.col("dir_y")) <= 0.01
     inside = spans.join(region.hint("merge"), id_column).filter((cx >= F.col("r_x0")) & (cx < F.col("r_x1")) & (cy >= F.col("r_y0")) & (cy < F.col("r_y1")) & level)
     whole = F.transform(F.array_sort(F.collect_list(F.struct("item", "xml"))), lambda x: x["xml"])
     paragraphs = extract_paragraphs(inside.filter("kind = 'paragraph'"), id_column).groupBy(id_column).agg(whole.alias("items"))
-    lists = extract_lists(inside.filter("kind = 'list'"), id_column).groupBy(id_column).agg(whole.alias("items"), F.first("ordered").alias("ordered"))
-    drawn = inside.filter("kind = 'table'").filter(strip(F.col("text")) != "").select(id_column, F.lit(True).alias("has_text"))
-    tables = extract_tables(inside.filter("kind = 'table'"), requests.filter("kind = 'table'"), cells, id_column).withColumnRenamed("xml", "table")
-    rows = region.select(id_column, "kind")
-    for part in (paragraphs, lists, tables, drawn, *([] if images is None else [images.select(id_column, F.lit(True).alias("has_image"))])):
-        rows = rows.unionByName(part, allowMissingColumns=True)
-    if images is None:
+    lists = extract_lists(inside.filter("kind = 'list'"), id_column).groupBy(id_column).agg(whole.alias("l_items"), F.first("ordered").alias("ordered"))
+    drawn = inside.filter("kind = 'table'").filter(has_text(F.col("text"))).select(id_column, F.lit(True).alias("has_text"))
+    tables = extract_tables(inside.filter("kind = 'table'"), requests.filter("kind = 'table'"), cells, id_column, parts=parts).withColumnRenamed("xml", "table")
+    rows = region.groupBy(id_column).agg(F.first("kind", True).alias("kind")).filter("kind is not null")
+    # What is known of a request comes by merging joins, as others may be broadcast through the driver; parts that lie by id are not dealt again.
+    for part in (paragraphs, lists, tables, drawn.distinct()):
+        rows = rows.join(part.hint("merge"), id_column, "left")
+    if images is not None:
+        rows = rows.join(images.select(id_column, F.lit(True).alias("has_image")).distinct().hint("merge"), id_column, "left")
+    else:
         rows = rows.withColumn("has_image", F.lit(False))
-    # What is known of a request comes together by grouping, as joins of it may be broadcast through the driver.
-    rows = rows.groupBy(id_column).agg(*[F.first(c, True).alias(c) for c in ("kind", "items", "ordered", "table", "has_text", "has_image")]).filter("kind is not null")
+    rows = rows.withColumn("items", F.coalesce("items", "l_items"))
     tag = F.when(F.col("ordered"), "orderedlist").otherwise("itemizedlist")
     body = F.array_join("items", "\n")
     xml = F.when(F.col("kind") == "list", F.concat(F.lit("<"), tag, F.lit(">\n"), body, F.lit("\n</"), tag, F.lit(">"))).when(F.col("kind") == "table", F.col("table")).otherwise(body)

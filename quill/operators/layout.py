@@ -61,8 +61,8 @@ def list_items(lines: DataFrame, id_column: str = "doc_id", order: str = "line")
     return items.select(id_column, F.row_number().over(Window.partitionBy(id_column).orderBy("group")).alias("item"), "ordered", join_lines(F.col("texts")).alias("text"))
 
 
-def lines_in_cells(lines: DataFrame, cells: DataFrame, id_column: str, band: float) -> DataFrame:
-    """Lines joined to the cells (same id) that hold their centre. Cells are cut into bands of height `band`, so the join is on equal (id, band) and the rest is a filter. A cell of more than eight bands goes to a coarser level, of bands twice as high until eight hold it, and lines look at each level that there is: a cell makes nine rows at most, and there are as many levels as the tallest cell has doublings."""
+def lines_in_cells(lines: DataFrame, cells: DataFrame, id_column: str, band: float, outside: bool = False) -> DataFrame:
+    """Lines joined to the cells (same id) that hold their centre. Cells are cut into bands of height `band`, so the join is on equal (id, band) and the rest is a filter. A cell of more than eight bands goes to a coarser level, of bands twice as high until eight hold it, and lines look at each level that there is: a cell makes nine rows at most, and there are as many levels as the tallest cell has doublings. outside: whether lines that no cell (of the first level) holds come as well, without a cell; so all of them come, and of regions without cells each once."""
     height = F.greatest(F.col("cy1") - F.col("cy0"), F.lit(0.0))
     level = F.greatest(F.ceil(F.log2(height / (8 * band))), F.lit(0)).cast("int")
     size = lambda level: F.lit(band) * F.pow(F.lit(2.0), level)
@@ -71,8 +71,17 @@ def lines_in_cells(lines: DataFrame, cells: DataFrame, id_column: str, band: flo
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     present = [r["level"] for r in leveled.select("level").distinct().collect()]  # one for each doubling
     looked = lines.withColumn("level", F.explode(F.array(*map(F.lit, present or [0])).cast("array<int>"))).withColumn("band", F.floor(cy / size(F.col("level"))))
-    found = looked.join(cut.hint("merge"), [id_column, "level", "band"])  # cells grow with the input, so they are never broadcast
-    return found.filter((cx >= F.col("cx0")) & (cx < F.col("cx1")) & (cy >= F.col("cy0")) & (cy < F.col("cy1"))).drop("band", "level")
+    keys = [id_column, "level", "band"]
+    if not outside:
+        found = looked.join(cut.hint("merge"), keys)  # cells grow with the input, so they are never broadcast
+        return found.filter((cx >= F.col("cx0")) & (cx < F.col("cx1")) & (cy >= F.col("cy0")) & (cy < F.col("cy1"))).drop("band", "level")
+    looked = looked.withColumns({"cx": cx, "cy": cy})
+    boxes = cut.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in cut.columns if c not in keys])
+    inside = (F.col("cx") >= F.col("cx0")) & (F.col("cx") < F.col("cx1")) & (F.col("cy") >= F.col("cy0")) & (F.col("cy") < F.col("cy1"))
+    for k in keys:
+        inside = inside & (F.col(k) == F.col(f"_{k}"))
+    found = looked.join(boxes.hint("merge"), inside, "left").filter(F.col(f"_{id_column}").isNotNull() | (F.col("level") == (present or [0])[0]))
+    return found.drop("band", "level", "cx", "cy", *[f"_{k}" for k in keys])
 
 
 def area(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

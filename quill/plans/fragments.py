@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quill.operators import extract as EX
 from quill.operators import normalize as NO
-from quill.operators.lineage import parts_for
-from quill.plans.faults import _quoted
+from quill.operators.lineage import cut, parts_for
+from quill.plans.faults import _quoted, dealt_lines
 
 _OPEN, _CLOSE = '<informaltable frame="box" rules="all">', "</informaltable>"
 _LIST = "<itemizedlist><listitem><para>{n}</para></listitem></itemizedlist>"
@@ -87,9 +87,10 @@ EXTRACT_SQL = f"WITH f(k, kind, t, n_items, needs_reading) AS (VALUES {_REGIONS_
 
 def _table_fragments(spark, sf_dir):
     """Each order is a table region: a grid of its lines by three columns, of which the last is empty for every fifth line, with two lines of text in the middle one; every third order's first row is bold."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
-    rows = lines.select(F.col("l_orderkey").alias("doc_id"), (F.row_number().over(order) - 1).alias("row"), "part")
+    order = Window.partitionBy("doc_id").orderBy("l_linenumber")
+    lines, parts = dealt_lines(spark, sf_dir)
+    rows = lines.groupBy("doc_id", "l_linenumber").agg(F.min("l_partkey").alias("part")).select("doc_id", (F.row_number().over(order) - 1).alias("row"), "part")
+    rows = cut(rows, "doc_id", parts)  # cells, spans and requests are made of it where it lies
     top = F.col("row") * 30.0
     box = lambda col: F.struct("row", F.lit(col).alias("col"), F.lit(100.0 * col).alias("cx0"), top.alias("cy0"), F.lit(100.0 * col + 100).alias("cx1"), (top + 30).alias("cy1"))
     cells = rows.select("doc_id", F.explode(F.array(*map(box, range(3)))).alias("c")).select("doc_id", "c.*")
@@ -99,7 +100,7 @@ def _table_fragments(spark, sf_dir):
     bold = (F.col("doc_id") % 3 == 0) & (F.col("row") == 0)
     spans = rows.select("doc_id", bold.alias("bold"), F.explode(F.array_compact(texts)).alias("s")).select("doc_id", "s.*", "bold", F.lit(False).alias("italic"), F.lit(1.0).alias("dir_x"), F.lit(0.0).alias("dir_y"))
     requests = rows.groupBy("doc_id").agg(F.lit("table").alias("kind"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(300.0).alias("x1"), (F.max("row") * 30.0 + 30).alias("y1"))
-    return EX.extract_regions(requests, spans, cells=cells).select("doc_id", "xml")
+    return EX.extract_regions(requests, spans, cells=cells, parts=parts).select("doc_id", "xml")
 
 
 TABLES_SQL = f"""WITH l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS row, min(l_partkey) AS part FROM lineitem GROUP BY l_orderkey, l_linenumber),
